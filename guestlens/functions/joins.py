@@ -1,0 +1,24 @@
+"""Broadcast only what has a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Row bound under which a counted side is broadcast; beyond it the join is left
+# to the planner (sort-merge / shuffle-hash with AQE skew splitting).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def constant_table(spark: SparkSession, rows: list, schema: str, max_rows: int = 10_000) -> DataFrame:
+    """A fixed lookup table built from constants; its size is known here, so it
+    is always safe to broadcast."""
+    if len(rows) > max_rows:
+        raise ValueError(f"constant table has {len(rows)} rows > {max_rows}")
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after counting it; otherwise return it unchanged."""
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
