@@ -108,3 +108,90 @@ FROM (SELECT data_id, CAST(sum(n_reviews) AS BIGINT) AS n_reviews, CAST(sum(n_ra
 ORACLE["overall_sentiment"] = with_(REVIEWS, NREVIEWS, body=f"""
 SELECT data_id, n_reviews, n_reviews - n_rated AS n_unrated, {_scores()}
 FROM (SELECT data_id, {STATE_AGGS} FROM nreviews GROUP BY data_id) t""")
+
+PAGES = """pg AS (SELECT data_id, page_no, CAST(count(*) AS BIGINT) AS n_reviews, max(ts) AS last_ts
+  FROM reviews GROUP BY data_id, page_no),
+pgx AS (SELECT *, page_no < max(page_no) OVER (PARTITION BY data_id) AS has_next FROM pg)"""
+
+ORACLE["review_pages_scan"] = with_(REVIEWS, PLACES, PAGES, body="""
+SELECT x.data_id, x.page_no, x.n_reviews, x.has_next,
+  CASE WHEN x.page_no = 0 AND p.type = 'BUILDING' THEN NULL ELSE p.title END AS title,
+  false AS is_corrupt
+FROM pgx x LEFT JOIN places p ON p.place_key = x.data_id""")
+
+ORACLE["review_normalize"] = with_(REVIEWS, NREVIEWS, body="""
+SELECT data_id, fetch_pos, page_no, "user", rating, date, review_text,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso_date
+FROM nreviews""")
+
+ORACLE["place_header"] = with_(REVIEWS, PLACES, PAGES, body="""
+SELECT a.data_id,
+  CASE WHEN ok THEN p.type ELSE '' END AS type,
+  CASE WHEN ok THEN p.title ELSE '' END AS title,
+  CASE WHEN ok THEN p.rating ELSE 0.0::DOUBLE END AS rating,
+  CASE WHEN ok THEN p.address ELSE '' END AS address,
+  'Success' AS status,
+  CASE WHEN ok THEN a.n ELSE 0 END AS total_reviews,
+  strftime(a.first_last_ts, '%Y-%m-%d %H:%M:%S UTC') AS created_at,
+  CAST(a.data_id AS VARCHAR) AS param_data_id
+FROM (SELECT data_id, CAST(sum(n_reviews) AS BIGINT) AS n, max(page_no) AS mp,
+        max(last_ts) FILTER (WHERE page_no = 0) AS first_last_ts FROM pg GROUP BY data_id) a
+JOIN places p ON p.place_key = a.data_id,
+LATERAL (SELECT (p.type <> 'BUILDING' OR a.mp >= 1) AS ok) o""")
+
+ORACLE["review_quarantine"] = with_(REVIEWS, body="""
+SELECT data_id, CAST(count(*) AS BIGINT) AS n_good, CAST(0 AS BIGINT) AS n_quarantined, 'Success' AS status
+FROM reviews GROUP BY data_id""")
+
+ORACLE["no_reviews_places"] = with_(REVIEWS, PLACES, body="""
+SELECT place_key AS data_id, 'no_reviews' AS instant_status, 'failed' AS full_status,
+  'no_reviews' AS full_error
+FROM places p WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.data_id = p.place_key)""")
+
+ORACLE["instant_select"] = with_(REVIEWS, NREVIEWS, body="""
+SELECT data_id, fetch_pos,
+  CAST(row_number() OVER (PARTITION BY data_id ORDER BY minute, fetch_pos) AS BIGINT) AS date_rank, date
+FROM (SELECT * FROM nreviews QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY fetch_pos) <= 20) t""")
+
+ORACLE["full_page_cap"] = with_(REVIEWS, PAGES, body="""
+SELECT data_id, page_no, n_reviews, has_next FROM (
+  SELECT *, coalesce(sum(n_reviews) OVER (PARTITION BY data_id ORDER BY page_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+            coalesce(bool_or(NOT has_next) OVER (PARTITION BY data_id ORDER BY page_no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped
+  FROM pgx) t
+WHERE before < 40 AND NOT stopped""")
+
+ORACLE["chronological_batches"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), body="""
+SELECT data_id, fetch_pos, date_pos, batch_id, batch_pos FROM batched""")
+
+ORACLE["reviews_by_date"] = with_(REVIEWS, NREVIEWS, body="""
+SELECT data_id, fetch_pos, date,
+  CAST(row_number() OVER (PARTITION BY data_id ORDER BY minute ASC, fetch_pos ASC) AS BIGINT) AS rank_asc,
+  CAST(row_number() OVER (PARTITION BY data_id ORDER BY minute DESC, fetch_pos ASC) AS BIGINT) AS rank_desc
+FROM nreviews""")
+
+ORACLE["review_display_split"] = with_(REVIEWS, NREVIEWS, body="""
+SELECT data_id, fetch_pos, CASE WHEN r <= 10 THEN r END AS display_rank, r <= 10 AS shown
+FROM (SELECT data_id, fetch_pos,
+        CAST(row_number() OVER (PARTITION BY data_id ORDER BY minute DESC, fetch_pos ASC) AS BIGINT) AS r
+      FROM nreviews) t""")
+
+ORACLE["place_review_bundle"] = with_(REVIEWS, NREVIEWS, PLACES, body="""
+SELECT p.place_key, p.title, p.address, r.fetch_pos, r."user", r.rating
+FROM places p LEFT JOIN nreviews r ON r.data_id = p.place_key""")
+
+ORACLE["batch_analysis"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), BATCH_STATE, body=f"""
+SELECT data_id, batch_id, n_reviews, {_scores()},
+  {DISPLAY.format('first_ts')} AS first_date, {DISPLAY.format('last_ts')} AS last_date
+FROM batch_state""")
+
+ORACLE["recency_weighted_sentiment"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), BATCH_STATE, body=f"""
+SELECT data_id, n_batches, {_scores()}
+FROM (SELECT data_id, CAST(count(*) AS BIGINT) AS n_batches,
+        CAST(sum(n_rated * (batch_id + 1)) AS BIGINT) AS n_rated,
+        CAST(sum(sum_rating * (batch_id + 1)) AS DOUBLE) AS sum_rating,
+        CAST(sum(n_positive * (batch_id + 1)) AS BIGINT) AS n_positive,
+        CAST(sum(n_neutral * (batch_id + 1)) AS BIGINT) AS n_neutral,
+        CAST(sum(n_negative * (batch_id + 1)) AS BIGINT) AS n_negative
+      FROM batch_state GROUP BY data_id) t""")

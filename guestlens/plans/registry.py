@@ -55,3 +55,110 @@ def sentiment_overview(spark, d):
 def overall_sentiment(spark, d):
     """A1 over every review of every place."""
     return sen.overall_sentiment(_reviews(spark, d))
+
+
+# --- ingest ------------------------------------------------------------------
+
+def _landed_pages(spark, d):
+    """Build page files from the stand-in reviews, land them under the shared
+    checkpoint folder and scan them back (S1)."""
+    from guestlens.session import work_path
+    from guestlens.sources import pages as pg
+    path = work_path(spark, "landed-pages")
+    pg.land_pages(pg.build_pages(st.reviews(spark, d), st.places(spark, d)), path)
+    return pg.scan_pages(spark, path)
+
+
+@query("review_pages_scan")
+def review_pages_scan(spark, d):
+    """Landed page files read with the fixed page schema."""
+    from guestlens.sources.pages import page_summary
+    return page_summary(_landed_pages(spark, d))
+
+
+@query("review_normalize")
+def review_normalize(spark, d):
+    """Pages -> one row per review with defaults and display date."""
+    from guestlens.operators.ingest import normalize_reviews
+    return normalize_reviews(_landed_pages(spark, d)).select(
+        "data_id", "fetch_pos", "page_no", "user", "rating", "date", "review_text", "iso_date")
+
+
+@query("place_header")
+def place_header(spark, d):
+    """First non-empty header blocks per place."""
+    from guestlens.operators.ingest import place_header as ph
+    return ph(_landed_pages(spark, d))
+
+
+@query("review_quarantine")
+def review_quarantine(spark, d):
+    """Per-place Success / Partial / Error with good and quarantined counts."""
+    from guestlens.operators.ingest import normalize_reviews, place_status
+    return place_status(normalize_reviews(_landed_pages(spark, d))).select(
+        "data_id", "n_good", "n_quarantined", "status")
+
+
+@query("no_reviews_places")
+def no_reviews_places(spark, d):
+    """Requested places (every place) that have no reviews."""
+    from guestlens.operators.ingest import no_review_places
+    return no_review_places(st.places(spark, d).select("place_key"),
+                            st.reviews(spark, d), key="place_key")
+
+
+# --- selection / order -------------------------------------------------------
+
+@query("instant_select")
+def instant_select(spark, d):
+    """First 20 reviews per place in fetch order, numbered by date."""
+    return sel.instant_select(_reviews(spark, d)).select("data_id", "fetch_pos", "date_rank", "date")
+
+
+@query("full_page_cap")
+def full_page_cap(spark, d):
+    """Whole pages until 40 reviews are reached (crossing page kept)."""
+    return sel.full_page_cap(sel.page_counts(_reviews(spark, d)), max_reviews=40)
+
+
+@query("chronological_batches")
+def chronological_batches(spark, d):
+    """Batches of 15 in date order."""
+    return sel.chronological_batches(_reviews(spark, d)).select(
+        "data_id", "fetch_pos", "date_pos", "batch_id", "batch_pos")
+
+
+@query("reviews_by_date")
+def reviews_by_date(spark, d):
+    """O1: date ranks in both directions, ties in fetch order."""
+    return sel.reviews_by_date(_reviews(spark, d)).select(
+        "data_id", "fetch_pos", "date", "rank_asc", "rank_desc")
+
+
+@query("review_display_split")
+def review_display_split(spark, d):
+    """First 10 by date descending are shown."""
+    return sel.review_display_split(_reviews(spark, d)).select(
+        "data_id", "fetch_pos", "display_rank", "shown")
+
+
+@query("place_review_bundle")
+def place_review_bundle(spark, d):
+    """Place headers with their reviews (flat)."""
+    h = st.places(spark, d).select("place_key", "title", "address")
+    r = _reviews(spark, d).select("data_id", "fetch_pos", "user", "rating")
+    return sel.place_review_bundle(h, r)
+
+
+# --- batch aggregates --------------------------------------------------------
+
+@query("batch_analysis")
+def batch_analysis(spark, d):
+    """A2: per batch of 15: counts, scores, date range."""
+    return sen.batch_analysis(sel.chronological_batches(_reviews(spark, d)))
+
+
+@query("recency_weighted_sentiment")
+def recency_weighted_sentiment(spark, d):
+    """A4: scores with batch k (oldest = 1) weighted k; batches of 15."""
+    return sen.recency_weighted_sentiment(sel.chronological_batches(_reviews(spark, d)))
