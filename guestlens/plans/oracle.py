@@ -195,3 +195,174 @@ FROM (SELECT data_id, CAST(count(*) AS BIGINT) AS n_batches,
         CAST(sum(n_neutral * (batch_id + 1)) AS BIGINT) AS n_neutral,
         CAST(sum(n_negative * (batch_id + 1)) AS BIGINT) AS n_negative
       FROM batch_state GROUP BY data_id) t""")
+
+
+# --- aspects -----------------------------------------------------------------
+
+def _values(rows, names):
+    def lit(v):
+        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    body = ",".join("(" + ",".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(names)}))"
+
+
+def _aspect_tables():
+    from guestlens.operators.aspects import ASPECTS, PLAYBOOK
+    rows = [(a, i, name, PLAYBOOK[a][0], PLAYBOOK[a][1]) for i, (a, name) in enumerate(ASPECTS)]
+    return "aspect_info AS " + _values(rows, ["aspect", "ord", "category", "template", "impact"])
+
+
+MENTIONS = r"""sents AS (
+  SELECT data_id, fetch_pos, rating, ts, {extra} unnest(ss) AS sentence, unnest(range(0, len(ss))) AS sent_no
+  FROM (SELECT *, list_filter(list_transform(string_split_regex(lower(coalesce(review_text, '')), '[.!?\n]+'),
+                                             lambda x: trim(x)), lambda x: x <> '') AS ss FROM {src}) s0),
+wrds AS (
+  SELECT data_id, fetch_pos, sent_no, unnest(list_filter(regexp_split_to_array(sentence, '[^\p{{L}}\p{{N}}'']+'),
+                                               lambda x: x <> '')) AS w FROM sents),
+sent_pol AS (
+  SELECT w0.data_id, w0.fetch_pos, w0.sent_no, coalesce(sum(p.polarity), 0) AS pol,
+    string_agg(DISTINCT w0.w, ' ' ORDER BY w0.w) FILTER (WHERE p.term IS NOT NULL) AS mods
+  FROM wrds w0 LEFT JOIN polarity p ON p.term = w0.w GROUP BY w0.data_id, w0.fetch_pos, w0.sent_no),
+sent_terms AS (
+  SELECT DISTINCT w0.data_id, w0.fetch_pos, w0.sent_no, w0.w AS term, l.aspect
+  FROM wrds w0 JOIN lexicon l ON l.term = w0.w),
+mentions AS (
+  SELECT s.data_id, s.fetch_pos, s.rating, s.ts, {extra_s} t.sent_no, t.term, t.aspect,
+    CAST(sign(sp.pol) AS INTEGER) AS pol,
+    CASE WHEN sp.pol > 0 THEN 'praise' WHEN sp.pol < 0 THEN 'criticism' ELSE 'neutral' END AS polarity,
+    trim(concat_ws(' ', coalesce(sp.mods, ''), t.term)) AS phrase
+  FROM sent_terms t JOIN sent_pol sp USING (data_id, fetch_pos, sent_no)
+  JOIN (SELECT DISTINCT data_id, fetch_pos, rating, ts {extra_c} FROM sents) s USING (data_id, fetch_pos))"""
+
+
+def mentions_cte(src="nreviews", extra=()):
+    return MENTIONS.format(src=src, extra="".join(f"{e}, " for e in extra),
+                           extra_s="".join(f"s.{e}, " for e in extra),
+                           extra_c="".join(f", {e}" for e in extra))
+
+
+BASE_M = (REVIEWS, NREVIEWS, LEXICON, POLARITY)
+
+ORACLE["aspect_feedback"] = with_(*BASE_M, mentions_cte(), body="""
+SELECT c.data_id, c.aspect, c.polarity, c.n_reviews, c.n_mentions, t.top_phrases
+FROM (SELECT data_id, aspect, polarity, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews,
+        CAST(count(*) AS BIGINT) AS n_mentions FROM mentions GROUP BY ALL) c
+JOIN (SELECT data_id, aspect, polarity, string_agg(phrase, '; ' ORDER BY r) AS top_phrases FROM (
+        SELECT *, row_number() OVER (PARTITION BY data_id, aspect, polarity ORDER BY n DESC, phrase) AS r
+        FROM (SELECT data_id, aspect, polarity, phrase, count(DISTINCT fetch_pos) AS n
+              FROM mentions GROUP BY ALL) p0) p1
+      WHERE r <= 3 GROUP BY ALL) t USING (data_id, aspect, polarity)""")
+
+ORACLE["recurring_themes"] = with_(*BASE_M, mentions_cte(), body="""
+SELECT data_id, aspect, term, polarity, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews
+FROM mentions GROUP BY ALL HAVING count(DISTINCT fetch_pos) >= 2""")
+
+ORACLE["persistent_themes"] = with_(*BASE_M, BATCHED.format(bs=5), mentions_cte("batched", ["batch_id"]), body="""
+SELECT t.data_id, aspect, term, polarity, n_batches, first_batch, last_batch,
+  round(CAST(n_batches AS DOUBLE) / nb, 3) AS share,
+  (n_batches >= 2 AND CAST(n_batches AS DOUBLE) >= 0.5 * nb) AS persistent,
+  (last_batch = nb - 1) AS recent
+FROM (SELECT data_id, aspect, term, polarity, CAST(count(DISTINCT batch_id) AS BIGINT) AS n_batches,
+        min(batch_id) AS first_batch, max(batch_id) AS last_batch FROM mentions GROUP BY ALL) t
+JOIN (SELECT data_id, CAST(max(batch_id) + 1 AS BIGINT) AS nb FROM batched GROUP BY data_id) b
+  ON b.data_id = t.data_id""")
+
+ORACLE["improvement_priorities"] = with_(*BASE_M, mentions_cte(), _aspect_tables(), body="""
+SELECT a.data_id, a.priority, i.category, a.issue, replace(i.template, '%s', a.issue) AS suggestion,
+  i.impact AS potential_impact, a.score, a.n_reviews
+FROM (SELECT s.*, iss.issue,
+        CAST(row_number() OVER (PARTITION BY s.data_id ORDER BY s.score DESC, ai.ord) AS BIGINT) AS priority
+      FROM (SELECT data_id, aspect, CAST(count(*) AS BIGINT) AS n_reviews,
+              CAST(sum(CASE WHEN rating > 0 THEN 5 - rating ELSE 0 END) AS DOUBLE) AS score
+            FROM (SELECT DISTINCT data_id, fetch_pos, rating, aspect FROM mentions WHERE pol < 0) d
+            GROUP BY ALL) s
+      JOIN aspect_info ai ON ai.aspect = s.aspect
+      JOIN (SELECT data_id, aspect, first(phrase ORDER BY n DESC, phrase) AS issue
+            FROM (SELECT data_id, aspect, phrase, count(DISTINCT fetch_pos) AS n
+                  FROM mentions WHERE pol < 0 GROUP BY ALL) q GROUP BY ALL) iss
+        ON iss.data_id = s.data_id AND iss.aspect = s.aspect) a
+JOIN aspect_info i ON i.aspect = a.aspect
+WHERE a.priority <= 5""")
+
+ORACLE["aspect_suggestions"] = with_(*BASE_M, mentions_cte(), _aspect_tables(), body="""
+SELECT c.data_id, c.aspect, c.rank, c.term, c.n_reviews, replace(i.template, '%s', c.term) AS suggestion
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY data_id, aspect ORDER BY n_reviews DESC, term) AS BIGINT) AS rank
+      FROM (SELECT data_id, aspect, term, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews
+            FROM mentions WHERE pol < 0 GROUP BY ALL) c0) c
+JOIN aspect_info i ON i.aspect = c.aspect
+WHERE c.rank <= 3""")
+
+
+def _verdict_sql(p, c, none_text, pos, neg, mixed):
+    det = (f"concat(' (', CAST(coalesce({p},0) AS VARCHAR), ' praising / ', "
+           f"CAST(coalesce({c},0) AS VARCHAR), ' criticising reviews)')")
+    return (f"CASE WHEN coalesce({p},0) + coalesce({c},0) = 0 THEN '{none_text}' "
+            f"WHEN coalesce({p},0) > coalesce({c},0) THEN concat('{pos}', {det}) "
+            f"WHEN coalesce({p},0) < coalesce({c},0) THEN concat('{neg}', {det}) "
+            f"ELSE concat('{mixed}', {det}) END")
+
+
+ORACLE["analysis_summary"] = with_(*BASE_M, mentions_cte(), PLACES, _aspect_tables(), """fb AS (
+  SELECT data_id, aspect, polarity, count(DISTINCT fetch_pos) AS n FROM mentions GROUP BY ALL)""", f"""sen AS (
+  SELECT data_id, n_reviews, {_scores()} FROM (SELECT data_id, {STATE_AGGS} FROM nreviews GROUP BY data_id) t)""",
+                                   """per AS (
+  SELECT fb.data_id,
+    first(fb.aspect ORDER BY fb.n DESC, ai.ord) FILTER (WHERE polarity = 'praise') AS best,
+    first(fb.aspect ORDER BY fb.n DESC, ai.ord) FILTER (WHERE polarity = 'criticism') AS worst,
+    sum(n) FILTER (WHERE fb.aspect = 'food_and_dining' AND polarity = 'praise') AS fp,
+    sum(n) FILTER (WHERE fb.aspect = 'food_and_dining' AND polarity = 'criticism') AS fc,
+    sum(n) FILTER (WHERE fb.aspect = 'value_for_money' AND polarity = 'praise') AS vp,
+    sum(n) FILTER (WHERE fb.aspect = 'value_for_money' AND polarity = 'criticism') AS vc
+  FROM fb JOIN aspect_info ai ON ai.aspect = fb.aspect GROUP BY fb.data_id)""",
+                                   r"""bf AS (
+  SELECT data_id, count(*) AS nb FROM nreviews
+  WHERE list_contains(regexp_split_to_array(lower(review_text), '[^\p{L}\p{N}'']+'), 'breakfast')
+  GROUP BY data_id)""", body=f"""
+SELECT s.data_id, coalesce(p.title, '') AS hotel_name,
+  concat(coalesce(p.title, 'This place'), ': ', CAST(s.n_reviews AS VARCHAR), ' reviews, average score ',
+    coalesce(CAST(s.average_score AS VARCHAR), 'n/a'), '/5 (',
+    coalesce(CAST(s.positive_percentage AS VARCHAR), 'n/a'), '% positive, ',
+    coalesce(CAST(s.negative_percentage AS VARCHAR), 'n/a'), '% negative). Most praised: ',
+    coalesce(b.category, 'none'), '. Most criticised: ', coalesce(w.category, 'none'), '.') AS summary,
+  {_verdict_sql('per.fp', 'per.fc', 'No dining feedback', 'Mostly positive', 'Mostly negative', 'Mixed')} AS restaurant_quality,
+  CASE WHEN coalesce(bf.nb, 0) = 0 THEN 'No breakfast feedback'
+       ELSE concat('Breakfast mentioned in ', CAST(bf.nb AS VARCHAR), ' reviews') END AS breakfast_feedback,
+  {_verdict_sql('per.vp', 'per.vc', 'No value feedback', 'Good value', 'Poor value', 'Mixed value')} AS perceived_value,
+  s.average_score, s.positive_percentage, s.neutral_percentage, s.negative_percentage
+FROM sen s LEFT JOIN per ON per.data_id = s.data_id LEFT JOIN bf ON bf.data_id = s.data_id
+LEFT JOIN places p ON p.place_key = s.data_id
+LEFT JOIN aspect_info b ON b.aspect = per.best LEFT JOIN aspect_info w ON w.aspect = per.worst""")
+
+
+# --- combine / trend -----------------------------------------------------------
+
+def _spans(f1, n=19):
+    return "[" + ",".join(str(f1 * 10 ** j) for j in range(n)) + "]"
+
+
+ORACLE["tree_combine"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, f"""lv AS (
+  SELECT b.*, n.levels, unnest(generate_series(1, n.levels)) AS level
+  FROM batch_state b JOIN (
+    SELECT data_id, CASE WHEN count(*) > 1 THEN 1 + len(list_filter({_spans(2, 18)}, lambda s: count(*) > s)) ELSE 0 END AS levels
+    FROM batch_state GROUP BY data_id) n USING (data_id)
+  WHERE n.levels > 0)""", f"""nodes AS (
+  SELECT *, CAST(floor(batch_id / list_extract({_spans(2)}, CAST(level AS INTEGER))) AS BIGINT) AS node,
+    CAST(floor(batch_id / CASE WHEN level = 1 THEN 1 ELSE list_extract({_spans(2)}, CAST(level - 1 AS INTEGER)) END) AS BIGINT) AS child
+  FROM lv)""", body=f"""
+SELECT data_id, CAST(level AS BIGINT) AS level, node, n_children, n_batches, n_reviews, {_scores()},
+  {DISPLAY.format('first_ts')} AS first_date, {DISPLAY.format('last_ts')} AS last_date,
+  level = levels AS is_root, n_children > 1 AS combined
+FROM (SELECT data_id, level, node, max(levels) AS levels, CAST(count(DISTINCT child) AS BIGINT) AS n_children,
+        CAST(count(*) AS BIGINT) AS n_batches, CAST(sum(n_reviews) AS BIGINT) AS n_reviews,
+        CAST(sum(n_rated) AS BIGINT) AS n_rated, CAST(sum(sum_rating) AS DOUBLE) AS sum_rating,
+        CAST(sum(n_positive) AS BIGINT) AS n_positive, CAST(sum(n_neutral) AS BIGINT) AS n_neutral,
+        CAST(sum(n_negative) AS BIGINT) AS n_negative, min(first_ts) AS first_ts, max(last_ts) AS last_ts
+      FROM nodes GROUP BY data_id, level, node) g""")
+
+ORACLE["period_trend"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, """cur AS (
+  SELECT data_id, batch_id, CASE WHEN n_rated > 0 THEN sum_rating / n_rated END AS a FROM batch_state)""", body="""
+SELECT c.data_id, c.batch_id, round(c.a, 2) AS average_score, round(p.a, 2) AS previous_score,
+  round(c.a - p.a, 2) AS delta,
+  CASE WHEN p.data_id IS NULL THEN 'first' WHEN c.a - p.a >= 0.5 THEN 'improving'
+       WHEN c.a - p.a <= -0.5 THEN 'declining' ELSE 'stable' END AS trend
+FROM cur c LEFT JOIN cur p ON p.data_id = c.data_id AND p.batch_id = c.batch_id - 1""")

@@ -162,3 +162,78 @@ def batch_analysis(spark, d):
 def recency_weighted_sentiment(spark, d):
     """A4: scores with batch k (oldest = 1) weighted k; batches of 15."""
     return sen.recency_weighted_sentiment(sel.chronological_batches(_reviews(spark, d)))
+
+
+# --- aspects, themes, priorities ---------------------------------------------
+
+def _mentions(spark, d, reviews=None, extra=()):
+    from guestlens.operators.aspects import mentions
+    r = reviews if reviews is not None else _reviews(spark, d)
+    return mentions(r, st.TEST_LEXICON, st.TEST_POLARITY, extra=extra)
+
+
+@query("aspect_feedback")
+def aspect_feedback(spark, d):
+    """A5: praise / criticism / neutral support per place and aspect."""
+    from guestlens.operators.aspects import aspect_feedback as af
+    return af(_mentions(spark, d))
+
+
+@query("recurring_themes")
+def recurring_themes(spark, d):
+    """Themes with >= 2 supporting reviews."""
+    from guestlens.operators.aspects import recurring_themes as rt
+    return rt(_mentions(spark, d))
+
+
+def _mentions_batched(spark, d, batch_size):
+    b = sel.chronological_batches(_reviews(spark, d), batch_size)
+    nb = b.groupBy("data_id").agg((F.max("batch_id") + 1).cast("long").alias("n_place_batches"))
+    return _mentions(spark, d, reviews=b, extra=["batch_id"]).join(nb, "data_id")
+
+
+@query("persistent_themes")
+def persistent_themes(spark, d):
+    """Themes across batches of 5 (persistent: >= 2 batches and >= 50 %)."""
+    from guestlens.operators.aspects import persistent_themes as pt
+    return pt(_mentions_batched(spark, d, 5))
+
+
+@query("improvement_priorities")
+def improvement_priorities(spark, d):
+    """Top 5 aspects per place by criticism x rating shortfall."""
+    from guestlens.operators.aspects import improvement_priorities as ip
+    return ip(_mentions(spark, d))
+
+
+@query("aspect_suggestions")
+def aspect_suggestions(spark, d):
+    """Top 3 criticised terms per place and aspect with a suggestion."""
+    from guestlens.operators.aspects import aspect_suggestions as asg
+    return asg(_mentions(spark, d))
+
+
+@query("analysis_summary")
+def analysis_summary(spark, d):
+    """A10: summary and verdict strings per place."""
+    from guestlens.operators.aspects import aspect_feedback as af
+    from guestlens.operators.aspects import analysis_summary as summ
+    r = _reviews(spark, d)
+    m = _mentions(spark, d, reviews=r)
+    return summ(st.places(spark, d), sen.overall_sentiment(r), af(m), r, key="place_key")
+
+
+# --- combine / trend -----------------------------------------------------------
+
+@query("tree_combine")
+def tree_combine(spark, d):
+    """A3: batches of 5, fan-in 2 then 10: every combine node."""
+    from guestlens.operators.combine import fan_in_for, tree_combine as tc
+    return tc(sen.batch_state(sel.chronological_batches(_reviews(spark, d), 5)), fan_in_for(5))
+
+
+@query("period_trend")
+def period_trend(spark, d):
+    """Batch-to-batch score change over batches of 5."""
+    from guestlens.operators.combine import period_trend as pt
+    return pt(sen.batch_state(sel.chronological_batches(_reviews(spark, d), 5)))
