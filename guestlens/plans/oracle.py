@@ -366,3 +366,58 @@ SELECT c.data_id, c.batch_id, round(c.a, 2) AS average_score, round(p.a, 2) AS p
   CASE WHEN p.data_id IS NULL THEN 'first' WHEN c.a - p.a >= 0.5 THEN 'improving'
        WHEN c.a - p.a <= -0.5 THEN 'declining' ELSE 'stable' END AS trend
 FROM cur c LEFT JOIN cur p ON p.data_id = c.data_id AND p.batch_id = c.batch_id - 1""")
+
+
+# --- store, cache, status, search ------------------------------------------------
+
+TS_TEXT = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+LAST_WRITE = """stored AS (
+  SELECT * FROM store_writes
+  QUALIFY row_number() OVER (PARTITION BY data_id, type ORDER BY written_at DESC, seq DESC) = 1)"""
+
+ORACLE["analysis_upsert"] = with_(STORE_WRITES, LAST_WRITE, body=f"""
+SELECT data_id, type, analysis, {TS_TEXT.format('written_at')} AS written_at, seq FROM stored""")
+
+ORACLE["analysis_lookup"] = with_(STORE_WRITES, LAST_WRITE, PLACES, body=f"""
+SELECT r.data_id, r.type AS requested_type, s.type, CASE WHEN s.type = 'instant' THEN 0 ELSE 1 END AS type_order,
+  s.analysis, {TS_TEXT.format('s.written_at')} AS written_at
+FROM (SELECT data_id, CASE place_key % 3 WHEN 0 THEN 'instant' WHEN 1 THEN 'full' END AS type
+      FROM places WHERE data_id IS NOT NULL) r
+JOIN stored s ON s.data_id = r.data_id AND (r.type IS NULL OR r.type = s.type)""")
+
+ORACLE["stored_union"] = ORACLE["analysis_upsert"]
+
+LATEST_STATUS = """latest AS (
+  SELECT token, status, created_at, error FROM status_events
+  QUALIFY row_number() OVER (PARTITION BY token ORDER BY created_at DESC, seq DESC) = 1)"""
+
+ORACLE["cache_split"] = with_(STORE_WRITES, LAST_WRITE, PLACES, STATUS_EVENTS, LATEST_STATUS, body="""
+SELECT r.data_id, r.type,
+  CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.data_id = r.data_id AND s.type = r.type) THEN 'hit'
+       WHEN r.type = 'full' AND EXISTS (SELECT 1 FROM latest l WHERE l.token = r.data_id AND l.status = 'in_progress')
+         THEN 'running'
+       ELSE 'miss' END AS decision
+FROM (SELECT data_id, unnest(['instant', 'full']) AS type FROM places WHERE data_id IS NOT NULL) r""")
+
+ORACLE["job_status_latest"] = with_(STATUS_EVENTS, LATEST_STATUS, body=f"""
+SELECT token, status, {TS_TEXT.format('created_at')} AS created_at, error,
+  CASE status WHEN 'completed' THEN 'data' WHEN 'in_progress' THEN 'in_progress' ELSE 'failed' END AS reply,
+  CASE WHEN status = 'failed' THEN coalesce(error, 'unknown error') END AS reply_error
+FROM latest""")
+
+ORACLE["status_ttl_expire"] = with_(STATUS_EVENTS, LATEST_STATUS, body=f"""
+SELECT token, status, {TS_TEXT.format('created_at')} AS created_at FROM latest
+WHERE created_at >= (SELECT max(created_at) FROM status_events) - INTERVAL 24 HOURS""")
+
+ORACLE["place_search"] = with_(PLACES, SEARCH_QUERIES, """cand AS (
+  SELECT q.query_id, p.data_id, p.title, p.type, p.address, p.latitude, p.longitude,
+    CASE WHEN starts_with(lower(p.title), lower(q.q)) THEN 'prefix' ELSE 'contains' END AS match,
+    round(2 * 6371.0 * asin(sqrt(pow(sin(radians(p.latitude - coalesce(q.latitude, 9.9185)) / 2), 2)
+      + cos(radians(coalesce(q.latitude, 9.9185))) * cos(radians(p.latitude))
+      * pow(sin(radians(p.longitude - coalesce(q.longitude, 76.2558)) / 2), 2))), 3) AS distance_km
+  FROM search_queries q JOIN places p ON contains(lower(p.title), lower(q.q))
+  WHERE length(q.q) > 2 AND p.data_id IS NOT NULL)""", body="""
+SELECT query_id, rank, data_id, title AS value, type, address AS subtext, latitude, longitude, match, distance_km
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+        ORDER BY CASE WHEN match = 'prefix' THEN 0 ELSE 1 END, distance_km, data_id) AS BIGINT) AS rank FROM cand) t
+WHERE rank <= 5""")

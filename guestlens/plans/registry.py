@@ -237,3 +237,84 @@ def period_trend(spark, d):
     """Batch-to-batch score change over batches of 5."""
     from guestlens.operators.combine import period_trend as pt
     return pt(sen.batch_state(sel.chronological_batches(_reviews(spark, d), 5)))
+
+
+# --- store, cache, status, search ------------------------------------------------
+
+def _ts_text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def _stored(spark, d):
+    """Upsert the whole write log into a fresh store, write it as a version and
+    read the latest version back (S2 end to end)."""
+    from guestlens.session import work_path
+    from guestlens.sources import store as so
+    root = work_path(spark, "store")
+    so.write_version(so.upsert(None, st.store_writes(spark, d)), root)
+    return so.read_latest(spark, root)
+
+
+@query("analysis_upsert")
+def analysis_upsert(spark, d):
+    """Last write per (data_id, type) after upserting every write."""
+    s = _stored(spark, d)
+    return s.select("data_id", "type", "analysis", _ts_text("written_at").alias("written_at"), "seq")
+
+
+def _lookup_requests(spark, d):
+    p = st.places(spark, d).filter(F.col("data_id").isNotNull())
+    k = F.col("place_key") % 3
+    return p.select("data_id", F.when(k == 0, "instant").when(k == 1, "full").alias("type"))
+
+
+@query("analysis_lookup")
+def analysis_lookup(spark, d):
+    """S3: stored reports per request; NULL type -> both, instant first."""
+    from guestlens.sources.store import lookup
+    out = lookup(_stored(spark, d), _lookup_requests(spark, d))
+    return out.withColumn("written_at", _ts_text("written_at"))
+
+
+@query("stored_union")
+def stored_union(spark, d):
+    """Instant and full stores as one tagged list."""
+    from guestlens.sources.store import last_write, stored_union as su
+    w = st.store_writes(spark, d)
+    one = lambda t: last_write(w.filter(F.col("type") == t).drop("type"), keys=("data_id",))
+    return su(one("instant"), one("full")).select(
+        "data_id", "type", "analysis", _ts_text("written_at").alias("written_at"), "seq")
+
+
+@query("cache_split")
+def cache_split(spark, d):
+    """Every place x {instant, full}: hit / running / miss."""
+    from guestlens.operators.cache import cache_decisions
+    from guestlens.operators.status import latest_status
+    req = (st.places(spark, d).filter(F.col("data_id").isNotNull())
+           .select("data_id", F.explode(F.array(F.lit("instant"), F.lit("full"))).alias("type")))
+    return cache_decisions(req, _stored(spark, d), latest_status(st.status_events(spark, d)))
+
+
+@query("job_status_latest")
+def job_status_latest(spark, d):
+    """Latest status per token and its reply."""
+    from guestlens.operators.status import latest_status, status_reply
+    r = status_reply(latest_status(st.status_events(spark, d)))
+    return r.withColumn("created_at", _ts_text("created_at"))
+
+
+@query("status_ttl_expire")
+def status_ttl_expire(spark, d):
+    """T4: statuses no older than 24 h at as_of = newest status time."""
+    from guestlens.operators.status import expire, latest_status, latest_time
+    ev = st.status_events(spark, d)
+    out = expire(latest_status(ev), latest_time(ev))
+    return out.select("token", "status", _ts_text("created_at").alias("created_at"))
+
+
+@query("place_search")
+def place_search(spark, d):
+    """Top 5 places per search query."""
+    from guestlens.operators.search import place_search as ps
+    return ps(st.search_queries(spark, d), st.places(spark, d))
