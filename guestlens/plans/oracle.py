@@ -340,15 +340,18 @@ def _spans(f1, n=19):
     return "[" + ",".join(str(f1 * 10 ** j) for j in range(n)) + "]"
 
 
-ORACLE["tree_combine"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, f"""lv AS (
+def tree_cte(f1):
+    return f"""lv AS (
   SELECT b.*, n.levels, unnest(generate_series(1, n.levels)) AS level
   FROM batch_state b JOIN (
-    SELECT data_id, CASE WHEN count(*) > 1 THEN 1 + len(list_filter({_spans(2, 18)}, lambda s: count(*) > s)) ELSE 0 END AS levels
+    SELECT data_id, CASE WHEN count(*) > 1 THEN 1 + len(list_filter({_spans(f1, 18)}, lambda s: count(*) > s)) ELSE 0 END AS levels
     FROM batch_state GROUP BY data_id) n USING (data_id)
-  WHERE n.levels > 0)""", f"""nodes AS (
-  SELECT *, CAST(floor(batch_id / list_extract({_spans(2)}, CAST(level AS INTEGER))) AS BIGINT) AS node,
-    CAST(floor(batch_id / CASE WHEN level = 1 THEN 1 ELSE list_extract({_spans(2)}, CAST(level - 1 AS INTEGER)) END) AS BIGINT) AS child
-  FROM lv)""", body=f"""
+  WHERE n.levels > 0),
+nodes AS (
+  SELECT *, CAST(floor(batch_id / list_extract({_spans(f1)}, CAST(level AS INTEGER))) AS BIGINT) AS node,
+    CAST(floor(batch_id / CASE WHEN level = 1 THEN 1 ELSE list_extract({_spans(f1)}, CAST(level - 1 AS INTEGER)) END) AS BIGINT) AS child
+  FROM lv),
+tree AS (
 SELECT data_id, CAST(level AS BIGINT) AS level, node, n_children, n_batches, n_reviews, {_scores()},
   {DISPLAY.format('first_ts')} AS first_date, {DISPLAY.format('last_ts')} AS last_date,
   level = levels AS is_root, n_children > 1 AS combined
@@ -357,7 +360,11 @@ FROM (SELECT data_id, level, node, max(levels) AS levels, CAST(count(DISTINCT ch
         CAST(sum(n_rated) AS BIGINT) AS n_rated, CAST(sum(sum_rating) AS DOUBLE) AS sum_rating,
         CAST(sum(n_positive) AS BIGINT) AS n_positive, CAST(sum(n_neutral) AS BIGINT) AS n_neutral,
         CAST(sum(n_negative) AS BIGINT) AS n_negative, min(first_ts) AS first_ts, max(last_ts) AS last_ts
-      FROM nodes GROUP BY data_id, level, node) g""")
+      FROM nodes GROUP BY data_id, level, node) g)"""
+
+
+ORACLE["tree_combine"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, tree_cte(2),
+                               body="SELECT * FROM tree")
 
 ORACLE["period_trend"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, """cur AS (
   SELECT data_id, batch_id, CASE WHEN n_rated > 0 THEN sum_rating / n_rated END AS a FROM batch_state)""", body="""
@@ -421,3 +428,94 @@ SELECT query_id, rank, data_id, title AS value, type, address AS subtext, latitu
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
         ORDER BY CASE WHEN match = 'prefix' THEN 0 ELSE 1 END, distance_km, data_id) AS BIGINT) AS rank FROM cand) t
 WHERE rank <= 5""")
+
+
+# --- model-call path, report -------------------------------------------------------
+
+def _sq(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+HEADER = """hdr AS (
+  SELECT p.place_key AS data_id, p.title, p.address, p.rating, c.total_reviews
+  FROM places p JOIN (SELECT data_id, CAST(count(*) AS BIGINT) AS total_reviews FROM reviews GROUP BY data_id) c
+    ON c.data_id = p.place_key),
+as_of_day AS (SELECT strftime(max(ts), '%Y-%m-%d') AS d FROM events)"""
+
+
+def _system_sql(template):
+    return (f"printf({_sq(template)}, h.title, h.address, CAST(h.rating AS VARCHAR), h.total_reviews, "
+            f"(SELECT d FROM as_of_day))")
+
+
+def _l1():
+    from guestlens.operators.model_calls import SYSTEM_TEMPLATE
+    return with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), PLACES, HEADER, body=f"""
+SELECT b.data_id, b.batch_id, b.n_reviews, {_system_sql(SYSTEM_TEMPLATE)} AS system_prompt, b.user_prompt
+FROM (SELECT data_id, batch_id, CAST(count(*) AS BIGINT) AS n_reviews,
+        concat('Reviews:', chr(10), string_agg(concat('- ', "user", ' gave a rating of ''', CAST(rating AS VARCHAR),
+          '/5'' on ''', date, ''' with comment ', review_text), chr(10) ORDER BY date_pos)) AS user_prompt
+      FROM batched GROUP BY data_id, batch_id) b
+LEFT JOIN hdr h ON h.data_id = b.data_id""")
+
+
+def _report_text_sql():
+    parts = []
+    for i, c in enumerate(["average_score", "positive_percentage", "neutral_percentage",
+                           "negative_percentage", "n_reviews"]):
+        label = "reviews" if c == "n_reviews" else c
+        parts.append(("" if i == 0 else "chr(10), ") + f"'{label}: ', coalesce(CAST({c} AS VARCHAR), 'null')")
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def _l2():
+    from guestlens.operators.model_calls import COMBINE_TEMPLATE
+    return with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, tree_cte(2), PLACES, HEADER, f"""allnodes AS (
+  SELECT data_id, CAST(0 AS BIGINT) AS level, batch_id AS node, CAST(1 AS BIGINT) AS n_children, n_reviews,
+    {_scores()}, {DISPLAY.format('first_ts')} AS first_date, {DISPLAY.format('last_ts')} AS last_date
+  FROM batch_state
+  UNION ALL
+  SELECT data_id, level, node, n_children, n_reviews, average_score, positive_percentage, neutral_percentage,
+    negative_percentage, first_date, last_date FROM tree)""", """child AS (
+  SELECT data_id, level + 1 AS p_level,
+    CAST(floor(node / CASE WHEN level = 0 THEN 2 ELSE 10 END) AS BIGINT) AS p_node, node AS c_node,
+    concat('[', first_date, ' to ', last_date, ']', chr(10), """ + _report_text_sql() + """) AS block
+  FROM allnodes)""", body=f"""
+SELECT g.data_id, g.level, g.node, g.n_children, {_system_sql(COMBINE_TEMPLATE)} AS system_prompt, g.user_prompt
+FROM (SELECT p.data_id, p.level, p.node, p.n_children,
+        string_agg(c.block, concat(chr(10), '---', chr(10), chr(10)) ORDER BY c.c_node) AS user_prompt
+      FROM allnodes p JOIN child c ON c.data_id = p.data_id AND c.p_level = p.level AND c.p_node = p.node
+      WHERE p.level >= 1 AND p.n_children > 1
+      GROUP BY p.data_id, p.level, p.node, p.n_children) g
+LEFT JOIN hdr h ON h.data_id = g.data_id""")
+
+
+ORACLE["analysis_requests"] = _l1()
+ORACLE["combine_requests"] = _l2()
+
+BATCH_SCORES = f"""bscores AS (SELECT data_id, batch_id, {_scores()} FROM batch_state)"""
+
+ORACLE["batch_analyzer_map"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), BATCH_STATE, BATCH_SCORES, body="""
+SELECT data_id, batch_id, average_score, positive_percentage, neutral_percentage, negative_percentage FROM bscores""")
+
+ORACLE["response_validate"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), BATCH_STATE, BATCH_SCORES, body="""
+SELECT data_id, batch_id, reason IS NULL AS valid, reason FROM (
+  SELECT data_id, batch_id,
+    CASE WHEN average_score < 1 OR average_score > 5 THEN 'average_score out of range'
+         WHEN abs(positive_percentage + neutral_percentage + negative_percentage - 100) > 0.2
+           THEN 'percentages do not sum to 100' END AS reason
+  FROM bscores) t""")
+
+SEL20 = """sel20 AS (
+  SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY minute DESC, fetch_pos ASC) AS rank_desc
+  FROM nreviews QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY fetch_pos) <= 20)"""
+
+ORACLE["report_export"] = with_(REVIEWS, NREVIEWS, SEL20, LEXICON, POLARITY, mentions_cte("sel20"), PLACES, body=f"""
+SELECT s.data_id, p.title, s.n_reviews, s.newest_date, s.oldest_date, {_scores()},
+  CAST(least(5, coalesce(c.n, 0)) AS BIGINT) AS n_priorities
+FROM (SELECT data_id, {STATE_AGGS},
+        arg_min(date, rank_desc) AS newest_date, arg_max(date, rank_desc) AS oldest_date
+      FROM sel20 GROUP BY data_id) s
+JOIN places p ON p.place_key = s.data_id
+LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) c
+  ON c.data_id = s.data_id""")

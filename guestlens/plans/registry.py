@@ -318,3 +318,102 @@ def place_search(spark, d):
     """Top 5 places per search query."""
     from guestlens.operators.search import place_search as ps
     return ps(st.search_queries(spark, d), st.places(spark, d))
+
+
+# --- model-call path, report -------------------------------------------------------
+
+def _header(spark, d):
+    """Place header for requests: title, address, rating, total_reviews."""
+    counts = st.reviews(spark, d).groupBy("data_id").agg(F.count(F.lit(1)).cast("long").alias("total_reviews"))
+    p = st.places(spark, d)
+    return (p.join(counts, p.place_key == counts.data_id)
+            .select(counts.data_id, "title", "address", "rating", "total_reviews", "type"))
+
+
+def _as_of(spark, d):
+    from guestlens.operators.status import latest_time
+    from guestlens.sources.tables import table
+    return latest_time(table(spark, d, "events"), "ts").strftime("%Y-%m-%d")
+
+
+@query("analysis_requests")
+def analysis_requests(spark, d):
+    """L1: one model request per batch of 15."""
+    from guestlens.operators.model_calls import analysis_requests as ar
+    b = sel.chronological_batches(_reviews(spark, d))
+    return ar(b, _header(spark, d), _as_of(spark, d))
+
+
+def _nodes(spark, d, batch_size):
+    from guestlens.functions.dates import display_date
+    from guestlens.operators.combine import fan_in_for, tree_combine
+    bs = sen.batch_state(sel.chronological_batches(_reviews(spark, d), batch_size))
+    leaves = sen.scores(bs).select(
+        "data_id", F.lit(0).cast("long").alias("level"), F.col("batch_id").alias("node"),
+        F.lit(1).cast("long").alias("n_children"), "n_reviews", *sen.SCORE_COLUMNS,
+        display_date("first_ts").alias("first_date"), display_date("last_ts").alias("last_date"))
+    tree = tree_combine(bs, fan_in_for(batch_size)).select(*leaves.columns)
+    return leaves.unionByName(tree)
+
+
+@query("combine_requests")
+def combine_requests(spark, d):
+    """L2: one request per combine node (batches of 5, fan-in 2 then 10)."""
+    from guestlens.operators.combine import fan_in_for
+    from guestlens.operators.model_calls import combine_requests as cr
+    return cr(_nodes(spark, d, 5), _header(spark, d), fan_in_for(5), _as_of(spark, d))
+
+
+def _responses(spark, d):
+    from guestlens.operators.model_calls import analysis_requests as ar
+    from guestlens.operators.model_calls import rating_analyzer, run_analyzer
+    b = sel.chronological_batches(_reviews(spark, d))
+    return run_analyzer(ar(b, _header(spark, d), _as_of(spark, d)), rating_analyzer)
+
+
+@query("batch_analyzer_map")
+def batch_analyzer_map(spark, d):
+    """L4: the deterministic analyzer over every batch request (mapInPandas)."""
+    from guestlens.operators.model_calls import validate_responses
+    v = validate_responses(_responses(spark, d))
+    return v.select("data_id", "batch_id", *[F.col("report.overall_sentiment." + c).alias(c)
+                                             for c in sen.SCORE_COLUMNS])
+
+
+@query("response_validate")
+def response_validate(spark, d):
+    """L3: schema and range checks of every reply."""
+    from guestlens.operators.model_calls import validate_responses
+    return validate_responses(_responses(spark, d)).select("data_id", "batch_id", "valid", "reason")
+
+
+def _instant_results(spark, d):
+    from guestlens.plans.instant import instant_analysis
+    h = _header(spark, d).select("data_id", "type", "title", "rating", "address",
+                                 F.lit("Success").alias("status"), "total_reviews",
+                                 F.lit("").alias("created_at"))
+    return instant_analysis(_reviews(spark, d), h, st.TEST_LEXICON, st.TEST_POLARITY)
+
+
+@query("report_export")
+def report_export(spark, d):
+    """Instant results exported as JSON and read back; scalar checks."""
+    from guestlens.operators.report import export_reports
+    from guestlens.session import work_path
+    res = _instant_results(spark, d)
+    path = export_reports(res, work_path(spark, "reports"))
+    back = spark.read.schema(res.schema).json(path)
+    a = F.col("hotel_analysis")
+    return back.select(
+        "data_id", "title", F.size("reviews").cast("long").alias("n_reviews"),
+        F.element_at("reviews", 1)["date"].alias("newest_date"),
+        F.element_at("reviews", -1)["date"].alias("oldest_date"),
+        *[a["overall_sentiment"][c].alias(c) for c in sen.SCORE_COLUMNS],
+        F.size(a["top_improvement_priorities"]).cast("long").alias("n_priorities"))
+
+
+@query("report_flatten")
+def report_flatten(spark, d):
+    """Instant results as ordered display rows."""
+    from guestlens.operators.report import flatten_report
+    return flatten_report(_instant_results(spark, d))
