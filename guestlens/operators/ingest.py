@@ -9,28 +9,15 @@ from guestlens.functions.dates import display_date, parse_iso
 from guestlens.operators.ordering import running_total
 
 
-def normalize_reviews(pages: DataFrame) -> DataFrame:
-    """Concatenate each place's pages in page order and project every review
-    with defaults for missing fields (rating 0, user "", text "") and the
-    display date.  ``fetch_pos`` is the 1-based position in fetch order.
-
-    Output: data_id, page_no, pos, fetch_pos, user, rating, iso_date, ts, date,
-    review_text (rows of corrupt lines are not here; see ``quarantine``).
-    """
+def explode_pages(pages: DataFrame) -> DataFrame:
+    """P1 (row part): every review of every readable page with defaults for
+    missing fields (rating 0, user "", text "") and the display date.
+    Output: data_id, page_no, pos, user, rating, iso_date, ts, date, review_text."""
     good = pages.filter(F.col("_corrupt").isNull() & F.col("data_id").isNotNull())
-    # Offsets of pages inside a place: a running total over the narrow page
-    # table (skew-safe), joined back on (data_id, page_no).
-    sizes = good.select("data_id", "page_no",
-                        F.coalesce(F.size("reviews"), F.lit(0)).cast("long").alias("_n"))
-    offsets = running_total(sizes, ["data_id"], ["page_no"], "_page_off", weight="_n",
-                            inclusive=False).select(
-        F.col("data_id").alias("_od"), F.col("page_no").alias("_op"), "_page_off")
     rows = good.select("data_id", "page_no", F.posexplode("reviews").alias("pos", "r"))
-    rows = rows.join(offsets, (rows.data_id == offsets._od) & (rows.page_no == offsets._op))
     ts = parse_iso(F.col("r.iso_date"))
     return rows.select(
         "data_id", "page_no", F.col("pos").cast("long").alias("pos"),
-        (F.col("_page_off") + F.col("pos") + 1).cast("long").alias("fetch_pos"),
         F.coalesce(F.col("r.user.name"), F.lit("")).alias("user"),
         F.coalesce(F.col("r.rating"), F.lit(0.0)).alias("rating"),
         F.col("r.iso_date").alias("iso_date"),
@@ -38,6 +25,26 @@ def normalize_reviews(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("r.extracted_snippet.original"), F.lit("")).alias("review_text"))
 
 
+def assign_fetch_pos(rows: DataFrame) -> DataFrame:
+    """P1 (order part): ``fetch_pos`` = 1-based position in fetch order, i.e.
+    reviews on earlier pages of the place + position on the page + 1.  Page
+    offsets are a running total over the narrow per-page counts (skew-safe),
+    joined back on (data_id, page_no)."""
+    sizes = rows.groupBy("data_id", "page_no").agg(F.count(F.lit(1)).cast("long").alias("_n"))
+    offsets = running_total(sizes, ["data_id"], ["page_no"], "_page_off", weight="_n",
+                            inclusive=False).select(
+        F.col("data_id").alias("_od"), F.col("page_no").alias("_op"), "_page_off")
+    j = rows.join(offsets, (rows.data_id == offsets._od) & (rows.page_no == offsets._op))
+    return (j.withColumn("fetch_pos", (F.col("_page_off") + F.col("pos") + 1).cast("long"))
+            .drop("_od", "_op", "_page_off"))
+
+
+def normalize_reviews(pages: DataFrame) -> DataFrame:
+    """Concatenate each place's pages in page order and project every
+    review (see ``explode_pages``) with its fetch position."""
+    return assign_fetch_pos(explode_pages(pages))
+
+
 def _non_empty(struct_col: str, fields: list[str]) -> F.Column:
     c = F.col(struct_col)
     return c.isNotNull() & F.coalesce(*[c[f].cast("string") for f in fields]).isNotNull()

@@ -519,3 +519,6 @@ FROM (SELECT data_id, {STATE_AGGS},
 JOIN places p ON p.place_key = s.data_id
 LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) c
   ON c.data_id = s.data_id""")
+
+ORACLE["stream_page_ingest"] = ORACLE["review_normalize"]
+ORACLE["incremental_integration"] = ORACLE["overall_sentiment"]

@@ -417,3 +417,42 @@ def report_flatten(spark, d):
     """Instant results as ordered display rows."""
     from guestlens.operators.report import flatten_report
     return flatten_report(_instant_results(spark, d))
+
+
+# --- streaming ---------------------------------------------------------------------
+
+@query("stream_page_ingest")
+def stream_page_ingest(spark, d):
+    """Landed pages streamed (availableNow) into the review table, then read
+    back with fetch positions; equals batch P1."""
+    from guestlens.session import work_path
+    from guestlens.sources import pages as pg
+    from guestlens.streaming.ingest import read_ingested, start_page_ingest
+    base = work_path(spark, "stream-ingest")
+    landing = pg.land_pages(pg.build_pages(st.reviews(spark, d), st.places(spark, d)), f"{base}/landing")
+    q = start_page_ingest(spark, landing, f"{base}/sink", f"{base}/checkpoint", max_files_per_trigger=4)
+    q.awaitTermination()
+    return read_ingested(spark, f"{base}/sink").select(
+        "data_id", "fetch_pos", "page_no", "user", "rating", "date", "review_text", "iso_date")
+
+
+INCREMENTAL_CUTOFF = "2024-01-21 00:00:00"
+
+
+@query("incremental_integration")
+def incremental_integration(spark, d):
+    """State of reviews before the cutoff (epoch 0), reviews from the
+    cutoff on streamed in as page files and added per epoch; equals A1 over
+    all reviews."""
+    from guestlens.session import work_path
+    from guestlens.sources import pages as pg
+    from guestlens.streaming.incremental import IncrementalSentiment
+    base = work_path(spark, "incremental")
+    r = st.reviews(spark, d)
+    cut = F.col("ts") < F.to_timestamp_ntz(F.lit(INCREMENTAL_CUTOFF))
+    inc = IncrementalSentiment(spark, f"{base}/state")
+    old = _reviews(spark, d).filter(cut)
+    inc.apply(old, 0)
+    landing = pg.land_pages(pg.build_pages(r.filter(~cut), st.places(spark, d)), f"{base}/landing")
+    inc.start(landing, f"{base}/checkpoint", first_epoch=1).awaitTermination()
+    return inc.scores()
