@@ -76,10 +76,10 @@ def category_name() -> Column:
 def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
              polarity: Sequence[tuple[str, int]], extra: Sequence[str] = ()) -> DataFrame:
     """One row per (review, sentence, lexicon term):
-    data_id, fetch_pos, rating, ts, sent_no, term, aspect, pol, polarity,
+    data_id, review_id, rating, ts, sent_no, term, aspect, pol, polarity,
     phrase (+ the ``extra`` review columns, e.g. batch_id)."""
     lex, pol = _map(lexicon), _map([(t, int(p)) for t, p in polarity])
-    keep = ["data_id", "fetch_pos", "rating", "ts", *extra]
+    keep = ["data_id", "review_id", "rating", "ts", *extra]
     s = reviews.select(*keep, F.posexplode(sentences("review_text")).alias("sent_no", "sentence"))
     w = F.col("_w")
     s = s.select(*keep, "sent_no", words("sentence").alias("_w"))
@@ -101,7 +101,7 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
 
 def _review_level(m: DataFrame, *keys: str) -> DataFrame:
     """At most one row per review for the given keys."""
-    return m.select("data_id", "fetch_pos", "rating", *keys).dropDuplicates(["data_id", "fetch_pos", *keys])
+    return m.select("data_id", "review_id", "rating", *keys).dropDuplicates(["data_id", "review_id", *keys])
 
 
 def top_phrases(m: DataFrame, k: int = 3) -> DataFrame:
@@ -225,7 +225,7 @@ def analysis_summary(places: DataFrame, sentiment: DataFrame, feedback: DataFram
         *[F.sum(F.when((F.col("aspect") == a) & (F.col("polarity") == p), F.col("n_reviews")))
           .alias(f"_{a}_{p}") for a in ("food_and_dining", "value_for_money")
           for p in ("praise", "criticism")])
-    bf = (reviews.select("data_id", "fetch_pos", words(F.lower("review_text")).alias("_w"))
+    bf = (reviews.select("data_id", "review_id", words(F.lower("review_text")).alias("_w"))
           .filter(F.array_contains("_w", "breakfast")).groupBy("data_id")
           .agg(F.count(F.lit(1)).cast("long").alias("_breakfast")))
     names = _map(ASPECTS)

@@ -87,7 +87,7 @@ def aspect_trend(m_batched: DataFrame, threshold: int = 1) -> DataFrame:
     """W4 per aspect: net support (praising minus criticising reviews) of each
     aspect per batch against the previous batch."""
     per = (m_batched.filter(F.col("pol") != 0)
-           .select("data_id", "batch_id", "aspect", "fetch_pos", "pol").dropDuplicates()
+           .select("data_id", "batch_id", "aspect", "review_id", "pol").dropDuplicates()
            .groupBy("data_id", "aspect", "batch_id")
            .agg(F.sum("pol").cast("long").alias("net")))
     prev = per.select(F.col("data_id").alias("_pd"), F.col("aspect").alias("_pa"),

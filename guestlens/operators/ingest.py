@@ -36,6 +36,7 @@ def assign_fetch_pos(rows: DataFrame) -> DataFrame:
         F.col("data_id").alias("_od"), F.col("page_no").alias("_op"), "_page_off")
     j = rows.join(offsets, (rows.data_id == offsets._od) & (rows.page_no == offsets._op))
     return (j.withColumn("fetch_pos", (F.col("_page_off") + F.col("pos") + 1).cast("long"))
+            .withColumn("review_id", F.col("fetch_pos"))
             .drop("_od", "_op", "_page_off"))
 
 

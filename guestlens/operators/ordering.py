@@ -2,17 +2,17 @@
 
 A plain ``row_number().over(Window.partitionBy(place))`` sorts every row of a
 place in one task; one place may hold a third of all rows, so that task would
-never finish.  ``running_total`` spreads each group over range partitions
-instead:
+never finish.  ``running_total`` spreads each group over range partitions:
 
-1. ``repartitionByRange(group, order)`` cuts the global order into balanced
-   ranges; a hot group spans many partitions;
-2. a window over ``(partition id, group)`` numbers rows inside each range
-   (bounded by the partition size);
-3. per ``(partition id, group)`` totals, summed over earlier partitions of the
-   same group (a window over at most #partitions rows per group), give each
-   range its offset, joined back on ``(partition id, group)`` - the big side is
-   already partitioned by those keys, so only the small offset table moves.
+1. ``repartitionByRange(group, order)`` cuts the global order into balanced,
+   contiguous ranges; a hot group spans many partitions;
+2. a window over ``(partition id, group)`` gives running totals inside each
+   range (a task holds one range, bounded by the partition size);
+3. only a group that continues from earlier partitions needs an offset, and
+   that can only be the *first* group of a partition.  Per partition the first
+   and last group with their totals form a table of at most 2 x #partitions
+   rows; a window over it yields the offsets, which are broadcast (size bound
+   proven by construction) and added - the big side is not shuffled again.
 
 The result equals ``sum(weight) over (partition by group order by order rows
 between unbounded preceding and current row)`` (or ``... 1 preceding`` when
@@ -26,11 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_P, _W, _L, _C, _O = "_rt_part", "_rt_w", "_rt_local", "_rt_cnt", "_rt_off"
-
-
-def _name(c) -> str:
-    return c if isinstance(c, str) else None
+_P, _W, _L, _C, _O, _G = "_rt_part", "_rt_w", "_rt_local", "_rt_cnt", "_rt_off", "_rt_group"
 
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
@@ -40,26 +36,30 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column |
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     w = F.lit(1).cast("long") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast("long")
+    gkey = F.struct(*[F.col(g) for g in group])
     ranged = (df.repartitionByRange(*[F.col(g) for g in group], *order)
                 .withColumn(_P, F.spark_partition_id())
                 .withColumn(_W, w))
     local = Window.partitionBy(_P, *group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    numbered = ranged.withColumn(_L, F.sum(_W).over(local))
-    counts = ranged.groupBy(_P, *group).agg(F.sum(_W).alias(_C))
-    earlier = Window.partitionBy(*group).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(_P).alias(_P + "_o"),
-        *[F.col(g).alias(g + "_o") for g in group],
-        F.coalesce(F.sum(_C).over(earlier), F.lit(0)).cast("long").alias(_O))
-    cond = [numbered[_P] == offsets[_P + "_o"]] + [
-        numbered[g].eqNullSafe(offsets[g + "_o"]) for g in group]
-    total = F.col(_L) + F.col(_O)
+    numbered = ranged.withColumn(_L, F.sum(_W).over(local)).withColumn(_G, gkey)
+    # Totals per (partition, group): same partitioning as the window, no shuffle.
+    per = numbered.groupBy(_P, _G).agg(F.sum(_W).alias(_C))
+    ends = per.groupBy(_P).agg(F.min(_G).alias("_first"), F.max(_G).alias("_last"))
+    edge = (per.join(F.broadcast(ends), _P)
+            .filter((F.col(_G) == F.col("_first")) | (F.col(_G) == F.col("_last")))
+            .select(_P, _G, _C))
+    earlier = Window.partitionBy(_G).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (edge.withColumn(_O, F.sum(_C).over(earlier)).filter(F.col(_O).isNotNull())
+               .select(F.col(_P).alias(_P + "_o"), F.col(_G).alias(_G + "_o"), _O))
+    # <= 2 rows per partition: broadcast is safe at any data size.
+    j = numbered.join(F.broadcast(offsets),
+                      (numbered[_P] == offsets[_P + "_o"]) & (numbered[_G] == offsets[_G + "_o"]), "left")
+    total = F.col(_L) + F.coalesce(F.col(_O), F.lit(0))
     if not inclusive:
         total = total - F.col(_W)
-    return (numbered.join(offsets, cond, "inner")
-            .withColumn(out, total.cast("long"))
-            .drop(_P, _W, _L, _O, _P + "_o", *[g + "_o" for g in group]))
+    return (j.withColumn(out, total.cast("long"))
+            .drop(_P, _W, _L, _O, _G, _P + "_o", _G + "_o"))
 
 
 def position(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],

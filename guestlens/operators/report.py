@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from guestlens.functions.text import star_bar
 from guestlens.operators import aspects as asp
 from guestlens.operators import sentiment as sen
+from guestlens.sources.scratch import identity
 
 EMPTY = "array<string>"
 
@@ -29,9 +30,11 @@ def _arr(c: str) -> Column:
 
 
 def assemble_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tuple],
-                      polarity: Sequence[tuple], k: int = 3, key: str = "data_id") -> DataFrame:
-    """Per place: data_id + ``hotel_analysis`` struct in the report schema."""
-    m = asp.mentions(reviews, lexicon, polarity)
+                      polarity: Sequence[tuple], k: int = 3, key: str = "data_id",
+                      reuse=identity) -> DataFrame:
+    """Per place: data_id + ``hotel_analysis`` struct in the report schema.
+    ``reuse`` may materialise the mention table, which five branches read."""
+    m = reuse(asp.mentions(reviews, lexicon, polarity), "mentions")
     tp = asp.top_phrases(m, k)
     sg = (asp.aspect_suggestions(m, k).groupBy("data_id", "aspect")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))),

@@ -32,8 +32,13 @@ def query(name: str):
     return deco
 
 
-def _reviews(spark, d):
-    return st.normalized_reviews(spark, d)
+def _reviews(spark, d, ordered=True):
+    return st.normalized_reviews(spark, d, ordered)
+
+
+def _unordered(spark, d):
+    """Reviews for jobs that only aggregate: no fetch-order numbering planned."""
+    return st.normalized_reviews(spark, d, ordered=False)
 
 
 @query("sentiment_overview")
@@ -54,7 +59,7 @@ def sentiment_overview(spark, d):
 @query("overall_sentiment")
 def overall_sentiment(spark, d):
     """A1 over every review of every place."""
-    return sen.overall_sentiment(_reviews(spark, d))
+    return sen.overall_sentiment(_unordered(spark, d))
 
 
 # --- ingest ------------------------------------------------------------------
@@ -104,7 +109,7 @@ def no_reviews_places(spark, d):
     """Requested places (every place) that have no reviews."""
     from guestlens.operators.ingest import no_review_places
     return no_review_places(st.places(spark, d).select("place_key"),
-                            st.reviews(spark, d), key="place_key")
+                            st.reviews(spark, d, ordered=False), key="place_key")
 
 
 # --- selection / order -------------------------------------------------------
@@ -166,17 +171,19 @@ def recency_weighted_sentiment(spark, d):
 
 # --- aspects, themes, priorities ---------------------------------------------
 
-def _mentions(spark, d, reviews=None, extra=()):
+def _mentions(spark, d, reviews=None, extra=(), reuse=False):
     from guestlens.operators.aspects import mentions
-    r = reviews if reviews is not None else _reviews(spark, d)
-    return mentions(r, st.TEST_LEXICON, st.TEST_POLARITY, extra=extra)
+    from guestlens.sources.scratch import materialize
+    r = reviews if reviews is not None else _unordered(spark, d)
+    m = mentions(r, st.TEST_LEXICON, st.TEST_POLARITY, extra=extra)
+    return materialize(m, "mentions") if reuse else m
 
 
 @query("aspect_feedback")
 def aspect_feedback(spark, d):
     """A5: praise / criticism / neutral support per place and aspect."""
     from guestlens.operators.aspects import aspect_feedback as af
-    return af(_mentions(spark, d))
+    return af(_mentions(spark, d, reuse=True))
 
 
 @query("recurring_themes")
@@ -203,7 +210,7 @@ def persistent_themes(spark, d):
 def improvement_priorities(spark, d):
     """Top 5 aspects per place by criticism x rating shortfall."""
     from guestlens.operators.aspects import improvement_priorities as ip
-    return ip(_mentions(spark, d))
+    return ip(_mentions(spark, d, reuse=True))
 
 
 @query("aspect_suggestions")
@@ -218,8 +225,9 @@ def analysis_summary(spark, d):
     """A10: summary and verdict strings per place."""
     from guestlens.operators.aspects import aspect_feedback as af
     from guestlens.operators.aspects import analysis_summary as summ
-    r = _reviews(spark, d)
-    m = _mentions(spark, d, reviews=r)
+    from guestlens.sources.scratch import materialize
+    r = materialize(_unordered(spark, d), "reviews")
+    m = _mentions(spark, d, reviews=r, reuse=True)
     return summ(st.places(spark, d), sen.overall_sentiment(r), af(m), r, key="place_key")
 
 
@@ -324,7 +332,8 @@ def place_search(spark, d):
 
 def _header(spark, d):
     """Place header for requests: title, address, rating, total_reviews."""
-    counts = st.reviews(spark, d).groupBy("data_id").agg(F.count(F.lit(1)).cast("long").alias("total_reviews"))
+    counts = (st.reviews(spark, d, ordered=False).groupBy("data_id")
+              .agg(F.count(F.lit(1)).cast("long").alias("total_reviews")))
     p = st.places(spark, d)
     return (p.join(counts, p.place_key == counts.data_id)
             .select(counts.data_id, "title", "address", "rating", "total_reviews", "type"))
@@ -392,7 +401,8 @@ def _instant_results(spark, d):
     h = _header(spark, d).select("data_id", "type", "title", "rating", "address",
                                  F.lit("Success").alias("status"), "total_reviews",
                                  F.lit("").alias("created_at"))
-    return instant_analysis(_reviews(spark, d), h, st.TEST_LEXICON, st.TEST_POLARITY)
+    from guestlens.sources.scratch import materialize
+    return instant_analysis(_reviews(spark, d), h, st.TEST_LEXICON, st.TEST_POLARITY, reuse=materialize)
 
 
 @query("report_export")
@@ -451,7 +461,7 @@ def incremental_integration(spark, d):
     r = st.reviews(spark, d)
     cut = F.col("ts") < F.to_timestamp_ntz(F.lit(INCREMENTAL_CUTOFF))
     inc = IncrementalSentiment(spark, f"{base}/state")
-    old = _reviews(spark, d).filter(cut)
+    old = _unordered(spark, d).filter(cut)
     inc.apply(old, 0)
     landing = pg.land_pages(pg.build_pages(r.filter(~cut), st.places(spark, d)), f"{base}/landing")
     inc.start(landing, f"{base}/checkpoint", first_epoch=1).awaitTermination()

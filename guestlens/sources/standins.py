@@ -43,8 +43,11 @@ def _rating_of(event_type):
             .otherwise(5).cast("long"))
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """data_id, event_id, ts, reviewer, rating, review_text, fetch_pos, page_no."""
+def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    """data_id, event_id, ts, reviewer, rating, review_text, fetch_pos, page_no.
+
+    ``ordered=False`` leaves out the fetch order (fetch_pos, page_no NULL) for
+    jobs that only aggregate, so no numbering is planned at all."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     # Dimension sides are cut to the key range the modulo can reach (<= 19 and
     # <= 399 keys); the planner broadcasts them after its own size check.
@@ -63,19 +66,23 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.when(F.col("event_id") % 10 == 0, F.lit(""))
                    .otherwise(F.concat(F.col("n1"), F.lit(". "), F.col("n2"))).alias("review_text"),
                   "value"))
+    if not ordered:
+        return (r.drop("value").withColumn("fetch_pos", F.lit(None).cast("long"))
+                .withColumn("page_no", F.lit(None).cast("long")))
     r = position(r, ["data_id"], [F.col("value").desc(), F.col("event_id").asc()], "fetch_pos")
     return (r.drop("value")
              .withColumn("page_no", F.floor((F.col("fetch_pos") - 1) / PAGE_SIZE).cast("long")))
 
 
-def normalized_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalized_reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     """The stand-in reviews in the normalised review shape (what P1 yields
     from landed pages): data_id, fetch_pos, page_no, user, rating, ts, date,
-    review_text (+ event_id as the review key)."""
-    r = reviews(spark, sf_dir)
+    review_text, review_id (the event id: unique per review)."""
+    r = reviews(spark, sf_dir, ordered)
     return r.select("data_id", "fetch_pos", "page_no", F.col("reviewer").alias("user"),
                     F.col("rating").cast("double").alias("rating"), "ts",
-                    display_date("ts").alias("date"), "review_text", "event_id")
+                    display_date("ts").alias("date"), "review_text",
+                    F.col("event_id").alias("review_id"))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
