@@ -12,17 +12,21 @@ from guestlens.operators.ordering import running_total
 def explode_pages(pages: DataFrame) -> DataFrame:
     """P1 (row part): every review of every readable page with defaults for
     missing fields (rating 0, user "", text "") and the display date.
-    Output: data_id, page_no, pos, user, rating, iso_date, ts, date, review_text."""
+    Output: data_id, page_no, pos, user, rating, iso_date, ts, date,
+    review_text, bad_reason (NULL for a usable row)."""
     good = pages.filter(F.col("_corrupt").isNull() & F.col("data_id").isNotNull())
     rows = good.select("data_id", "page_no", F.posexplode("reviews").alias("pos", "r"))
     ts = parse_iso(F.col("r.iso_date"))
+    rating = F.col("r.rating").try_cast("double")
     return rows.select(
         "data_id", "page_no", F.col("pos").cast("long").alias("pos"),
         F.coalesce(F.col("r.user.name"), F.lit("")).alias("user"),
-        F.coalesce(F.col("r.rating"), F.lit(0.0)).alias("rating"),
+        F.coalesce(rating, F.lit(0.0)).alias("rating"),
         F.col("r.iso_date").alias("iso_date"),
         ts.alias("ts"), display_date(ts).alias("date"),
-        F.coalesce(F.col("r.extracted_snippet.original"), F.lit("")).alias("review_text"))
+        F.coalesce(F.col("r.extracted_snippet.original"), F.lit("")).alias("review_text"),
+        F.when(ts.isNull(), "bad date")
+         .when(F.col("r.rating").isNotNull() & rating.isNull(), "bad rating").alias("bad_reason"))
 
 
 def assign_fetch_pos(rows: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def place_header(pages: DataFrame) -> DataFrame:
         "data_id",
         F.coalesce(F.col("pi.type"), F.lit("")).alias("type"),
         F.coalesce(F.col("pi.title"), F.lit("")).alias("title"),
-        F.coalesce(F.col("pi.rating"), F.lit(0.0)).alias("rating"),
+        F.coalesce(F.col("pi.rating").try_cast("double"), F.lit(0.0)).alias("rating"),
         F.coalesce(F.col("pi.address"), F.lit("")).alias("address"),
         F.coalesce(F.col("sm.status"), F.lit("")).alias("status"),
         F.coalesce(F.col("pi.reviews"), F.lit(0)).cast("long").alias("total_reviews"),
@@ -78,15 +82,16 @@ def place_header(pages: DataFrame) -> DataFrame:
 
 def quarantine(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split normalised reviews into good rows and quarantined rows (date
-    missing or malformed).  A bad row is set aside, not the whole place."""
-    bad = F.col("ts").isNull()
+    missing or malformed, rating not a number).  A bad row is set aside, not
+    the whole place."""
+    bad = F.col("bad_reason").isNotNull()
     return reviews.filter(~bad), reviews.filter(bad)
 
 
 def place_status(reviews: DataFrame) -> DataFrame:
     """Per place Success (all rows good) / Partial (some quarantined) /
     Error (nothing usable), with the counts."""
-    bad = F.col("ts").isNull()
+    bad = F.col("bad_reason").isNotNull()
     s = reviews.groupBy("data_id").agg(
         F.count_if(~bad).cast("long").alias("n_good"),
         F.count_if(bad).cast("long").alias("n_quarantined"))

@@ -132,7 +132,9 @@ def validate_responses(responses: DataFrame, tolerance: float = 0.2) -> DataFram
     missing = F.array_compact(F.array(*[F.when(_field(p).isNull(), F.lit(p)) for p in REQUIRED_REPORT_FIELDS]))
     reason = (F.when(F.col("error").isNotNull(), F.concat(F.lit("call failed: "), F.col("error")))
               .when(F.col("response").isNull(), F.lit("no reply"))
-              .when(F.col("report").isNull(), F.lit("not a JSON object"))
+              .when(F.try_parse_json(F.col("response")).isNull(), F.lit("not JSON"))
+              .when(~F.schema_of_variant(F.try_parse_json(F.col("response"))).startswith("OBJECT"),
+                    F.lit("not a JSON object"))
               .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
               .when((s["average_score"] < 1) | (s["average_score"] > 5), F.lit("average_score out of range"))
               .when(F.abs(total - 100) > tolerance, F.lit("percentages do not sum to 100")))

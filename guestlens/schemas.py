@@ -14,8 +14,10 @@ def _strings():
 
 
 # One landed review page as the search API returns it.
+# Ratings are read as text and cast per review, so one malformed rating does
+# not turn the whole page line into a corrupt record.
 PAGE_REVIEW = _struct(
-    ("rating", D),
+    ("rating", S),
     ("iso_date", S),
     ("user", _struct(("name", S))),
     ("extracted_snippet", _struct(("original", S))),
@@ -23,7 +25,7 @@ PAGE_REVIEW = _struct(
 PAGE = _struct(
     ("data_id", L),          # added when landed
     ("page_no", L),          # added when landed
-    ("place_info", _struct(("type", S), ("title", S), ("rating", D),
+    ("place_info", _struct(("type", S), ("title", S), ("rating", S),
                            ("address", S), ("reviews", L))),
     ("search_metadata", _struct(("status", S), ("created_at", S))),
     ("search_parameters", _struct(("data_id", S))),
