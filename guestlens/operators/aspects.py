@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestlens.functions.text import sentences, words
+from guestlens.functions.text import words
 
 # The seven report sections, in report order, with the category
 # names used for improvement priorities.
@@ -77,19 +77,27 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
              polarity: Sequence[tuple[str, int]], extra: Sequence[str] = ()) -> DataFrame:
     """One row per (review, sentence, lexicon term):
     data_id, review_id, rating, ts, sent_no, term, aspect, pol, polarity,
-    phrase (+ the ``extra`` review columns, e.g. batch_id)."""
+    phrase (+ the ``extra`` review columns, e.g. batch_id).
+
+    Sentences are exploded as rows (``sent_no`` may skip empty pieces); terms
+    and modifiers come from ``array_intersect`` with the vocabularies, so only
+    the polarity sum uses a lambda."""
+    if len(lexicon) > MAX_VOCABULARY or len(polarity) > MAX_VOCABULARY:
+        raise ValueError("vocabulary too large for an inline lookup")
     lex, pol = _map(lexicon), _map([(t, int(p)) for t, p in polarity])
+    lex_terms = F.array(*[F.lit(t) for t, _ in lexicon])
+    pol_terms = F.array(*[F.lit(t) for t, _ in polarity])
     keep = ["data_id", "review_id", "rating", "ts", *extra]
-    s = reviews.select(*keep, F.posexplode(sentences("review_text")).alias("sent_no", "sentence"))
+    s = reviews.select(*keep, F.posexplode(F.split(F.lower(F.coalesce(F.col("review_text"), F.lit(""))),
+                                                   r"[.!?\n]+")).alias("sent_no", "_s"))
+    s = s.select(*keep, "sent_no", F.trim("_s").alias("_s")).filter(F.col("_s") != "")
     w = F.col("_w")
-    s = s.select(*keep, "sent_no", words("sentence").alias("_w"))
+    s = s.select(*keep, "sent_no", words("_s").alias("_w"))
     s = s.select(
         *keep, "sent_no",
-        F.array_distinct(F.filter(w, lambda x: F.try_element_at(lex, x).isNotNull())).alias("_terms"),
-        F.aggregate(F.transform(w, lambda x: F.coalesce(F.try_element_at(pol, x), F.lit(0))),
-                    F.lit(0), lambda a, b: a + b).alias("pol"),
-        F.array_join(F.array_sort(F.array_distinct(
-            F.filter(w, lambda x: F.try_element_at(pol, x).isNotNull()))), " ").alias("_mods"))
+        F.array_intersect(w, lex_terms).alias("_terms"),
+        F.aggregate(w, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(pol, x), F.lit(0))).alias("pol"),
+        F.array_join(F.array_sort(F.array_intersect(w, pol_terms)), " ").alias("_mods"))
     m = s.select(*keep, "sent_no", "pol", "_mods", F.explode("_terms").alias("term"))
     return m.select(
         *keep, "sent_no", "term",

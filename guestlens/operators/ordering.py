@@ -17,6 +17,11 @@ never finish.  ``running_total`` spreads each group over range partitions:
 The result equals ``sum(weight) over (partition by group order by order rows
 between unbounded preceding and current row)`` (or ``... 1 preceding`` when
 ``inclusive=False``).  ``order`` must be a total order inside each group.
+
+Like a broadcast behind a size check, the plain window is used only behind a
+check of the largest group: one partial aggregate counts rows per group, and
+when no group exceeds ``max_window_rows`` a single sort per group is safe and
+cheaper.  Beyond that bound the ranged plan above is used.
 """
 
 from __future__ import annotations
@@ -28,23 +33,43 @@ from pyspark.sql import functions as F
 
 _P, _W, _L, _C, _O, _G = "_rt_part", "_rt_w", "_rt_local", "_rt_cnt", "_rt_off", "_rt_group"
 
+# Largest group one task may sort in a plain window.
+MAX_WINDOW_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows in the biggest group (partial aggregation; one scalar to the driver)."""
+    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(n or 0)
+
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                   out: str, weight: str | Column | None = None,
-                  inclusive: bool = True) -> DataFrame:
+                  inclusive: bool = True, max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     w = F.lit(1).cast("long") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast("long")
+    if max_window_rows is not None and largest_group(df, group) <= max_window_rows:
+        frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        total = F.sum(w).over(frame)
+        return df.withColumn(out, (total if inclusive else F.coalesce(total, F.lit(0))).cast("long"))
+    return _ranged_total(df, group, order, out, w, inclusive)
+
+
+def _ranged_total(df: DataFrame, group: list[str], order: list[Column], out: str, w: Column,
+                  inclusive: bool) -> DataFrame:
     gkey = F.struct(*[F.col(g) for g in group])
     ranged = (df.repartitionByRange(*[F.col(g) for g in group], *order)
                 .withColumn(_P, F.spark_partition_id())
                 .withColumn(_W, w))
     local = Window.partitionBy(_P, *group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    numbered = ranged.withColumn(_L, F.sum(_W).over(local)).withColumn(_G, gkey)
+    numbered = ranged.withColumn(_L, F.sum(_W).over(local))
     # Totals per (partition, group): same partitioning as the window, no shuffle.
-    per = numbered.groupBy(_P, _G).agg(F.sum(_W).alias(_C))
+    per = numbered.groupBy(_P, *group).agg(F.sum(_W).alias(_C)).withColumn(_G, gkey)
+    numbered = numbered.withColumn(_G, gkey)
     ends = per.groupBy(_P).agg(F.min(_G).alias("_first"), F.max(_G).alias("_last"))
     edge = (per.join(F.broadcast(ends), _P)
             .filter((F.col(_G) == F.col("_first")) | (F.col(_G) == F.col("_last")))
@@ -63,6 +88,6 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column |
 
 
 def position(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-             out: str) -> DataFrame:
+             out: str, max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
     """1-based dense position (``row_number``) of each row inside its group."""
-    return running_total(df, group, order, out)
+    return running_total(df, group, order, out, max_window_rows=max_window_rows)

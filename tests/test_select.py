@@ -85,7 +85,8 @@ def test_running_total_matches_window_on_skewed_data(spark):
     rows = [(0, i, i % 7) for i in range(3000)] + [(g, i, 1) for g in range(1, 200) for i in range(3)] \
         + [(None, 1, 5), (None, 2, 6)]
     df = spark.createDataFrame(rows, "g long, o long, w long").repartition(7)
-    got = running_total(df, ["g"], ["o"], "rt", weight="w").collect()
+    got = running_total(df, ["g"], ["o"], "rt", weight="w", max_window_rows=100).collect()   # ranged plan
+    plain = {(r.g, r.o): r.rt for r in running_total(df, ["g"], ["o"], "rt", weight="w").collect()}
     exp = {}
     acc = {}
     for g, o, w in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
@@ -93,3 +94,6 @@ def test_running_total_matches_window_on_skewed_data(spark):
         exp[(g, o)] = acc[g]
     assert len(got) == len(rows)
     assert all(exp[(r.g, r.o)] == r.rt for r in got)
+    assert plain == exp
+    excl = running_total(df, ["g"], ["o"], "rt", weight="w", inclusive=False, max_window_rows=100).collect()
+    assert all(exp[(r.g, r.o)] - r.w == r.rt for r in excl)
