@@ -302,10 +302,13 @@ def _verdict_sql(p, c, none_text, pos, neg, mixed):
             f"ELSE concat('{mixed}', {det}) END")
 
 
-ORACLE["analysis_summary"] = with_(*BASE_M, mentions_cte(), PLACES, _aspect_tables(), """fb AS (
+def summary_ctes(src="nreviews"):
+    """CTEs fb, sen, per, bf, summ (data_id, hotel_name, summary, verdicts, scores)
+    over the review source ``src`` and its ``mentions``; needs places, aspect_info."""
+    return [f"""fb AS (
   SELECT data_id, aspect, polarity, count(DISTINCT fetch_pos) AS n FROM mentions GROUP BY ALL)""", f"""sen AS (
-  SELECT data_id, n_reviews, {_scores()} FROM (SELECT data_id, {STATE_AGGS} FROM nreviews GROUP BY data_id) t)""",
-                                   """per AS (
+  SELECT data_id, n_reviews, {_scores()} FROM (SELECT data_id, {STATE_AGGS} FROM {src} GROUP BY data_id) t)""",
+            """per AS (
   SELECT fb.data_id,
     first(fb.aspect ORDER BY fb.n DESC, ai.ord) FILTER (WHERE polarity = 'praise') AS best,
     first(fb.aspect ORDER BY fb.n DESC, ai.ord) FILTER (WHERE polarity = 'criticism') AS worst,
@@ -314,10 +317,10 @@ ORACLE["analysis_summary"] = with_(*BASE_M, mentions_cte(), PLACES, _aspect_tabl
     sum(n) FILTER (WHERE fb.aspect = 'value_for_money' AND polarity = 'praise') AS vp,
     sum(n) FILTER (WHERE fb.aspect = 'value_for_money' AND polarity = 'criticism') AS vc
   FROM fb JOIN aspect_info ai ON ai.aspect = fb.aspect GROUP BY fb.data_id)""",
-                                   r"""bf AS (
-  SELECT data_id, count(*) AS nb FROM nreviews
-  WHERE list_contains(regexp_split_to_array(lower(review_text), '[^\p{L}\p{N}'']+'), 'breakfast')
-  GROUP BY data_id)""", body=f"""
+            rf"""bf AS (
+  SELECT data_id, count(*) AS nb FROM {src}
+  WHERE list_contains(regexp_split_to_array(lower(review_text), '[^\p{{L}}\p{{N}}'']+'), 'breakfast')
+  GROUP BY data_id)""", f"""summ AS (
 SELECT s.data_id, coalesce(p.title, '') AS hotel_name,
   concat(coalesce(p.title, 'This place'), ': ', CAST(s.n_reviews AS VARCHAR), ' reviews, average score ',
     coalesce(CAST(s.average_score AS VARCHAR), 'n/a'), '/5 (',
@@ -331,7 +334,11 @@ SELECT s.data_id, coalesce(p.title, '') AS hotel_name,
   s.average_score, s.positive_percentage, s.neutral_percentage, s.negative_percentage
 FROM sen s LEFT JOIN per ON per.data_id = s.data_id LEFT JOIN bf ON bf.data_id = s.data_id
 LEFT JOIN places p ON p.place_key = s.data_id
-LEFT JOIN aspect_info b ON b.aspect = per.best LEFT JOIN aspect_info w ON w.aspect = per.worst""")
+LEFT JOIN aspect_info b ON b.aspect = per.best LEFT JOIN aspect_info w ON w.aspect = per.worst)"""]
+
+
+ORACLE["analysis_summary"] = with_(*BASE_M, mentions_cte(), PLACES, _aspect_tables(), *summary_ctes("nreviews"),
+                                   body="SELECT * FROM summ")
 
 
 # --- combine / trend -----------------------------------------------------------
@@ -508,7 +515,7 @@ SELECT data_id, batch_id, reason IS NULL AS valid, reason FROM (
 
 SEL20 = """sel20 AS (
   SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY minute DESC, fetch_pos ASC) AS rank_desc
-  FROM nreviews QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY fetch_pos) <= 20)"""
+  FROM (SELECT * FROM nreviews QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY fetch_pos) <= 20) s0)"""
 
 ORACLE["report_export"] = with_(REVIEWS, NREVIEWS, SEL20, LEXICON, POLARITY, mentions_cte("sel20"), PLACES, body=f"""
 SELECT s.data_id, p.title, s.n_reviews, s.newest_date, s.oldest_date, {_scores()},
@@ -522,3 +529,92 @@ LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol <
 
 ORACLE["stream_page_ingest"] = ORACLE["review_normalize"]
 ORACLE["incremental_integration"] = ORACLE["overall_sentiment"]
+
+
+# --- R1: the flattened instant report ------------------------------------------------
+
+# Report list fields and the mention polarity that fills them ('suggest' = A9 list).
+REPORT_LISTS = {
+    "accommodation": [("Room Quality", "neutral"), ("Common Praises", "praise"),
+                      ("Common Criticisms", "criticism"), ("Suggestions for Improvement", "suggest")],
+    "service": [("Strengths", "praise"), ("Weaknesses", "criticism"), ("Suggestions for Improvement", "suggest")],
+    "amenities": [("Praised Features", "praise"), ("Criticized Features", "criticism"),
+                  ("Suggestions for Improvement", "suggest")],
+    "food_and_dining": [("Praised Items", "praise"), ("Criticized Items", "criticism"),
+                        ("Suggestions for Improvement", "suggest")],
+    "location_and_accessibility": [("Positive Aspects", "praise"), ("Negative Aspects", "criticism"),
+                                   ("Suggestions for Improvement", "suggest")],
+    "value_for_money": [("Positive Factors", "praise"), ("Negative Factors", "criticism"),
+                        ("Suggestions for Improvement", "suggest")],
+    "online_presence": [("Website Feedback", "praise"), ("Website Feedback", "criticism"),
+                        ("Social Media Feedback", "neutral"), ("Suggestions for Improvement", "suggest")],
+}
+
+
+def _star_sql(r):
+    c = f"least(greatest(coalesce(CAST({r} AS DOUBLE), 0.0), 0.0), 5.0)"
+    return (f"concat(repeat('★', CAST(floor({c}) AS INTEGER)), CASE WHEN {c} - floor({c}) >= 0.5 THEN '½' ELSE '' END, "
+            f"repeat('☆', CAST(greatest(0, 5 - ceil({c})) AS INTEGER)))")
+
+
+def _r1():
+    from guestlens.operators.report import SECTIONS
+    sec_no = {sec: i for i, (_, sec, _) in enumerate(SECTIONS, start=3)}
+    sec_title = {sec: t for t, sec, _ in SECTIONS}
+    rows = [(sec_no[a], sec_title[a], a, f, pol) for a, fl in REPORT_LISTS.items() for f, pol in fl]
+    layout = "layout AS " + _values(rows, ["section_no", "section", "aspect", "field", "pol"])
+    return with_(REVIEWS, NREVIEWS, SEL20, LEXICON, POLARITY, mentions_cte("sel20"), PLACES, _aspect_tables(),
+                 *summary_ctes("sel20"), HEADER, layout, """tp AS (
+  SELECT data_id, aspect, polarity AS pol, phrase AS text,
+    row_number() OVER (PARTITION BY data_id, aspect, polarity ORDER BY n DESC, phrase) - 1 AS ord
+  FROM (SELECT data_id, aspect, polarity, phrase, count(DISTINCT fetch_pos) AS n FROM mentions GROUP BY ALL) t
+  QUALIFY ord < 3)""", """sg AS (
+  SELECT c.data_id, c.aspect, 'suggest' AS pol, replace(i.template, '%s', c.term) AS text, c.r - 1 AS ord
+  FROM (SELECT *, row_number() OVER (PARTITION BY data_id, aspect ORDER BY n DESC, term) AS r
+        FROM (SELECT data_id, aspect, term, count(DISTINCT fetch_pos) AS n FROM mentions WHERE pol < 0
+              GROUP BY ALL) c0) c
+  JOIN aspect_info i ON i.aspect = c.aspect WHERE c.r <= 3)""", """lists AS (
+  SELECT l.section_no, l.section, l.field, x.data_id,
+    x.ord + CASE WHEN l.field = 'Website Feedback' AND x.pol = 'criticism'
+                 THEN (SELECT count(*) FROM tp t2 WHERE t2.data_id = x.data_id AND t2.aspect = x.aspect
+                       AND t2.pol = 'praise') ELSE 0 END AS ordinal, x.text
+  FROM (SELECT * FROM tp UNION ALL SELECT * FROM sg) x JOIN layout l ON l.aspect = x.aspect AND l.pol = x.pol)""",
+                 """pri AS (
+  SELECT s.data_id, s.aspect, s.issue, row_number() OVER (PARTITION BY s.data_id ORDER BY s.score DESC, ai.ord) AS p
+  FROM (SELECT a.data_id, a.aspect, a.score, iss.issue
+        FROM (SELECT data_id, aspect, sum(CASE WHEN rating > 0 THEN 5 - rating ELSE 0 END) AS score
+              FROM (SELECT DISTINCT data_id, fetch_pos, rating, aspect FROM mentions WHERE pol < 0) d GROUP BY ALL) a
+        JOIN (SELECT data_id, aspect, first(phrase ORDER BY n DESC, phrase) AS issue
+              FROM (SELECT data_id, aspect, phrase, count(DISTINCT fetch_pos) AS n FROM mentions WHERE pol < 0
+                    GROUP BY ALL) q GROUP BY ALL) iss USING (data_id, aspect)) s
+  JOIN aspect_info ai ON ai.aspect = s.aspect
+  QUALIFY p <= 5)""", body=f"""
+SELECT data_id, CAST(section_no AS BIGINT) AS section_no, section, field, CAST(ordinal AS BIGINT) AS ordinal, text FROM (
+  SELECT h.data_id, 0 AS section_no, 'Header' AS section, 'Title' AS field, 0 AS ordinal, coalesce(h.title, '') AS text
+  FROM hdr h JOIN summ USING (data_id)
+  UNION ALL
+  SELECT h.data_id, 0, 'Header', 'Rating', 0,
+    concat({_star_sql('h.rating')}, ' ', coalesce(CAST(h.rating AS VARCHAR), 'n/a'))
+  FROM hdr h JOIN summ USING (data_id)
+  UNION ALL SELECT data_id, 1, 'Summary', 'Summary', 0, coalesce(summary, '') FROM summ
+  UNION ALL SELECT data_id, 2, 'Overall Sentiment', 'Average Score', 0,
+    concat(coalesce(CAST(average_score AS VARCHAR), 'n/a'), '/5') FROM summ
+  UNION ALL SELECT data_id, 2, 'Overall Sentiment', 'Sentiment Distribution', 0,
+    concat('Positive: ', coalesce(CAST(positive_percentage AS VARCHAR), 'n/a'), '%') FROM summ
+  UNION ALL SELECT data_id, 2, 'Overall Sentiment', 'Sentiment Distribution', 1,
+    concat('Neutral: ', coalesce(CAST(neutral_percentage AS VARCHAR), 'n/a'), '%') FROM summ
+  UNION ALL SELECT data_id, 2, 'Overall Sentiment', 'Sentiment Distribution', 2,
+    concat('Negative: ', coalesce(CAST(negative_percentage AS VARCHAR), 'n/a'), '%') FROM summ
+  UNION ALL SELECT data_id, section_no, section, field, ordinal, text FROM lists
+  UNION ALL SELECT p.data_id, 10, 'Top Improvement Priorities', 'Priorities', (p.p - 1) * 4 + k.j,
+    CASE k.j WHEN 0 THEN concat('Priority ', CAST(p.p AS VARCHAR), ': ', ai.category)
+             WHEN 1 THEN concat('Issue: ', p.issue)
+             WHEN 2 THEN concat('Suggestion: ', replace(ai.template, '%s', p.issue))
+             ELSE concat('Potential Impact: ', ai.impact) END
+  FROM pri p JOIN aspect_info ai ON ai.aspect = p.aspect, (SELECT unnest([0, 1, 2, 3]) AS j) k
+  UNION ALL SELECT data_id, 11, 'Reviews', 'Reviews', rank_desc - 1,
+    concat("user", ' | ', {_star_sql('rating')}, ' | ', date, ' | ', review_text)
+  FROM sel20 WHERE rank_desc <= 10) u""")
+
+
+ORACLE["report_flatten"] = _r1()
