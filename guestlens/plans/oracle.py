@@ -618,3 +618,28 @@ SELECT data_id, CAST(section_no AS BIGINT) AS section_no, section, field, CAST(o
 
 
 ORACLE["report_flatten"] = _r1()
+
+ORACLE["full_analysis"] = with_(REVIEWS, NREVIEWS, PAGES, """kept AS (
+  SELECT data_id, page_no FROM (
+    SELECT *, coalesce(sum(n_reviews) OVER (PARTITION BY data_id ORDER BY page_no
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+              coalesce(bool_or(NOT has_next) OVER (PARTITION BY data_id ORDER BY page_no
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped
+    FROM pgx) t WHERE before < 150 AND NOT stopped)""", """chosen AS (
+  SELECT n.* FROM nreviews n JOIN kept USING (data_id, page_no))""",
+                                BATCHED.replace("FROM nreviews", "FROM chosen").format(bs=15), BATCH_STATE,
+                                LEXICON, POLARITY, mentions_cte("chosen"), body=f"""
+SELECT w.data_id, c.n_reviews, w.n_batches,
+  CAST(CASE WHEN w.n_batches > 1 THEN 1 + len(list_filter({_spans(7, 18)}, lambda s: w.n_batches > s)) ELSE 0 END
+       AS BIGINT) AS n_levels, {_scores()},
+  CAST(least(5, coalesce(m.n, 0)) AS BIGINT) AS n_priorities
+FROM (SELECT data_id, CAST(count(*) AS BIGINT) AS n_batches,
+        CAST(sum(n_rated * (batch_id + 1)) AS BIGINT) AS n_rated,
+        CAST(sum(sum_rating * (batch_id + 1)) AS DOUBLE) AS sum_rating,
+        CAST(sum(n_positive * (batch_id + 1)) AS BIGINT) AS n_positive,
+        CAST(sum(n_neutral * (batch_id + 1)) AS BIGINT) AS n_neutral,
+        CAST(sum(n_negative * (batch_id + 1)) AS BIGINT) AS n_negative
+      FROM batch_state GROUP BY data_id) w
+JOIN (SELECT data_id, CAST(count(*) AS BIGINT) AS n_reviews FROM chosen GROUP BY data_id) c USING (data_id)
+LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) m
+  USING (data_id)""")

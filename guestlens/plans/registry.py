@@ -466,3 +466,21 @@ def incremental_integration(spark, d):
     landing = pg.land_pages(pg.build_pages(r.filter(~cut), st.places(spark, d)), f"{base}/landing")
     inc.start(landing, f"{base}/checkpoint", first_epoch=1).awaitTermination()
     return inc.scores()
+
+
+@query("full_analysis")
+def full_analysis(spark, d):
+    """Reference flow (b) end to end: cap 150, batches of 15, combine tree,
+    recency-weighted scores; scalar view of each place's result."""
+    from guestlens.plans.full import full_analysis as fa
+    from guestlens.sources.scratch import materialize
+    h = _header(spark, d).select("data_id", "type", "title", "rating", "address",
+                                 F.lit("Success").alias("status"), "total_reviews", F.lit("").alias("created_at"))
+    res, tree = fa(_reviews(spark, d), h, st.TEST_LEXICON, st.TEST_POLARITY, reuse=materialize)
+    levels = tree.groupBy("data_id").agg(F.max("level").cast("long").alias("n_levels"))
+    a = F.col("hotel_analysis")
+    return res.join(levels, "data_id", "left").select(
+        "data_id", F.size("reviews").cast("long").alias("n_reviews"), "n_batches",
+        F.coalesce("n_levels", F.lit(0).cast("long")).alias("n_levels"),
+        *[a["overall_sentiment"][c].alias(c) for c in sen.SCORE_COLUMNS],
+        F.size(a["top_improvement_priorities"]).cast("long").alias("n_priorities"))
