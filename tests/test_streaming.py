@@ -39,3 +39,24 @@ def test_incremental_replay_and_late_reviews(spark):
     got = {r.data_id: (r.n_reviews, r.average_score) for r in inc.scores().collect()}
     full = old.unionByName(late).groupBy("data_id").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 1).alias("a"))
     assert got == {r.data_id: (r.n, r.a) for r in full.collect()}
+
+
+def test_status_stream_equals_batch(spark, tmp_path):
+    import datetime as dt
+    from guestlens.streaming.status import StatusTable, batch_equivalent, STATUS_EVENT_SCHEMA
+    t0 = dt.datetime(2024, 1, 1)
+    evs = [(1, "in_progress", t0, 1, None), (1, "completed", t0 + dt.timedelta(hours=2), 2, None),
+           (2, "in_progress", t0 + dt.timedelta(hours=1), 3, None), (3, "in_progress", t0, 4, None),
+           (2, "failed", t0 + dt.timedelta(hours=40), 5, "no_reviews"), (4, "completed", t0 + dt.timedelta(hours=30), 6, None)]
+    land = tmp_path / "status"
+    land.mkdir()
+    for i, e in enumerate(evs):
+        (land / f"e{i}.json").write_text(json.dumps({"token": e[0], "status": e[1], "created_at": e[2].isoformat(),
+                                                     "seq": e[3], "error": e[4]}) + "\n")
+    table = StatusTable(spark, work_path(spark, "test-status"))
+    table.start(str(land), work_path(spark, "test-status-ckpt"), max_files_per_trigger=2).awaitTermination()
+    got = sorted(tuple(r) for r in table.latest().select("token", "status").collect())
+    exp = sorted(tuple(r) for r in batch_equivalent(spark.createDataFrame(evs, STATUS_EVENT_SCHEMA))
+                 .select("token", "status").collect())
+    assert got == exp == [(2, "failed"), (4, "completed")]
+    assert not table.apply(spark.createDataFrame(evs[:1], STATUS_EVENT_SCHEMA), 0)   # replay ignored
