@@ -14,6 +14,10 @@ never finish.  ``running_total`` spreads each group over range partitions:
    rows; a window over it yields the offsets, which are broadcast (size bound
    proven by construction) and added - the big side is not shuffled again.
 
+The locally numbered ranges are written once (``sources.scratch.materialize``)
+because two branches read them (offsets and the final join); otherwise each
+branch would redo the sampling job and the range shuffle.
+
 The result equals ``sum(weight) over (partition by group order by order rows
 between unbounded preceding and current row)`` (or ``... 1 preceding`` when
 ``inclusive=False``).  ``order`` must be a total order inside each group.
@@ -31,6 +35,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guestlens.sources.scratch import materialize
+
 _P, _W, _L, _C, _O, _G = "_rt_part", "_rt_w", "_rt_local", "_rt_cnt", "_rt_off", "_rt_group"
 
 # Largest group one task may sort in a plain window.
@@ -66,7 +72,7 @@ def _ranged_total(df: DataFrame, group: list[str], order: list[Column], out: str
                 .withColumn(_W, w))
     local = Window.partitionBy(_P, *group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    numbered = ranged.withColumn(_L, F.sum(_W).over(local))
+    numbered = materialize(ranged.withColumn(_L, F.sum(_W).over(local)), "ranged-positions")
     # Totals per (partition, group): same partitioning as the window, no shuffle.
     per = numbered.groupBy(_P, *group).agg(F.sum(_W).alias(_C)).withColumn(_G, gkey)
     numbered = numbered.withColumn(_G, gkey)

@@ -22,9 +22,10 @@ from guestlens.sources.scratch import identity
 
 
 def full_selection(reviews: DataFrame, max_reviews: int = sel.DEFAULT_MAX_REVIEWS,
-                   pages: DataFrame | None = None) -> DataFrame:
+                   pages: DataFrame | None = None, reuse=identity) -> DataFrame:
     """Reviews on the pages kept by the page-granular cap."""
-    kept = sel.full_page_cap(pages if pages is not None else sel.page_counts(reviews), max_reviews)
+    pages = pages if pages is not None else reuse(sel.page_counts(reviews), "pages")
+    kept = sel.full_page_cap(pages, max_reviews)
     return reviews.join(kept.select("data_id", "page_no"), ["data_id", "page_no"], "left_semi")
 
 
@@ -33,7 +34,7 @@ def full_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tuple
                   k: int = 3, reuse=identity) -> tuple[DataFrame, DataFrame]:
     """Returns (results, tree): one nested result per place whose
     overall_sentiment is the recency-weighted one, and every combine node."""
-    chosen = reuse(full_selection(reviews, max_reviews), "full-selection")
+    chosen = reuse(full_selection(reviews, max_reviews, reuse=reuse), "full-selection")
     batched = reuse(sel.chronological_batches(chosen, batch_size), "full-batches")
     state = sen.batch_state(batched)
     tree = cmb.tree_combine(state, cmb.fan_in_for(batch_size))

@@ -122,8 +122,10 @@ def instant_select(spark, d):
 
 @query("full_page_cap")
 def full_page_cap(spark, d):
-    """Whole pages until 40 reviews are reached (crossing page kept)."""
-    return sel.full_page_cap(sel.page_counts(_reviews(spark, d)), max_reviews=40)
+    """Whole pages until 40 reviews are reached (crossing page kept).  The
+    per-page table (one row per page) is written once: W2 reads it three times."""
+    from guestlens.sources.scratch import materialize
+    return sel.full_page_cap(materialize(sel.page_counts(_reviews(spark, d)), "pages"), max_reviews=40)
 
 
 @query("chronological_batches")
@@ -142,8 +144,10 @@ def reviews_by_date(spark, d):
 
 @query("review_display_split")
 def review_display_split(spark, d):
-    """First 10 by date descending are shown."""
-    return sel.review_display_split(_reviews(spark, d)).select(
+    """First 10 by date descending are shown (the review table is read by
+    the top-k branch and the flag join, so it is written once)."""
+    from guestlens.sources.scratch import materialize
+    return sel.review_display_split(materialize(_reviews(spark, d), "reviews")).select(
         "data_id", "fetch_pos", "display_rank", "shown")
 
 
