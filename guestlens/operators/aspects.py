@@ -219,12 +219,13 @@ def _verdict(p: Column, c: Column, none_text: str, pos: str, neg: str, mixed: st
             .otherwise(F.concat(F.lit(mixed), detail)))
 
 
-def analysis_summary(places: DataFrame, sentiment: DataFrame, feedback: DataFrame,
+def analysis_summary(places: DataFrame, sentiment: DataFrame, m: DataFrame,
                      reviews: DataFrame, key: str = "data_id") -> DataFrame:
     """A10: per place the summary and verdict strings.
 
-    ``places`` (key, title), ``sentiment`` (A1), ``feedback`` (A5)."""
-    fb = feedback.withColumn("_o", aspect_order())
+    ``places`` (key, title), ``sentiment`` (A1), ``m`` (mentions)."""
+    fb = (_review_level(m, "aspect", "polarity").groupBy("data_id", "aspect", "polarity")
+          .agg(F.count(F.lit(1)).cast("long").alias("n_reviews")).withColumn("_o", aspect_order()))
     per = fb.groupBy("data_id").agg(
         F.min_by(F.col("aspect"), F.when(F.col("polarity") == "praise",
                                           F.struct(-F.col("n_reviews"), F.col("_o")))).alias("_best"),

@@ -53,8 +53,7 @@ def assemble_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[t
                lambda x: F.struct(x["category"].alias("category"), x["issue"].alias("issue"),
                                   x["suggestion"].alias("suggestion"),
                                   x["potential_impact"].alias("potential_impact"))).alias("priorities")))
-    summ = asp.analysis_summary(header, sen.overall_sentiment(reviews), asp.aspect_feedback(m, k),
-                                reviews, key=key)
+    summ = asp.analysis_summary(header, sen.overall_sentiment(reviews), m, reviews, key=key)
     j = summ.join(piv, "data_id", "left").join(pri, "data_id", "left")
 
     def L(a, p):

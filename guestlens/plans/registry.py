@@ -227,12 +227,11 @@ def aspect_suggestions(spark, d):
 @query("analysis_summary")
 def analysis_summary(spark, d):
     """A10: summary and verdict strings per place."""
-    from guestlens.operators.aspects import aspect_feedback as af
     from guestlens.operators.aspects import analysis_summary as summ
     from guestlens.sources.scratch import materialize
     r = materialize(_unordered(spark, d), "reviews")
     m = _mentions(spark, d, reviews=r, reuse=True)
-    return summ(st.places(spark, d), sen.overall_sentiment(r), af(m), r, key="place_key")
+    return summ(st.places(spark, d), sen.overall_sentiment(r), m, r, key="place_key")
 
 
 # --- combine / trend -----------------------------------------------------------
