@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cache_split(requests: DataFrame, store: DataFrame, latest_status: DataFrame | None = None):
+def cache_split(requests: DataFrame, store: DataFrame, latest_status: DataFrame | None = None,
+                refresh: bool = False):
     """Split requests ``(data_id, type)`` into hits (stored), running (a full
-    job for the token is in progress) and misses (work to do).
+    job for the token is in progress) and misses (work to do).  With
+    ``refresh`` stored reports are ignored (recomputed), running jobs are
+    still not started twice.
 
     Semi / anti joins on the request keys; requests are usually the small side
     and the planner broadcasts them after its size check."""
     keys = store.select("data_id", "type").distinct()
+    if refresh:
+        keys = keys.limit(0)
     hits = requests.join(keys, ["data_id", "type"], "left_semi")
     rest = requests.join(keys, ["data_id", "type"], "left_anti")
     if latest_status is None:
@@ -24,8 +29,9 @@ def cache_split(requests: DataFrame, store: DataFrame, latest_status: DataFrame
     return hits, running, misses
 
 
-def cache_decisions(requests: DataFrame, store: DataFrame, latest_status: DataFrame | None = None) -> DataFrame:
-    hits, running, misses = cache_split(requests, store, latest_status)
+def cache_decisions(requests: DataFrame, store: DataFrame, latest_status: DataFrame | None = None,
+                    refresh: bool = False) -> DataFrame:
+    hits, running, misses = cache_split(requests, store, latest_status, refresh)
     return (hits.withColumn("decision", F.lit("hit"))
             .unionByName(running.withColumn("decision", F.lit("running")))
             .unionByName(misses.withColumn("decision", F.lit("miss"))))

@@ -39,6 +39,8 @@ def test_cache_split_running(spark):
     req = spark.createDataFrame([(1, "full"), (1, "instant"), (2, "full"), (3, "full")], "data_id long, type string")
     d = {(r.data_id, r.type): r.decision for r in cache_decisions(req, store, latest_status(ev)).collect()}
     assert d == {(1, "full"): "hit", (1, "instant"): "miss", (2, "full"): "running", (3, "full"): "miss"}
+    r = {(x.data_id, x.type): x.decision for x in cache_decisions(req, store, latest_status(ev), refresh=True).collect()}
+    assert r == {(1, "full"): "miss", (1, "instant"): "miss", (2, "full"): "running", (3, "full"): "miss"}
 
 
 def test_status_latest_reply_and_expiry(spark):
