@@ -197,8 +197,16 @@ def recurring_themes(spark, d):
     return rt(_mentions(spark, d))
 
 
+def _batch_state_once(spark, d, batch_size):
+    """Per-batch state written once: the combine tree, trends and requests read
+    it from several branches."""
+    from guestlens.sources.scratch import materialize
+    return materialize(sen.batch_state(sel.chronological_batches(_reviews(spark, d), batch_size)), "batch-state")
+
+
 def _mentions_batched(spark, d, batch_size):
-    b = sel.chronological_batches(_reviews(spark, d), batch_size)
+    from guestlens.sources.scratch import materialize
+    b = materialize(sel.chronological_batches(_reviews(spark, d), batch_size), "batches")
     nb = b.groupBy("data_id").agg((F.max("batch_id") + 1).cast("long").alias("n_place_batches"))
     return _mentions(spark, d, reviews=b, extra=["batch_id"]).join(nb, "data_id")
 
@@ -240,14 +248,14 @@ def analysis_summary(spark, d):
 def tree_combine(spark, d):
     """A3: batches of 5, fan-in 2 then 10: every combine node."""
     from guestlens.operators.combine import fan_in_for, tree_combine as tc
-    return tc(sen.batch_state(sel.chronological_batches(_reviews(spark, d), 5)), fan_in_for(5))
+    return tc(_batch_state_once(spark, d, 5), fan_in_for(5))
 
 
 @query("period_trend")
 def period_trend(spark, d):
     """Batch-to-batch score change over batches of 5."""
     from guestlens.operators.combine import period_trend as pt
-    return pt(sen.batch_state(sel.chronological_batches(_reviews(spark, d), 5)))
+    return pt(_batch_state_once(spark, d, 5))
 
 
 # --- store, cache, status, search ------------------------------------------------
@@ -359,7 +367,7 @@ def analysis_requests(spark, d):
 def _nodes(spark, d, batch_size):
     from guestlens.functions.dates import display_date
     from guestlens.operators.combine import fan_in_for, tree_combine
-    bs = sen.batch_state(sel.chronological_batches(_reviews(spark, d), batch_size))
+    bs = _batch_state_once(spark, d, batch_size)
     leaves = sen.scores(bs).select(
         "data_id", F.lit(0).cast("long").alias("level"), F.col("batch_id").alias("node"),
         F.lit(1).cast("long").alias("n_children"), "n_reviews", *sen.SCORE_COLUMNS,
