@@ -96,3 +96,11 @@ def test_mentions_and_priorities(spark):
     fb = {(r.aspect, r.polarity): r for r in asp.aspect_feedback(m).collect()}
     assert fb[("accommodation", "criticism")].n_reviews == 2
     assert fb[("accommodation", "criticism")].top_phrases == "dirty room"
+
+
+def test_aspect_trend(spark):
+    rows = [(1, 1, 0, "accommodation", 1), (1, 2, 0, "accommodation", 1), (1, 3, 1, "accommodation", -1),
+            (1, 4, 2, "accommodation", -1), (1, 5, 2, "accommodation", 1), (1, 5, 2, "accommodation", 1)]
+    m = spark.createDataFrame(rows, "data_id long, review_id long, batch_id long, aspect string, pol int")
+    t = {r.batch_id: (r.net, r.trend) for r in cmb.aspect_trend(m).collect()}
+    assert t == {0: (2, "first"), 1: (-1, "declining"), 2: (0, "improving")}
