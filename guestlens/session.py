@@ -56,15 +56,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this setting names shared storage and is used as given.  Only
     when it is unset (local runs, tests) is a private folder created and set.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
-        or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Connect)
+        sc = None
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is not None:
+        d = d or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="guestlens-ckpt-")
-    if not sc.getCheckpointDir():
+        spark.conf.set("spark.checkpoint.dir", d)
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    # setCheckpointDir adds a random sub-folder; keep the user's root.
-    return d if not d.startswith("file:") else d[len("file:"):]
+    return d[len("file:"):] if d.startswith("file:") else d
 
 
 def work_path(spark: SparkSession, *parts: str, fresh: bool = True) -> str:
