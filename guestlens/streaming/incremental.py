@@ -62,6 +62,25 @@ class IncrementalSentiment:
         return (sen.scores(s).withColumn("n_unrated", F.col("n_reviews") - F.col("n_rated"))
                 .select("data_id", "n_reviews", "n_unrated", *sen.SCORE_COLUMNS))
 
+    def changes(self, threshold: float = 0.3) -> DataFrame:
+        """Places whose average score moved by at least ``threshold`` between
+        the two newest versions (new places count as changed)."""
+        v = self._versions()
+        top = [r[0] for r in v.select("epoch").distinct().orderBy(F.desc("epoch")).limit(2).collect()]
+        def avg(e):
+            x = v.filter(F.col("epoch") == F.lit(e))
+            return x.select("data_id", F.when(F.col("n_rated") > 0, F.col("sum_rating") / F.col("n_rated"))
+                            .alias("a"), "n_reviews")
+        cur = avg(top[0]).alias("c")
+        if len(top) < 2:
+            return cur.select("data_id", F.lit(None).cast("double").alias("previous_score"),
+                              F.round("a", 1).alias("current_score"), F.lit(True).alias("significant"))
+        prev = avg(top[1]).alias("p")
+        j = cur.join(prev, "data_id", "left")
+        d = F.col("c.a") - F.col("p.a")
+        return j.select("data_id", F.round("p.a", 1).alias("previous_score"), F.round("c.a", 1).alias("current_score"),
+                        (F.col("p.a").isNull() | (F.abs(d) >= threshold)).alias("significant"))
+
     def start(self, landing: str, checkpoint: str, first_epoch: int = 1) -> StreamingQuery:
         """Stream landed pages of new reviews into the state (epoch numbers
         start after the ones already stored)."""

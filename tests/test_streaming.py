@@ -37,6 +37,8 @@ def test_incremental_replay_and_late_reviews(spark):
     assert inc.apply(late, 1)
     assert not inc.apply(late, 1)            # replay of epoch 1 is a no-op
     got = {r.data_id: (r.n_reviews, r.average_score) for r in inc.scores().collect()}
+    ch = {r.data_id: (r.previous_score, r.current_score, r.significant) for r in inc.changes().collect()}
+    assert ch == {1: (3.0, 3.3, True), 2: (None, 3.0, True)}
     full = old.unionByName(late).groupBy("data_id").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 1).alias("a"))
     assert got == {r.data_id: (r.n, r.a) for r in full.collect()}
 
