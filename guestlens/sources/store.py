@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from guestlens.schemas import STORE_TYPES
+from guestlens.schemas import HOTEL_ANALYSIS, STORE_TYPES
 
 STORE_COLUMNS = ["data_id", "type", "analysis", "written_at", "seq"]
 
@@ -61,15 +61,19 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
     return all_versions.filter(F.col("version") == F.lit(latest)).drop("version").select(*STORE_COLUMNS)
 
 
-def lookup(store: DataFrame, requests: DataFrame) -> DataFrame:
+def lookup(store: DataFrame, requests: DataFrame, parse: bool = False) -> DataFrame:
     """S3: stored reports for each request ``(data_id, type)``; a NULL type
-    asks for both, instant first (type_order 0) then full (1)."""
+    asks for both, instant first (type_order 0) then full (1).  ``parse`` adds
+    ``report``: the stored JSON read with the report schema."""
     s = store.select(F.col("data_id").alias("_sd"), F.col("type").alias("_st"), "analysis", "written_at")
     cond = (requests.data_id == s._sd) & (requests.type.isNull() | (requests.type == s._st))
     j = requests.join(s, cond, "inner")
-    return j.select(F.col("data_id"), F.col("type").alias("requested_type"), F.col("_st").alias("type"),
-                    F.when(F.col("_st") == "instant", 0).otherwise(1).alias("type_order"),
-                    "analysis", "written_at")
+    out = j.select(F.col("data_id"), F.col("type").alias("requested_type"), F.col("_st").alias("type"),
+                   F.when(F.col("_st") == "instant", 0).otherwise(1).alias("type_order"),
+                   "analysis", "written_at")
+    if parse:
+        out = out.withColumn("report", F.from_json("analysis", HOTEL_ANALYSIS))
+    return out
 
 
 def stored_union(instant: DataFrame, full: DataFrame) -> DataFrame:

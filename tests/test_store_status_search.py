@@ -30,6 +30,9 @@ def test_upsert_versions_and_lookup(spark):
     got = sorted((r.data_id, r.requested_type or "", r.type, r.type_order)
                  for r in so.lookup(so.read_latest(spark, root), req).collect())
     assert got == [(1, "", "full", 1), (1, "", "instant", 0), (1, "full", "full", 1)]
+    w3 = writes(spark, [(4, "full", '{"hotel_name": "H", "overall_sentiment": {"average_score": 4.3}}', T0, 9)])
+    rep = so.lookup(w3, spark.createDataFrame([(4, "full")], "data_id long, type string"), parse=True).collect()[0]
+    assert rep.report.hotel_name == "H" and rep.report.overall_sentiment.average_score == 4.3
 
 
 def test_cache_split_running(spark):
