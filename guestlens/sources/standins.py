@@ -55,16 +55,16 @@ def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame
          .filter(F.col("s_suppkey").between(-9, 9)))
     p = (table(spark, sf_dir, "part").select("p_partkey", "p_name")
          .filter(F.col("p_partkey").between(-199, 199)))
-    p1 = p.select(F.col("p_partkey").alias("k1"), F.col("p_name").alias("n1"))
-    p2 = p.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("n2"))
+    # Both part joins use the same projection, so one broadcast is reused.
+    p1, p2 = p.alias("p1"), p.alias("p2")
     r = (e.join(s, s.s_suppkey == e.event_id % 10)
-          .join(p1, p1.k1 == e.event_id % 200)
-          .join(p2, p2.k2 == (e.event_id * 7 + 3) % 200)
+          .join(p1, F.col("p1.p_partkey") == e.event_id % 200)
+          .join(p2, F.col("p2.p_partkey") == (e.event_id * 7 + 3) % 200)
           .select(F.col("user_id").alias("data_id"), "event_id", "ts",
                   F.col("s_name").alias("reviewer"),
                   _rating_of(F.col("event_type")).alias("rating"),
                   F.when(F.col("event_id") % 10 == 0, F.lit(""))
-                   .otherwise(F.concat(F.col("n1"), F.lit(". "), F.col("n2"))).alias("review_text"),
+                   .otherwise(F.concat(F.col("p1.p_name"), F.lit(". "), F.col("p2.p_name"))).alias("review_text"),
                   "value"))
     if not ordered:
         return (r.drop("value").withColumn("fetch_pos", F.lit(None).cast("long"))
