@@ -94,3 +94,11 @@ def touched_places(new_reviews: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of ``table`` for places that received new reviews, so ranking jobs
     (priorities, trends) are re-run for those places only."""
     return table.join(new_reviews.select("data_id").distinct(), "data_id", "left_semi")
+
+
+def rebatch_touched(all_reviews: DataFrame, new_reviews: DataFrame, batch_size: int) -> DataFrame:
+    """Batch numbers of the places that received new reviews, recomputed over
+    all their reviews: an old-dated late review shifts every later batch of
+    its place, places without new reviews keep their batches."""
+    from guestlens.operators.select import chronological_batches
+    return chronological_batches(touched_places(new_reviews, all_reviews), batch_size)

@@ -62,3 +62,15 @@ def test_status_stream_equals_batch(spark, tmp_path):
                  .select("token", "status").collect())
     assert got == exp == [(2, "failed"), (4, "completed")]
     assert not table.apply(spark.createDataFrame(evs[:1], STATUS_EVENT_SCHEMA), 0)   # replay ignored
+
+
+def test_rebatch_touched_places(spark):
+    import datetime as dt
+    from guestlens.streaming.incremental import rebatch_touched
+    t0 = dt.datetime(2024, 1, 10)
+    old = [(1, i, t0 + dt.timedelta(days=i)) for i in range(1, 5)] + [(2, i, t0 + dt.timedelta(days=i)) for i in range(1, 3)]
+    late = [(1, 9, t0)]                                   # older than every stored review of place 1
+    schema = "data_id long, fetch_pos long, ts timestamp_ntz"
+    allr = spark.createDataFrame(old + late, schema)
+    b = {r.fetch_pos: r.batch_id for r in rebatch_touched(allr, spark.createDataFrame(late, schema), 2).collect()}
+    assert b == {9: 0, 1: 0, 2: 1, 3: 1, 4: 2}            # place 1 renumbered, place 2 untouched
