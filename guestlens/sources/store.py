@@ -1,10 +1,10 @@
 """The result store.
 
 The store is a Parquet table ``data_id, type, analysis, written_at, seq``
-partitioned by ``type`` and kept in versions ``<root>/version=<n>/type=...``.
+partitioned by ``type`` and kept in committed versions (``VersionedTable``).
 An upsert never rewrites files in place: it writes the merged table as a new
-version, so readers see either the old or the new version, and a failed
-write leaves the old one intact.
+version and commits it in the manifest, so readers see either the old or the
+new version, and a failed write leaves the old one in use.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-
 from guestlens.schemas import HOTEL_ANALYSIS, STORE_TYPES
+from guestlens.sources.versioned import VersionedTable
 
 STORE_COLUMNS = ["data_id", "type", "analysis", "written_at", "seq"]
 
@@ -41,24 +40,18 @@ def upsert(store: DataFrame | None, writes: DataFrame) -> DataFrame:
     return last_write(allrows)
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Write ``df`` as a new store version and return its folder."""
-    version = time.time_ns() // 1000
-    path = f"{root.rstrip('/')}/version={version}"
-    df.select(*STORE_COLUMNS).write.mode("errorifexists").partitionBy("type").parquet(path)
-    return path
+def write_version(df: DataFrame, root: str) -> int:
+    """Write ``df`` as a new committed store version and return its number."""
+    table = VersionedTable(df.sparkSession, root)
+    version = max(time.time_ns() // 1000, (table.latest_version() or 0) + 1)
+    table.write(df.select(*STORE_COLUMNS), version, partition_by=("type",))
+    return version
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete version (None when the store is empty)."""
-    try:
-        all_versions = spark.read.parquet(root)
-    except AnalysisException:
-        return None
-    latest = all_versions.agg(F.max("version")).first()[0]
-    if latest is None:
-        return None
-    return all_versions.filter(F.col("version") == F.lit(latest)).drop("version").select(*STORE_COLUMNS)
+    """The newest committed version (None when the store is empty)."""
+    latest = VersionedTable(spark, root).latest()
+    return None if latest is None else latest.select(*STORE_COLUMNS)
 
 
 def lookup(store: DataFrame, requests: DataFrame, parse: bool = False) -> DataFrame:

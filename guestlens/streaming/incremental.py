@@ -1,9 +1,10 @@
 """Update stored analyses with new reviews without recomputing history.
 
 Per-place sentiment state (sums and counts) is additive, so the state after
-new reviews is ``old + delta``.  State is kept in versions
-``<root>/epoch=<n>``; applying epoch n when that version already exists is a
-no-op, so a replayed micro-batch is not counted twice.
+new reviews is ``old + delta``.  State is kept in committed versions
+(``VersionedTable`` keyed by epoch); applying epoch n when that version is
+committed is a no-op, so a replayed micro-batch is not counted twice, and a
+write that died before its commit is simply redone.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
-
 from guestlens.operators import sentiment as sen
 from guestlens.operators.ingest import explode_pages
+from guestlens.sources.versioned import VersionedTable
 from guestlens.streaming.ingest import page_stream
 
 
@@ -31,30 +31,20 @@ def merge_state(old: DataFrame | None, delta: DataFrame) -> DataFrame:
 class IncrementalSentiment:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.root)
-        except AnalysisException:
-            return None
+        self.table = VersionedTable(spark, root, key="epoch")
 
     def latest(self) -> DataFrame | None:
-        v = self._versions()
-        if v is None:
-            return None
-        last = v.agg(F.max("epoch")).first()[0]
-        return v.filter(F.col("epoch") == F.lit(last)).drop("epoch")
+        return self.table.latest()
 
     def has_epoch(self, epoch: int) -> bool:
-        v = self._versions()
-        return v is not None and v.filter(F.col("epoch") == F.lit(epoch)).limit(1).count() > 0
+        return self.table.has(epoch)
 
     def apply(self, new_reviews: DataFrame, epoch: int) -> bool:
         """Add the reviews of one epoch; returns False when already applied."""
         if self.has_epoch(epoch):
             return False
         merged = merge_state(self.latest(), sentiment_state(new_reviews))
-        merged.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}")
+        self.table.write(merged, epoch)
         return True
 
     def scores(self) -> DataFrame:
@@ -65,11 +55,10 @@ class IncrementalSentiment:
     def changes(self, threshold: float = 0.3) -> DataFrame:
         """Places whose average score moved by at least ``threshold`` between
         the two newest versions (new places count as changed)."""
-        v = self._versions()
-        top = [r[0] for r in v.select("epoch").distinct().orderBy(F.desc("epoch")).limit(2).collect()]
+        top = list(reversed(self.table.versions()[-2:]))
+
         def avg(e):
-            x = v.filter(F.col("epoch") == F.lit(e))
-            return x.select("data_id", F.when(F.col("n_rated") > 0, F.col("sum_rating") / F.col("n_rated"))
+            return self.table.read(e).select("data_id", F.when(F.col("n_rated") > 0, F.col("sum_rating") / F.col("n_rated"))
                             .alias("a"), "n_reviews")
         cur = avg(top[0]).alias("c")
         if len(top) < 2:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
-
 from guestlens.operators.ingest import assign_fetch_pos, explode_pages
 from guestlens.schemas import PAGE_WITH_CORRUPT
+from guestlens.sources.versioned import VersionedTable
 
 
 def page_stream(spark: SparkSession, landing: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -21,11 +20,14 @@ def page_stream(spark: SparkSession, landing: str, max_files_per_trigger: int =
 def start_page_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                       available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
     """Stream landed pages into ``sink`` (review rows) and ``sink + '_corrupt'``
-    (unreadable lines), one folder per epoch."""
+    (unreadable lines), one committed version per epoch: a replayed epoch
+    overwrites its own uncommitted output, readers see committed epochs only."""
+    rows_table = VersionedTable(spark, sink, key="epoch")
+    bad_table = VersionedTable(spark, f"{sink}_corrupt", key="epoch")
+
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        explode_pages(batch).write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
-        bad = batch.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
-        bad.write.mode("overwrite").parquet(f"{sink}_corrupt/epoch={epoch_id}")
+        bad_table.write(batch.filter(F.col("_corrupt").isNotNull()).select("_corrupt"), epoch_id)
+        rows_table.write(explode_pages(batch), epoch_id)
 
     w = (page_stream(spark, landing, max_files_per_trigger).writeStream
          .foreachBatch(write_batch).option("checkpointLocation", checkpoint))
@@ -35,8 +37,5 @@ def start_page_ingest(spark: SparkSession, landing: str, sink: str, checkpoint:
 
 def read_ingested(spark: SparkSession, sink: str) -> DataFrame | None:
     """The ingested reviews with fetch positions (same rows as batch P1)."""
-    try:
-        rows = spark.read.parquet(sink)
-    except AnalysisException:
-        return None
-    return assign_fetch_pos(rows.drop("epoch"))
+    rows = VersionedTable(spark, sink, key="epoch").read_all()
+    return None if rows is None else assign_fetch_pos(rows)

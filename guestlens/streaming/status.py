@@ -2,8 +2,9 @@
 merged into the latest-status table (one row per token) and entries older
 than the TTL at the newest seen time are dropped.
 
-The table is kept in versions ``<root>/epoch=<n>``; an epoch that already has
-a version is skipped, so a replayed micro-batch changes nothing.  No state
+The table is kept in committed versions keyed by epoch (``VersionedTable``);
+an epoch that is already committed is skipped, so a replayed micro-batch
+changes nothing.  No state
 server or port is needed (``foreachBatch`` only).
 """
 
@@ -12,33 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
-
 from guestlens.operators.status import TTL_HOURS, latest_status
+from guestlens.sources.versioned import VersionedTable
 
 STATUS_EVENT_SCHEMA = "token long, status string, created_at timestamp_ntz, seq long, error string"
 
 
 class StatusTable:
     def __init__(self, spark: SparkSession, root: str, ttl_hours: int = TTL_HOURS):
-        self.spark, self.root, self.ttl = spark, root.rstrip("/"), ttl_hours
-
-    def _versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.root)
-        except AnalysisException:
-            return None
+        self.spark, self.ttl = spark, ttl_hours
+        self.table = VersionedTable(spark, root, key="epoch")
 
     def latest(self) -> DataFrame | None:
-        v = self._versions()
-        if v is None:
-            return None
-        last = v.agg(F.max("epoch")).first()[0]
-        return v.filter(F.col("epoch") == F.lit(last)).drop("epoch")
+        return self.table.latest()
 
     def apply(self, events: DataFrame, epoch: int) -> bool:
-        v = self._versions()
-        if v is not None and v.filter(F.col("epoch") == F.lit(epoch)).limit(1).count() > 0:
+        if self.table.has(epoch):
             return False
         cur = self.latest()
         ev = events.select("token", "status", "created_at", "seq", "error")
@@ -50,7 +40,7 @@ class StatusTable:
         # TTL at the newest time seen so far: a window-free filter against one scalar.
         newest = merged.agg(F.max("created_at")).first()[0]
         kept = merged.filter(F.col("created_at") >= F.lit(newest) - F.expr(f"INTERVAL {self.ttl} HOURS"))
-        kept.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}")
+        self.table.write(kept, epoch)
         return True
 
     def start(self, landing: str, checkpoint: str, max_files_per_trigger: int = 100) -> StreamingQuery:

@@ -77,3 +77,15 @@ def test_place_search(spark):
     only_hotels = place_search(q, places, type_filter="hotel").filter("query_id = 1").collect()
     assert sorted(x.data_id for x in only_hotels) == [1, 2]
     assert place_search(q, places, k=1).filter("query_id = 1").count() == 1
+
+
+def test_uncommitted_version_is_ignored(spark):
+    from guestlens.sources.versioned import VersionedTable
+    root = work_path(spark, "test-versioned")
+    t = VersionedTable(spark, root)
+    t.write(spark.createDataFrame([(1,)], "x long"), 1)
+    # a version whose data landed but whose commit never happened (job died)
+    spark.createDataFrame([(2,)], "x long").write.parquet(f"{root}/data/version=2")
+    assert t.versions() == [1] and [r.x for r in t.latest().collect()] == [1]
+    t.write(spark.createDataFrame([(3,)], "x long"), 2)     # the retry overwrites and commits
+    assert t.versions() == [1, 2] and [r.x for r in t.latest().collect()] == [3]
