@@ -1,16 +1,9 @@
-"""Text helpers: sentences, words, star bars, prompt lines."""
+"""Text helpers: words and star bars."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sentences(c: Column | str) -> Column:
-    """Lower-cased sentences of a review (split on . ! ? and line breaks)."""
-    c = F.col(c) if isinstance(c, str) else c
-    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[.!?\n]+")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
-
-
 def words(c: Column | str) -> Column:
     """Words of a sentence (letters, digits, apostrophes)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -26,9 +19,3 @@ def star_bar(rating: Column | str) -> Column:
     half = F.when(r - F.floor(r) >= 0.5, F.lit("½")).otherwise(F.lit(""))
     empty = F.greatest(F.lit(0), F.lit(5) - F.ceil(r).cast("int"))
     return F.concat(F.repeat(F.lit("★"), full), half, F.repeat(F.lit("☆"), empty))
-
-
-def review_line(user: str, rating: str, date: str, text: str) -> Column:
-    """One review as a line of a model request."""
-    return F.format_string("- %s gave a rating of '%s/5' on '%s' with comment %s",
-                           F.col(user), F.col(rating).cast("string"), F.col(date), F.col(text))

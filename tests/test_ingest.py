@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from guestlens.operators.ingest import no_review_places, normalize_reviews, place_header, place_status
+from guestlens.operators.ingest import (no_review_places, normalize_reviews, place_header, place_status,
+                                       quarantine)
 from guestlens.sources.pages import page_summary, scan_pages
 
 
@@ -46,6 +47,8 @@ def test_defaults_and_quarantine(spark, land_lines):
     assert [x.bad_reason for x in r] == [None, None, None, "bad rating", None, "bad date", "bad date"]
     st = place_status(normalize_reviews(pages)).collect()[0]
     assert (st.n_good, st.n_quarantined, st.status) == (4, 3, "Partial")
+    good, held = quarantine(normalize_reviews(pages))
+    assert good.count() == 4 and sorted(r.fetch_pos for r in held.collect()) == [4, 6, 7]
 
 
 def test_status_error_when_nothing_usable(spark, land_lines):
