@@ -91,3 +91,68 @@ def rebatch_touched(all_reviews: DataFrame, new_reviews: DataFrame, batch_size:
     its place, places without new reviews keep their batches."""
     from guestlens.operators.select import chronological_batches
     return chronological_batches(touched_places(new_reviews, all_reviews), batch_size)
+
+
+class IncrementalPriorities:
+    """T2, priorities: keep additive criticism state and re-rank touched places.
+
+    Two states add up over disjoint review sets: per (place, aspect) the
+    criticising reviews and their rating shortfall, and per (place, aspect,
+    phrase) the criticising reviews.  The top-k ranking is recomputed only for
+    places that received new reviews; the others keep their stored ranking."""
+
+    def __init__(self, spark: SparkSession, root: str, lexicon, polarity, k: int = 5):
+        self.spark, self.k = spark, k
+        self.lexicon, self.polarity = lexicon, polarity
+        self.aspects = VersionedTable(spark, f"{root.rstrip('/')}/aspects", key="epoch")
+        self.phrases = VersionedTable(spark, f"{root.rstrip('/')}/phrases", key="epoch")
+        self.ranking = VersionedTable(spark, f"{root.rstrip('/')}/ranking", key="epoch")
+
+    def _deltas(self, reviews: DataFrame):
+        from guestlens.operators import aspects as asp
+        crit = asp.mentions(reviews, self.lexicon, self.polarity).filter(F.col("pol") < 0)
+        per_review = crit.select("data_id", "review_id", "rating", "aspect").dropDuplicates(
+            ["data_id", "review_id", "aspect"])
+        a = per_review.groupBy("data_id", "aspect").agg(
+            F.count(F.lit(1)).cast("long").alias("n_reviews"),
+            F.sum(F.when(F.col("rating") > 0, 5 - F.col("rating")).otherwise(0)).cast("double").alias("score"))
+        p = (crit.select("data_id", "review_id", "aspect", "phrase").dropDuplicates()
+             .groupBy("data_id", "aspect", "phrase").agg(F.count(F.lit(1)).cast("long").alias("n")))
+        return a, p
+
+    @staticmethod
+    def _add(old: DataFrame | None, delta: DataFrame, keys: list[str]) -> DataFrame:
+        both = delta if old is None else old.unionByName(delta)
+        vals = [c for c in delta.columns if c not in keys]
+        return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in vals]).select(*delta.columns)
+
+    def rank(self, aspects: DataFrame, phrases: DataFrame) -> DataFrame:
+        from pyspark.sql import Window
+        from guestlens.operators import aspects as asp
+        issue = phrases.groupBy("data_id", "aspect").agg(
+            F.min_by("phrase", F.struct(-F.col("n"), F.col("phrase"))).alias("issue"))
+        w = Window.partitionBy("data_id").orderBy(F.desc("score"), asp.aspect_order())
+        top = (aspects.withColumn("priority", F.row_number().over(w).cast("long"))
+               .filter(F.col("priority") <= self.k).join(issue, ["data_id", "aspect"]))
+        sug, imp = asp._playbook_cols(F.col("issue"))
+        return top.select("data_id", "priority", asp.category_name().alias("category"), "issue",
+                          sug.alias("suggestion"), imp.alias("potential_impact"), "score", "n_reviews")
+
+    def apply(self, new_reviews: DataFrame, epoch: int) -> bool:
+        if self.ranking.has(epoch):
+            return False
+        da, dp = self._deltas(new_reviews)
+        a = self._add(self.aspects.latest(), da, ["data_id", "aspect"])
+        p = self._add(self.phrases.latest(), dp, ["data_id", "aspect", "phrase"])
+        self.aspects.write(a, epoch)
+        self.phrases.write(p, epoch)
+        a, p = self.aspects.read(epoch), self.phrases.read(epoch)
+        touched = new_reviews.select("data_id").distinct()
+        fresh = self.rank(a.join(touched, "data_id", "left_semi"), p.join(touched, "data_id", "left_semi"))
+        old = self.ranking.latest()
+        kept = None if old is None else old.join(touched, "data_id", "left_anti")
+        self.ranking.write(fresh if kept is None else kept.unionByName(fresh), epoch)
+        return True
+
+    def priorities(self) -> DataFrame:
+        return self.ranking.latest()

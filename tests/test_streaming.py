@@ -74,3 +74,18 @@ def test_rebatch_touched_places(spark):
     allr = spark.createDataFrame(old + late, schema)
     b = {r.fetch_pos: r.batch_id for r in rebatch_touched(allr, spark.createDataFrame(late, schema), 2).collect()}
     assert b == {9: 0, 1: 0, 2: 1, 3: 1, 4: 2}            # place 1 renumbered, place 2 untouched
+
+
+def test_incremental_priorities_equal_batch(spark):
+    from guestlens.operators.aspects import improvement_priorities, mentions
+    from guestlens.sources import standins as st
+    from guestlens.streaming.incremental import IncrementalPriorities
+    r = st.normalized_reviews(spark, "/root/testdata/sf0.001", ordered=False)
+    cut = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))
+    inc = IncrementalPriorities(spark, work_path(spark, "test-prio"), st.TEST_LEXICON, st.TEST_POLARITY)
+    assert inc.apply(r.filter(cut), 0)
+    assert inc.apply(r.filter(~cut), 1)
+    assert not inc.apply(r.filter(~cut), 1)
+    got = sorted(tuple(x) for x in inc.priorities().collect())
+    exp = sorted(tuple(x) for x in improvement_priorities(mentions(r, st.TEST_LEXICON, st.TEST_POLARITY)).collect())
+    assert got == exp and len(got) > 0
