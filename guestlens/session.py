@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -21,6 +22,27 @@ DEFAULT_CONF = {
 }
 
 
+def partition_settings(input_bytes: int, cores: int, target_bytes: int = 256 * 2**20,
+                       expansion: float = 2.0, max_partitions: int = 100_000) -> dict[str, str]:
+    """Scan and shuffle sizes so each task's partition fits executor memory.
+
+    Shuffle partitions ~ input x expansion (text -> exploded mentions) /
+    target, at least two per core; when that exceeds ``max_partitions`` the
+    target grows instead (so 100 TB gives 100,000 partitions of ~2 GiB input
+    shuffle each, which Tungsten sorts with spill).  AQE then coalesces small
+    partitions toward the target and splits skewed join partitions."""
+    n = max(2 * cores, math.ceil(input_bytes * expansion / target_bytes))
+    if n > max_partitions:
+        target_bytes = math.ceil(input_bytes * expansion / max_partitions)
+        n = max_partitions
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(target_bytes, 1024 * 2**20)),
+        "spark.sql.files.maxPartitionBytes": str(min(target_bytes, 1024 * 2**20)),
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "guestlens", extra: dict | None = None) -> SparkSession:
     """Session for tests, the bench and local runs (UI off, no extra ports)."""

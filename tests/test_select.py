@@ -97,3 +97,12 @@ def test_running_total_matches_window_on_skewed_data(spark):
     assert plain == exp
     excl = running_total(df, ["g"], ["o"], "rt", weight="w", inclusive=False, max_window_rows=100).collect()
     assert all(exp[(r.g, r.o)] - r.w == r.rt for r in excl)
+
+
+def test_partition_settings():
+    from guestlens.session import partition_settings
+    small = partition_settings(10 * 2**20, cores=8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    big = partition_settings(100 * 10**12, cores=16000)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert int(big["spark.sql.files.maxPartitionBytes"]) <= 1024 * 2**20
