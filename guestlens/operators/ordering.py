@@ -51,12 +51,17 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                   out: str, weight: str | Column | None = None,
-                  inclusive: bool = True, max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
+                  inclusive: bool = True, max_window_rows: int | None = MAX_WINDOW_ROWS,
+                  size_bound: DataFrame | None = None) -> DataFrame:
+    """``size_bound``: an optional cheaper DataFrame with the group columns
+    whose per-group row counts are >= those of ``df`` (e.g. the raw table
+    before filtering joins); the group-size check then reads it instead."""
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     w = F.lit(1).cast("long") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast("long")
-    if max_window_rows is not None and largest_group(df, group) <= max_window_rows:
+    probe = size_bound if size_bound is not None else df
+    if max_window_rows is not None and largest_group(probe, group) <= max_window_rows:
         frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow if inclusive else -1)
         total = F.sum(w).over(frame)
@@ -94,6 +99,7 @@ def _ranged_total(df: DataFrame, group: list[str], order: list[Column], out: str
 
 
 def position(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-             out: str, max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
+             out: str, max_window_rows: int | None = MAX_WINDOW_ROWS,
+             size_bound: DataFrame | None = None) -> DataFrame:
     """1-based dense position (``row_number``) of each row inside its group."""
-    return running_total(df, group, order, out, max_window_rows=max_window_rows)
+    return running_total(df, group, order, out, max_window_rows=max_window_rows, size_bound=size_bound)

@@ -69,7 +69,10 @@ def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame
     if not ordered:
         return (r.drop("value").withColumn("fetch_pos", F.lit(None).cast("long"))
                 .withColumn("page_no", F.lit(None).cast("long")))
-    r = position(r, ["data_id"], [F.col("value").desc(), F.col("event_id").asc()], "fetch_pos")
+    # Inner joins only drop events, so events per user bound reviews per place:
+    # the group-size check reads one column of events, not the joined rows.
+    r = position(r, ["data_id"], [F.col("value").desc(), F.col("event_id").asc()], "fetch_pos",
+                 size_bound=e.select(F.col("user_id").alias("data_id")))
     return (r.drop("value")
              .withColumn("page_no", F.floor((F.col("fetch_pos") - 1) / PAGE_SIZE).cast("long")))
 
