@@ -13,7 +13,8 @@ def _strings():
     return T.ArrayType(S)
 
 
-# One landed review page as the search API returns it.
+# One landed review page as the search API returns it.  Fixed values: the
+# field names below are the page format's own and must match it exactly.
 # Ratings are read as text and cast per review, so one malformed rating does
 # not turn the whole page line into a corrupt record.
 PAGE_REVIEW = _struct(
