@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import minute_key
-from guestlens.operators.ordering import position
+from guestlens.operators.ordering import MAX_WINDOW_ROWS, position
 
 DEFAULT_NUM_REVIEWS = 20      # instant analysis
 DEFAULT_MAX_REVIEWS = 150     # full analysis (page-granular)
@@ -60,26 +60,29 @@ def full_page_cap(pages: DataFrame, max_reviews: int = DEFAULT_MAX_REVIEWS) -> D
             .drop("_ed", "_end"))
 
 
-def chronological_batches(reviews: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+def chronological_batches(reviews: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
+                          max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
     """Number reviews by date ascending (minute resolution, ties in fetch
     order) and cut them into consecutive batches of ``batch_size``.  Adds
     date_pos (1-based), batch_id (0-based) and batch_pos."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     r = position(reviews.withColumn("_minute", minute_key("ts")), ["data_id"],
-                 ["_minute", "fetch_pos"], "date_pos")
+                 ["_minute", "fetch_pos"], "date_pos", max_window_rows=max_window_rows)
     return (r.drop("_minute")
             .withColumn("batch_id", F.floor((F.col("date_pos") - 1) / batch_size).cast("long"))
             .withColumn("batch_pos", ((F.col("date_pos") - 1) % batch_size + 1).cast("long")))
 
 
-def reviews_by_date(reviews: DataFrame) -> DataFrame:
+def reviews_by_date(reviews: DataFrame, max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
     """O1: date order at minute resolution in both directions; equal minutes
     keep fetch order in both (a stable sort, also when reversed).  Adds
     rank_asc and rank_desc (1-based, per place)."""
     r = reviews.withColumn("_minute", minute_key("ts"))
-    r = position(r, ["data_id"], [F.col("_minute").asc(), F.col("fetch_pos").asc()], "rank_asc")
-    r = position(r, ["data_id"], [F.col("_minute").desc(), F.col("fetch_pos").asc()], "rank_desc")
+    r = position(r, ["data_id"], [F.col("_minute").asc(), F.col("fetch_pos").asc()], "rank_asc",
+                 max_window_rows=max_window_rows)
+    r = position(r, ["data_id"], [F.col("_minute").desc(), F.col("fetch_pos").asc()], "rank_desc",
+                 max_window_rows=max_window_rows)
     return r.drop("_minute")
 
 

@@ -106,3 +106,20 @@ def test_partition_settings():
     big = partition_settings(100 * 10**12, cores=16000)
     assert big["spark.sql.shuffle.partitions"] == "100000"
     assert int(big["spark.sql.files.maxPartitionBytes"]) <= 1024 * 2**20
+
+
+def test_hot_place_ranged_equals_plain(spark):
+    # place 0 holds ~90 % of the rows; many same-minute ties
+    base = dt.datetime(2024, 1, 1)
+    rows = [(0, i, base + dt.timedelta(seconds=7 * (i % 400))) for i in range(1, 1801)] + \
+           [(g, i, base + dt.timedelta(minutes=i)) for g in range(1, 21) for i in range(1, 11)]
+    df = reviews(spark, rows).repartition(5)
+    key = ["data_id", "fetch_pos"]
+    plain_b = sorted(tuple(r) for r in sel.chronological_batches(df, 15).select(*key, "date_pos", "batch_id").collect())
+    ranged_b = sorted(tuple(r) for r in sel.chronological_batches(df, 15, max_window_rows=50)
+                      .select(*key, "date_pos", "batch_id").collect())
+    assert plain_b == ranged_b and len(plain_b) == 2000
+    plain_o = sorted(tuple(r) for r in sel.reviews_by_date(df).select(*key, "rank_asc", "rank_desc").collect())
+    ranged_o = sorted(tuple(r) for r in sel.reviews_by_date(df, max_window_rows=50)
+                      .select(*key, "rank_asc", "rank_desc").collect())
+    assert plain_o == ranged_o
