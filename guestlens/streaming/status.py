@@ -20,8 +20,10 @@ STATUS_EVENT_SCHEMA = "token long, status string, created_at timestamp_ntz, seq
 
 
 class StatusTable:
-    def __init__(self, spark: SparkSession, root: str, ttl_hours: int = TTL_HOURS):
-        self.spark, self.ttl = spark, ttl_hours
+    def __init__(self, spark: SparkSession, root: str, ttl_hours: int = TTL_HOURS, as_of=None):
+        """``as_of``: fixed reference time for expiry; default the newest
+        status time seen so far."""
+        self.spark, self.ttl, self.as_of = spark, ttl_hours, as_of
         self.table = VersionedTable(spark, root, key="epoch")
 
     def latest(self) -> DataFrame | None:
@@ -38,7 +40,7 @@ class StatusTable:
                   .agg(F.max_by(F.struct("status", "created_at", "seq", "error"), order).alias("_s"))
                   .select("token", "_s.*"))
         # TTL at the newest time seen so far: a window-free filter against one scalar.
-        newest = merged.agg(F.max("created_at")).first()[0]
+        newest = self.as_of or merged.agg(F.max("created_at")).first()[0]
         kept = merged.filter(F.col("created_at") >= F.lit(newest) - F.expr(f"INTERVAL {self.ttl} HOURS"))
         self.table.write(kept, epoch)
         return True
