@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Coalesce shuffle partitions to the advisory size instead of keeping
+    # parallelism: fewer tiny tasks on shared clusters.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 
