@@ -167,7 +167,7 @@ def persistent_themes(m_batched: DataFrame, min_batches: int = 2, min_share: flo
         (F.col("last_batch") == F.col("n_place_batches") - 1).alias("recent"))
 
 
-def _playbook_cols(issue: Column) -> tuple[Column, Column]:
+def playbook_columns(issue: Column) -> tuple[Column, Column]:
     sug = _map([(a, s) for a, (s, _) in PLAYBOOK.items()])
     imp = _map([(a, i) for a, (_, i) in PLAYBOOK.items()])
     return (F.replace(F.try_element_at(sug, F.col("aspect")), F.lit("%s"), issue),
@@ -187,7 +187,7 @@ def aspect_suggestions(m: DataFrame, k: int = 3) -> DataFrame:
     c = criticised_terms(m)
     w = Window.partitionBy("data_id", "aspect").orderBy(F.desc("n_reviews"), "term")
     top = c.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    sug, _ = _playbook_cols(F.col("term"))
+    sug, _ = playbook_columns(F.col("term"))
     return top.select("data_id", "aspect", "rank", "term", "n_reviews", sug.alias("suggestion"))
 
 
@@ -204,7 +204,7 @@ def improvement_priorities(m: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("data_id").orderBy(F.desc("score"), aspect_order())
     top = (per_aspect.withColumn("priority", F.row_number().over(w).cast("long"))
            .filter(F.col("priority") <= k).join(issue, ["data_id", "aspect"]))
-    sug, imp = _playbook_cols(F.col("issue"))
+    sug, imp = playbook_columns(F.col("issue"))
     return top.select("data_id", "priority", category_name().alias("category"), "issue",
                       sug.alias("suggestion"), imp.alias("potential_impact"), "score", "n_reviews")
 

@@ -134,7 +134,7 @@ class IncrementalPriorities:
         w = Window.partitionBy("data_id").orderBy(F.desc("score"), asp.aspect_order())
         top = (aspects.withColumn("priority", F.row_number().over(w).cast("long"))
                .filter(F.col("priority") <= self.k).join(issue, ["data_id", "aspect"]))
-        sug, imp = asp._playbook_cols(F.col("issue"))
+        sug, imp = asp.playbook_columns(F.col("issue"))
         return top.select("data_id", "priority", asp.category_name().alias("category"), "issue",
                           sug.alias("suggestion"), imp.alias("potential_impact"), "score", "n_reviews")
 
