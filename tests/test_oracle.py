@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import TABLES, digest  # noqa: E402
+from oracle_check import TABLES, digest, duck_types, spark_types  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,10 +32,10 @@ def test_query_matches_oracle(spark, duck, name):
     if sql is None:
         assert df.columns and rows is not None
         return
-    cur = duck.execute(sql)
-    ocols = [d[0] for d in cur.description]
+    rel = duck.sql(sql)
+    assert spark_types(df) == duck_types(rel)
     sc, sl, sh = digest(df.columns, rows)
-    oc, ol, oh = digest(ocols, cur.fetchall())
+    oc, ol, oh = digest(list(rel.columns), rel.fetchall())
     assert sc == oc
     assert len(sl) == len(ol)
     assert sh == oh, (sorted(set(sl) - set(ol))[:3], sorted(set(ol) - set(sl))[:3])
