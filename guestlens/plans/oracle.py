@@ -214,7 +214,7 @@ def _aspect_tables():
 
 MENTIONS = r"""sents AS (
   SELECT data_id, fetch_pos, rating, ts, {extra} unnest(ss) AS sentence, unnest(range(0, len(ss))) AS sent_no
-  FROM (SELECT *, list_filter(list_transform(string_split_regex(lower(coalesce(review_text, '')), '[.!?\n]+'),
+  FROM (SELECT *, list_filter(list_transform(string_split_regex(lower(coalesce(review_text, '')), '[.!?;,\n]+|\s+but\s+'),
                                              lambda x: trim(x)), lambda x: x <> '') AS ss FROM {src}) s0),
 wrds AS (
   SELECT data_id, fetch_pos, sent_no, unnest(list_filter(regexp_split_to_array(sentence, '[^\p{{L}}\p{{N}}'']+'),

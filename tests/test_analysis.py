@@ -104,3 +104,18 @@ def test_aspect_trend(spark):
     m = spark.createDataFrame(rows, "data_id long, review_id long, batch_id long, aspect string, pol int")
     t = {r.batch_id: (r.net, r.trend) for r in cmb.aspect_trend(m).collect()}
     assert t == {0: (2, "first"), 1: (-1, "declining"), 2: (0, "improving")}
+
+
+def test_hotel_vocabulary_clauses(spark):
+    from guestlens.operators.vocabulary import HOTEL_LEXICON, HOTEL_POLARITY
+    rows = [(1, 1, 4.0, "The room was clean but the staff were rude."),
+            (1, 2, 2.0, "Breakfast was cold; overpriced for the price, great location!"),
+            (1, 3, 5.0, "Very nice property good for family stay")]
+    df = spark.createDataFrame(rows, "data_id long, review_id long, rating double, review_text string") \
+        .withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    got = sorted((r.review_id, r.aspect, r.polarity, r.phrase)
+                 for r in asp.mentions(df, HOTEL_LEXICON, HOTEL_POLARITY).collect())
+    assert got == [(1, "accommodation", "praise", "clean room"), (1, "service", "criticism", "rude staff"),
+                   (2, "food_and_dining", "criticism", "cold breakfast"),
+                   (2, "location_and_accessibility", "praise", "great location"),
+                   (2, "value_for_money", "criticism", "overpriced price")]
