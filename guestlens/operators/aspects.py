@@ -51,6 +51,8 @@ PLAYBOOK = {
 MAX_VOCABULARY = 50_000
 # Mentions are taken per clause: sentences, then commas, semicolons and "but".
 CLAUSE_SPLIT = r"[.!?;,\n]+|\s+but\s+"
+# Fixed values (ours): a polarity word right after one of these flips its sign.
+NEGATORS = ["not", "no", "never", "hardly", "isn't", "wasn't", "aren't", "weren't", "don't", "didn't"]
 
 
 def _polarity_label() -> Column:
@@ -81,9 +83,9 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
     data_id, review_id, rating, ts, sent_no, term, aspect, pol, polarity,
     phrase (+ the ``extra`` review columns, e.g. batch_id).
 
-    Sentences are exploded as rows (``sent_no`` may skip empty pieces); terms
-    and modifiers come from ``array_intersect`` with the vocabularies, so only
-    the polarity sum uses a lambda."""
+    Clauses are exploded as rows (``sent_no`` may skip empty pieces); terms
+    come from ``array_intersect`` with the lexicon; a polarity word right
+    after a negator counts negatively and shows as "not <word>"."""
     if len(lexicon) > MAX_VOCABULARY or len(polarity) > MAX_VOCABULARY:
         raise ValueError("vocabulary too large for an inline lookup")
     lex, pol = _map(lexicon), _map([(t, int(p)) for t, p in polarity])
@@ -94,12 +96,22 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
                                                    CLAUSE_SPLIT)).alias("sent_no", "_s"))
     s = s.select(*keep, "sent_no", F.trim("_s").alias("_s")).filter(F.col("_s") != "")
     w = F.col("_w")
+    negators = F.array(*[F.lit(x) for x in NEGATORS])
     s = s.select(*keep, "sent_no", words("_s").alias("_w"))
+
+    def negated(i):
+        return (i > 0) & F.array_contains(negators, F.element_at(w, F.greatest(i, F.lit(1))))
+
     s = s.select(
         *keep, "sent_no",
         F.array_intersect(w, lex_terms).alias("_terms"),
-        F.aggregate(w, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(pol, x), F.lit(0))).alias("pol"),
-        F.array_join(F.array_sort(F.array_intersect(w, pol_terms)), " ").alias("_mods"))
+        F.aggregate(F.transform(w, lambda x, i: F.coalesce(F.try_element_at(pol, x), F.lit(0))
+                                * F.when(negated(i), -1).otherwise(1)),
+                    F.lit(0), lambda a, b: a + b).alias("pol"),
+        F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(
+            w, lambda x, i: F.when(F.array_contains(pol_terms, x),
+                                   F.concat(F.when(negated(i), F.lit("not ")).otherwise(F.lit("")), x))),
+            lambda x: x.isNotNull()))), " ").alias("_mods"))
     m = s.select(*keep, "sent_no", "pol", "_mods", F.explode("_terms").alias("term"))
     return m.select(
         *keep, "sent_no", "term",

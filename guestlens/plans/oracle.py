@@ -216,13 +216,21 @@ MENTIONS = r"""sents AS (
   SELECT data_id, fetch_pos, rating, ts, {extra} unnest(ss) AS sentence, unnest(range(0, len(ss))) AS sent_no
   FROM (SELECT *, list_filter(list_transform(string_split_regex(lower(coalesce(review_text, '')), '[.!?;,\n]+|\s+but\s+'),
                                              lambda x: trim(x)), lambda x: x <> '') AS ss FROM {src}) s0),
+wlists AS (
+  SELECT data_id, fetch_pos, sent_no,
+    list_filter(regexp_split_to_array(sentence, '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> '') AS ww FROM sents),
 wrds AS (
-  SELECT data_id, fetch_pos, sent_no, unnest(list_filter(regexp_split_to_array(sentence, '[^\p{{L}}\p{{N}}'']+'),
-                                               lambda x: x <> '')) AS w FROM sents),
+  SELECT data_id, fetch_pos, sent_no, w,
+    (wi > 0 AND list_contains({negators}, ww[wi])) AS negated
+  FROM (SELECT *, unnest(ww) AS w, unnest(range(0, len(ww))) AS wi FROM wlists) u),
 sent_pol AS (
-  SELECT w0.data_id, w0.fetch_pos, w0.sent_no, coalesce(sum(p.polarity), 0) AS pol,
-    string_agg(DISTINCT w0.w, ' ' ORDER BY w0.w) FILTER (WHERE p.term IS NOT NULL) AS mods
-  FROM wrds w0 LEFT JOIN polarity p ON p.term = w0.w GROUP BY w0.data_id, w0.fetch_pos, w0.sent_no),
+  SELECT data_id, fetch_pos, sent_no, coalesce(sum(sp), 0) AS pol,
+    string_agg(DISTINCT m, ' ' ORDER BY m) FILTER (WHERE m IS NOT NULL) AS mods
+  FROM (SELECT w0.data_id, w0.fetch_pos, w0.sent_no,
+          p.polarity * CASE WHEN w0.negated THEN -1 ELSE 1 END AS sp,
+          CASE WHEN p.term IS NOT NULL THEN concat(CASE WHEN w0.negated THEN 'not ' ELSE '' END, w0.w) END AS m
+        FROM wrds w0 LEFT JOIN polarity p ON p.term = w0.w) q
+  GROUP BY data_id, fetch_pos, sent_no),
 sent_terms AS (
   SELECT DISTINCT w0.data_id, w0.fetch_pos, w0.sent_no, w0.w AS term, l.aspect
   FROM wrds w0 JOIN lexicon l ON l.term = w0.w),
@@ -236,7 +244,9 @@ mentions AS (
 
 
 def mentions_cte(src="nreviews", extra=()):
-    return MENTIONS.format(src=src, extra="".join(f"{e}, " for e in extra),
+    from guestlens.operators.aspects import NEGATORS
+    negators = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in NEGATORS) + "]"
+    return MENTIONS.format(src=src, negators=negators, extra="".join(f"{e}, " for e in extra),
                            extra_s="".join(f"s.{e}, " for e in extra),
                            extra_c="".join(f", {e}" for e in extra))
 

@@ -119,3 +119,15 @@ def test_hotel_vocabulary_clauses(spark):
                    (2, "food_and_dining", "criticism", "cold breakfast"),
                    (2, "location_and_accessibility", "praise", "great location"),
                    (2, "value_for_money", "criticism", "overpriced price")]
+
+
+def test_negation(spark):
+    from guestlens.operators.vocabulary import HOTEL_LEXICON, HOTEL_POLARITY
+    rows = [(1, 1, 2.0, "The room was not clean"), (1, 2, 4.0, "staff wasn't rude, never slow service"),
+            (1, 3, 3.0, "not good not bad food")]
+    df = spark.createDataFrame(rows, "data_id long, review_id long, rating double, review_text string") \
+        .withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    got = sorted((r.review_id, r.term, r.polarity, r.phrase)
+                 for r in asp.mentions(df, HOTEL_LEXICON, HOTEL_POLARITY).collect())
+    assert got == [(1, "room", "criticism", "not clean room"), (2, "service", "praise", "not slow service"),
+                   (2, "staff", "praise", "not rude staff"), (3, "food", "neutral", "not bad not good food")]
