@@ -25,4 +25,4 @@ def test_mentions_sql_equals_spark(spark):
     got = sorted((r.review_id, r.term, r.aspect, r.polarity, r.phrase)
                  for r in asp.mentions(df, st.TEST_LEXICON, st.TEST_POLARITY).collect())
     assert got == sorted(con.execute(q).fetchall())
-    assert len(got) == 10
+    assert len(got) == 11
