@@ -99,18 +99,20 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
     negators = F.array(*[F.lit(x) for x in NEGATORS])
     s = s.select(*keep, "sent_no", words("_s").alias("_w"))
 
-    def negated(i):
-        return (i > 0) & F.array_contains(negators, F.element_at(w, F.greatest(i, F.lit(1))))
-
+    # Negation flags once per clause: the word before is a negator.
+    prev = F.concat(F.array(F.lit("")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
+    s = s.select(*keep, "sent_no", "_w",
+                 F.array_intersect(w, lex_terms).alias("_terms"),
+                 F.transform(prev, lambda p: F.array_contains(negators, p)).alias("_neg"))
+    n = F.col("_neg")
     s = s.select(
-        *keep, "sent_no",
-        F.array_intersect(w, lex_terms).alias("_terms"),
-        F.aggregate(F.transform(w, lambda x, i: F.coalesce(F.try_element_at(pol, x), F.lit(0))
-                                * F.when(negated(i), -1).otherwise(1)),
+        *keep, "sent_no", "_terms",
+        F.aggregate(F.zip_with(w, n, lambda x, neg: F.coalesce(F.try_element_at(pol, x), F.lit(0))
+                               * F.when(neg, -1).otherwise(1)),
                     F.lit(0), lambda a, b: a + b).alias("pol"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(
-            w, lambda x, i: F.when(F.array_contains(pol_terms, x),
-                                   F.concat(F.when(negated(i), F.lit("not ")).otherwise(F.lit("")), x))),
+        F.array_join(F.array_sort(F.array_distinct(F.filter(F.zip_with(
+            w, n, lambda x, neg: F.when(F.array_contains(pol_terms, x),
+                                        F.concat(F.when(neg, F.lit("not ")).otherwise(F.lit("")), x))),
             lambda x: x.isNotNull()))), " ").alias("_mods"))
     m = s.select(*keep, "sent_no", "pol", "_mods", F.explode("_terms").alias("term"))
     return m.select(
