@@ -653,3 +653,12 @@ FROM (SELECT data_id, CAST(count(*) AS BIGINT) AS n_batches,
 JOIN (SELECT data_id, CAST(count(*) AS BIGINT) AS n_reviews FROM chosen GROUP BY data_id) c USING (data_id)
 LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) m
   USING (data_id)""")
+
+ORACLE["aspect_period_trend"] = with_(*BASE_M, BATCHED.format(bs=5), mentions_cte("batched", ["batch_id"]), """per AS (
+  SELECT data_id, aspect, batch_id, CAST(sum(pol) AS BIGINT) AS net
+  FROM (SELECT DISTINCT data_id, batch_id, aspect, fetch_pos, pol FROM mentions WHERE pol <> 0) d
+  GROUP BY ALL)""", body="""
+SELECT c.data_id, c.aspect, c.batch_id, c.net, p.net AS previous_net,
+  CASE WHEN p.net IS NULL THEN 'first' WHEN c.net - p.net >= 1 THEN 'improving'
+       WHEN c.net - p.net <= -1 THEN 'declining' ELSE 'stable' END AS trend
+FROM per c LEFT JOIN per p ON p.data_id = c.data_id AND p.aspect = c.aspect AND p.batch_id = c.batch_id - 1""")

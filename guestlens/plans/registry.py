@@ -495,3 +495,11 @@ def full_analysis(spark, d):
         F.coalesce("n_levels", F.lit(0).cast("long")).alias("n_levels"),
         *[a["overall_sentiment"][c].alias(c) for c in sen.SCORE_COLUMNS],
         F.size(a["top_improvement_priorities"]).cast("long").alias("n_priorities"))
+
+
+@query("aspect_period_trend")
+def aspect_period_trend(spark, d):
+    """W4 per aspect: net praising minus criticising reviews per batch of 5
+    against the previous batch."""
+    from guestlens.operators.combine import aspect_trend
+    return aspect_trend(_mentions_batched(spark, d, 5))
