@@ -103,17 +103,23 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
     prev = F.concat(F.array(F.lit("")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
     s = s.select(*keep, "sent_no", "_w",
                  F.array_intersect(w, lex_terms).alias("_terms"),
-                 F.transform(prev, lambda p: F.array_contains(negators, p)).alias("_neg"))
+                 F.when(F.arrays_overlap(w, negators),
+                        F.transform(prev, lambda p: F.array_contains(negators, p))).alias("_neg"))
     n = F.col("_neg")
+    plain_pol = F.aggregate(w, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(pol, x), F.lit(0)))
+    negated_pol = F.aggregate(F.zip_with(w, n, lambda x, neg: F.coalesce(F.try_element_at(pol, x), F.lit(0))
+                                         * F.when(neg, -1).otherwise(1)), F.lit(0), lambda a, b: a + b)
+    plain_mods = F.array_intersect(w, pol_terms)
+    negated_mods = F.array_distinct(F.filter(F.zip_with(
+        w, n, lambda x, neg: F.when(F.array_contains(pol_terms, x),
+                                    F.concat(F.when(neg, F.lit("not ")).otherwise(F.lit("")), x))),
+        lambda x: x.isNotNull()))
+    # Only clauses that contain a negator take the slower negation path.
+    has_neg = F.arrays_overlap(w, negators)
     s = s.select(
         *keep, "sent_no", "_terms",
-        F.aggregate(F.zip_with(w, n, lambda x, neg: F.coalesce(F.try_element_at(pol, x), F.lit(0))
-                               * F.when(neg, -1).otherwise(1)),
-                    F.lit(0), lambda a, b: a + b).alias("pol"),
-        F.array_join(F.array_sort(F.array_distinct(F.filter(F.zip_with(
-            w, n, lambda x, neg: F.when(F.array_contains(pol_terms, x),
-                                        F.concat(F.when(neg, F.lit("not ")).otherwise(F.lit("")), x))),
-            lambda x: x.isNotNull()))), " ").alias("_mods"))
+        F.when(has_neg, negated_pol).otherwise(plain_pol).alias("pol"),
+        F.array_join(F.array_sort(F.when(has_neg, negated_mods).otherwise(plain_mods)), " ").alias("_mods"))
     m = s.select(*keep, "sent_no", "pol", "_mods", F.explode("_terms").alias("term"))
     return m.select(
         *keep, "sent_no", "term",
