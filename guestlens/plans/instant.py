@@ -27,9 +27,9 @@ def instant_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tu
     # <= num_reviews rows per place here, so a plain window is bounded.
     newest = Window.partitionBy("data_id").orderBy(minute_key("ts").desc(), F.col("fetch_pos").asc())
     chosen = reuse(chosen.withColumn("rank_desc", F.row_number().over(newest)), "instant-selection")
-    # The written selection is small per place; mentions are re-derived from it
-    # in each branch with narrow operations (no shuffle) instead of a 2nd write.
-    report = assemble_analysis(chosen, header.select("data_id", "title"), lexicon, polarity, k)
+    # Mentions are written once too: five branches read them, and extraction
+    # (clause split, vocabulary match, negation) is the CPU-heavy step.
+    report = assemble_analysis(chosen, header.select("data_id", "title"), lexicon, polarity, k, reuse=reuse)
     nested = sel.nested_bundle(header, chosen, order_col="rank_desc")
     return (nested.join(report, "data_id", "inner")
             .withColumn("total_reviews", F.col("total_reviews").cast("long")))
