@@ -89,3 +89,16 @@ def test_uncommitted_version_is_ignored(spark):
     assert t.versions() == [1] and [r.x for r in t.latest().collect()] == [1]
     t.write(spark.createDataFrame([(3,)], "x long"), 2)     # the retry overwrites and commits
     assert t.versions() == [1, 2] and [r.x for r in t.latest().collect()] == [3]
+
+
+def test_broadcast_guards(spark):
+    import pytest
+    from guestlens.functions.joins import broadcast_if_small, constant_table
+    small = spark.range(10)
+    big = spark.range(50)
+    plan_small = broadcast_if_small(small, max_rows=20).join(spark.range(1000), "id")
+    plan_big = broadcast_if_small(big, max_rows=20).join(spark.range(1000), "id")
+    assert "ResolvedHint (strategy=broadcast)" in plan_small._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=broadcast)" not in plan_big._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(ValueError):
+        constant_table(spark, [(i,) for i in range(11)], "x int", max_rows=10)
