@@ -89,3 +89,9 @@ def test_incremental_priorities_equal_batch(spark):
     got = sorted(tuple(x) for x in inc.priorities().collect())
     exp = sorted(tuple(x) for x in improvement_priorities(mentions(r, st.TEST_LEXICON, st.TEST_POLARITY)).collect())
     assert got == exp and len(got) > 0
+
+
+def test_changes_with_single_version(spark):
+    inc = IncrementalSentiment(spark, work_path(spark, "test-state-one"))
+    inc.apply(spark.createDataFrame([(7, 4.0), (7, 2.0)], "data_id long, rating double"), 0)
+    assert [tuple(r) for r in inc.changes().collect()] == [(7, None, 3.0, True)]
