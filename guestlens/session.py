@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import os
+import re
 import tempfile
 import uuid
 
@@ -76,10 +76,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, with its scheme.
 
-    On a cluster this setting names shared storage and is used as given.  Only
-    when it is unset (local runs, tests) is a private folder created and set.
+    On a cluster this setting must name storage that every node sees; without it
+    this raises.  Only a local master, where driver and executors are one process,
+    gets a private folder.
     """
     try:
         sc = spark.sparkContext
@@ -89,20 +90,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     if sc is not None:
         d = d or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if sc is None or not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         d = tempfile.mkdtemp(prefix="guestlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return d[len("file:"):] if d.startswith("file:") else d
+    return d
 
 
 def work_path(spark: SparkSession, *parts: str, fresh: bool = True) -> str:
-    """A folder under the shared checkpoint root for landed files and tables."""
+    """A folder under the shared checkpoint root for landed files and tables
+    (Spark's writers create it)."""
     root = checkpoint_root(spark).rstrip("/")
     leaf = "/".join(parts)
     if fresh:
         leaf = f"{leaf}-{uuid.uuid4().hex[:12]}"
-    path = f"{root}/guestlens/{leaf}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    return f"{root}/guestlens/{leaf}"
