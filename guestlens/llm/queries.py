@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import chat, decontaminate, language_id, mixing, ngram_join, substring_dedup
+from guestlens.llm import chat, decontaminate, html_extract, language_id, lm_scoring, mixing, nearest, ngram_join, quality, substring_dedup
 from guestlens.llm.tables import table
 
 
@@ -27,10 +27,23 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.describe(table(spark, sf_dir, "documents"), ~held_out("doc_id", 5, 0), "doc_id", "text")
+    return quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, ~held_out("doc_id", 4, 2))
@@ -38,11 +51,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_chat_perspectives, op5_mix_sources,
-                                   op8_language_id, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_chat_perspectives, op4_lm_scoring, op5_mix_sources,
+                                   op6_html_extract, op7_quality, op8_language_id, op9_nearest, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
