@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,7 +123,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     shards = max(1, -(-text_bytes(benchmark, item_text) // SHARD_BYTES))
     keep = [c for c in df.columns if c in (carry or []) and c not in (id_col, text_col, *RESULT)]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    base = T.StructType([df.schema[c] for c in (id_col, text_col, *keep)])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("carried")] if keep else []))
+    base = rows.schema
     raw = T.StructType(base.fields + [T.StructField("__n", T.LongType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__ranges", T.ArrayType(T.ArrayType(T.LongType())))])
     full = T.StructType(base.fields + [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -132,7 +132,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     arrow_raw, arrow_full = to_arrow_schema(raw), to_arrow_schema(full)
 
     def finish(batch, found):
-        texts = batch.column(text_col).to_pylist()
+        texts = batch.column("text").to_pylist()
         made = {"n_words": [x[0] for x in found], "n_hit": [sum(b - a for a, b in x[1]) for x in found],
                 "n_items": [len(x[2]) for x in found], "items": [sorted(x[2]) for x in found],
                 "spans": [characters(t, x[1]) if x[1] else [] for t, x in zip(texts, found)],
@@ -148,7 +148,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         def run(batches):
             machine = automaton(name, sent.value)
             for batch in batches:
-                found = [scan(t, machine) for t in batch.column(text_col).to_pylist()]
+                found = [scan(t, machine) for t in batch.column("text").to_pylist()]
                 if shards == 1:
                     yield finish(batch, found)
                 else:
@@ -156,9 +156,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in arrow_raw], schema=arrow_raw)
         return run
 
-    rows = df.select(id_col, text_col, *keep)
+    def named(out):
+        return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(["carried.*"] if keep else []), *RESULT)
+
     if shards == 1:
-        return rows.mapInArrow(scanner(0), full)
+        return named(rows.mapInArrow(scanner(0), full))
     numbered = rows.withColumn("__row", F.xxhash64(*[F.col(c) for c in rows.columns]))
     hits = None
     for shard in range(shards):
@@ -171,6 +173,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     def combine(batches):
         for batch in batches:
             found = [(len(words_of(t)), merge([tuple(x) for x in r or []]), set(i or []))
-                     for t, r, i in zip(*(batch.column(c).to_pylist() for c in (text_col, "__ranges", "__items")))]
+                     for t, r, i in zip(*(batch.column(c).to_pylist() for c in ("text", "__ranges", "__items")))]
             yield finish(batch, found)
-    return joined.mapInArrow(combine, full)
+    return named(joined.mapInArrow(combine, full))

@@ -266,13 +266,14 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per row of ``df``: id, text, carried columns, lang_pred, score."""
     from pyspark.sql.pandas.types import to_arrow_schema
     keep = [c for c in df.columns if c in (carry or []) and c not in (id_col, text_col, *RESULT)]
-    schema = T.StructType([df.schema[c] for c in (id_col, text_col, *keep)] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("carried")] if keep else []))
+    schema = T.StructType(rows.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for block in B.slices(batches, text_col, BLOCK):
-            lang, score = predict(block.column(text_col).cast(pa.binary()), sent.value)
+        for block in B.slices(batches, "text", BLOCK):
+            lang, score = predict(block.column("text").cast(pa.binary()), sent.value)
             made = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else block.column(f.name).cast(f.type) for f in arrow], schema=arrow)
-    return df.select(id_col, text_col, *keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(["carried.*"] if keep else []), *RESULT)

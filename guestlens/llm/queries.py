@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, and their DuckDB SQL."""
+"""The registered queries of the training-data operators (their DuckDB SQL: ``oracle``)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guestlens.llm import chat, decontaminate, html_extract, language_id, lm_scoring, mixing, nearest, ngram_join, quality, substring_dedup
+from guestlens.llm.oracle import ORACLE  # noqa: F401
 from guestlens.llm.tables import table
 
 
@@ -62,4 +63,3 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_chat_perspectives, op4_lm_scoring, op5_mix_sources,
                                    op6_html_extract, op7_quality, op8_language_id, op9_nearest, op10_substring_dedup)}
-ORACLE: dict[str, str] = {}

@@ -30,8 +30,6 @@ a result give way to it.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,14 +70,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = packed.groupBy("bucket").applyInArrow(lambda key, table: _repeated(table, k, n_buckets), "bucket long, spans binary")
 
     keep = [c for c in df.columns if c in (carry or []) and c not in (id_col, text_col, *RESULT)]
-    docs = df.select(F.pmod(rows, F.lit(n_buckets)).alias("__bucket"), rows.alias("__row"),
-                     F.col(id_col), F.col(text_col), *keep)
-    fields = [df.schema[c] for c in (id_col, text_col, *keep)]
-    schema = T.StructType(fields + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+    docs = df.select(F.pmod(rows, F.lit(n_buckets)).alias("bucket"), rows.alias("row"), F.col(id_col).alias("id"),
+                     F.col(text_col).alias("text"), *([F.struct(*keep).alias("carried")] if keep else []))
+    schema = T.StructType(docs.schema.fields[2:] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                                     T.StructField("kept", T.StringType()), T.StructField("spans", SPAN)])
     arrow = _arrow(schema)
-    return (docs.groupBy("__bucket").cogroup(spans.groupBy("bucket"))
-            .applyInArrow(lambda left, right: _cut(left, right, id_col, text_col, arrow), schema))
+    out = (docs.groupBy("bucket").cogroup(spans.groupBy("bucket"))
+           .applyInArrow(lambda left, right: _cut(left, right, arrow), schema))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(["carried.*"] if keep else []), *RESULT)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -235,14 +233,14 @@ def glue(spans: np.ndarray) -> np.ndarray:
     return out[np.argsort(out["start"], kind="stable")]
 
 
-def _cut(left: pa.Table, right: pa.Table, id_col: str, text_col: str, arrow: pa.Schema) -> pa.Table:
+def _cut(left: pa.Table, right: pa.Table, arrow: pa.Schema) -> pa.Table:
     """The documents of a bucket without the words that their spans cover."""
     packs = [np.frombuffer(x, SPANS) for x in right.column("spans").to_pylist()]
     spans = np.concatenate(packs) if packs else np.zeros(0, SPANS)
     spans = spans[np.argsort(spans["row"], kind="stable")]
     keys = spans["row"]
     n_words, n_removed, kept, paths = [], [], [], []
-    for row, text in zip(left.column("__row").to_pylist(), left.column(text_col).to_pylist()):
+    for row, text in zip(left.column("row").to_pylist(), left.column("text").to_pylist()):
         parts = (text or "").encode().split()
         a, b = np.searchsorted(keys, row), np.searchsorted(keys, row, side="right")
         n_words.append(len(parts))
@@ -262,6 +260,3 @@ def _cut(left: pa.Table, right: pa.Table, id_col: str, text_col: str, arrow: pa.
     made = {"n_words": n_words, "n_removed": n_removed, "kept": kept, "spans": paths}
     return pa.table([pa.array(made[f.name], f.type) if f.name in made else left.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
-
-def sha256_hex(texts):
-    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
