@@ -32,31 +32,40 @@ LEAST_SCORE = 0.5
 PASSAGE = 50
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns but the text as one, so that no name meets an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"))
+
+
+def unpacked(columns: list[str], **new) -> list:
+    return [new.get(c, F.col("text") if c == "text" else F.col(f"doc.{c}")).alias(c) for c in columns]
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang.train(docs, F.lit(True))
-    seen = lang.identify(docs, model, carry=docs.columns)
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    seen = lang.identify(packed(docs), model, carry=["doc"])
+    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(unpacked(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = ngram_join.similarity_classes(docs, k=5, num=4, den=5)
     stay = classes.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    new = "of_" + max(docs.columns, key=len)            # no column has this name
+    kept = docs.join(stay, "doc_id", "left_semi").withColumn(new, F.xxhash64("text")).dropDuplicates(["doc_id", new])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove_repeats(docs, k=PASSAGE, carry=docs.columns)
+    cut = substring_dedup.remove_repeats(packed(docs), k=PASSAGE, carry=["doc"])
     cut = cut.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
-           "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return cut.select(unpacked(docs.columns, text=F.when(changed, F.col("kept")).otherwise(F.col("text")),
+                               n_chars=F.when(changed, F.length("kept").cast("long")).otherwise(F.col("doc.n_chars"))))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    seen = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
-    return seen.where(~F.col("contaminated")).select(docs.columns)
+    seen = leaks.decontaminate(packed(docs), table(spark, sf_dir, "benchmark"), carry=["doc"])
+    return seen.where(~F.col("contaminated")).select(unpacked(docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
