@@ -3,9 +3,12 @@
 A *mention* is a lexicon term inside a clause of a review (sentences split
 further at commas, semicolons and "but").  Its polarity is the sign of the
 summed polarity words of that clause (+ praise, - criticism, 0 neutral) and
-its phrase is the clause's polarity words (sorted) followed by the term.  Vocabularies are small fixed tables turned into map literals, so
-extraction is one narrow, codegen'd pass with no join and no shuffle; all
-counting is groupBy with partial aggregation.
+its phrase is the clause's polarity words (sorted) followed by the term.
+
+All mentions of a review are found in its own row (vocabularies are map literals:
+no join), so equal ones are merged there and flagged as the review's first of their
+aspect and of their term: no shuffle is needed to count reviews.  One aggregate per
+place and phrase (``mention_counts``) is all that A5, A6, A8, A9 and A10 read.
 """
 
 from __future__ import annotations
@@ -48,7 +51,6 @@ PLAYBOOK = {
                         "Better booking conversion and public reputation."),
 }
 
-MAX_VOCABULARY = 50_000
 # Mentions are taken per clause: sentences, then commas, semicolons and "but".
 CLAUSE_SPLIT = r"[.!?;,\n]+|\s+but\s+"
 # Fixed values (ours): a polarity word right after one of these flips its sign.
@@ -60,8 +62,6 @@ def _polarity_label() -> Column:
 
 
 def _map(pairs: Sequence[tuple]) -> Column:
-    if len(pairs) > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary of {len(pairs)} terms exceeds {MAX_VOCABULARY}")
     flat = []
     for k, v in pairs:
         flat += [F.lit(k), F.lit(v)]
@@ -79,108 +79,105 @@ def category_name() -> Column:
 
 def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
              polarity: Sequence[tuple[str, int]], extra: Sequence[str] = ()) -> DataFrame:
-    """One row per (review, sentence, lexicon term):
-    data_id, review_id, rating, ts, sent_no, term, aspect, pol, polarity,
-    phrase (+ the ``extra`` review columns, e.g. batch_id).
+    """One row per (review, lexicon term, polarity, phrase):
+    data_id, review_id, rating, ts (+ the ``extra`` review columns, e.g. batch_id),
+    term, aspect, pol, polarity, phrase, n (clauses of the review that say it),
+    first_aspect / first_term (1 on the review's first row of the aspect / term and
+    polarity, else 0, so that sums count reviews).
 
-    Clauses are exploded as rows (``sent_no`` may skip empty pieces); terms
-    come from ``array_intersect`` with the lexicon; a polarity word right
+    Terms come from ``array_intersect`` with the lexicon per clause; a polarity word right
     after a negator counts negatively and shows as "not <word>"."""
-    if len(lexicon) > MAX_VOCABULARY or len(polarity) > MAX_VOCABULARY:
-        raise ValueError("vocabulary too large for an inline lookup")
     lex, pol = _map(lexicon), _map([(t, int(p)) for t, p in polarity])
     lex_terms = F.array(*[F.lit(t) for t, _ in lexicon])
     pol_terms = F.array(*[F.lit(t) for t, _ in polarity])
-    keep = ["data_id", "review_id", "rating", "ts", *extra]
-    s = reviews.select(*keep, F.posexplode(F.split(F.lower(F.coalesce(F.col("review_text"), F.lit(""))),
-                                                   CLAUSE_SPLIT)).alias("sent_no", "_s"))
-    s = s.select(*keep, "sent_no", F.trim("_s").alias("_s")).filter(F.col("_s") != "")
-    w = F.col("_w")
     negators = F.array(*[F.lit(x) for x in NEGATORS])
-    s = s.select(*keep, "sent_no", words("_s").alias("_w"))
-
-    # Negation flags once per clause: the word before is a negator.
-    prev = F.concat(F.array(F.lit("")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
-    s = s.select(*keep, "sent_no", "_w",
-                 F.array_intersect(w, lex_terms).alias("_terms"),
-                 F.when(F.arrays_overlap(w, negators),
-                        F.transform(prev, lambda p: F.array_contains(negators, p))).alias("_neg"))
-    n = F.col("_neg")
-    plain_pol = F.aggregate(w, F.lit(0), lambda a, x: a + F.coalesce(F.try_element_at(pol, x), F.lit(0)))
-    negated_pol = F.aggregate(F.zip_with(w, n, lambda x, neg: F.coalesce(F.try_element_at(pol, x), F.lit(0))
-                                         * F.when(neg, -1).otherwise(1)), F.lit(0), lambda a, b: a + b)
-    plain_mods = F.array_intersect(w, pol_terms)
-    negated_mods = F.array_distinct(F.filter(F.zip_with(
-        w, n, lambda x, neg: F.when(F.array_contains(pol_terms, x),
-                                    F.concat(F.when(neg, F.lit("not ")).otherwise(F.lit("")), x))),
-        lambda x: x.isNotNull()))
-    # Only clauses that contain a negator take the slower negation path.
-    has_neg = F.arrays_overlap(w, negators)
-    s = s.select(
-        *keep, "sent_no", "_terms",
-        F.when(has_neg, negated_pol).otherwise(plain_pol).alias("pol"),
-        F.array_join(F.array_sort(F.when(has_neg, negated_mods).otherwise(plain_mods)), " ").alias("_mods"))
-    m = s.select(*keep, "sent_no", "pol", "_mods", F.explode("_terms").alias("term"))
-    return m.select(
-        *keep, "sent_no", "term",
-        F.try_element_at(lex, F.col("term")).alias("aspect"),
-        F.signum("pol").cast("int").alias("pol"),
-        _polarity_label().alias("polarity"),
-        F.trim(F.concat_ws(" ", F.col("_mods"), F.col("term"))).alias("phrase"))
-
-
-def _review_level(m: DataFrame, *keys: str) -> DataFrame:
-    """At most one row per review for the given keys."""
-    return m.select("data_id", "review_id", "rating", *keys).dropDuplicates(["data_id", "review_id", *keys])
-
-
-def top_phrases(m: DataFrame, k: int = 3) -> DataFrame:
-    """Per (place, aspect, polarity): the k best-supported phrases
-    (support desc, phrase asc) as an ordered array and the support of each."""
-    ph = (_review_level(m, "aspect", "polarity", "phrase")
-          .groupBy("data_id", "aspect", "polarity", "phrase")
-          .agg(F.count(F.lit(1)).cast("long").alias("n_reviews")))
-    w = Window.partitionBy("data_id", "aspect", "polarity").orderBy(F.desc("n_reviews"), "phrase")
-    top = ph.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    return top.groupBy("data_id", "aspect", "polarity").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "phrase"))), lambda x: x["phrase"])
-        .alias("phrases"))
-
-
-def aspect_feedback(m: DataFrame, k: int = 3) -> DataFrame:
+    keep = ["data_id", "review_id", "rating", "ts", *extra]
+
+    def sign_of(w):
+        return F.coalesce(F.try_element_at(pol, w), F.lit(0))
+
+    def clause(w):
+        """Terms, polarity and polarity words of a clause's words."""
+        prev = F.concat(F.array(F.lit("")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
+        after_no = lambda p: F.array_contains(negators, p)
+        # Only clauses that contain a negator take the slower path.
+        has_no = F.arrays_overlap(w, negators)
+        plain = F.aggregate(w, F.lit(0), lambda a, x: a + sign_of(x))
+        negated = F.aggregate(F.zip_with(w, prev, lambda x, p: sign_of(x) * F.when(after_no(p), -1).otherwise(1)), F.lit(0), lambda a, b: a + b)
+        words_said = F.array_distinct(F.filter(F.zip_with(w, prev, lambda x, p: F.when(
+            F.array_contains(pol_terms, x), F.concat(F.when(after_no(p), F.lit("not ")).otherwise(F.lit("")), x))), lambda x: x.isNotNull()))
+        mods = F.array_sort(F.when(has_no, words_said).otherwise(F.array_intersect(w, pol_terms)))
+        return F.struct(F.array_intersect(w, lex_terms).alias("terms"), F.signum(F.when(has_no, negated).otherwise(plain)).cast("int").alias("pol"),
+                        F.array_join(mods, " ").alias("mods"))
+
+    said = F.split(F.lower(F.coalesce(F.col("review_text"), F.lit(""))), CLAUSE_SPLIT)
+    s = reviews.select(*keep, F.filter(F.transform(said, words), lambda w: F.arrays_overlap(w, lex_terms)).alias("_clauses"))
+    s = s.filter(F.size("_clauses") > 0).select(*keep, F.transform("_clauses", clause).alias("_clauses"))
+    s = s.select(*keep, F.flatten(F.transform("_clauses", lambda c: F.transform(c["terms"], lambda t: F.struct(
+        F.try_element_at(lex, t).alias("aspect"), t.alias("term"), c["pol"].alias("pol"),
+        F.trim(F.concat_ws(" ", c["mods"], t)).alias("phrase"))))).alias("_all"))
+    s = s.select(*keep, "_all", F.array_distinct("_all").alias("_one"))
+
+    def flagged(e, i):
+        before = F.slice("_one", 1, i)
+        return F.struct(e.alias("m"), F.size(F.filter("_all", lambda x: x == e)).cast("long").alias("n"),
+                        (~F.exists(before, lambda x: (x["aspect"] == e["aspect"]) & (x["pol"] == e["pol"]))).cast("long").alias("first_aspect"),
+                        (~F.exists(before, lambda x: (x["term"] == e["term"]) & (x["pol"] == e["pol"]))).cast("long").alias("first_term"))
+
+    m = s.select(*keep, F.explode(F.transform("_one", flagged)).alias("_m"))
+    return m.select(*keep, "_m.m.term", "_m.m.aspect", "_m.m.pol", "_m.n", "_m.first_aspect", "_m.first_term", F.col("_m.m.phrase").alias("phrase")).select(
+        *keep, "term", "aspect", "pol", _polarity_label().alias("polarity"), "phrase", "n", "first_aspect", "first_term")
+
+
+def mention_counts(m: DataFrame) -> DataFrame:
+    """Per (place, aspect, polarity, term, phrase): support (reviews), n_mentions, and the
+    additive shares of reviews and rating shortfall by aspect and by term.  A table that
+    has these counts already is returned as it is."""
+    if "support" in m.columns:
+        return m
+    short = F.when(F.col("rating") > 0, 5 - F.col("rating")).otherwise(0)
+    return m.groupBy("data_id", "aspect", "pol", "polarity", "term", "phrase").agg(
+        F.count(F.lit(1)).cast("long").alias("support"), F.sum("n").alias("n_mentions"),
+        F.sum("first_aspect").alias("by_aspect"), F.sum("first_term").alias("by_term"),
+        F.sum(short * F.col("first_aspect")).cast("double").alias("short_aspect"),
+        F.sum(short * F.col("first_term")).cast("double").alias("short_term"))
+
+
+def _phrases(k: int | None) -> Column:
+    """The group's phrases, best supported first (ties: phrase); ``k`` is a display choice."""
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), F.col("phrase")))), lambda x: x["phrase"])
+    return ranked if k is None else F.slice(ranked, 1, k)
+
+
+def top_phrases(m: DataFrame, k: int | None = None) -> DataFrame:
+    """Per (place, aspect, polarity): all phrases, best supported first, as an array."""
+    return mention_counts(m).groupBy("data_id", "aspect", "polarity").agg(_phrases(k).alias("phrases"))
+
+
+def aspect_feedback(m: DataFrame, k: int | None = None) -> DataFrame:
     """A5: per (place, aspect, polarity): supporting reviews, mentions and the
-    top-k phrases joined by '; '."""
-    counts = m.groupBy("data_id", "aspect", "polarity").agg(
-        F.count(F.lit(1)).cast("long").alias("n_mentions"))
-    reviews_n = (_review_level(m, "aspect", "polarity").groupBy("data_id", "aspect", "polarity")
-                 .agg(F.count(F.lit(1)).cast("long").alias("n_reviews")))
-    tp = top_phrases(m, k).select("data_id", "aspect", "polarity",
-                                  F.array_join("phrases", "; ").alias("top_phrases"))
-    return (counts.join(reviews_n, ["data_id", "aspect", "polarity"])
-            .join(tp, ["data_id", "aspect", "polarity"])
-            .select("data_id", "aspect", "polarity", "n_reviews", "n_mentions", "top_phrases"))
+    phrases, best supported first, joined by '; '."""
+    return (mention_counts(m).groupBy("data_id", "aspect", "polarity")
+            .agg(F.sum("by_aspect").alias("n_reviews"), F.sum("n_mentions").alias("n_mentions"),
+                 F.array_join(_phrases(k), "; ").alias("top_phrases")))
 
 
 def recurring_themes(m: DataFrame, min_support: int = 2) -> DataFrame:
     """(aspect, term, polarity) themes supported by >= min_support reviews."""
-    return (_review_level(m, "aspect", "term", "polarity")
-            .groupBy("data_id", "aspect", "term", "polarity")
-            .agg(F.count(F.lit(1)).cast("long").alias("n_reviews"))
+    return (mention_counts(m).groupBy("data_id", "aspect", "term", "polarity")
+            .agg(F.sum("by_term").alias("n_reviews"))
             .filter(F.col("n_reviews") >= min_support))
 
 
 def persistent_themes(m_batched: DataFrame, min_batches: int = 2, min_share: float = 0.5) -> DataFrame:
     """Themes seen across batches (time periods).  ``m_batched`` is the
-    mention table with ``batch_id``.  A theme is persistent when it appears in
-    >= min_batches batches and in >= min_share of the place's batches; recent
+    mention table with ``batch_id`` and ``n_place_batches``.  A theme is persistent when it
+    appears in >= min_batches batches and in >= min_share of the place's batches; recent
     when it appears in the place's latest batch."""
-    place = (m_batched.select("data_id", "n_place_batches").dropDuplicates(["data_id"]))
-    t = (m_batched.select("data_id", "aspect", "term", "polarity", "batch_id")
-         .dropDuplicates()
+    t = (m_batched.groupBy("data_id", "aspect", "term", "polarity", "batch_id").agg(F.max("n_place_batches").alias("nb"))
          .groupBy("data_id", "aspect", "term", "polarity")
-         .agg(F.count(F.lit(1)).cast("long").alias("n_batches"),
-              F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch")))
-    t = t.join(place, "data_id")
+         .agg(F.count(F.lit(1)).cast("long").alias("n_batches"), F.min("batch_id").alias("first_batch"),
+              F.max("batch_id").alias("last_batch"), F.max("nb").alias("n_place_batches")))
     return t.select(
         "data_id", "aspect", "term", "polarity", "n_batches", "first_batch", "last_batch",
         F.round(F.col("n_batches").cast("double") / F.col("n_place_batches"), 3).alias("share"),
@@ -198,17 +195,16 @@ def playbook_columns(issue: Column) -> tuple[Column, Column]:
 
 def criticised_terms(m: DataFrame) -> DataFrame:
     """(place, aspect, term): reviews criticising it and their rating shortfall."""
-    c = _review_level(m.filter(F.col("pol") < 0), "aspect", "term")
-    return c.groupBy("data_id", "aspect", "term").agg(
-        F.count(F.lit(1)).cast("long").alias("n_reviews"),
-        F.sum(F.when(F.col("rating") > 0, 5 - F.col("rating")).otherwise(0)).alias("shortfall"))
+    return (mention_counts(m).filter(F.col("pol") < 0).groupBy("data_id", "aspect", "term")
+            .agg(F.sum("by_term").alias("n_reviews"), F.sum("short_term").alias("shortfall")))
 
 
-def aspect_suggestions(m: DataFrame, k: int = 3) -> DataFrame:
-    """Per place and aspect the k most-criticised terms with a suggestion."""
-    c = criticised_terms(m)
+def aspect_suggestions(m: DataFrame, k: int | None = None) -> DataFrame:
+    """Per place and aspect its criticised terms, most criticised first, with a suggestion."""
     w = Window.partitionBy("data_id", "aspect").orderBy(F.desc("n_reviews"), "term")
-    top = c.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    top = criticised_terms(m).withColumn("rank", F.row_number().over(w).cast("long"))
+    if k is not None:
+        top = top.filter(F.col("rank") <= k)
     sug, _ = playbook_columns(F.col("term"))
     return top.select("data_id", "aspect", "rank", "term", "n_reviews", sug.alias("suggestion"))
 
@@ -217,15 +213,11 @@ def improvement_priorities(m: DataFrame, k: int = 5) -> DataFrame:
     """Top-k aspects per place by score = sum over criticising reviews of
     (5 - rating), i.e. frequency x mean shortfall; ties in report order.  The
     issue is the aspect's most-supported criticised phrase."""
-    crit = m.filter(F.col("pol") < 0)
-    per_aspect = (_review_level(crit, "aspect").groupBy("data_id", "aspect").agg(
-        F.count(F.lit(1)).cast("long").alias("n_reviews"),
-        F.sum(F.when(F.col("rating") > 0, 5 - F.col("rating")).otherwise(0)).cast("double").alias("score")))
-    issue = (top_phrases(crit, 1)
-             .select("data_id", "aspect", F.element_at("phrases", 1).alias("issue")))
+    per = (mention_counts(m).filter(F.col("pol") < 0).groupBy("data_id", "aspect")
+           .agg(F.sum("by_aspect").alias("n_reviews"), F.sum("short_aspect").alias("score"),
+                F.min_by("phrase", F.struct(-F.col("support"), F.col("phrase"))).alias("issue")))
     w = Window.partitionBy("data_id").orderBy(F.desc("score"), aspect_order())
-    top = (per_aspect.withColumn("priority", F.row_number().over(w).cast("long"))
-           .filter(F.col("priority") <= k).join(issue, ["data_id", "aspect"]))
+    top = per.withColumn("priority", F.row_number().over(w).cast("long")).filter(F.col("priority") <= k)
     sug, imp = playbook_columns(F.col("issue"))
     return top.select("data_id", "priority", category_name().alias("category"), "issue",
                       sug.alias("suggestion"), imp.alias("potential_impact"), "score", "n_reviews")
@@ -246,8 +238,8 @@ def analysis_summary(places: DataFrame, sentiment: DataFrame, m: DataFrame,
     """A10: per place the summary and verdict strings.
 
     ``places`` (key, title), ``sentiment`` (A1), ``m`` (mentions)."""
-    fb = (_review_level(m, "aspect", "polarity").groupBy("data_id", "aspect", "polarity")
-          .agg(F.count(F.lit(1)).cast("long").alias("n_reviews")).withColumn("_o", aspect_order()))
+    fb = (mention_counts(m).groupBy("data_id", "aspect", "polarity").agg(F.sum("by_aspect").alias("n_reviews"))
+          .withColumn("_o", aspect_order()))
     per = fb.groupBy("data_id").agg(
         F.min_by(F.col("aspect"), F.when(F.col("polarity") == "praise",
                                           F.struct(-F.col("n_reviews"), F.col("_o")))).alias("_best"),

@@ -86,10 +86,8 @@ def period_trend(batch_state: DataFrame, threshold: float = 0.5) -> DataFrame:
 def aspect_trend(m_batched: DataFrame, threshold: int = 1) -> DataFrame:
     """W4 per aspect: net support (praising minus criticising reviews) of each
     aspect per batch against the previous batch."""
-    per = (m_batched.filter(F.col("pol") != 0)
-           .select("data_id", "batch_id", "aspect", "review_id", "pol").dropDuplicates()
-           .groupBy("data_id", "aspect", "batch_id")
-           .agg(F.sum("pol").cast("long").alias("net")))
+    per = (m_batched.filter(F.col("pol") != 0).groupBy("data_id", "aspect", "batch_id")
+           .agg(F.sum(F.col("pol") * F.col("first_aspect")).cast("long").alias("net")))
     prev = per.select(F.col("data_id").alias("_pd"), F.col("aspect").alias("_pa"),
                       (F.col("batch_id") + 1).alias("_pb"), F.col("net").alias("previous_net"))
     j = per.join(prev, (per.data_id == prev._pd) & (per.aspect == prev._pa) & (per.batch_id == prev._pb), "left")

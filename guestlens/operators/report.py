@@ -1,9 +1,9 @@
 """A10 assembly, S4 export and R1 flatten of the per-place report.
 
 ``assemble_analysis`` builds the nested HOTEL_ANALYSIS struct per place from
-the aspect tables; every collected list is bounded (7 aspects x 3 polarities x
-k phrases, at most 5 priorities).  ``flatten_report`` turns a nested result
-into ordered display rows (data_id, section_no, section, field, ordinal, text).
+the aspect tables; a place's lists hold its distinct phrases (bounded by the
+vocabulary), at most 5 priorities.  ``flatten_report`` turns a nested result
+into ordered display rows (data_id, section_no, section, field, ordinal, text, shown).
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ def _arr(c: str) -> Column:
 
 
 def assemble_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tuple],
-                      polarity: Sequence[tuple], k: int = 3, key: str = "data_id",
+                      polarity: Sequence[tuple], k: int | None = None, key: str = "data_id",
                       reuse=identity) -> DataFrame:
     """Per place: data_id + ``hotel_analysis`` struct in the report schema.
-    ``reuse`` may materialise the mention table, which five branches read."""
-    m = reuse(asp.mentions(reviews, lexicon, polarity), "mentions")
+    ``reuse`` may materialise the phrase counts, which all lists are made from;
+    ``k`` limits the lists for display (default: whole lists)."""
+    m = reuse(asp.mention_counts(asp.mentions(reviews, lexicon, polarity)), "mention-counts")
     tp = asp.top_phrases(m, k)
     sg = (asp.aspect_suggestions(m, k).groupBy("data_id", "aspect")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))),
@@ -96,7 +97,8 @@ def export_reports(results: DataFrame, path: str) -> str:
     return path
 
 
-# Report layout: sections in display order with the (field, list path) pairs.
+# Report layout: sections in display order with the (field, list path) pairs.  Fixed
+# values: titles and fields as the report page shows them.
 SECTIONS = [
     ("Accommodation", "accommodation", [("Room Quality", "room_quality"), ("Common Praises", "common_praises"),
                                         ("Common Criticisms", "common_criticisms"),
@@ -128,7 +130,8 @@ def _entry(section_no: int, section: str, field: str, items: Column) -> Column:
 
 def flatten_report(results: DataFrame, shown: int = 10) -> DataFrame:
     """Nested result (data_id, title, rating, reviews[], hotel_analysis) ->
-    rows (data_id, section_no, section, field, ordinal, text) in display order.
+    rows (data_id, section_no, section, field, ordinal, text, shown) in display order.
+    All reviews are rows; those after the first ``shown`` wait for "more" (shown false).
     Null lists render as empty; ratings outside 0..5 are clamped in star bars."""
     a = F.col("hotel_analysis")
     s = a["overall_sentiment"]
@@ -140,6 +143,8 @@ def flatten_report(results: DataFrame, shown: int = 10) -> DataFrame:
         _entry(0, "Header", "Title", F.array(F.coalesce(F.col("title"), F.lit("")))),
         _entry(0, "Header", "Rating", F.array(F.concat(star_bar(F.col("rating")), F.lit(" "),
                                                        num(F.col("rating"))))),
+        _entry(0, "Header", "Address", F.array(F.coalesce(F.col("address"), F.lit("")))),
+        _entry(0, "Header", "Total Reviews", F.array(F.coalesce(F.col("total_reviews"), F.lit(0)).cast("string"))),
         _entry(1, "Summary", "Summary", F.array(F.coalesce(a["summary"], F.lit("")))),
         _entry(2, "Overall Sentiment", "Average Score", F.array(F.concat(num(s["average_score"]), F.lit("/5")))),
         _entry(2, "Overall Sentiment", "Sentiment Distribution", F.array(
@@ -159,10 +164,11 @@ def flatten_report(results: DataFrame, shown: int = 10) -> DataFrame:
             F.concat(F.lit("Suggestion: "), F.coalesce(p["suggestion"], F.lit(""))),
             F.concat(F.lit("Potential Impact: "), F.coalesce(p["potential_impact"], F.lit(""))))))))
     entries.append(_entry(4 + len(SECTIONS), "Reviews", "Reviews", F.transform(
-        F.slice(F.coalesce(F.col("reviews"), F.array()), 1, shown),
+        F.coalesce(F.col("reviews"), F.array()),
         lambda r: F.concat(F.coalesce(r["user"], F.lit("")), F.lit(" | "), star_bar(r["rating"]), F.lit(" | "),
                            F.coalesce(r["date"], F.lit("")), F.lit(" | "), F.coalesce(r["review_text"], F.lit(""))))))
     e = results.select("data_id", F.explode(F.array(*entries)).alias("e"))
     return e.select("data_id", F.col("e.section_no").cast("long").alias("section_no"), "e.section", "e.field",
                     F.posexplode("e.items").alias("ordinal", "text")).select(
-        "data_id", "section_no", "section", "field", F.col("ordinal").cast("long").alias("ordinal"), "text")
+        "data_id", "section_no", "section", "field", F.col("ordinal").cast("long").alias("ordinal"), "text",
+        ((F.col("field") != "Reviews") | (F.col("ordinal") < shown)).alias("shown"))

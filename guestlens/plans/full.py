@@ -31,7 +31,7 @@ def full_selection(reviews: DataFrame, max_reviews: int = sel.DEFAULT_MAX_REVIEW
 
 def full_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tuple], polarity: Sequence[tuple],
                   max_reviews: int = sel.DEFAULT_MAX_REVIEWS, batch_size: int = sel.DEFAULT_BATCH_SIZE,
-                  k: int = 3, reuse=identity) -> tuple[DataFrame, DataFrame]:
+                  k: int | None = None, reuse=identity) -> tuple[DataFrame, DataFrame]:
     """Returns (results, tree): one nested result per place whose
     overall_sentiment is the recency-weighted one, and every combine node."""
     chosen = reuse(full_selection(reviews, max_reviews, reuse=reuse), "full-selection")

@@ -19,7 +19,7 @@ RESULT_REVIEW = "array<struct<user:string,date:string,rating:double,review_text:
 
 def instant_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tuple],
                      polarity: Sequence[tuple], num_reviews: int = sel.DEFAULT_NUM_REVIEWS,
-                     k: int = 3, reuse=identity) -> DataFrame:
+                     k: int | None = None, reuse=identity) -> DataFrame:
     """reviews: normalised (data_id, fetch_pos, user, rating, ts, date,
     review_text); header: data_id, type, title, rating, address, status,
     total_reviews, created_at.  One nested result row per place with reviews."""
@@ -27,8 +27,7 @@ def instant_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tu
     # <= num_reviews rows per place here, so a plain window is bounded.
     newest = Window.partitionBy("data_id").orderBy(minute_key("ts").desc(), F.col("fetch_pos").asc())
     chosen = reuse(chosen.withColumn("rank_desc", F.row_number().over(newest)), "instant-selection")
-    # Mentions are written once too: five branches read them, and extraction
-    # (clause split, vocabulary match, negation) is the CPU-heavy step.
+    # Phrase counts are written once too: all lists of the report are made from them.
     report = assemble_analysis(chosen, header.select("data_id", "title"), lexicon, polarity, k, reuse=reuse)
     nested = sel.nested_bundle(header, chosen, order_col="rank_desc")
     return (nested.join(report, "data_id", "inner")

@@ -261,7 +261,7 @@ JOIN (SELECT data_id, aspect, polarity, string_agg(phrase, '; ' ORDER BY r) AS t
         SELECT *, row_number() OVER (PARTITION BY data_id, aspect, polarity ORDER BY n DESC, phrase) AS r
         FROM (SELECT data_id, aspect, polarity, phrase, count(DISTINCT fetch_pos) AS n
               FROM mentions GROUP BY ALL) p0) p1
-      WHERE r <= 3 GROUP BY ALL) t USING (data_id, aspect, polarity)""")
+      GROUP BY ALL) t USING (data_id, aspect, polarity)""")
 
 ORACLE["recurring_themes"] = with_(*BASE_M, mentions_cte(), body="""
 SELECT data_id, aspect, term, polarity, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews
@@ -299,8 +299,7 @@ SELECT c.data_id, c.aspect, c.rank, c.term, c.n_reviews, replace(i.template, '%s
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY data_id, aspect ORDER BY n_reviews DESC, term) AS BIGINT) AS rank
       FROM (SELECT data_id, aspect, term, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews
             FROM mentions WHERE pol < 0 GROUP BY ALL) c0) c
-JOIN aspect_info i ON i.aspect = c.aspect
-WHERE c.rank <= 3""")
+JOIN aspect_info i ON i.aspect = c.aspect""")
 
 
 def _verdict_sql(p, c, none_text, pos, neg, mixed):
@@ -577,13 +576,12 @@ def _r1():
                  *summary_ctes("sel20"), HEADER, layout, """tp AS (
   SELECT data_id, aspect, polarity AS pol, phrase AS text,
     row_number() OVER (PARTITION BY data_id, aspect, polarity ORDER BY n DESC, phrase) - 1 AS ord
-  FROM (SELECT data_id, aspect, polarity, phrase, count(DISTINCT fetch_pos) AS n FROM mentions GROUP BY ALL) t
-  QUALIFY ord < 3)""", """sg AS (
+  FROM (SELECT data_id, aspect, polarity, phrase, count(DISTINCT fetch_pos) AS n FROM mentions GROUP BY ALL) t)""", """sg AS (
   SELECT c.data_id, c.aspect, 'suggest' AS pol, replace(i.template, '%s', c.term) AS text, c.r - 1 AS ord
   FROM (SELECT *, row_number() OVER (PARTITION BY data_id, aspect ORDER BY n DESC, term) AS r
         FROM (SELECT data_id, aspect, term, count(DISTINCT fetch_pos) AS n FROM mentions WHERE pol < 0
               GROUP BY ALL) c0) c
-  JOIN aspect_info i ON i.aspect = c.aspect WHERE c.r <= 3)""", """lists AS (
+  JOIN aspect_info i ON i.aspect = c.aspect)""", """lists AS (
   SELECT l.section_no, l.section, l.field, x.data_id,
     x.ord + CASE WHEN l.field = 'Website Feedback' AND x.pol = 'criticism'
                  THEN (SELECT count(*) FROM tp t2 WHERE t2.data_id = x.data_id AND t2.aspect = x.aspect
@@ -599,13 +597,16 @@ def _r1():
                     GROUP BY ALL) q GROUP BY ALL) iss USING (data_id, aspect)) s
   JOIN aspect_info ai ON ai.aspect = s.aspect
   QUALIFY p <= 5)""", body=f"""
-SELECT data_id, CAST(section_no AS BIGINT) AS section_no, section, field, CAST(ordinal AS BIGINT) AS ordinal, text FROM (
+SELECT data_id, CAST(section_no AS BIGINT) AS section_no, section, field, CAST(ordinal AS BIGINT) AS ordinal, text,
+  field <> 'Reviews' OR ordinal < 10 AS shown FROM (
   SELECT h.data_id, 0 AS section_no, 'Header' AS section, 'Title' AS field, 0 AS ordinal, coalesce(h.title, '') AS text
   FROM hdr h JOIN summ USING (data_id)
   UNION ALL
   SELECT h.data_id, 0, 'Header', 'Rating', 0,
     concat({_star_sql('h.rating')}, ' ', coalesce(CAST(h.rating AS VARCHAR), 'n/a'))
   FROM hdr h JOIN summ USING (data_id)
+  UNION ALL SELECT h.data_id, 0, 'Header', 'Address', 0, coalesce(h.address, '') FROM hdr h JOIN summ USING (data_id)
+  UNION ALL SELECT h.data_id, 0, 'Header', 'Total Reviews', 0, CAST(h.total_reviews AS VARCHAR) FROM hdr h JOIN summ USING (data_id)
   UNION ALL SELECT data_id, 1, 'Summary', 'Summary', 0, coalesce(summary, '') FROM summ
   UNION ALL SELECT data_id, 2, 'Overall Sentiment', 'Average Score', 0,
     concat(coalesce(CAST(average_score AS VARCHAR), 'n/a'), '/5') FROM summ
@@ -624,7 +625,7 @@ SELECT data_id, CAST(section_no AS BIGINT) AS section_no, section, field, CAST(o
   FROM pri p JOIN aspect_info ai ON ai.aspect = p.aspect, (SELECT unnest([0, 1, 2, 3]) AS j) k
   UNION ALL SELECT data_id, 11, 'Reviews', 'Reviews', rank_desc - 1,
     concat("user", ' | ', {_star_sql('rating')}, ' | ', date, ' | ', review_text)
-  FROM sel20 WHERE rank_desc <= 10) u""")
+  FROM sel20) u""")
 
 
 ORACLE["report_flatten"] = _r1()

@@ -175,19 +175,17 @@ def recency_weighted_sentiment(spark, d):
 
 # --- aspects, themes, priorities ---------------------------------------------
 
-def _mentions(spark, d, reviews=None, extra=(), reuse=False):
+def _mentions(spark, d, reviews=None, extra=()):
     from guestlens.operators.aspects import mentions
-    from guestlens.sources.scratch import materialize
     r = reviews if reviews is not None else _unordered(spark, d)
-    m = mentions(r, st.TEST_LEXICON, st.TEST_POLARITY, extra=extra)
-    return materialize(m, "mentions") if reuse else m
+    return mentions(r, st.TEST_LEXICON, st.TEST_POLARITY, extra=extra)
 
 
 @query("aspect_feedback")
 def aspect_feedback(spark, d):
     """A5: praise / criticism / neutral support per place and aspect."""
     from guestlens.operators.aspects import aspect_feedback as af
-    return af(_mentions(spark, d, reuse=True))
+    return af(_mentions(spark, d))
 
 
 @query("recurring_themes")
@@ -222,12 +220,12 @@ def persistent_themes(spark, d):
 def improvement_priorities(spark, d):
     """Top 5 aspects per place by criticism x rating shortfall."""
     from guestlens.operators.aspects import improvement_priorities as ip
-    return ip(_mentions(spark, d, reuse=True))
+    return ip(_mentions(spark, d))
 
 
 @query("aspect_suggestions")
 def aspect_suggestions(spark, d):
-    """Top 3 criticised terms per place and aspect with a suggestion."""
+    """Criticised terms per place and aspect with a suggestion."""
     from guestlens.operators.aspects import aspect_suggestions as asg
     return asg(_mentions(spark, d))
 
@@ -238,7 +236,7 @@ def analysis_summary(spark, d):
     from guestlens.operators.aspects import analysis_summary as summ
     from guestlens.sources.scratch import materialize
     r = materialize(_unordered(spark, d), "reviews")
-    m = _mentions(spark, d, reviews=r, reuse=True)
+    m = _mentions(spark, d, reviews=r)
     return summ(st.places(spark, d), sen.overall_sentiment(r), m, r, key="place_key")
 
 

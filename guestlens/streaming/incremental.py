@@ -110,14 +110,9 @@ class IncrementalPriorities:
 
     def _deltas(self, reviews: DataFrame):
         from guestlens.operators import aspects as asp
-        crit = asp.mentions(reviews, self.lexicon, self.polarity).filter(F.col("pol") < 0)
-        per_review = crit.select("data_id", "review_id", "rating", "aspect").dropDuplicates(
-            ["data_id", "review_id", "aspect"])
-        a = per_review.groupBy("data_id", "aspect").agg(
-            F.count(F.lit(1)).cast("long").alias("n_reviews"),
-            F.sum(F.when(F.col("rating") > 0, 5 - F.col("rating")).otherwise(0)).cast("double").alias("score"))
-        p = (crit.select("data_id", "review_id", "aspect", "phrase").dropDuplicates()
-             .groupBy("data_id", "aspect", "phrase").agg(F.count(F.lit(1)).cast("long").alias("n")))
+        crit = asp.mention_counts(asp.mentions(reviews, self.lexicon, self.polarity)).filter(F.col("pol") < 0)
+        a = crit.groupBy("data_id", "aspect").agg(F.sum("by_aspect").alias("n_reviews"), F.sum("short_aspect").alias("score"))
+        p = crit.groupBy("data_id", "aspect", "phrase").agg(F.sum("support").alias("n"))
         return a, p
 
     @staticmethod

@@ -100,8 +100,9 @@ def test_mentions_and_priorities(spark):
 
 def test_aspect_trend(spark):
     rows = [(1, 1, 0, "accommodation", 1), (1, 2, 0, "accommodation", 1), (1, 3, 1, "accommodation", -1),
-            (1, 4, 2, "accommodation", -1), (1, 5, 2, "accommodation", 1), (1, 5, 2, "accommodation", 1)]
-    m = spark.createDataFrame(rows, "data_id long, review_id long, batch_id long, aspect string, pol int")
+            (1, 4, 2, "accommodation", -1), (1, 5, 2, "accommodation", 1)]
+    m = spark.createDataFrame(rows, "data_id long, review_id long, batch_id long, aspect string, pol int").withColumn("first_aspect", F.lit(1)) \
+        .union(spark.createDataFrame([(1, 5, 2, "accommodation", 1, 0)], "a long, b long, c long, d string, e int, f int"))
     t = {r.batch_id: (r.net, r.trend) for r in cmb.aspect_trend(m).collect()}
     assert t == {0: (2, "first"), 1: (-1, "declining"), 2: (0, "improving")}
 
