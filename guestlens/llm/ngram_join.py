@@ -7,10 +7,11 @@ document: the smallest doc_id that it reaches by links.
 *Equal sets first.*  Documents with one set are one node (a partial aggregate), so
 a group of exact copies of any size costs one row.
 
-*Order.*  Prefixes need one order of all shingles.  Those whose hash is in the
-lowest ``SAMPLED`` share are counted over all nodes and come first, rare before
-frequent; the others follow by hash.  Shingles that one node alone holds make no
-candidates but fill its prefix, so most documents drop out here.
+*Two passes of prefixes.*  A prefix needs one order of all shingles.  In the first pass
+those whose hash is in the lowest ``SAMPLED`` share are counted over all nodes and come
+first, rare before frequent; the others follow by hash.  Shingles that one node alone
+holds make no candidates but fill its prefix, so most nodes drop out here.  The second
+pass counts all shingles of the nodes that are left, and orders them rare first.
 
 *Adaptive prefixes.*  With prefixes of n - ceil(t n) + l shingles, linked documents
 share at least l prefix shingles, and documents with l and l' share min(l, l').
@@ -18,14 +19,17 @@ Each node picks the l in 1..``MOST_MATCHES`` of least estimated cost: the postin
 its prefix meets, plus one verification per candidate, of which there can be at
 most postings / l.
 
-*Links without all pairs.*  First every node is verified against the smallest node
-of each of its prefix postings only: a star per posting.  Verified links give
-components; then postings that hold several components emit the pairs across
-components, which alone can still join them.  A pair inside a component
-changes no class, so no link between classes is lost, while a group of near copies
-costs a row per member and posting rather than a row per pair.
-
-Candidates that share min(l, l') prefix shingles are verified on their whole sets.
+*Links without all pairs.*  First every node is verified against one node of each of
+its prefix postings only, the one whose shingles are in the most nodes: a star per posting.
+Verified links give components; only pairs across components can still join them.  The
+postings of one centre meet in one bucket, where a pair's shared shingles are counted before
+it is emitted; it must share enough, and the shingles that no other node has must leave
+room for a link.  A pair inside a component changes no class, so no link between classes
+is lost, while a group of near copies costs a row per member and posting rather than a
+row per pair.
+
+Candidates that share min(l, l') prefix shingles are compared by a mark of ``BITS`` bits,
+which bounds their difference from below, and then verified on their whole sets.
 Sets are 64-bit hashes of shingles and are told apart by a 64-bit sum and their size.
 
 Defined results: null or blank texts have no shingles and are a class of their own;
@@ -50,6 +54,8 @@ MOST_MATCHES = 8        # largest l
 VERIFY_COST = 0.02      # of one candidate, per shingle, in postings
 BUCKET_BYTES = 24 << 20  # text bytes per bucket of postings
 
+BITS = 512               # of a set's parity mark: bit h counts the shingles hashed to it, modulo 2
+MARKS = [f"m{i}" for i in range(BITS // 64)]
 _LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
@@ -84,7 +90,7 @@ def _summaries(batches, k, num, den):
         first = np.cumsum(n) - n
         total = np.r_[np.uint64(0), np.cumsum(B.mix(sets + np.uint64(1)))]
         node = B.mix(total[first + n] - total[first] + n.astype(np.uint64)).view(np.int64)
-        low = np.bincount(docs[sets < _LIMIT], minlength=block.num_rows)
+        low = np.bincount(docs[sets <= _LIMIT], minlength=block.num_rows)
         take = np.minimum(n, np.maximum(low, _prefix(n, num, den) + MOST_MATCHES))
         raw = sets.tobytes()
         packed = [raw[8 * a:8 * (a + t)] for a, t in zip(first.tolist(), take.tolist())]
@@ -106,14 +112,14 @@ def _batch(names, kinds, rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
 
 
-def _ask(batches, n_buckets):
+def _ask(batches, n_buckets, limit):
     """The counted shingles of the nodes, packed by bucket of shingles."""
-    for batch in batches:
+    for batch in B.slices(batches, "low"):
         low = batch.column("low").to_pylist()
         h = np.frombuffer(b"".join(low), np.uint64)
         size = np.array([len(x) // 8 for x in low], np.int64)
         node = np.repeat(batch.column("node").to_numpy(), size)
-        few = h < _LIMIT
+        few = h <= limit
         h, node = h[few], node[few]
         rows = [(b, h[at].tobytes(), node[at].tobytes()) for b, at in _bins(h, n_buckets)]
         if rows:
@@ -153,32 +159,51 @@ def choose(df: np.ndarray, alone: int, counted: int, n: int, num: int, den: int)
     return best[1], best[2]
 
 
-def _choose_prefixes(nodes, replies, n_buckets, num, den):
+POSTING = [("h", np.uint64), ("node", np.int64), ("n", np.int64), ("own", np.int64), ("mass", np.int64), ("l", np.int8)]
+POSTINGS = "bucket long, h binary, node binary, n binary, own binary, mass binary, l binary"
+
+
+def _deal(columns, by, n_buckets, more=()):
+    """Columns of postings (and ``more``), packed by bucket of the column ``by``."""
+    names = [name for name, _ in POSTING] + list(more)
+    packs = [(b, *(x[at].tobytes() for x in columns)) for b, at in _bins(columns[by], n_buckets)] if len(columns[by]) else []
+    return pa.Table.from_batches([_batch(["bucket", *names], [pa.int64()] + [pa.binary()] * len(names), packs)])
+
+
+def _choose_prefixes(nodes, replies, n_buckets, num, den, limit):
     """Postings of the chosen prefixes, packed by bucket of shingles."""
     h, of, df = _join(replies, ("h", np.uint64), ("node", np.int64), ("df", np.uint32))
     order = np.lexsort((h, df, of))
     h, of, df = h[order], of[order], df[order]
-    got_h, got_node, got_n, got_l = [], [], [], []
+    hs, rows = [], []
     for node, n, low in zip(*(nodes.column(c).to_pylist() for c in ("node", "n", "low"))):
         a, b = np.searchsorted(of, node), np.searchsorted(of, node, side="right")
         low = np.frombuffer(low, np.uint64)
-        counted = int(np.searchsorted(low, _LIMIT))
-        match, reach = choose(df[a:b], counted - (b - a), counted, n, num, den)
-        shared = h[a:min(b, a + reach)]
+        counted = int(np.searchsorted(low, limit, side="right"))
+        own = counted - int(b - a)
+        match, reach = choose(df[a:b], own, counted, n, num, den)
+        prefix = h[a:min(b, a + reach)]
         rest = _prefix(n, num, den) + match - counted
         if rest > 0:
-            shared = np.r_[shared, low[counted:counted + rest]]
-        if len(shared):
-            got_h.append(shared)
-            got_node += [node] * len(shared)
-            got_n += [n] * len(shared)
-            got_l += [match] * len(shared)
-    if not got_h:
-        return pa.Table.from_batches([_batch(["bucket", "h", "node", "n", "l"], [pa.int64()] + [pa.binary()] * 4, [])])
-    h, node = np.concatenate(got_h), np.array(got_node, np.int64)
-    n, match = np.array(got_n, np.int64), np.array(got_l, np.int8)
-    rows = [(b, h[i].tobytes(), node[i].tobytes(), n[i].tobytes(), match[i].tobytes()) for b, i in _bins(h, n_buckets)]
-    return pa.Table.from_batches([_batch(["bucket", "h", "node", "n", "l"], [pa.int64()] + [pa.binary()] * 4, rows)])
+            prefix = np.r_[prefix, low[counted:counted + rest]]
+        if len(prefix):
+            hs.append(prefix)
+            rows.append((node, n, own, int(df[a:b].sum()) // n, match, len(prefix)))
+    cols = list(zip(*rows)) or [()] * 6
+    times = np.array(cols[5], np.int64)
+    out = [np.concatenate(hs) if hs else np.zeros(0, np.uint64)]
+    out += [np.repeat(np.array(c, t), times) for c, (_, t) in zip(cols, POSTING[1:])]
+    return _deal(out, 0, n_buckets)
+
+
+def _meeting(table, num, den):
+    """Nodes with another node of a fitting size in one of their postings."""
+    h, node, n = _join(table, *POSTING[:3])
+    order = np.lexsort((n, h))
+    h, node, n = h[order], node[order], n[order]
+    # Sorted by size, a fitting partner exists if a neighbour fits.
+    fits = (h[1:] == h[:-1]) & _sizes_fit(n[1:], n[:-1], num, den)
+    return pa.table({"node": pa.array(np.unique(node[np.r_[False, fits] | np.r_[fits, False]]), pa.int64())})
 
 
 PAIR = ["a", "b", "shared", "least"]
@@ -200,52 +225,91 @@ def _pair_table(a, b, least) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(least, pa.int32())], names=PAIR)
 
 
-def _postings(table):
-    h, node, n, match = _join(table, ("h", np.uint64), ("node", np.int64), ("n", np.int64), ("l", np.int8))
-    order = np.lexsort((node, h))
-    return h[order], node[order], n[order], match[order]
-
-
 def _sizes_fit(n, m, num, den):
     return np.minimum(n, m) * den >= np.maximum(n, m) * num
 
 
+def _room(n, own, m, other, num, den):
+    """Whether a link is left by the shingles that no other node has."""
+    most = np.minimum(n - own, m - other)
+    return most * den >= (n + m - most) * num
+
+
 def _stars(table, num, den):
-    """Each node with the smallest node of its posting."""
-    h, node, n, match = _postings(table)
+    """Each node with the node of its posting whose shingles are in the most nodes."""
+    h, node, n, own, mass, match = _join(table, *POSTING)
+    order = np.lexsort((node, -mass, h))
+    h, node, n, own, match = (x[order] for x in (h, node, n, own, match))
     starts = B.groups(h)
     first = np.repeat(starts, np.diff(np.r_[starts, len(h)]))
-    ok = (node != node[first]) & _sizes_fit(n, n[first], num, den)
+    ok = (node != node[first]) & _sizes_fit(n, n[first], num, den) & _room(n, own, n[first], own[first], num, den)
     return _pair_table(node[first][ok], node[ok], np.minimum(match, match[first])[ok])
 
 
+def _by_centre(table, num, den, n_buckets):
+    """Postings of several nodes that a link may join, packed by bucket of the posting's centre."""
+    columns = _join(table, *POSTING, ("root", np.int64))
+    n, own = columns[2], columns[3]
+    able = (n - own) * den >= n * num                   # the best partner has the shared shingles and no other
+    columns = [x[able] for x in columns]
+    order = np.lexsort((columns[1], -columns[4], columns[0]))
+    columns = [x[order] for x in columns]
+    starts = B.groups(columns[0])
+    size = np.diff(np.r_[starts, len(columns[0])])
+    centre = np.repeat(columns[1][starts], size)
+    many = np.repeat(size > 1, size)
+    return _deal([x[many] for x in (*columns, centre)], 7, n_buckets, ["root", "centre"])
+
+
 def _across(table, num, den):
-    """Pairs of a posting's nodes in different components.
-
-    A posting's nodes are sorted by component; a node meets those of later components."""
-    h, node, n, match, root = (np.asarray(x) for x in _join(table, ("h", np.uint64), ("node", np.int64), ("n", np.int64), ("l", np.int8), ("root", np.int64)))
-    order = np.lexsort((root, h))
-    h, node, n, match, root = h[order], node[order], n[order], match[order], root[order]
-    ends = np.repeat(np.r_[B.groups(h)[1:], len(h)], np.diff(np.r_[B.groups(h), len(h)])) if len(h) else np.zeros(0, np.int64)
-    runs = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (root[1:] != root[:-1])]) if len(h) else np.zeros(0, np.int64)
-    nxt = np.repeat(np.r_[runs[1:], len(h)], np.diff(np.r_[runs, len(h)])) if len(h) else np.zeros(0, np.int64)
-    tables, todo = [], ends - nxt
-    at = 0
-    while at < len(h):                                  # about a million pairs at a time
-        to = max(at + 1, int(np.searchsorted(np.cumsum(todo[at:]), 1_000_000, side="right")) + at)
-        left = np.repeat(np.arange(at, to), todo[at:to])
-        span = todo[at:to]
-        right = np.arange(len(left)) + np.repeat(nxt[at:to] - (np.cumsum(span) - span), span)
-        ok = _sizes_fit(n[left], n[right], num, den)
+    """Pairs of nodes in different components that share postings.
+
+    All postings of a centre are here, so a pair's shared shingles are counted before
+    it is emitted; it needs as many as its prefixes ask for, less those that both nodes may
+    still share in postings of other centres."""
+    h, node, n, own, _, match, root, _ = _join(table, *POSTING, ("root", np.int64), ("centre", np.int64))
+    order = np.argsort(h, kind="stable")
+    h, node, n, own, match, root = (x[order] for x in (h, node, n, own, match, root))
+    # Postings of one component join nothing; they only count as no place to share.
+    starts = B.groups(h)
+    size = np.diff(np.r_[starts, len(h)])
+    mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), size) if len(h) else np.zeros(0, bool)
+    _, number, here = np.unique(node, return_inverse=True, return_counts=True)
+    rest = _prefix(n, num, den) + match - own - here[number]
+    h, node, n, own, match, root, rest, number = (x[mixed] for x in (h, node, n, own, match, root, rest, number))
+    starts = B.groups(h)
+    size = np.diff(np.r_[starts, len(h)])
+    first, size = np.repeat(starts, size), np.repeat(size, size)
+    order = np.argsort(number, kind="stable")           # a node's postings in a row
+    ends = np.r_[B.groups(number[order])[1:], len(order)]
+    todo = np.r_[0, np.cumsum(size[order])]
+    tables, at = [], 0
+    while at < len(order):                              # whole nodes, about two million meetings at a time
+        to = int(ends[max(np.searchsorted(ends, at, side="right"), np.searchsorted(todo[ends], todo[at] + 2_000_000, side="right") - 1)])
+        mine = order[at:to]
+        left = np.repeat(mine, size[mine])
+        right = np.arange(len(left)) + np.repeat(first[mine] - (np.cumsum(size[mine]) - size[mine]), size[mine])
+        ok = (node[left] < node[right]) & (root[left] != root[right])
         left, right = left[ok], right[ok]
-        tables.append(_pair_table(node[left], node[right], np.minimum(match[left], match[right])))
+        ok = _sizes_fit(n[left], n[right], num, den) & _room(n[left], own[left], n[right], own[right], num, den)
+        left, right = left[ok], right[ok]
+        order2 = np.lexsort((node[right], node[left]))
+        left, right = left[order2], right[order2]
+        runs = np.flatnonzero(np.r_[True, (node[left][1:] != node[left][:-1]) | (node[right][1:] != node[right][:-1])][:len(left)])
+        shared = np.diff(np.r_[runs, len(left)])
+        left, right = left[runs], right[runs]
+        least = np.minimum(match[left], match[right])
+        ok = shared + np.minimum(rest[left], rest[right]) >= least
+        tables.append(pa.table([pa.array(node[left][ok], pa.int64()), pa.array(node[right][ok], pa.int64()), pa.array(shared[ok], pa.int64()),
+                                pa.array(least[ok], pa.int32())], names=PAIR))
         at = to
     return pa.concat_tables(tables) if tables else _pair_table(*[np.zeros(0, np.int64)] * 3)
 
 
 def _with_roots(table, roots, n_buckets):
     """The postings of a bucket of nodes with their components, packed by bucket of shingles."""
-    h, node, n, match = _join(table, ("h", np.uint64), ("node", np.int64), ("n", np.int64), ("l", np.int8))
+    columns = _join(table, *POSTING)
+    node = columns[1]
     known, to = roots.column("node").to_numpy(), roots.column("root").to_numpy()
     order = np.argsort(known)
     known, to = known[order], to[order]
@@ -253,14 +317,7 @@ def _with_roots(table, roots, n_buckets):
     if len(known):
         at = np.minimum(np.searchsorted(known, node), len(known) - 1)
         root = np.where(known[at] == node, to[at], node)
-    rows = [(b, h[i].tobytes(), node[i].tobytes(), n[i].tobytes(), match[i].tobytes(), root[i].tobytes()) for b, i in _bins(h, n_buckets)] if len(h) else []
-    return pa.Table.from_batches([_batch(["bucket", "h", "node", "n", "l", "root"], [pa.int64()] + [pa.binary()] * 5, rows)])
-
-
-def _by_node(table, n_buckets):
-    h, node, n, match = _join(table, ("h", np.uint64), ("node", np.int64), ("n", np.int64), ("l", np.int8))
-    rows = [(b, h[i].tobytes(), node[i].tobytes(), n[i].tobytes(), match[i].tobytes()) for b, i in _bins(node, n_buckets)] if len(h) else []
-    return pa.Table.from_batches([_batch(["bucket", "h", "node", "n", "l"], [pa.int64()] + [pa.binary()] * 4, rows)])
+    return _deal([*columns, root], 0, n_buckets, ["root"])
 
 
 def _full_sets(batches, k):
@@ -273,7 +330,10 @@ def _full_sets(batches, k):
         raw = sets.tobytes()
         packed = [raw[8 * a:8 * (a + t)] for a, t in zip(first.tolist(), n.tolist())]
         same = pa.array(node == block.column("node").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(packed, pa.binary())], ["node", "set"]).filter(same)
+        odd = np.bincount(docs * BITS + (sets >> np.uint64(64 - 9)).astype(np.int64), minlength=block.num_rows * BITS) & 1
+        marks = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, len(MARKS))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(packed, pa.binary()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)],
+                                         ["node", "n", "low", *MARKS]).filter(same)
 
 
 def _verify(batches, num, den):
@@ -297,40 +357,45 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = df.select(F.col(id_col).cast("long").alias("id"), as_binary(text_col).alias("text"))
     summary = materialize(texts.mapInArrow(lambda it: _summaries(it, k, num, den), "id long, n long, node long, low binary"), "sets")
 
-    # Postings are of nodes: equal sets count once.
-    nodes = summary.where("id is not null and n > 0").groupBy("node", "n").agg(F.first("low").alias("low"))
-    asked = nodes.mapInArrow(lambda it: _ask(it, buckets), "bucket long, h binary, node binary")
-    counted = asked.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "bucket long, h binary, node binary, df binary")
-    packed = "bucket long, h binary, node binary, n binary, l binary"
-    by_node = nodes.withColumn("bucket", _bucket("node", buckets)).groupBy("bucket")
-    prefixes = materialize(by_node.cogroup(counted.groupBy("bucket")).applyInArrow(
-        lambda left, right: _choose_prefixes(left, right, buckets, num, den), packed), "prefixes")
-
-    owner = summary.where("id is not null and n > 0").groupBy("node").agg(F.min("id").alias("id"))
+    def prefixes(nodes, limit):
+        """Prefix postings of (node, n, low): shingles up to ``limit`` are counted."""
+        asked = nodes.mapInArrow(lambda it: _ask(it, buckets, limit), "bucket long, h binary, node binary")
+        counted = asked.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "bucket long, h binary, node binary, df binary")
+        by_node = nodes.withColumn("bucket", _bucket("node", buckets)).groupBy("bucket")
+        return by_node.cogroup(counted.groupBy("bucket")).applyInArrow(
+            lambda left, right: _choose_prefixes(left, right, buckets, num, den, limit), POSTINGS)
+
+    # Nodes: equal sets count once.
+    known = summary.where("id is not null and n > 0")
+    nodes = known.groupBy("node", "n").agg(F.first("low").alias("low"))
+    owner = known.groupBy("node").agg(F.min("id").alias("id"))
+    left = (prefixes(nodes, _LIMIT).groupBy("bucket").applyInArrow(lambda t: _meeting(t, num, den), "node long").distinct())
+    sets = materialize(left.join(owner, "node").join(texts, "id").select("node", "text")
+                       .mapInArrow(lambda it: _full_sets(it, k), f"node long, n long, low binary, {', '.join(m + ' long' for m in MARKS)}").dropDuplicates(["node"]), "sets")
+    postings = materialize(prefixes(sets.select("node", "n", "low"), np.uint64(2**64 - 1)), "prefixes")
+
+    def side(name, *columns):
+        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     def verified(pairs):
-        pairs = materialize(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-                            .where("shared >= least").select("a", "b"), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = wanted.join(owner, "node")
-        sets = (ids.join(texts, "id").select("node", "text").mapInArrow(lambda it: _full_sets(it, k), "node long, set binary")
-                .dropDuplicates(["node"]))
-        sets = materialize(sets, "verify")
-        both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-                .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"))
-        return both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, num, den), "a long, b long")
-
-    stars = prefixes.groupBy("bucket").applyInArrow(lambda t: _stars(t, num, den), PAIRS)
-    first = materialize(verified(stars), "links")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+        # Bits that differ between the parity marks are at most the shingles that differ.
+        differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS), F.lit(0))
+        pairs = materialize(pairs.join(side("a", "n", *MARKS), "a").join(side("b", "n", *MARKS), "b")
+                            .where(differ * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b"), "pairs")
+        both = pairs.join(side("a", "low"), "a").join(side("b", "low"), "b").select("a", "b", F.col("a_low").alias("x"), F.col("b_low").alias("y"))
+        return materialize(both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long"), "links")
+
+    first = verified(postings.groupBy("bucket").applyInArrow(lambda t: _stars(t, num, den), PAIRS))
     roots = components(first)
-    dealt = prefixes.mapInArrow(lambda it: (b for x in it for b in _by_node(x, buckets).to_batches()), packed)
-    rooted = (dealt.groupBy("bucket").cogroup(roots.withColumn("bucket", _bucket("node", buckets)).groupBy("bucket"))
-              .applyInArrow(lambda left, right: _with_roots(left, right, buckets), packed + ", root binary"))
-    across = rooted.groupBy("bucket").applyInArrow(lambda t: _across(t, num, den), PAIRS)
-    second = materialize(verified(across), "links")
+    by_node = postings.mapInArrow(lambda it: (b for x in it for b in _deal(_join(x, *POSTING), 1, buckets).to_batches()), POSTINGS)
+    rooted = (by_node.groupBy("bucket").cogroup(roots.withColumn("bucket", _bucket("node", buckets)).groupBy("bucket"))
+              .applyInArrow(lambda left, right: _with_roots(left, right, buckets), POSTINGS + ", root binary"))
+    centred = rooted.groupBy("bucket").applyInArrow(lambda t: _by_centre(t, num, den, buckets), POSTINGS + ", root binary, centre binary")
+    second = verified(centred.groupBy("bucket").applyInArrow(lambda t: _across(t, num, den), PAIRS))
     roots = components(first.union(second))
 
-    classes = (owner.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    classes = owner.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     named = classes.join(smallest, "root").select("node", "component_id")
     return (summary.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node"))
