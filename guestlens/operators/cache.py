@@ -31,7 +31,14 @@ def cache_split(requests: DataFrame, store: DataFrame, latest_status: DataFrame
 
 def cache_decisions(requests: DataFrame, store: DataFrame, latest_status: DataFrame | None = None,
                     refresh: bool = False) -> DataFrame:
-    hits, running, misses = cache_split(requests, store, latest_status, refresh)
-    return (hits.withColumn("decision", F.lit("hit"))
-            .unionByName(running.withColumn("decision", F.lit("running")))
-            .unionByName(misses.withColumn("decision", F.lit("miss"))))
+    """The same as a flag per request: one left join to the stored keys and one to the
+    tokens that are running."""
+    keys = store.select("data_id", "type").distinct().withColumn("_hit", F.lit(not refresh))
+    out = requests.join(keys, ["data_id", "type"], "left")
+    if latest_status is None:
+        out = out.withColumn("_busy", F.lit(False))
+    else:
+        busy = (latest_status.filter(F.col("status") == "in_progress")
+                .select(F.col("token").alias("data_id"), F.lit("full").alias("type"), F.lit(True).alias("_busy")))
+        out = out.join(busy, ["data_id", "type"], "left")
+    return out.withColumn("decision", F.when(F.col("_hit"), "hit").when(F.col("_busy"), "running").otherwise("miss")).drop("_hit", "_busy")

@@ -18,20 +18,28 @@ from guestlens.functions.dates import display_date
 from guestlens.operators import sentiment as sen
 
 LATER_FAN_IN = 10
-MAX_LEVELS = 18
 
 
 def fan_in_for(batch_size: int) -> int:
+    """Half the batch size; with 1 (sizes 2 and 3) the first level passes batches through."""
     f = batch_size // 2
-    if f < 2:
-        raise ValueError("batch_size must be >= 4 so the first combine fan-in is >= 2")
+    if f < 1:
+        raise ValueError("batch_size must be >= 2")
     return f
 
 
+def _spans(fan_in_first: int) -> list[int]:
+    """Batches under one node of level 1, 2, ..: all that a long batch number can need."""
+    out = [fan_in_first]
+    while out[-1] * LATER_FAN_IN < 2**63:
+        out.append(out[-1] * LATER_FAN_IN)
+    return out
+
+
 def level_count(n_batches: F.Column, fan_in_first: int) -> F.Column:
     """Number of combine levels for a place with n batches (0 when n <= 1):
     level k >= 2 exists iff n > fan_in_first * 10^(k-2)."""
-    spans = F.array(*[F.lit(fan_in_first * LATER_FAN_IN ** j) for j in range(MAX_LEVELS)])
+    spans = F.array(*[F.lit(x).cast("long") for x in _spans(fan_in_first)])
     more = F.size(F.filter(spans, lambda s: n_batches > s))
     return F.when(n_batches > 1, 1 + more).otherwise(0)
 
@@ -43,7 +51,8 @@ def tree_combine(batch_state: DataFrame, fan_in_first: int) -> DataFrame:
     first_date, last_date, is_root, combined (False for a pass-through)."""
     n = batch_state.groupBy("data_id").agg(F.count(F.lit(1)).alias("_nb"))
     b = batch_state.join(n, "data_id")
-    spans = F.array(*[F.lit(fan_in_first * LATER_FAN_IN ** j) for j in range(MAX_LEVELS + 1)])
+    # The last span ends every tree; one more entry keeps the lookup of the top level in range.
+    spans = F.array(*[F.lit(x).cast("long") for x in [*_spans(fan_in_first), 2**63 - 1]])
     b = b.withColumn("_levels", level_count(F.col("_nb"), fan_in_first))
     b = b.filter(F.col("_levels") > 0).withColumn("level", F.explode(F.sequence(F.lit(1), F.col("_levels"))))
     span = F.element_at(spans, F.col("level").cast("int"))
@@ -52,7 +61,7 @@ def tree_combine(batch_state: DataFrame, fan_in_first: int) -> DataFrame:
     b = (b.withColumn("node", F.floor(F.col("batch_id") / span).cast("long"))
           .withColumn("_child", F.floor(F.col("batch_id") / child_span).cast("long")))
     g = b.groupBy("data_id", "level", "node").agg(
-        F.count_distinct("_child").cast("long").alias("n_children"),
+        (F.max("_child") - F.min("_child") + 1).alias("n_children"),       # children are consecutive
         F.count(F.lit(1)).cast("long").alias("n_batches"),
         *sen.merge_aggs(), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         F.max("_levels").alias("_levels"))

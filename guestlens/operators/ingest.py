@@ -9,45 +9,61 @@ from guestlens.functions.dates import display_date, parse_iso
 from guestlens.operators.ordering import running_total
 
 
+MAX_RATING = 5
+PAGES_PER_RANGE = 1024
+
+
 def explode_pages(pages: DataFrame) -> DataFrame:
     """P1 (row part): every review of every readable page with defaults for
     missing fields (rating 0, user "", text "") and the display date.
     Output: data_id, page_no, pos, user, rating, iso_date, ts, date,
-    review_text, bad_reason (NULL for a usable row)."""
+    review_text, bad_reason (NULL for a usable row).  A rating that is no number of
+    0..5 and a page without its number make bad rows."""
     good = pages.filter(F.col("_corrupt").isNull() & F.col("data_id").isNotNull())
-    rows = good.select("data_id", "page_no", F.posexplode("reviews").alias("pos", "r"))
+    more = [c for c in ("_page_off",) if c in pages.columns]
+    rows = good.select("data_id", "page_no", *more, F.posexplode("reviews").alias("pos", "r"))
     ts = parse_iso(F.col("r.iso_date"))
     rating = F.col("r.rating").try_cast("double")
+    usable = rating.between(0, MAX_RATING) & ~F.isnan(rating)
     return rows.select(
-        "data_id", "page_no", F.col("pos").cast("long").alias("pos"),
+        "data_id", "page_no", *more, F.col("pos").cast("long").alias("pos"),
         F.coalesce(F.col("r.user.name"), F.lit("")).alias("user"),
-        F.coalesce(rating, F.lit(0.0)).alias("rating"),
+        F.when(usable, rating).otherwise(F.lit(0.0)).alias("rating"),
         F.col("r.iso_date").alias("iso_date"),
         ts.alias("ts"), display_date(ts).alias("date"),
         F.coalesce(F.col("r.extracted_snippet.original"), F.lit("")).alias("review_text"),
         F.when(ts.isNull(), "bad date")
-         .when(F.col("r.rating").isNotNull() & rating.isNull(), "bad rating").alias("bad_reason"))
+         .when(F.col("r.rating").isNotNull() & ~F.coalesce(usable, F.lit(False)), "bad rating")
+         .when(F.col("page_no").isNull(), "no page number").alias("bad_reason"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return (rows.withColumn("fetch_pos", (F.col("_page_off") + F.col("pos") + 1).cast("long"))
+            .withColumn("review_id", F.col("fetch_pos")).drop("_page_off"))
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """Reviews on earlier pages of the place (pages without a number come last)."""
+    return running_total(sizes, ["data_id"], [F.col("page_no").asc_nulls_last()], "_page_off",
+                         F.floor(F.col("page_no") / PAGES_PER_RANGE), weight="_n", inclusive=False)
 
 
 def assign_fetch_pos(rows: DataFrame) -> DataFrame:
-    """P1 (order part): ``fetch_pos`` = 1-based position in fetch order, i.e.
-    reviews on earlier pages of the place + position on the page + 1.  Page
-    offsets are a running total over the narrow per-page counts (skew-safe),
-    joined back on (data_id, page_no)."""
+    """P1 (order part) for rows that are exploded already: ``fetch_pos`` = 1-based position
+    in fetch order, i.e. reviews on earlier pages of the place + position on the page + 1."""
     sizes = rows.groupBy("data_id", "page_no").agg(F.count(F.lit(1)).cast("long").alias("_n"))
-    offsets = running_total(sizes, ["data_id"], ["page_no"], "_page_off", weight="_n",
-                            inclusive=False).select(
-        F.col("data_id").alias("_od"), F.col("page_no").alias("_op"), "_page_off")
-    j = rows.join(offsets, (rows.data_id == offsets._od) & (rows.page_no == offsets._op))
-    return (j.withColumn("fetch_pos", (F.col("_page_off") + F.col("pos") + 1).cast("long"))
-            .withColumn("review_id", F.col("fetch_pos"))
-            .drop("_od", "_op", "_page_off"))
+    offsets = _offsets(sizes).select(F.col("data_id").alias("_od"), F.col("page_no").alias("_op"), "_page_off")
+    j = rows.join(offsets, (rows.data_id == offsets._od) & rows.page_no.eqNullSafe(offsets._op))
+    return _numbered(j.drop("_od", "_op"))
 
 
 def normalize_reviews(pages: DataFrame) -> DataFrame:
     """Concatenate each place's pages in page order and project every
-    review (see ``explode_pages``) with its fetch position."""
-    return assign_fetch_pos(explode_pages(pages))
+    review (see ``explode_pages``) with its fetch position.  The offsets are
+    taken over pages, before their reviews are exploded."""
+    good = pages.filter(F.col("_corrupt").isNull() & F.col("data_id").isNotNull())
+    counted = good.withColumn("_n", F.coalesce(F.size("reviews"), F.lit(0)))
+    return _numbered(explode_pages(_offsets(counted)))
 
 
 def _non_empty(struct_col: str, fields: list[str]) -> F.Column:
@@ -82,23 +98,36 @@ def place_header(pages: DataFrame) -> DataFrame:
 
 def quarantine(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split normalised reviews into good rows and quarantined rows (date
-    missing or malformed, rating not a number).  A bad row is set aside, not
-    the whole place."""
+    missing or malformed, rating no number of 0..5, page without a number).  A bad
+    row is set aside, not the whole place."""
     bad = F.col("bad_reason").isNotNull()
     return reviews.filter(~bad), reviews.filter(bad)
 
 
-def place_status(reviews: DataFrame) -> DataFrame:
-    """Per place Success (all rows good) / Partial (some quarantined) /
-    Error (nothing usable), with the counts."""
+def bad_pages(pages: DataFrame) -> DataFrame:
+    """Unreadable pages per place; the place is read from the broken line where it still
+    stands there (else data_id is NULL)."""
+    bad = pages.filter(F.col("_corrupt").isNotNull() | F.col("data_id").isNull())
+    place = F.coalesce(F.col("data_id"), F.regexp_extract("_corrupt", r'"data_id"\s*:\s*"?(\d+)', 1).try_cast("long"))
+    return bad.groupBy(place.alias("data_id")).agg(F.count(F.lit(1)).cast("long").alias("n_bad_pages"))
+
+
+def place_status(reviews: DataFrame, pages: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """Per place Success (all rows and pages good) / Partial (some are not) /
+    Error (nothing usable), with the counts.  ``pages`` adds unreadable pages,
+    ``requests`` (data_id) the places that were asked for and gave nothing."""
     bad = F.col("bad_reason").isNotNull()
-    s = reviews.groupBy("data_id").agg(
-        F.count_if(~bad).cast("long").alias("n_good"),
-        F.count_if(bad).cast("long").alias("n_quarantined"))
-    return s.withColumn(
-        "status",
-        F.when(F.col("n_good") == 0, "Error")
-         .when(F.col("n_quarantined") > 0, "Partial").otherwise("Success"))
+    zero = F.lit(0).cast("long")
+    parts = reviews.select("data_id", F.when(bad, 0).otherwise(1).alias("g"), F.when(bad, 1).otherwise(0).alias("q"), F.lit(0).alias("p"))
+    if pages is not None:
+        broken = bad_pages(pages).filter(F.col("data_id").isNotNull())
+        parts = parts.unionByName(broken.select("data_id", zero.alias("g"), zero.alias("q"), F.col("n_bad_pages").alias("p")))
+    if requests is not None:
+        parts = parts.unionByName(requests.select("data_id", zero.alias("g"), zero.alias("q"), zero.alias("p")))
+    s = parts.groupBy("data_id").agg(F.sum("g").cast("long").alias("n_good"), F.sum("q").cast("long").alias("n_quarantined"),
+                                     F.sum("p").cast("long").alias("n_bad_pages"))
+    return s.withColumn("status", F.when(F.col("n_good") == 0, "Error")
+                        .when((F.col("n_quarantined") > 0) | (F.col("n_bad_pages") > 0), "Partial").otherwise("Success"))
 
 
 def no_review_places(requests: DataFrame, reviews: DataFrame, key: str = "data_id") -> DataFrame:

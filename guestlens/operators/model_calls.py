@@ -86,6 +86,18 @@ def combine_requests(nodes: DataFrame, header: DataFrame, fan_in_first: int, as_
                     F.array_join(F.transform("_b", lambda x: x["block"]), BLOCK_SEPARATOR).alias("user_prompt"))
 
 
+def _one_by_one(fn, pdf: pd.DataFrame) -> tuple[list, list]:
+    replies, errors = [], []
+    for i in range(len(pdf)):
+        try:
+            replies.append(list(fn(pdf.iloc[i:i + 1]))[0])
+            errors.append(None)
+        except Exception as e:  # noqa: BLE001 - surfaced per request
+            replies.append(None)
+            errors.append(f"{type(e).__name__}: {e}")
+    return replies, errors
+
+
 RESPONSE_SCHEMA = "data_id long, batch_id long, response string, error string"
 
 
@@ -102,12 +114,12 @@ def run_analyzer(requests: DataFrame, make_fn: Callable[[], Callable[[pd.DataFra
         fn = make_fn()
         for pdf in frames:
             try:
-                replies, err = fn(pdf), None
-            except Exception as e:  # noqa: BLE001 - surfaced per request
-                replies, err = pd.Series([None] * len(pdf)), f"{type(e).__name__}: {e}"
+                replies, errors = list(fn(pdf)), [None] * len(pdf)
+            except Exception:  # noqa: BLE001 - one bad request must not fail the others
+                replies, errors = _one_by_one(fn, pdf)
             yield pd.DataFrame({"data_id": pdf["data_id"].astype("int64"),
                                 "batch_id": pdf["batch_id"].astype("int64"),
-                                "response": list(replies), "error": [err] * len(pdf)})
+                                "response": replies, "error": errors})
     r = requests.select("data_id", "batch_id", "system_prompt", "user_prompt")
     if partitions:
         r = r.repartition(partitions, "data_id", "batch_id")

@@ -1,31 +1,22 @@
 """Positions and running totals inside groups, safe for very large groups.
 
 A plain ``row_number().over(Window.partitionBy(place))`` sorts every row of a
-place in one task; one place may hold a third of all rows, so that task would
-never finish.  ``running_total`` spreads each group over range partitions:
+place in one task; one place may hold a third of all rows.  ``running_total`` takes
+prefix sums in two steps instead, over *ranges* of the order:
 
-1. ``repartitionByRange(group, order)`` cuts the global order into balanced,
-   contiguous ranges; a hot group spans many partitions;
-2. a window over ``(partition id, group)`` gives running totals inside each
-   range (a task holds one range, bounded by the partition size);
-3. only a group that continues from earlier partitions needs an offset, and
-   that can only be the *first* group of a partition.  Per partition the first
-   and last group with their totals form a table of at most 2 x #partitions
-   rows; a window over it yields the offsets, which are broadcast (size bound
-   proven by construction) and added - the big side is not shuffled again.
+1. ``span`` maps a row to its range (a long that never falls along the order, e.g. the
+   day of a date order); totals per (group, range) are one partial aggregate;
+2. a window over the ranges of a group (a few rows each) gives the total before each
+   range, which is joined back;
+3. a window inside (group, range) numbers the rows there.  The join and this window
+   share one hash partitioning, so the rows are shuffled once.
 
-The locally numbered ranges are written once (``sources.scratch.materialize``)
-because two branches read them (offsets and the final join); otherwise each
-branch would redo the sampling job and the range shuffle.
+The plan is the same for every size and lazy: nothing runs while it is built, and
+ranges depend on the rows' own values, so a recomputed partition gives the same numbers.
 
 The result equals ``sum(weight) over (partition by group order by order rows
 between unbounded preceding and current row)`` (or ``... 1 preceding`` when
 ``inclusive=False``).  ``order`` must be a total order inside each group.
-
-Like a broadcast behind a size check, the plain window is used only behind a
-check of the largest group: one partial aggregate counts rows per group, and
-when no group exceeds ``max_window_rows`` a single sort per group is safe and
-cheaper.  Beyond that bound the ranged plan above is used.
 """
 
 from __future__ import annotations
@@ -35,71 +26,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestlens.sources.scratch import materialize
-
-_P, _W, _L, _C, _O, _G = "_rt_part", "_rt_w", "_rt_local", "_rt_cnt", "_rt_off", "_rt_group"
-
-# Largest group one task may sort in a plain window.
-MAX_WINDOW_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows in the biggest group (partial aggregation; one scalar to the driver)."""
-    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(n or 0)
+_S, _W, _T, _B, _N = "_rt_span", "_rt_w", "_rt_total", "_rt_before", "_rt_all"
 
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                  out: str, weight: str | Column | None = None,
-                  inclusive: bool = True, max_window_rows: int | None = MAX_WINDOW_ROWS,
-                  size_bound: DataFrame | None = None) -> DataFrame:
-    """``size_bound``: an optional cheaper DataFrame with the group columns
-    whose per-group row counts are >= those of ``df`` (e.g. the raw table
-    before filtering joins); the group-size check then reads it instead."""
+                  out: str, span: Column, weight: str | Column | None = None,
+                  inclusive: bool = True, whole: str | None = None) -> DataFrame:
+    """Adds ``out``; ``whole`` names a column for the group's whole total."""
     group = list(group)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     w = F.lit(1).cast("long") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast("long")
-    probe = size_bound if size_bound is not None else df
-    if max_window_rows is not None and largest_group(probe, group) <= max_window_rows:
-        frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-        total = F.sum(w).over(frame)
-        return df.withColumn(out, (total if inclusive else F.coalesce(total, F.lit(0))).cast("long"))
-    return _ranged_total(df, group, order, out, w, inclusive)
-
-
-def _ranged_total(df: DataFrame, group: list[str], order: list[Column], out: str, w: Column,
-                  inclusive: bool) -> DataFrame:
-    gkey = F.struct(*[F.col(g) for g in group])
-    ranged = (df.repartitionByRange(*[F.col(g) for g in group], *order)
-                .withColumn(_P, F.spark_partition_id())
-                .withColumn(_W, w))
-    local = Window.partitionBy(_P, *group).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    numbered = materialize(ranged.withColumn(_L, F.sum(_W).over(local)), "ranged-positions")
-    # Totals per (partition, group): same partitioning as the window, no shuffle.
-    per = numbered.groupBy(_P, *group).agg(F.sum(_W).alias(_C)).withColumn(_G, gkey)
-    numbered = numbered.withColumn(_G, gkey)
-    ends = per.groupBy(_P).agg(F.min(_G).alias("_first"), F.max(_G).alias("_last"))
-    edge = (per.join(F.broadcast(ends), _P)
-            .filter((F.col(_G) == F.col("_first")) | (F.col(_G) == F.col("_last")))
-            .select(_P, _G, _C))
-    earlier = Window.partitionBy(_G).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (edge.withColumn(_O, F.sum(_C).over(earlier)).filter(F.col(_O).isNotNull())
-               .select(F.col(_P).alias(_P + "_o"), F.col(_G).alias(_G + "_o"), _O))
-    # <= 2 rows per partition: broadcast is safe at any data size.
-    j = numbered.join(F.broadcast(offsets),
-                      (numbered[_P] == offsets[_P + "_o"]) & (numbered[_G] == offsets[_G + "_o"]), "left")
-    total = F.col(_L) + F.coalesce(F.col(_O), F.lit(0))
+    rows = df.withColumn(_S, F.coalesce(span.cast("long"), F.lit(2**62))).withColumn(_W, w)
+    keys = [f"_rt_g{i}" for i in range(len(group))]
+    ranges = rows.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col(_S).alias(_S + "_r")).agg(F.sum(_W).alias(_T))
+    along = Window.partitionBy(*keys).orderBy(_S + "_r")
+    before = ranges.select(*keys, _S + "_r", (F.sum(_T).over(along) - F.col(_T)).alias(_B),
+                           F.sum(_T).over(Window.partitionBy(*keys)).alias(_N))
+    meet = F.col(_S) == F.col(_S + "_r")
+    for g, k in zip(group, keys):
+        meet = meet & F.col(g).eqNullSafe(F.col(k))
+    inside = Window.partitionBy(*group, _S).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col(_B) + F.sum(_W).over(inside)
     if not inclusive:
         total = total - F.col(_W)
-    return (j.withColumn(out, total.cast("long"))
-            .drop(_P, _W, _L, _O, _G, _P + "_o", _G + "_o"))
+    done = rows.join(before, meet).withColumn(out, total.cast("long"))
+    if whole:
+        done = done.withColumn(whole, F.col(_N).cast("long"))
+    return done.drop(_S, _W, _B, _N, _S + "_r", *keys)
 
 
 def position(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-             out: str, max_window_rows: int | None = MAX_WINDOW_ROWS,
-             size_bound: DataFrame | None = None) -> DataFrame:
+             out: str, span: Column, whole: str | None = None) -> DataFrame:
     """1-based dense position (``row_number``) of each row inside its group."""
-    return running_total(df, group, order, out, max_window_rows=max_window_rows, size_bound=size_bound)
+    return running_total(df, group, order, out, span, whole=whole)

@@ -139,12 +139,15 @@ def flatten_report(results: DataFrame, shown: int = 10) -> DataFrame:
     def num(c):
         return F.coalesce(c.cast("string"), F.lit("n/a"))
 
+    def optional(name, kind):
+        return (F.col(name) if name in results.columns else F.lit(None)).cast(kind)
+
     entries = [
         _entry(0, "Header", "Title", F.array(F.coalesce(F.col("title"), F.lit("")))),
         _entry(0, "Header", "Rating", F.array(F.concat(star_bar(F.col("rating")), F.lit(" "),
                                                        num(F.col("rating"))))),
-        _entry(0, "Header", "Address", F.array(F.coalesce(F.col("address"), F.lit("")))),
-        _entry(0, "Header", "Total Reviews", F.array(F.coalesce(F.col("total_reviews"), F.lit(0)).cast("string"))),
+        _entry(0, "Header", "Address", F.array(F.coalesce(optional("address", "string"), F.lit("")))),
+        _entry(0, "Header", "Total Reviews", F.array(F.coalesce(optional("total_reviews", "long"), F.lit(0)).cast("string"))),
         _entry(1, "Summary", "Summary", F.array(F.coalesce(a["summary"], F.lit("")))),
         _entry(2, "Overall Sentiment", "Average Score", F.array(F.concat(num(s["average_score"]), F.lit("/5")))),
         _entry(2, "Overall Sentiment", "Sentiment Distribution", F.array(

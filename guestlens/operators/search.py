@@ -17,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestlens.functions.joins import broadcast_if_small
-
 # Default search location and suggestion count.
 DEFAULT_LATITUDE = 9.9185
 DEFAULT_LONGITUDE = 76.2558
@@ -48,14 +46,16 @@ def place_search(queries: DataFrame, places: DataFrame, k: int = DEFAULT_K,
     if type_filter is not None:
         p = p.filter(F.coalesce(F.col("type"), F.lit("")) == type_filter)
     p = p.withColumn("_t", F.lower(F.coalesce("title", F.lit(""))))
-    cols = ["data_id", "title", "type", "address", "latitude", "longitude", "_t"]
-    pg = p.select(*cols, F.explode(grams(F.col("_t"))).alias("gram"))
-    df = pg.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-    qg = q.select("query_id", F.explode(grams(F.col("_q"))).alias("gram"))
-    best = (qg.join(df, "gram").groupBy("query_id")
+    # Equal texts are searched once.  The index has (gram, place) only, and the places join
+    # after the grams have met; sizes are left to the planner and AQE.
+    texts = q.select("_q").distinct()
+    index = p.select(F.col("data_id").alias("_pd"), F.explode(grams(F.col("_t"))).alias("gram"))
+    df = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    rare = (texts.select("_q", F.explode(grams(F.col("_q"))).alias("gram")).join(df, "gram").groupBy("_q")
             .agg(F.min_by("gram", F.struct("_df", "gram")).alias("gram")))
-    probe = broadcast_if_small(best.join(q, "query_id"))
-    cand = pg.join(probe, "gram").filter(F.col("_t").contains(F.col("_q")))
+    met = rare.join(index, "gram").select("_q", "_pd")
+    hits = (met.join(p, F.col("_pd") == F.col("data_id")).filter(F.col("_t").contains(F.col("_q"))).drop("_pd"))
+    cand = q.join(hits, "_q")
     cand = cand.select(
         "query_id", "data_id", "title", "type", "address", "latitude", "longitude",
         F.when(F.col("_t").startswith(F.col("_q")), "prefix").otherwise("contains").alias("match"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import minute_key
-from guestlens.operators.ordering import MAX_WINDOW_ROWS, position
+from guestlens.operators.ordering import position
 
 DEFAULT_NUM_REVIEWS = 20      # instant analysis
 DEFAULT_MAX_REVIEWS = 150     # full analysis (page-granular)
@@ -26,12 +26,20 @@ def instant_select(reviews: DataFrame, num_reviews: int = DEFAULT_NUM_REVIEWS) -
 
 
 def page_counts(reviews: DataFrame) -> DataFrame:
-    """Pages seen in the review table: (data_id, page_no, n_reviews, has_next);
-    a page has a next page when page_no + 1 exists for the place."""
+    """Pages seen in the review table: (data_id, page_no, n_reviews, has_next).  A review
+    table does not know empty pages; every page before the place's last one has a next."""
     pages = reviews.groupBy("data_id", "page_no").agg(F.count(F.lit(1)).cast("long").alias("n_reviews"))
-    nxt = pages.select(F.col("data_id").alias("_nd"), (F.col("page_no") - 1).alias("_np"))
-    return (pages.join(nxt, (pages.data_id == nxt._nd) & (pages.page_no == nxt._np), "left")
-            .select("data_id", "page_no", "n_reviews", F.col("_nd").isNotNull().alias("has_next")))
+    last = reviews.groupBy(F.col("data_id").alias("_nd")).agg(F.max("page_no").alias("_np"))
+    return (pages.join(last, pages.data_id == last._nd)
+            .select("data_id", "page_no", "n_reviews", (F.col("page_no") < F.col("_np")).alias("has_next")))
+
+
+def landed_page_counts(pages: DataFrame) -> DataFrame:
+    """The same from landed pages: empty pages count as pages, and a page has a next page
+    if it says so."""
+    return pages.filter(F.col("data_id").isNotNull() & F.col("page_no").isNotNull()).select(
+        "data_id", "page_no", F.coalesce(F.size("reviews"), F.lit(0)).cast("long").alias("n_reviews"),
+        F.col("serpapi_pagination.next").isNotNull().alias("has_next"))
 
 
 def full_page_cap(pages: DataFrame, max_reviews: int = DEFAULT_MAX_REVIEWS) -> DataFrame:
@@ -60,30 +68,36 @@ def full_page_cap(pages: DataFrame, max_reviews: int = DEFAULT_MAX_REVIEWS) -> D
             .drop("_ed", "_end"))
 
 
-def chronological_batches(reviews: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
-                          max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
+def day_of(c: str) -> F.Column:
+    """The range of a date order: the day as a number."""
+    return F.unix_date(F.to_date(c)).cast("long")
+
+
+def chronological_batches(reviews: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
     """Number reviews by date ascending (minute resolution, ties in fetch
     order) and cut them into consecutive batches of ``batch_size``.  Adds
     date_pos (1-based), batch_id (0-based) and batch_pos."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     r = position(reviews.withColumn("_minute", minute_key("ts")), ["data_id"],
-                 ["_minute", "fetch_pos"], "date_pos", max_window_rows=max_window_rows)
+                 ["_minute", "fetch_pos"], "date_pos", day_of("_minute"))
     return (r.drop("_minute")
             .withColumn("batch_id", F.floor((F.col("date_pos") - 1) / batch_size).cast("long"))
             .withColumn("batch_pos", ((F.col("date_pos") - 1) % batch_size + 1).cast("long")))
 
 
-def reviews_by_date(reviews: DataFrame, max_window_rows: int | None = MAX_WINDOW_ROWS) -> DataFrame:
+def reviews_by_date(reviews: DataFrame) -> DataFrame:
     """O1: date order at minute resolution in both directions; equal minutes
     keep fetch order in both (a stable sort, also when reversed).  Adds
-    rank_asc and rank_desc (1-based, per place)."""
-    r = reviews.withColumn("_minute", minute_key("ts"))
-    r = position(r, ["data_id"], [F.col("_minute").asc(), F.col("fetch_pos").asc()], "rank_asc",
-                 max_window_rows=max_window_rows)
-    r = position(r, ["data_id"], [F.col("_minute").desc(), F.col("fetch_pos").asc()], "rank_desc",
-                 max_window_rows=max_window_rows)
-    return r.drop("_minute")
+    rank_asc and rank_desc (1-based, per place).  The second rank follows from the first,
+    the place's size and the row's place within its minute: one sort serves both."""
+    r = position(reviews.withColumn("_minute", minute_key("ts")).withColumn("_day", day_of("_minute")), ["data_id"],
+                 [F.col("_minute").asc(), F.col("fetch_pos").asc()], "rank_asc", F.col("_day"), whole="_all")
+    minute = Window.partitionBy("data_id", "_day", "_minute")
+    within = F.row_number().over(minute.orderBy("fetch_pos"))
+    r = r.withColumn("_within", within).withColumn("_same", F.count(F.lit(1)).over(minute))
+    later = F.col("_all") - (F.col("rank_asc") - F.col("_within")) - F.col("_same")
+    return r.withColumn("rank_desc", (later + F.col("_within")).cast("long")).drop("_minute", "_day", "_all", "_within", "_same")
 
 
 def review_display_split(reviews: DataFrame, shown: int = DEFAULT_SHOWN) -> DataFrame:

@@ -139,9 +139,17 @@ FROM (SELECT data_id, CAST(sum(n_reviews) AS BIGINT) AS n, max(page_no) AS mp,
 JOIN places p ON p.place_key = a.data_id,
 LATERAL (SELECT (p.type <> 'BUILDING' OR a.mp >= 1) AS ok) o""")
 
-ORACLE["review_quarantine"] = with_(REVIEWS, body="""
-SELECT data_id, CAST(count(*) AS BIGINT) AS n_good, CAST(0 AS BIGINT) AS n_quarantined, 'Success' AS status
-FROM reviews GROUP BY data_id""")
+ORACLE["review_quarantine"] = with_(REVIEWS, PLACES, body="""
+SELECT p.place_key AS data_id, coalesce(r.n_good, 0) AS n_good, coalesce(r.n_quarantined, 0) AS n_quarantined,
+  coalesce(r.n_bad_pages, 0) AS n_bad_pages,
+  CASE WHEN coalesce(r.n_good, 0) = 0 THEN 'Error' WHEN r.n_quarantined > 0 OR r.n_bad_pages > 0 THEN 'Partial' ELSE 'Success' END AS status
+FROM places p LEFT JOIN (
+  SELECT data_id, CAST(count(*) FILTER (WHERE NOT broken AND NOT bad) AS BIGINT) AS n_good,
+    CAST(count(*) FILTER (WHERE NOT broken AND bad) AS BIGINT) AS n_quarantined,
+    CAST(count(DISTINCT page_no) FILTER (WHERE broken) AS BIGINT) AS n_bad_pages
+  FROM (SELECT data_id, page_no, (data_id + page_no) % 41 = 3 AS broken,
+          event_id % 97 = 5 OR event_id % 83 = 11 OR event_id % 89 = 7 AS bad FROM reviews) x
+  GROUP BY data_id) r ON r.data_id = p.place_key""")
 
 ORACLE["no_reviews_places"] = with_(REVIEWS, PLACES, body="""
 SELECT place_key AS data_id, 'no_reviews' AS instant_status, 'failed' AS full_status,
@@ -509,19 +517,6 @@ LEFT JOIN hdr h ON h.data_id = g.data_id""")
 ORACLE["analysis_requests"] = _l1()
 ORACLE["combine_requests"] = _l2()
 
-BATCH_SCORES = f"""bscores AS (SELECT data_id, batch_id, {_scores()} FROM batch_state)"""
-
-ORACLE["batch_analyzer_map"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), BATCH_STATE, BATCH_SCORES, body="""
-SELECT data_id, batch_id, average_score, positive_percentage, neutral_percentage, negative_percentage FROM bscores""")
-
-ORACLE["response_validate"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), BATCH_STATE, BATCH_SCORES, body="""
-SELECT data_id, batch_id, reason IS NULL AS valid, reason FROM (
-  SELECT data_id, batch_id,
-    CASE WHEN average_score < 1 OR average_score > 5 THEN 'average_score out of range'
-         WHEN abs(positive_percentage + neutral_percentage + negative_percentage - 100) > 0.2
-           THEN 'percentages do not sum to 100' END AS reason
-  FROM bscores) t""")
-
 SEL20 = """sel20 AS (
   SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY minute DESC, fetch_pos ASC) AS rank_desc
   FROM (SELECT * FROM nreviews QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY fetch_pos) <= 20) s0)"""
@@ -536,6 +531,16 @@ JOIN places p ON p.place_key = s.data_id
 LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) c
   ON c.data_id = s.data_id""")
 
+ORACLE["response_validate"] = with_(REVIEWS, NREVIEWS, SEL20, PLACES, body=f"""
+SELECT data_id, CAST(0 AS BIGINT) AS batch_id, reason IS NULL AS valid, reason FROM (
+  SELECT s.data_id, CASE s.data_id % 11 WHEN 7 THEN 'call failed: TimeoutError: no answer' WHEN 1 THEN 'no reply' WHEN 2 THEN 'not JSON'
+      WHEN 3 THEN 'not a JSON object' WHEN 4 THEN 'missing: summary' WHEN 5 THEN 'average_score out of range'
+      WHEN 6 THEN 'percentages do not sum to 100'
+      ELSE CASE WHEN abs(positive_percentage + neutral_percentage + negative_percentage - 100) > 0.2
+                THEN 'percentages do not sum to 100' END END AS reason
+  FROM (SELECT data_id, {_scores()} FROM (SELECT data_id, {STATE_AGGS} FROM sel20 GROUP BY data_id) t) s
+  JOIN places p ON p.place_key = s.data_id) u""")
+
 ORACLE["stream_page_ingest"] = ORACLE["review_normalize"]
 ORACLE["incremental_integration"] = ORACLE["overall_sentiment"]
 

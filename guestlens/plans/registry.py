@@ -64,14 +64,20 @@ def overall_sentiment(spark, d):
 
 # --- ingest ------------------------------------------------------------------
 
-def _landed_pages(spark, d):
+def _landed_pages(spark, d, defects=False):
     """Build page files from the stand-in reviews, land them under the shared
-    checkpoint folder and scan them back (S1)."""
+    checkpoint folder and scan them back (S1).  The scan is written once, so the JSON is
+    parsed once however many branches read the pages."""
     from guestlens.session import work_path
     from guestlens.sources import pages as pg
+    from guestlens.sources.scratch import materialize
     path = work_path(spark, "landed-pages")
-    pg.land_pages(pg.build_pages(st.reviews(spark, d), st.places(spark, d)), path)
-    return pg.scan_pages(spark, path)
+    r = st.reviews(spark, d)
+    if defects:
+        pg.land_pages(pg.build_pages(st.with_defects(r), st.places(spark, d)), path, broken=st.broken_page())
+    else:
+        pg.land_pages(pg.build_pages(r, st.places(spark, d)), path)
+    return materialize(pg.scan_pages(spark, path), "pages")
 
 
 @query("review_pages_scan")
@@ -98,10 +104,12 @@ def place_header(spark, d):
 
 @query("review_quarantine")
 def review_quarantine(spark, d):
-    """Per-place Success / Partial / Error with good and quarantined counts."""
+    """Success / Partial / Error of every requested place, with its good and
+    quarantined reviews and unreadable pages; the landed pages hold planted defects."""
     from guestlens.operators.ingest import normalize_reviews, place_status
-    return place_status(normalize_reviews(_landed_pages(spark, d))).select(
-        "data_id", "n_good", "n_quarantined", "status")
+    pages = _landed_pages(spark, d, defects=True)
+    asked = st.places(spark, d).select(F.col("place_key").alias("data_id"))
+    return place_status(normalize_reviews(pages), pages, asked)
 
 
 @query("no_reviews_places")
@@ -122,10 +130,9 @@ def instant_select(spark, d):
 
 @query("full_page_cap")
 def full_page_cap(spark, d):
-    """Whole pages until 40 reviews are reached (crossing page kept).  The
-    per-page table (one row per page) is written once: W2 reads it three times."""
-    from guestlens.sources.scratch import materialize
-    return sel.full_page_cap(materialize(sel.page_counts(_reviews(spark, d)), "pages"), max_reviews=40)
+    """Whole landed pages until 40 reviews are reached (crossing page kept) or a
+    page has no next link."""
+    return sel.full_page_cap(sel.landed_page_counts(_landed_pages(spark, d)), max_reviews=40)
 
 
 @query("chronological_batches")
@@ -382,27 +389,21 @@ def combine_requests(spark, d):
     return cr(_nodes(spark, d, 5), _header(spark, d), fan_in_for(5), _as_of(spark, d))
 
 
-def _responses(spark, d):
-    from guestlens.operators.model_calls import analysis_requests as ar
-    from guestlens.operators.model_calls import rating_analyzer, run_analyzer
-    b = sel.chronological_batches(_reviews(spark, d))
-    return run_analyzer(ar(b, _header(spark, d), _as_of(spark, d)), rating_analyzer)
-
-
-@query("batch_analyzer_map")
-def batch_analyzer_map(spark, d):
-    """L4: the deterministic analyzer over every batch request (mapInPandas)."""
-    from guestlens.operators.model_calls import validate_responses
-    v = validate_responses(_responses(spark, d))
-    return v.select("data_id", "batch_id", *[F.col("report.overall_sentiment." + c).alias(c)
-                                             for c in sen.SCORE_COLUMNS])
-
-
 @query("response_validate")
 def response_validate(spark, d):
-    """L3: schema and range checks of every reply."""
+    """L3: schema and range checks of replies.  The replies are the native reports of all
+    places as JSON, some of them spoilt by rule."""
     from guestlens.operators.model_calls import validate_responses
-    return validate_responses(_responses(spark, d)).select("data_id", "batch_id", "valid", "reason")
+    good = _instant_results(spark, d).select("data_id", F.to_json("hotel_analysis").alias("reply"))
+    r = F.col("reply")
+    spoilt = (F.when(F.col("data_id") % 11 == 1, F.lit(None).cast("string")).when(F.col("data_id") % 11 == 2, F.substring(r, 1, 40))
+              .when(F.col("data_id") % 11 == 3, F.lit("[1, 2]"))
+              .when(F.col("data_id") % 11 == 4, F.regexp_replace(r, '"summary"', '"other"'))
+              .when(F.col("data_id") % 11 == 5, F.regexp_replace(r, '"average_score":[0-9.]+', '"average_score":7.5'))
+              .when(F.col("data_id") % 11 == 6, F.regexp_replace(r, '"positive_percentage":[0-9.]+', '"positive_percentage":250.0')).otherwise(r))
+    responses = good.select("data_id", F.lit(0).cast("long").alias("batch_id"), spoilt.alias("response"),
+                            F.when(F.col("data_id") % 11 == 7, "TimeoutError: no answer").alias("error"))
+    return validate_responses(responses).select("data_id", "batch_id", "valid", "reason")
 
 
 def _instant_results(spark, d):
@@ -473,7 +474,7 @@ def incremental_integration(spark, d):
     old = _unordered(spark, d).filter(cut)
     inc.apply(old, 0)
     landing = pg.land_pages(pg.build_pages(r.filter(~cut), st.places(spark, d)), f"{base}/landing")
-    inc.start(landing, f"{base}/checkpoint", first_epoch=1).awaitTermination()
+    inc.start(landing, f"{base}/checkpoint").awaitTermination()
     return inc.scores()
 
 

@@ -47,15 +47,18 @@ def partition_settings(input_bytes: int, cores: int, target_bytes: int = 256 * 2
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "guestlens", extra: dict | None = None) -> SparkSession:
-    """Session for tests, the bench and local runs (UI off, no extra ports)."""
+                  app_name: str = "guestlens", extra: dict | None = None,
+                  input_bytes: int | None = None, cores: int = 8) -> SparkSession:
+    """Session for tests, the bench and local runs (UI off, no extra ports).  With
+    ``input_bytes`` the scan and shuffle sizes come from ``partition_settings``."""
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "8g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
-    for k, v in {**REQUIRED_CONF, **DEFAULT_CONF, **(extra or {})}.items():
+    sizes = partition_settings(input_bytes, cores) if input_bytes is not None else {}
+    for k, v in {**REQUIRED_CONF, **DEFAULT_CONF, **sizes, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,7 +8,7 @@ fixed page schema, keeping malformed lines in ``_corrupt``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import to_iso
@@ -56,9 +56,14 @@ def build_pages(reviews: DataFrame, places: DataFrame) -> DataFrame:
          .alias("serpapi_pagination"))
 
 
-def land_pages(pages: DataFrame, path: str) -> str:
-    """Write pages as JSON lines (missing / null fields are left out)."""
-    pages.write.mode("overwrite").json(path)
+def land_pages(pages: DataFrame, path: str, broken: Column | None = None) -> str:
+    """Write pages as JSON lines (missing / null fields are left out).  Lines where
+    ``broken`` holds are cut in the middle, as a failed fetch leaves them."""
+    if broken is None:
+        pages.write.mode("overwrite").json(path)
+    else:
+        line = F.to_json(F.struct(*pages.columns))
+        pages.select(F.when(broken, F.substring(line, 1, 60)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
     return path
 
 

@@ -10,7 +10,7 @@ tables with fixed rules (the same rules as the oracle SQL in
 * ``places``   - one place per customer, every 13th is "not a place";
 * ``search_queries``, ``store_writes``, ``status_events`` - request, store and
   status logs derived from ``nation`` and ``events``;
-* ``lexicon``, ``polarity`` - the test vocabulary for the part-name texts.
+* ``TEST_LEXICON``, ``TEST_POLARITY`` - the test vocabulary for the part-name texts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import display_date
-from guestlens.functions.joins import constant_table
 from guestlens.operators.ordering import position
 from guestlens.sources.tables import table
 
@@ -69,14 +68,24 @@ def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame
     if not ordered:
         return (r.drop("value").withColumn("fetch_pos", F.lit(None).cast("long"))
                 .withColumn("page_no", F.lit(None).cast("long")))
-    # Inner joins only drop events, so events per user bound reviews per place:
-    # the group-size check reads one column of events, not the joined rows.
     r = position(r, ["data_id"], [F.col("value").desc(), F.col("event_id").asc()], "fetch_pos",
-                 size_bound=e.select(F.col("user_id").alias("data_id")))
+                 -F.floor(F.col("value")).cast("long"))
     return (r.drop("value")
              .withColumn("page_no", F.floor((F.col("fetch_pos") - 1) / PAGE_SIZE).cast("long")))
 
 
+def with_defects(r: DataFrame) -> DataFrame:
+    """The reviews with planted defects, by event: no date, and ratings that are no
+    number or out of range."""
+    e = F.col("event_id")
+    return (r.withColumn("rating", F.when(e % 83 == 11, F.lit(float("nan"))).when(e % 89 == 7, 9.0).otherwise(F.col("rating").cast("double")))
+            .withColumn("ts", F.when(e % 97 != 5, F.col("ts"))))
+
+
+def broken_page() -> F.Column:
+    return (F.col("data_id") + F.col("page_no")) % 41 == 3
+
+
 def normalized_reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
     """The stand-in reviews in the normalised review shape (what P1 yields
     from landed pages): data_id, fetch_pos, page_no, user, rating, ts, date,
@@ -131,11 +140,3 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ts").alias("created_at"), F.col("event_id").alias("seq"),
                     F.when(t == "error", F.concat(F.lit("analysis failed: "), F.col("props")))
                      .alias("error"))
-
-
-def lexicon(spark: SparkSession) -> DataFrame:
-    return constant_table(spark, TEST_LEXICON, "term string, aspect string")
-
-
-def polarity(spark: SparkSession) -> DataFrame:
-    return constant_table(spark, TEST_POLARITY, "term string, polarity int")

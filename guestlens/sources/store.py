@@ -20,8 +20,16 @@ STORE_COLUMNS = ["data_id", "type", "analysis", "written_at", "seq"]
 
 
 def validate_types(writes: DataFrame) -> DataFrame:
-    """Writes must be of type instant or full; others are rejected."""
-    return writes.filter(F.col("type").isin(*STORE_TYPES))
+    """Writes must be of type instant or full; a write of another type fails the job."""
+    known = F.coalesce(F.col("type").isin(*STORE_TYPES), F.lit(False))
+    return writes.withColumn("type", F.when(known, F.col("type")).otherwise(
+        F.raise_error(F.concat(F.lit("store type must be instant or full, not "), F.coalesce("type", F.lit("null")))).cast("string")))
+
+
+def split_writes(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(writes of a known type, rejected rows with a reason), for callers that go on."""
+    known = F.coalesce(F.col("type").isin(*STORE_TYPES), F.lit(False))
+    return writes.filter(known), writes.filter(~known).withColumn("reason", F.lit("type must be instant or full"))
 
 
 def last_write(log: DataFrame, keys=("data_id", "type")) -> DataFrame:

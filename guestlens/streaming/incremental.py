@@ -2,9 +2,11 @@
 
 Per-place sentiment state (sums and counts) is additive, so the state after
 new reviews is ``old + delta``.  State is kept in committed versions
-(``VersionedTable`` keyed by epoch); applying epoch n when that version is
-committed is a no-op, so a replayed micro-batch is not counted twice, and a
-write that died before its commit is simply redone.
+(``VersionedTable`` keyed by epoch).  An epoch adds to the newest version *below* it,
+and its manifest entry names the micro-batch it came from (checkpoint and batch id):
+a replayed micro-batch is a no-op, a write that died before its commit is redone on
+the old state, and another source or checkpoint gets an epoch of its own.  Reviews that
+the batch path quarantines are set aside here as well.
 """
 
 from __future__ import annotations
@@ -39,12 +41,14 @@ class IncrementalSentiment:
     def has_epoch(self, epoch: int) -> bool:
         return self.table.has(epoch)
 
-    def apply(self, new_reviews: DataFrame, epoch: int) -> bool:
-        """Add the reviews of one epoch; returns False when already applied."""
-        if self.has_epoch(epoch):
+    def apply(self, new_reviews: DataFrame, epoch: int | None = None, tag: str | None = None) -> bool:
+        """Add the good reviews of one epoch (default: the next one); returns False when
+        the epoch or the work that ``tag`` names is already applied."""
+        epoch = next_epoch(self.table, epoch, tag)
+        if epoch is None:
             return False
-        merged = merge_state(self.latest(), sentiment_state(new_reviews))
-        self.table.write(merged, epoch)
+        merged = merge_state(self.table.latest(below=epoch), sentiment_state(good_reviews(new_reviews)))
+        self.table.write(merged, epoch, tag=tag)
         return True
 
     def scores(self) -> DataFrame:
@@ -70,15 +74,28 @@ class IncrementalSentiment:
         return j.select("data_id", F.round("p.a", 1).alias("previous_score"), F.round("c.a", 1).alias("current_score"),
                         (F.col("p.a").isNull() | (F.abs(d) >= threshold)).alias("significant"))
 
-    def start(self, landing: str, checkpoint: str, first_epoch: int = 1) -> StreamingQuery:
-        """Stream landed pages of new reviews into the state (epoch numbers
-        start after the ones already stored)."""
-        def on_batch(batch: DataFrame, epoch_id: int) -> None:
-            self.apply(explode_pages(batch), first_epoch + epoch_id)
+    def start(self, landing: str, checkpoint: str) -> StreamingQuery:
+        """Stream landed pages of new reviews into the state, one epoch per micro-batch."""
+        def on_batch(batch: DataFrame, batch_id: int) -> None:
+            self.apply(explode_pages(batch), tag=f"{checkpoint}#{batch_id}")
         return (page_stream(self.spark, landing).writeStream.foreachBatch(on_batch)
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def good_reviews(reviews: DataFrame) -> DataFrame:
+    return reviews.filter(F.col("bad_reason").isNull()) if "bad_reason" in reviews.columns else reviews
+
+
+def next_epoch(table: VersionedTable, epoch: int | None, tag: str | None) -> int | None:
+    """The epoch to write, or None when its work is committed."""
+    if tag is not None and tag in table.tags():
+        return None
+    if epoch is None:
+        newest = table.latest_version()
+        return 0 if newest is None else newest + 1
+    return None if table.has(epoch) else epoch
+
+
 def touched_places(new_reviews: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of ``table`` for places that received new reviews, so ranking jobs
     (priorities, trends) are re-run for those places only."""
@@ -104,9 +121,7 @@ class IncrementalPriorities:
     def __init__(self, spark: SparkSession, root: str, lexicon, polarity, k: int = 5):
         self.spark, self.k = spark, k
         self.lexicon, self.polarity = lexicon, polarity
-        self.aspects = VersionedTable(spark, f"{root.rstrip('/')}/aspects", key="epoch")
-        self.phrases = VersionedTable(spark, f"{root.rstrip('/')}/phrases", key="epoch")
-        self.ranking = VersionedTable(spark, f"{root.rstrip('/')}/ranking", key="epoch")
+        self.table = VersionedTable(spark, root, key="epoch")      # parts: aspects, phrases, ranking
 
     def _deltas(self, reviews: DataFrame):
         from guestlens.operators import aspects as asp
@@ -133,21 +148,27 @@ class IncrementalPriorities:
         return top.select("data_id", "priority", asp.category_name().alias("category"), "issue",
                           sug.alias("suggestion"), imp.alias("potential_impact"), "score", "n_reviews")
 
-    def apply(self, new_reviews: DataFrame, epoch: int) -> bool:
-        if self.ranking.has(epoch):
+    def apply(self, new_reviews: DataFrame, epoch: int | None = None, tag: str | None = None) -> bool:
+        """Add the good reviews of one epoch and re-rank their places.  All parts are
+        written before the one manifest entry that commits them."""
+        epoch = next_epoch(self.table, epoch, tag)
+        if epoch is None:
             return False
+        new_reviews = good_reviews(new_reviews)
         da, dp = self._deltas(new_reviews)
-        a = self._add(self.aspects.latest(), da, ["data_id", "aspect"])
-        p = self._add(self.phrases.latest(), dp, ["data_id", "aspect", "phrase"])
-        self.aspects.write(a, epoch)
-        self.phrases.write(p, epoch)
-        a, p = self.aspects.read(epoch), self.phrases.read(epoch)
+        before = self.table.latest_version(below=epoch)
+
+        def old(part):
+            return None if before is None else self.table.read(before, part)
+        a = self.table.write_part(self._add(old("aspects"), da, ["data_id", "aspect"]), epoch, "aspects")
+        p = self.table.write_part(self._add(old("phrases"), dp, ["data_id", "aspect", "phrase"]), epoch, "phrases")
         touched = new_reviews.select("data_id").distinct()
         fresh = self.rank(a.join(touched, "data_id", "left_semi"), p.join(touched, "data_id", "left_semi"))
-        old = self.ranking.latest()
-        kept = None if old is None else old.join(touched, "data_id", "left_anti")
-        self.ranking.write(fresh if kept is None else kept.unionByName(fresh), epoch)
+        if before is not None:
+            fresh = old("ranking").join(touched, "data_id", "left_anti").unionByName(fresh)
+        self.table.write_part(fresh, epoch, "ranking")
+        self.table.commit(epoch, tag)
         return True
 
     def priorities(self) -> DataFrame:
-        return self.ranking.latest()
+        return self.table.latest(part="ranking")

@@ -56,8 +56,19 @@ def test_tree_levels(spark):
 
 def test_fan_in_guard():
     import pytest
+    assert [cmb.fan_in_for(b) for b in (2, 3, 15, 30)] == [1, 1, 7, 15]
     with pytest.raises(ValueError):
-        cmb.fan_in_for(3)
+        cmb.fan_in_for(1)
+
+
+def test_tree_with_other_fan_ins(spark):
+    for fan_in, levels in ((1, {1: 2, 2: 3}), (15, {1: 1, 2: 2})):
+        t = cmb.tree_combine(batch_rows(spark, [1, 10, 30]), fan_in)
+        assert {r.data_id: r.l for r in t.groupBy("data_id").agg(F.max("level").alias("l")).collect()} == levels
+        roots = t.filter("is_root").collect()
+        assert sorted(r.n_batches for r in roots) == [10, 30] and all(r.n_reviews == r.n_batches for r in roots)
+    passed = cmb.tree_combine(batch_rows(spark, [0, 10]), 1).filter("level = 1").collect()
+    assert len(passed) == 10 and not any(r.combined for r in passed)
 
 
 def test_recency_weights(spark):

@@ -57,6 +57,19 @@ def test_status_error_when_nothing_usable(spark, land_lines):
     assert st.status == "Error" and st.n_good == 0
 
 
+def test_odd_ratings_pages_and_requests(spark, land_lines):
+    rows = [{**GOOD, "rating": x} for x in ("NaN", "Infinity", 9, -1, 5, 0)]
+    path = land_lines([page(1, 0, rows), page(1, None, [GOOD]), '{"data_id": 2, "page_no": 0, "revi', '{"data_id": 1, "page_no": 1, "re', "garbage",
+                       page(4, 0, [])])
+    pages = scan_pages(spark, path).cache()
+    r = normalize_reviews(pages).orderBy("fetch_pos").collect()
+    assert [x.bad_reason for x in r] == ["bad rating"] * 4 + [None, None, "no page number"] and r[-1].fetch_pos == 7
+    assert all(0 <= x.rating <= 5 for x in r)
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,)], "data_id long")
+    got = {s.data_id: (s.n_good, s.n_quarantined, s.n_bad_pages, s.status) for s in place_status(normalize_reviews(pages), pages, asked).collect()}
+    assert got == {1: (2, 5, 1, "Partial"), 2: (0, 0, 1, "Error"), 3: (0, 0, 0, "Error"), 4: (0, 0, 0, "Error")}
+
+
 def test_fetch_pos_spans_pages(spark, land_lines):
     lines = [page(5, p, [GOOD] * n, {"title": "T"}, nxt=p < 2) for p, n in [(0, 3), (1, 0), (2, 2)]]
     path = land_lines(lines)

@@ -85,8 +85,8 @@ def test_running_total_matches_window_on_skewed_data(spark):
     rows = [(0, i, i % 7) for i in range(3000)] + [(g, i, 1) for g in range(1, 200) for i in range(3)] \
         + [(None, 1, 5), (None, 2, 6)]
     df = spark.createDataFrame(rows, "g long, o long, w long").repartition(7)
-    got = running_total(df, ["g"], ["o"], "rt", weight="w", max_window_rows=100).collect()   # ranged plan
-    plain = {(r.g, r.o): r.rt for r in running_total(df, ["g"], ["o"], "rt", weight="w").collect()}
+    span = F.floor(F.col("o") / 50)
+    got = running_total(df, ["g"], ["o"], "rt", span, weight="w", whole="all").collect()
     exp = {}
     acc = {}
     for g, o, w in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
@@ -94,8 +94,8 @@ def test_running_total_matches_window_on_skewed_data(spark):
         exp[(g, o)] = acc[g]
     assert len(got) == len(rows)
     assert all(exp[(r.g, r.o)] == r.rt for r in got)
-    assert plain == exp
-    excl = running_total(df, ["g"], ["o"], "rt", weight="w", inclusive=False, max_window_rows=100).collect()
+    assert all(acc[r.g] == r.all for r in got)
+    excl = running_total(df, ["g"], ["o"], "rt", span, weight="w", inclusive=False).collect()
     assert all(exp[(r.g, r.o)] - r.w == r.rt for r in excl)
 
 
@@ -108,18 +108,28 @@ def test_partition_settings():
     assert int(big["spark.sql.files.maxPartitionBytes"]) <= 1024 * 2**20
 
 
-def test_hot_place_ranged_equals_plain(spark):
-    # place 0 holds ~90 % of the rows; many same-minute ties
+def test_hot_place_has_plain_ranks(spark):
+    # place 0 holds ~90 % of the rows; many same-minute ties, several days
     base = dt.datetime(2024, 1, 1)
-    rows = [(0, i, base + dt.timedelta(seconds=7 * (i % 400))) for i in range(1, 1801)] + \
+    rows = [(0, i, base + dt.timedelta(seconds=701 * (i % 400))) for i in range(1, 1801)] + \
            [(g, i, base + dt.timedelta(minutes=i)) for g in range(1, 21) for i in range(1, 11)]
     df = reviews(spark, rows).repartition(5)
-    key = ["data_id", "fetch_pos"]
-    plain_b = sorted(tuple(r) for r in sel.chronological_batches(df, 15).select(*key, "date_pos", "batch_id").collect())
-    ranged_b = sorted(tuple(r) for r in sel.chronological_batches(df, 15, max_window_rows=50)
-                      .select(*key, "date_pos", "batch_id").collect())
-    assert plain_b == ranged_b and len(plain_b) == 2000
-    plain_o = sorted(tuple(r) for r in sel.reviews_by_date(df).select(*key, "rank_asc", "rank_desc").collect())
-    ranged_o = sorted(tuple(r) for r in sel.reviews_by_date(df, max_window_rows=50)
-                      .select(*key, "rank_asc", "rank_desc").collect())
-    assert plain_o == ranged_o
+    minute = lambda r: r[2].replace(second=0)
+    asc, desc = {}, {}
+    for g in range(21):
+        own = [r for r in rows if r[0] == g]
+        asc.update({r[:2]: i for i, r in enumerate(sorted(own, key=lambda r: (minute(r), r[1])), 1)})
+        desc.update({r[:2]: i for i, r in enumerate(sorted(own, key=lambda r: (-minute(r).timestamp(), r[1])), 1)})
+    got = {(r.data_id, r.fetch_pos): (r.date_pos, r.batch_id) for r in sel.chronological_batches(df, 15).collect()}
+    assert got == {k: (v, (v - 1) // 15) for k, v in asc.items()}
+    ranks = {(r.data_id, r.fetch_pos): (r.rank_asc, r.rank_desc) for r in sel.reviews_by_date(df).collect()}
+    assert ranks == {k: (asc[k], desc[k]) for k in asc}
+
+
+def test_empty_page_does_not_cut_a_place(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 0), (1, 2)], "data_id long, page_no long")
+    kept = sel.full_page_cap(sel.page_counts(rows), 150).collect()
+    assert sum(r.n_reviews for r in kept) == 3
+    landed = spark.createDataFrame([(1, 0, [1, 2], ("u",)), (1, 1, [], ("u",)), (1, 2, [3], None), (1, None, [4], None)],
+                                   "data_id long, page_no long, reviews array<int>, serpapi_pagination struct<next:string>")
+    assert sorted((r.page_no, r.n_reviews) for r in sel.full_page_cap(sel.landed_page_counts(landed), 150).collect()) == [(0, 2), (1, 0), (2, 1)]

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from guestlens.operators.cache import cache_decisions
@@ -21,7 +23,11 @@ def test_upsert_versions_and_lookup(spark):
     root = work_path(spark, "test-store")
     w1 = writes(spark, [(1, "instant", "a", T0, 1), (1, "full", "b", T0, 2), (2, "instant", "c", T0, 3),
                         (3, "other", "bad", T0, 4)])
-    so.write_version(so.upsert(None, w1), root)
+    good, rejected = so.split_writes(w1)
+    assert [(r.data_id, r.type) for r in rejected.collect()] == [(3, "other")]
+    with pytest.raises(Exception, match="instant or full"):        # never dropped silently
+        so.upsert(None, w1).collect()
+    so.write_version(so.upsert(None, good), root)
     w2 = writes(spark, [(1, "instant", "a2", T0 + dt.timedelta(hours=1), 5), (2, "instant", "old", T0, 0)])
     so.write_version(so.upsert(so.read_latest(spark, root), w2), root)
     s = {(r.data_id, r.type): r.analysis for r in so.read_latest(spark, root).collect()}
@@ -89,16 +95,3 @@ def test_uncommitted_version_is_ignored(spark):
     assert t.versions() == [1] and [r.x for r in t.latest().collect()] == [1]
     t.write(spark.createDataFrame([(3,)], "x long"), 2)     # the retry overwrites and commits
     assert t.versions() == [1, 2] and [r.x for r in t.latest().collect()] == [3]
-
-
-def test_broadcast_guards(spark):
-    import pytest
-    from guestlens.functions.joins import broadcast_if_small, constant_table
-    small = spark.range(10)
-    big = spark.range(50)
-    plan_small = broadcast_if_small(small, max_rows=20).join(spark.range(1000), "id")
-    plan_big = broadcast_if_small(big, max_rows=20).join(spark.range(1000), "id")
-    assert "ResolvedHint (strategy=broadcast)" in plan_small._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint (strategy=broadcast)" not in plan_big._jdf.queryExecution().analyzed().toString()
-    with pytest.raises(ValueError):
-        constant_table(spark, [(i,) for i in range(11)], "x int", max_rows=10)

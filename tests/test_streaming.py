@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from guestlens.operators.ingest import normalize_reviews
 from guestlens.sources.pages import scan_pages
-from guestlens.streaming.incremental import IncrementalSentiment
+from guestlens.sources import standins as st
+from guestlens.streaming.incremental import IncrementalPriorities, IncrementalSentiment
 from guestlens.streaming.ingest import read_ingested, start_page_ingest
 from guestlens.session import work_path
 
@@ -95,3 +97,46 @@ def test_changes_with_single_version(spark):
     inc = IncrementalSentiment(spark, work_path(spark, "test-state-one"))
     inc.apply(spark.createDataFrame([(7, 4.0), (7, 2.0)], "data_id long, rating double"), 0)
     assert [tuple(r) for r in inc.changes().collect()] == [(7, None, 3.0, True)]
+
+
+def _reviews(spark, rows):
+    return spark.createDataFrame(rows, "data_id long, review_id long, rating double, review_text string, bad_reason string") \
+        .withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+
+
+FIRST = [(1, 1, 1.0, "old rod", None), (1, 2, 5.0, "new bolt", None), (2, 1, 2.0, "cold gear", None)]
+SECOND = [(1, 3, 2.0, "old bolt", None), (3, 1, 1.0, "small plate", None), (1, 4, 9.0, "old rod", "bad rating")]
+
+
+def _ranked(df):
+    return sorted((r.data_id, r.priority, r.category, r.issue, r.score, r.n_reviews) for r in df.collect())
+
+
+def test_priorities_survive_a_crash_between_writes(spark, monkeypatch):
+    from guestlens.operators.aspects import improvement_priorities, mentions
+    inc = IncrementalPriorities(spark, work_path(spark, "test-crash"), st.TEST_LEXICON, st.TEST_POLARITY)
+    assert inc.apply(_reviews(spark, FIRST), tag="a#0")
+    write = inc.table.write_part
+
+    def dies(df, n, part):
+        if part == "ranking":
+            raise RuntimeError("executor lost")
+        return write(df, n, part)
+    monkeypatch.setattr(inc.table, "write_part", dies)
+    with pytest.raises(RuntimeError):
+        inc.apply(_reviews(spark, SECOND), tag="a#1")
+    monkeypatch.undo()
+    assert inc.apply(_reviews(spark, SECOND), tag="a#1") and not inc.apply(_reviews(spark, SECOND), tag="a#1")
+    whole = _reviews(spark, FIRST + [r for r in SECOND if r[4] is None])
+    assert _ranked(inc.priorities()) == _ranked(improvement_priorities(mentions(whole, st.TEST_LEXICON, st.TEST_POLARITY)))
+
+
+def test_sentiment_of_two_sources_and_bad_rows(spark):
+    inc = IncrementalSentiment(spark, work_path(spark, "test-sources"))
+    assert inc.apply(_reviews(spark, FIRST), tag="landing-a#0") and inc.apply(_reviews(spark, SECOND), tag="landing-b#0")
+    assert not inc.apply(_reviews(spark, SECOND), tag="landing-b#0")
+    got = {r.data_id: (r.n_reviews, r.average_score) for r in inc.scores().collect()}
+    assert got == {1: (3, 2.7), 2: (1, 2.0), 3: (1, 1.0)}
+    late = IncrementalSentiment(spark, work_path(spark, "test-gap"))        # an epoch builds on those below it
+    assert late.apply(_reviews(spark, SECOND), epoch=5) and late.apply(_reviews(spark, FIRST), epoch=2)
+    assert {r.data_id for r in late.table.read(2).collect()} == {1, 2}
