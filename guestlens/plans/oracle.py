@@ -14,12 +14,15 @@ REVIEWS = """reviews AS (
     SELECT e.user_id AS data_id, e.event_id, e.ts, s.s_name AS reviewer,
       CAST(CASE e.event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3
            WHEN 'click' THEN 4 ELSE 5 END AS BIGINT) AS rating,
-      CASE WHEN e.event_id % 10 = 0 THEN '' ELSE concat(p1.p_name, '. ', p2.p_name) END AS review_text,
+      CASE WHEN e.event_id % 10 = 0 THEN '' WHEN e.event_id % 10 = 3 THEN concat('Not ', p1.p_name, ', but ', p2.p_name, '!')
+           WHEN e.event_id % 10 = 4 THEN concat(p1.p_name, ' but never ', p2.p_name)
+           WHEN e.event_id % 10 = 6 THEN concat('The ', p1.p_name, '; it wasn''t ', p2.p_name, '?')
+           ELSE concat(p1.p_name, '. ', p2.p_name) END AS review_text,
       CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.value DESC, e.event_id) AS BIGINT) AS fetch_pos
     FROM events e
-    JOIN supplier s ON s.s_suppkey = e.event_id % 10
-    JOIN part p1 ON p1.p_partkey = e.event_id % 200
-    JOIN part p2 ON p2.p_partkey = (e.event_id * 7 + 3) % 200) r0)"""
+    JOIN supplier s ON s.s_suppkey = e.event_id % (SELECT count(*) FROM supplier)
+    JOIN part p1 ON p1.p_partkey = e.event_id % (SELECT count(*) FROM part)
+    JOIN part p2 ON p2.p_partkey = (e.event_id * 7 + 3) % (SELECT count(*) FROM part)) r0)"""
 
 NREVIEWS = """nreviews AS (
   SELECT data_id, fetch_pos, page_no, reviewer AS "user", CAST(rating AS DOUBLE) AS rating, ts,
@@ -45,7 +48,7 @@ SEARCH_QUERIES = """search_queries AS (
 STORE_WRITES = """store_writes AS (
   SELECT user_id AS data_id, CASE WHEN event_id % 2 = 0 THEN 'instant' ELSE 'full' END AS type,
     props AS analysis, ts AS written_at, event_id AS seq
-  FROM events WHERE event_type IN ('purchase', 'click'))"""
+  FROM events)"""
 
 STATUS_EVENTS = """status_events AS (
   SELECT user_id AS token,
@@ -261,7 +264,7 @@ def mentions_cte(src="nreviews", extra=()):
 
 BASE_M = (REVIEWS, NREVIEWS, LEXICON, POLARITY)
 
-ORACLE["aspect_feedback"] = with_(*BASE_M, mentions_cte(), body="""
+FEEDBACK = """
 SELECT c.data_id, c.aspect, c.polarity, c.n_reviews, c.n_mentions, t.top_phrases
 FROM (SELECT data_id, aspect, polarity, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews,
         CAST(count(*) AS BIGINT) AS n_mentions FROM mentions GROUP BY ALL) c
@@ -269,7 +272,19 @@ JOIN (SELECT data_id, aspect, polarity, string_agg(phrase, '; ' ORDER BY r) AS t
         SELECT *, row_number() OVER (PARTITION BY data_id, aspect, polarity ORDER BY n DESC, phrase) AS r
         FROM (SELECT data_id, aspect, polarity, phrase, count(DISTINCT fetch_pos) AS n
               FROM mentions GROUP BY ALL) p0) p1
-      GROUP BY ALL) t USING (data_id, aspect, polarity)""")
+      GROUP BY ALL) t USING (data_id, aspect, polarity)"""
+
+ORACLE["aspect_feedback"] = with_(*BASE_M, mentions_cte(), body=FEEDBACK)
+
+def _prose():
+    from guestlens.sources.standins import PROSE_LEXICON, PROSE_POLARITY
+    return with_("""prose AS (SELECT TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS data_id, doc_id AS fetch_pos,
+    CAST(n_chars % 5 + 1 AS DOUBLE) AS rating, CAST(NULL AS TIMESTAMP) AS ts, text AS review_text FROM documents)""",
+                 "lexicon AS " + _values(PROSE_LEXICON, ["term", "aspect"]), "polarity AS " + _values(PROSE_POLARITY, ["term", "polarity"]),
+                 mentions_cte("prose"), body=FEEDBACK)
+
+
+ORACLE["prose_feedback"] = _prose()
 
 ORACLE["recurring_themes"] = with_(*BASE_M, mentions_cte(), body="""
 SELECT data_id, aspect, term, polarity, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews

@@ -195,6 +195,13 @@ def aspect_feedback(spark, d):
     return af(_mentions(spark, d))
 
 
+@query("prose_feedback")
+def prose_feedback(spark, d):
+    """A5 over long prose: every document as a review of its source."""
+    from guestlens.operators.aspects import aspect_feedback as af, mentions
+    return af(mentions(st.prose_reviews(spark, d), st.PROSE_LEXICON, st.PROSE_POLARITY))
+
+
 @query("recurring_themes")
 def recurring_themes(spark, d):
     """Themes with >= 2 supporting reviews."""

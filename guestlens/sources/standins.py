@@ -5,8 +5,10 @@ tables with fixed rules (the same rules as the oracle SQL in
 ``guestlens.plans.oracle``):
 
 * ``reviews``  - one review per event: reviewer from ``supplier``, rating from
-  the event type, text from two ``part`` names; the fetch (quality) order is
-  value descending, pages hold 10 reviews;
+  the event type, text from two ``part`` names (as sentences, with "but", commas and
+  negators); the fetch (quality) order is value descending, pages hold 10 reviews;
+* ``prose_reviews`` - the documents as reviews of their sources, for the clause and
+  negation rules on long prose;
 * ``places``   - one place per customer, every 13th is "not a place";
 * ``search_queries``, ``store_writes``, ``status_events`` - request, store and
   status logs derived from ``nation`` and ``events``;
@@ -48,22 +50,24 @@ def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame
     ``ordered=False`` leaves out the fetch order (fetch_pos, page_no NULL) for
     jobs that only aggregate, so no numbering is planned at all."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    # Dimension sides are cut to the key range the modulo can reach (<= 19 and
-    # <= 399 keys); the planner broadcasts them after its own size check.
-    s = (table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-         .filter(F.col("s_suppkey").between(-9, 9)))
-    p = (table(spark, sf_dir, "part").select("p_partkey", "p_name")
-         .filter(F.col("p_partkey").between(-199, 199)))
-    # Both part joins use the same projection, so one broadcast is reused.
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # Names come from the whole tables: keys run from 0 to their number of rows.
+    n_s, n_p = s.select(F.count("*")).scalar(), p.select(F.count("*")).scalar()
+    i = F.col("event_id")
+    e = e.select("*", (i % n_s).alias("s_key"), (i % n_p).alias("p_key"), ((i * 7 + 3) % n_p).alias("q_key"))
     p1, p2 = p.alias("p1"), p.alias("p2")
-    r = (e.join(s, s.s_suppkey == e.event_id % 10)
-          .join(p1, F.col("p1.p_partkey") == e.event_id % 200)
-          .join(p2, F.col("p2.p_partkey") == (e.event_id * 7 + 3) % 200)
+    one, two = F.col("p1.p_name"), F.col("p2.p_name")
+    said = (F.when(i % 10 == 0, F.lit("")).when(i % 10 == 3, F.concat(F.lit("Not "), one, F.lit(", but "), two, F.lit("!")))
+            .when(i % 10 == 4, F.concat(one, F.lit(" but never "), two))
+            .when(i % 10 == 6, F.concat(F.lit("The "), one, F.lit("; it wasn't "), two, F.lit("?")))
+            .otherwise(F.concat(one, F.lit(". "), two)))
+    r = (e.join(s, s.s_suppkey == F.col("s_key"))
+          .join(p1, F.col("p1.p_partkey") == F.col("p_key"))
+          .join(p2, F.col("p2.p_partkey") == F.col("q_key"))
           .select(F.col("user_id").alias("data_id"), "event_id", "ts",
                   F.col("s_name").alias("reviewer"),
-                  _rating_of(F.col("event_type")).alias("rating"),
-                  F.when(F.col("event_id") % 10 == 0, F.lit(""))
-                   .otherwise(F.concat(F.col("p1.p_name"), F.lit(". "), F.col("p2.p_name"))).alias("review_text"),
+                  _rating_of(F.col("event_type")).alias("rating"), said.alias("review_text"),
                   "value"))
     if not ordered:
         return (r.drop("value").withColumn("fetch_pos", F.lit(None).cast("long"))
@@ -97,6 +101,20 @@ def normalized_reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -
                     F.col("event_id").alias("review_id"))
 
 
+# Fixed test vocabulary for the prose: words that are frequent in some of its languages.
+PROSE_LEXICON = [("that", "service"), ("with", "amenities"), ("for", "accommodation"), ("para", "food_and_dining"),
+                 ("dans", "location_and_accessibility"), ("mit", "value_for_money"), ("breakfast", "food_and_dining")]
+PROSE_POLARITY = [("was", 1), ("una", 1), ("und", 1), ("pour", 1), ("are", -1), ("las", -1), ("der", -1), ("est", -1), ("it", 0)]
+
+
+def prose_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a review of its source (numbered as its name says)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.regexp_extract("source", r"(\d+)$", 1).try_cast("long").alias("data_id"), F.col("doc_id").alias("review_id"),
+                    (F.col("n_chars") % 5 + 1).cast("double").alias("rating"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+                    F.col("text").alias("review_text"))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey",
                                                  "c_acctbal")
@@ -122,10 +140,9 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert log: every purchase/click event writes a report for its user."""
+    """Upsert log: every event writes a report for its user."""
     e = table(spark, sf_dir, "events")
-    return (e.filter(F.col("event_type").isin("purchase", "click"))
-             .select(F.col("user_id").alias("data_id"),
+    return (e.select(F.col("user_id").alias("data_id"),
                      F.when(F.col("event_id") % 2 == 0, F.lit("instant")).otherwise(F.lit("full")).alias("type"),
                      F.col("props").alias("analysis"), F.col("ts").alias("written_at"),
                      F.col("event_id").alias("seq")))

