@@ -3,6 +3,7 @@
 import os
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -40,6 +41,17 @@ def test_exact_ones(spark, docs):
     assert rows_of(queries.op10_substring_dedup(spark, SF)) == brute.substring_dedup(rows)
 
 
+@pytest.mark.parametrize("name", ["op3_chat_perspectives", "op5_mix_sources", "op10_substring_dedup"])
+def test_sql_agrees(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, SF)
+    cols = ", ".join(f'"{c}"' for c in df.columns)
+    exact = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert sorted(map(exact, df.collect()), key=repr) == sorted(map(exact, con.sql(f"SELECT {cols} FROM ({queries.ORACLE[name]})").fetchall()), key=repr)
+
+
 def test_language_on_held_out(spark, docs):
     got = queries.op8_language_id(spark, SF).toPandas().merge(docs, on="doc_id")
     assert (got.held_out == [held(i, 4, 2) for i in got.doc_id]).all()
