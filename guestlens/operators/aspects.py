@@ -129,14 +129,19 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
         *keep, "term", "aspect", "pol", _polarity_label().alias("polarity"), "phrase", "n", "first_aspect", "first_term")
 
 
-def mention_counts(m: DataFrame) -> DataFrame:
+COUNTS = ["support", "n_mentions", "by_aspect", "by_term", "short_aspect", "short_term"]
+PHRASE = ["aspect", "pol", "polarity", "term", "phrase"]
+
+
+def mention_counts(m: DataFrame, keys: Sequence[str] = ("data_id",)) -> DataFrame:
     """Per (place, aspect, polarity, term, phrase): support (reviews), n_mentions, and the
-    additive shares of reviews and rating shortfall by aspect and by term.  A table that
-    has these counts already is returned as it is."""
+    additive shares of reviews and rating shortfall by aspect and by term, so that counts
+    of batches (``keys`` with batch_id) sum to those of their union.  A table that has
+    these counts already is returned as it is."""
     if "support" in m.columns:
         return m
     short = F.when(F.col("rating") > 0, 5 - F.col("rating")).otherwise(0)
-    return m.groupBy("data_id", "aspect", "pol", "polarity", "term", "phrase").agg(
+    return m.groupBy(*keys, *PHRASE).agg(
         F.count(F.lit(1)).cast("long").alias("support"), F.sum("n").alias("n_mentions"),
         F.sum("first_aspect").alias("by_aspect"), F.sum("first_term").alias("by_term"),
         F.sum(short * F.col("first_aspect")).cast("double").alias("short_aspect"),
@@ -233,11 +238,19 @@ def _verdict(p: Column, c: Column, none_text: str, pos: str, neg: str, mixed: st
             .otherwise(F.concat(F.lit(mixed), detail)))
 
 
+def breakfast_reviews(reviews: DataFrame, keys: Sequence[str] = ("data_id",)) -> DataFrame:
+    """Reviews that name breakfast."""
+    return (reviews.select(*keys, words(F.lower("review_text")).alias("_w"))
+            .filter(F.array_contains("_w", "breakfast")).groupBy(*keys)
+            .agg(F.count(F.lit(1)).cast("long").alias("_breakfast")))
+
+
 def analysis_summary(places: DataFrame, sentiment: DataFrame, m: DataFrame,
                      reviews: DataFrame, key: str = "data_id") -> DataFrame:
     """A10: per place the summary and verdict strings.
 
-    ``places`` (key, title), ``sentiment`` (A1), ``m`` (mentions)."""
+    ``places`` (key, title), ``sentiment`` (A1), ``m`` (mentions or their counts),
+    ``reviews`` (or their ``breakfast_reviews``)."""
     fb = (mention_counts(m).groupBy("data_id", "aspect", "polarity").agg(F.sum("by_aspect").alias("n_reviews"))
           .withColumn("_o", aspect_order()))
     per = fb.groupBy("data_id").agg(
@@ -248,9 +261,7 @@ def analysis_summary(places: DataFrame, sentiment: DataFrame, m: DataFrame,
         *[F.sum(F.when((F.col("aspect") == a) & (F.col("polarity") == p), F.col("n_reviews")))
           .alias(f"_{a}_{p}") for a in ("food_and_dining", "value_for_money")
           for p in ("praise", "criticism")])
-    bf = (reviews.select("data_id", "review_id", words(F.lower("review_text")).alias("_w"))
-          .filter(F.array_contains("_w", "breakfast")).groupBy("data_id")
-          .agg(F.count(F.lit(1)).cast("long").alias("_breakfast")))
+    bf = reviews if "_breakfast" in reviews.columns else breakfast_reviews(reviews)
     names = _map(ASPECTS)
     s = (sentiment.join(per, "data_id", "left").join(bf, "data_id", "left")
          .join(places.select(F.col(key).alias("data_id"), F.col("title").alias("hotel_name")),

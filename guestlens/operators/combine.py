@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import display_date
+from guestlens.operators import aspects as asp
 from guestlens.operators import sentiment as sen
 
 LATER_FAN_IN = 10
@@ -44,33 +45,70 @@ def level_count(n_batches: F.Column, fan_in_first: int) -> F.Column:
     return F.when(n_batches > 1, 1 + more).otherwise(0)
 
 
-def tree_combine(batch_state: DataFrame, fan_in_first: int) -> DataFrame:
-    """A3: every combine node of every level with its merged state.
-
-    Output: data_id, level, node, n_children, n_batches, n_reviews, scores,
-    first_date, last_date, is_root, combined (False for a pass-through)."""
-    n = batch_state.groupBy("data_id").agg(F.count(F.lit(1)).alias("_nb"))
-    b = batch_state.join(n, "data_id")
+def tree_nodes(batch_state: DataFrame, fan_in_first: int) -> DataFrame:
+    """(data_id, batch_id, level, node, _child, _levels): the node of every batch at every level."""
+    n = batch_state.groupBy("data_id").agg((F.max("batch_id") + 1).alias("_nb"))
+    b = batch_state.select("data_id", "batch_id").join(n, "data_id").withColumn("_levels", level_count(F.col("_nb"), fan_in_first))
+    b = b.filter(F.col("_levels") > 0).withColumn("level", F.explode(F.sequence(F.lit(1), F.col("_levels"))))
     # The last span ends every tree; one more entry keeps the lookup of the top level in range.
     spans = F.array(*[F.lit(x).cast("long") for x in [*_spans(fan_in_first), 2**63 - 1]])
-    b = b.withColumn("_levels", level_count(F.col("_nb"), fan_in_first))
-    b = b.filter(F.col("_levels") > 0).withColumn("level", F.explode(F.sequence(F.lit(1), F.col("_levels"))))
     span = F.element_at(spans, F.col("level").cast("int"))
-    child_span = F.when(F.col("level") == 1, F.lit(1)).otherwise(
-        F.element_at(spans, (F.col("level") - 1).cast("int")))
-    b = (b.withColumn("node", F.floor(F.col("batch_id") / span).cast("long"))
-          .withColumn("_child", F.floor(F.col("batch_id") / child_span).cast("long")))
-    g = b.groupBy("data_id", "level", "node").agg(
+    child_span = F.when(F.col("level") == 1, F.lit(1)).otherwise(F.element_at(spans, (F.col("level") - 1).cast("int")))
+    return b.select("data_id", "batch_id", F.col("level").cast("long").alias("level"), F.floor(F.col("batch_id") / span).cast("long").alias("node"),
+                    F.floor(F.col("batch_id") / child_span).cast("long").alias("_child"), "_levels")
+
+
+def tree_combine(batch_state: DataFrame, fan_in_first: int, counts: DataFrame | None = None) -> DataFrame:
+    """A3: every combine node of every level with its merged state.
+
+    Output: data_id, level, node, n_children, n_batches, n_reviews, scores,
+    first_date, last_date, is_root, combined (False for a pass-through).  ``counts``
+    (phrase counts per batch) adds the node's merged themes: n_themes, n_mentions and
+    top_issue, the issue of its first improvement priority (NULL without criticism)."""
+    nodes = tree_nodes(batch_state, fan_in_first)
+    g = nodes.join(batch_state, ["data_id", "batch_id"]).groupBy("data_id", "level", "node").agg(
         (F.max("_child") - F.min("_child") + 1).alias("n_children"),       # children are consecutive
         F.count(F.lit(1)).cast("long").alias("n_batches"),
         *sen.merge_aggs(), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         F.max("_levels").alias("_levels"))
-    return sen.scores(g).select(
-        "data_id", F.col("level").cast("long").alias("level"), "node", "n_children", "n_batches",
+    out = sen.scores(g).select(
+        "data_id", "level", "node", "n_children", "n_batches",
         "n_reviews", *sen.SCORE_COLUMNS,
         display_date("first_ts").alias("first_date"), display_date("last_ts").alias("last_date"),
         (F.col("level") == F.col("_levels")).alias("is_root"),
         (F.col("n_children") > 1).alias("combined"))
+    if counts is None:
+        return out
+    merged = tree_counts(nodes, counts)
+    themes = (merged.groupBy("data_id").agg(F.count_distinct("term", "pol").cast("long").alias("n_themes"), F.sum("n_mentions").alias("n_mentions"))
+              .join(asp.improvement_priorities(merged, 1).select("data_id", F.col("issue").alias("top_issue")), "data_id", "left")
+              .select("data_id.*", "n_themes", "n_mentions", "top_issue"))
+    zero = F.lit(0).cast("long")
+    return (out.join(themes, ["data_id", "level", "node"], "left")
+            .withColumn("n_themes", F.coalesce("n_themes", zero)).withColumn("n_mentions", F.coalesce("n_mentions", zero)))
+
+
+def tree_counts(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Phrase counts per combine node: those of its batches, summed.  ``data_id`` of the
+    result is the struct (data_id, level, node), so the aspect operators work on nodes."""
+    at = nodes.select("data_id", "batch_id", "level", "node").join(counts, ["data_id", "batch_id"])
+    return (at.groupBy(F.struct("data_id", "level", "node").alias("data_id"), *asp.PHRASE)
+            .agg(*[F.sum(c).alias(c) for c in asp.COUNTS]))
+
+
+def node_reports(batch_state: DataFrame, counts: DataFrame, breakfast: DataFrame, header: DataFrame, fan_in_first: int) -> DataFrame:
+    """(data_id, level, node, report): the whole report of every batch (level 0) and combine
+    node, from merged sums only."""
+    from guestlens.operators.report import assemble_counts
+    leaves = batch_state.select("data_id", "batch_id", F.lit(0).cast("long").alias("level"), F.col("batch_id").alias("node"))
+    nodes = leaves.unionByName(tree_nodes(batch_state, fan_in_first).select(*leaves.columns))
+    key = F.struct("data_id", "level", "node")
+    state = sen.scores(nodes.join(batch_state, ["data_id", "batch_id"]).groupBy(key.alias("data_id")).agg(*sen.merge_aggs()))
+    bf = (nodes.join(breakfast, ["data_id", "batch_id"]).groupBy(key.alias("data_id")).agg(F.sum("_breakfast").alias("_breakfast")))
+    titles = (nodes.select("data_id", "level", "node").distinct().join(header.select("data_id", "title"), "data_id")
+              .select(key.alias("data_id"), "title"))
+    out = assemble_counts(tree_counts(nodes, counts), state, titles, bf)
+    return out.select("data_id.*", F.col("hotel_analysis").alias("report"))
 
 
 def period_trend(batch_state: DataFrame, threshold: float = 0.5) -> DataFrame:

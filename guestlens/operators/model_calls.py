@@ -26,11 +26,9 @@ BLOCK_SEPARATOR = "\n---\n\n"    # fixed value: separator between period blocks
 
 
 def review_line() -> Column:
-    """Fixed format of one review line: ``- {user} gave a rating of '{rating}/5'
-    on '{date}' with comment {text}``."""
-    return F.concat(F.lit("- "), F.col("user"), F.lit(" gave a rating of '"),
-                    F.col("rating").cast("string"), F.lit("/5' on '"), F.col("date"),
-                    F.lit("' with comment "), F.col("review_text"))
+    """One review line (our wording): ``* {rating} of 5 | {date} | {user}: {text}``."""
+    return F.concat(F.lit("* "), F.col("rating").cast("string"), F.lit(" of 5 | "), F.col("date"),
+                    F.lit(" | "), F.col("user"), F.lit(": "), F.col("review_text"))
 
 
 def _system(template: str, header: DataFrame, as_of: str) -> Column:
@@ -52,21 +50,10 @@ def analysis_requests(batched: DataFrame, header: DataFrame, as_of: str) -> Data
                      .alias("user_prompt"))
 
 
-def report_text(prefix: str = "") -> Column:
-    """Compact text form of a node's report used inside combine requests."""
-    def c(n):
-        return F.coalesce(F.col(prefix + n).cast("string"), F.lit("null"))
-    return F.concat(F.lit("average_score: "), c("average_score"),
-                    F.lit("\npositive_percentage: "), c("positive_percentage"),
-                    F.lit("\nneutral_percentage: "), c("neutral_percentage"),
-                    F.lit("\nnegative_percentage: "), c("negative_percentage"),
-                    F.lit("\nreviews: "), c("n_reviews"))
-
-
 def combine_requests(nodes: DataFrame, header: DataFrame, fan_in_first: int, as_of: str) -> DataFrame:
     """L2: one request per combine node that has more than one child.  ``nodes``
-    holds every node with level 0 = batches (node = batch_id) and the A3 output
-    for levels >= 1.  Each child becomes ``[first to last]\\n<report>``; blocks
+    holds every node with its whole ``report`` (level 0 = batches, node = batch_id, and the
+    A3 output for levels >= 1).  Each child becomes ``[first to last]\\n<report as JSON>``; blocks
     are oldest first and separated by a blank-line rule.  At most 10 children
     per node, so the collected list is bounded."""
     fan = F.when(F.col("level") == 0, F.lit(fan_in_first)).otherwise(F.lit(10))
@@ -74,7 +61,7 @@ def combine_requests(nodes: DataFrame, header: DataFrame, fan_in_first: int, as_
         "data_id", (F.col("level") + 1).alias("p_level"), F.floor(F.col("node") / fan).cast("long").alias("p_node"),
         F.col("node").alias("c_node"),
         F.concat(F.lit("["), F.col("first_date"), F.lit(" to "), F.col("last_date"), F.lit("]\n"),
-                 report_text()).alias("block"))
+                 F.coalesce(F.to_json("report"), F.lit("null"))).alias("block"))
     parents = (nodes.filter((F.col("level") >= 1) & (F.col("n_children") > 1))
                .select("data_id", F.col("level").alias("p_level"), F.col("node").alias("p_node"), "n_children"))
     g = (child.join(parents, ["data_id", "p_level", "p_node"])
@@ -156,13 +143,12 @@ def validate_responses(responses: DataFrame, tolerance: float = 0.2) -> DataFram
 def rating_analyzer() -> Callable[[pd.DataFrame], pd.Series]:
     """A deterministic stand-in for a model: reads the ratings back out of the
     review lines and answers with a schema-complete report (scores only).
-    Used by tests and the registered L3/L4 queries; real deployments pass
-    their own ``make_fn``."""
+    A test helper; real deployments pass their own ``make_fn``."""
     import json
     import re
     from decimal import ROUND_HALF_UP, Decimal
 
-    rating = re.compile(r"gave a rating of '([0-9.]+)/5'")
+    rating = re.compile(r"^\* ([0-9.]+) of 5 \|", re.M)
     place = re.compile(r"Place: (.*?)\. Address:")
 
     def r1(x):

@@ -35,7 +35,14 @@ def assemble_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[t
     """Per place: data_id + ``hotel_analysis`` struct in the report schema.
     ``reuse`` may materialise the phrase counts, which all lists are made from;
     ``k`` limits the lists for display (default: whole lists)."""
-    m = reuse(asp.mention_counts(asp.mentions(reviews, lexicon, polarity)), "mention-counts")
+    c = reuse(asp.mention_counts(asp.mentions(reviews, lexicon, polarity)), "mention-counts")
+    return assemble_counts(c, sen.overall_sentiment(reviews), header, reviews, k, key)
+
+
+def assemble_counts(m: DataFrame, sentiment: DataFrame, header: DataFrame, reviews: DataFrame,
+                    k: int | None = None, key: str = "data_id") -> DataFrame:
+    """The same from phrase counts and sentiment, whatever ``data_id`` identifies: a place,
+    or a node of its combine tree."""
     tp = asp.top_phrases(m, k)
     sg = (asp.aspect_suggestions(m, k).groupBy("data_id", "aspect")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))),
@@ -54,7 +61,7 @@ def assemble_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[t
                lambda x: F.struct(x["category"].alias("category"), x["issue"].alias("issue"),
                                   x["suggestion"].alias("suggestion"),
                                   x["potential_impact"].alias("potential_impact"))).alias("priorities")))
-    summ = asp.analysis_summary(header, sen.overall_sentiment(reviews), m, reviews, key=key)
+    summ = asp.analysis_summary(header, sentiment, m, reviews, key=key)
     j = summ.join(piv, "data_id", "left").join(pri, "data_id", "left")
 
     def L(a, p):

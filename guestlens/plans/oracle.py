@@ -402,8 +402,31 @@ FROM (SELECT data_id, level, node, max(levels) AS levels, CAST(count(DISTINCT ch
       FROM nodes GROUP BY data_id, level, node) g)"""
 
 
-ORACLE["tree_combine"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, tree_cte(2),
-                               body="SELECT * FROM tree")
+# Mentions of every node: those of its batches (level 0: the batches themselves).
+NODE_MENTIONS = """nm AS (
+  SELECT n.data_id, n.level, n.node, m.fetch_pos, m.rating, m.aspect, m.term, m.pol, m.polarity, m.phrase
+  FROM (SELECT data_id, batch_id, CAST(level AS BIGINT) AS level, node FROM nodes
+        UNION ALL SELECT data_id, batch_id, 0, batch_id FROM batch_state) n JOIN mentions m USING (data_id, batch_id)),
+nt AS (SELECT data_id, level, node, CAST(count(DISTINCT (term, pol)) AS BIGINT) AS n_themes, CAST(count(*) AS BIGINT) AS n_mentions FROM nm GROUP BY ALL),
+ni AS (
+  SELECT s.data_id, s.level, s.node, i.issue AS top_issue
+  FROM (SELECT data_id, level, node, aspect, sum(CASE WHEN rating > 0 THEN 5 - rating ELSE 0 END) AS score
+        FROM (SELECT DISTINCT data_id, level, node, fetch_pos, rating, aspect FROM nm WHERE pol < 0) d GROUP BY ALL) s
+  JOIN (SELECT data_id, level, node, aspect, first(phrase ORDER BY n DESC, phrase) AS issue
+        FROM (SELECT data_id, level, node, aspect, phrase, count(DISTINCT fetch_pos) AS n FROM nm WHERE pol < 0 GROUP BY ALL) q GROUP BY ALL) i
+    USING (data_id, level, node, aspect)
+  JOIN aspect_info ai ON ai.aspect = s.aspect
+  QUALIFY row_number() OVER (PARTITION BY s.data_id, s.level, s.node ORDER BY s.score DESC, ai.ord) = 1)"""
+
+
+def _tree_parts():
+    return (REVIEWS, NREVIEWS, LEXICON, POLARITY, BATCHED.format(bs=5), BATCH_STATE, tree_cte(2), mentions_cte("batched", ["batch_id"]),
+            _aspect_tables(), NODE_MENTIONS)
+
+
+ORACLE["tree_combine"] = with_(*_tree_parts(), body="""
+SELECT tree.*, coalesce(nt.n_themes, 0) AS n_themes, coalesce(nt.n_mentions, 0) AS n_mentions, ni.top_issue
+FROM tree LEFT JOIN nt USING (data_id, level, node) LEFT JOIN ni USING (data_id, level, node)""")
 
 ORACLE["period_trend"] = with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, """cur AS (
   SELECT data_id, batch_id, CASE WHEN n_rated > 0 THEN sum_rating / n_rated END AS a FROM batch_state)""", body="""
@@ -492,37 +515,28 @@ def _l1():
     return with_(REVIEWS, NREVIEWS, BATCHED.format(bs=15), PLACES, HEADER, body=f"""
 SELECT b.data_id, b.batch_id, b.n_reviews, {_system_sql(SYSTEM_TEMPLATE)} AS system_prompt, b.user_prompt
 FROM (SELECT data_id, batch_id, CAST(count(*) AS BIGINT) AS n_reviews,
-        concat('Reviews:', chr(10), string_agg(concat('- ', "user", ' gave a rating of ''', CAST(rating AS VARCHAR),
-          '/5'' on ''', date, ''' with comment ', review_text), chr(10) ORDER BY date_pos)) AS user_prompt
+        concat('Reviews:', chr(10), string_agg(concat('* ', CAST(rating AS VARCHAR), ' of 5 | ', date,
+          ' | ', "user", ': ', review_text), chr(10) ORDER BY date_pos)) AS user_prompt
       FROM batched GROUP BY data_id, batch_id) b
 LEFT JOIN hdr h ON h.data_id = b.data_id""")
 
 
-def _report_text_sql():
-    parts = []
-    for i, c in enumerate(["average_score", "positive_percentage", "neutral_percentage",
-                           "negative_percentage", "n_reviews"]):
-        label = "reviews" if c == "n_reviews" else c
-        parts.append(("" if i == 0 else "chr(10), ") + f"'{label}: ', coalesce(CAST({c} AS VARCHAR), 'null')")
-    return "concat(" + ", ".join(parts) + ")"
-
-
 def _l2():
     from guestlens.operators.model_calls import COMBINE_TEMPLATE
-    return with_(REVIEWS, NREVIEWS, BATCHED.format(bs=5), BATCH_STATE, tree_cte(2), PLACES, HEADER, f"""allnodes AS (
-  SELECT data_id, CAST(0 AS BIGINT) AS level, batch_id AS node, CAST(1 AS BIGINT) AS n_children, n_reviews,
-    {_scores()}, {DISPLAY.format('first_ts')} AS first_date, {DISPLAY.format('last_ts')} AS last_date
-  FROM batch_state
-  UNION ALL
-  SELECT data_id, level, node, n_children, n_reviews, average_score, positive_percentage, neutral_percentage,
-    negative_percentage, first_date, last_date FROM tree)""", """child AS (
-  SELECT data_id, level + 1 AS p_level,
-    CAST(floor(node / CASE WHEN level = 0 THEN 2 ELSE 10 END) AS BIGINT) AS p_node, node AS c_node,
-    concat('[', first_date, ' to ', last_date, ']', chr(10), """ + _report_text_sql() + """) AS block
-  FROM allnodes)""", body=f"""
-SELECT g.data_id, g.level, g.node, g.n_children, {_system_sql(COMBINE_TEMPLATE)} AS system_prompt, g.user_prompt
-FROM (SELECT p.data_id, p.level, p.node, p.n_children,
-        string_agg(c.block, concat(chr(10), '---', chr(10), chr(10)) ORDER BY c.c_node) AS user_prompt
+    return with_(*_tree_parts(), PLACES, HEADER, f"""allnodes AS (
+  SELECT data_id, CAST(0 AS BIGINT) AS level, batch_id AS node, CAST(1 AS BIGINT) AS n_children, average_score, first_date, last_date
+  FROM (SELECT data_id, batch_id, {_scores()}, {DISPLAY.format('first_ts')} AS first_date, {DISPLAY.format('last_ts')} AS last_date FROM batch_state)
+  UNION ALL SELECT data_id, level, node, n_children, average_score, first_date, last_date FROM tree)""", """child AS (
+  SELECT a.data_id, a.level + 1 AS p_level, CAST(floor(a.node / CASE WHEN a.level = 0 THEN 2 ELSE 10 END) AS BIGINT) AS p_node, a.node AS c_node,
+    concat('[', first_date, ' to ', last_date, ']') AS period, coalesce(CAST(average_score AS VARCHAR), '-') AS score,
+    coalesce(ni.top_issue, '-') AS issue, CAST(coalesce(pr.n, 0) AS VARCHAR) AS praises
+  FROM allnodes a LEFT JOIN ni USING (data_id, level, node)
+  LEFT JOIN (SELECT data_id, level, node, count(DISTINCT phrase) AS n FROM nm WHERE pol > 0 AND aspect = 'accommodation' GROUP BY ALL) pr
+    USING (data_id, level, node))""", body=f"""
+SELECT g.data_id, g.level, g.node, g.n_children, {_system_sql(COMBINE_TEMPLATE)} AS system_prompt, g.periods, g.child_scores, g.child_issues, g.child_praises
+FROM (SELECT p.data_id, p.level, p.node, p.n_children, string_agg(c.period, ' ' ORDER BY c.c_node) AS periods,
+        string_agg(c.score, ' | ' ORDER BY c.c_node) AS child_scores, string_agg(c.issue, ' | ' ORDER BY c.c_node) AS child_issues,
+        string_agg(c.praises, ' | ' ORDER BY c.c_node) AS child_praises
       FROM allnodes p JOIN child c ON c.data_id = p.data_id AND c.p_level = p.level AND c.p_node = p.node
       WHERE p.level >= 1 AND p.n_children > 1
       GROUP BY p.data_id, p.level, p.node, p.n_children) g

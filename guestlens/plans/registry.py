@@ -256,11 +256,22 @@ def analysis_summary(spark, d):
 
 # --- combine / trend -----------------------------------------------------------
 
+def _batch_reports(spark, d, batch_size):
+    """(batch state, phrase counts per batch, breakfast reviews per batch), written once."""
+    from guestlens.operators import aspects as asp
+    from guestlens.sources.scratch import materialize
+    b = materialize(sel.chronological_batches(_reviews(spark, d), batch_size), "batches")
+    keys = ("data_id", "batch_id")
+    counts = materialize(asp.mention_counts(_mentions(spark, d, reviews=b, extra=["batch_id"]), keys), "batch-counts")
+    return materialize(sen.batch_state(b), "batch-state"), counts, asp.breakfast_reviews(b, keys)
+
+
 @query("tree_combine")
 def tree_combine(spark, d):
-    """A3: batches of 5, fan-in 2 then 10: every combine node."""
+    """A3: batches of 5, fan-in 2 then 10: every combine node with its merged themes."""
     from guestlens.operators.combine import fan_in_for, tree_combine as tc
-    return tc(_batch_state_once(spark, d, 5), fan_in_for(5))
+    state, counts, _ = _batch_reports(spark, d, 5)
+    return tc(state, fan_in_for(5), counts)
 
 
 @query("period_trend")
@@ -376,24 +387,37 @@ def analysis_requests(spark, d):
     return ar(b, _header(spark, d), _as_of(spark, d))
 
 
-def _nodes(spark, d, batch_size):
+def _nodes(spark, d, batch_size, header):
+    """Every batch and combine node with its dates and whole report."""
     from guestlens.functions.dates import display_date
-    from guestlens.operators.combine import fan_in_for, tree_combine
-    bs = _batch_state_once(spark, d, batch_size)
-    leaves = sen.scores(bs).select(
+    from guestlens.operators.combine import fan_in_for, node_reports, tree_combine
+    state, counts, breakfast = _batch_reports(spark, d, batch_size)
+    fan_in = fan_in_for(batch_size)
+    leaves = state.select(
         "data_id", F.lit(0).cast("long").alias("level"), F.col("batch_id").alias("node"),
-        F.lit(1).cast("long").alias("n_children"), "n_reviews", *sen.SCORE_COLUMNS,
-        display_date("first_ts").alias("first_date"), display_date("last_ts").alias("last_date"))
-    tree = tree_combine(bs, fan_in_for(batch_size)).select(*leaves.columns)
-    return leaves.unionByName(tree)
+        F.lit(1).cast("long").alias("n_children"), display_date("first_ts").alias("first_date"), display_date("last_ts").alias("last_date"))
+    nodes = leaves.unionByName(tree_combine(state, fan_in).select(*leaves.columns))
+    return nodes.join(node_reports(state, counts, breakfast, header, fan_in), ["data_id", "level", "node"], "left")
 
 
 @query("combine_requests")
 def combine_requests(spark, d):
-    """L2: one request per combine node (batches of 5, fan-in 2 then 10)."""
+    """L2: one request per combine node (batches of 5, fan-in 2 then 10).  The blocks are
+    read back from the prompt: the children's periods, and from their reports the average
+    score, the first issue and the number of praised things."""
     from guestlens.operators.combine import fan_in_for
-    from guestlens.operators.model_calls import combine_requests as cr
-    return cr(_nodes(spark, d, 5), _header(spark, d), fan_in_for(5), _as_of(spark, d))
+    from guestlens.operators.model_calls import BLOCK_SEPARATOR, combine_requests as cr
+    from guestlens.schemas import HOTEL_ANALYSIS
+    h = _header(spark, d)
+    req = cr(_nodes(spark, d, 5, h), h, fan_in_for(5), _as_of(spark, d))
+    blocks = F.split("user_prompt", BLOCK_SEPARATOR)
+    period = F.array_join(F.transform(blocks, lambda b: F.substring_index(b, "\n", 1)), " ")
+    child = F.transform(blocks, lambda b: F.from_json(F.substring_index(b, "\n", -1), HOTEL_ANALYSIS))
+    text = lambda f: F.array_join(F.transform(child, lambda r: F.coalesce(f(r).cast("string"), F.lit("-"))), " | ")
+    return req.select("data_id", "level", "node", "n_children", "system_prompt", period.alias("periods"),
+                      text(lambda r: r["overall_sentiment"]["average_score"]).alias("child_scores"),
+                      text(lambda r: F.get(r["top_improvement_priorities"], F.lit(0))["issue"]).alias("child_issues"),
+                      text(lambda r: F.size(r["accommodation"]["common_praises"])).alias("child_praises"))
 
 
 @query("response_validate")
