@@ -10,17 +10,31 @@ columnar files with pruning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from guestlens.session import work_path
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "intermediate") -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, "tmp", name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediates written by this process; call it when the results that
+    read them are written.  Returns how many were deleted."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def identity(df: DataFrame, name: str = "") -> DataFrame:
     return df
