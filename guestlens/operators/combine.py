@@ -96,6 +96,13 @@ def tree_counts(nodes: DataFrame, counts: DataFrame) -> DataFrame:
             .agg(*[F.sum(c).alias(c) for c in asp.COUNTS]))
 
 
+def merged_counts(counts: DataFrame, recent: bool = False) -> DataFrame:
+    """Phrase counts of whole places from those of their batches; with ``recent`` the k-th
+    oldest batch weighs k."""
+    w = F.col("batch_id") + 1 if recent else F.lit(1)
+    return counts.groupBy("data_id", *asp.PHRASE).agg(*[F.sum(F.col(c) * w).alias(c) for c in asp.COUNTS])
+
+
 def node_reports(batch_state: DataFrame, counts: DataFrame, breakfast: DataFrame, header: DataFrame, fan_in_first: int) -> DataFrame:
     """(data_id, level, node, report): the whole report of every batch (level 0) and combine
     node, from merged sums only."""

@@ -40,9 +40,9 @@ def assemble_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[t
 
 
 def assemble_counts(m: DataFrame, sentiment: DataFrame, header: DataFrame, reviews: DataFrame,
-                    k: int | None = None, key: str = "data_id") -> DataFrame:
+                    k: int | None = None, key: str = "data_id", weighted: DataFrame | None = None) -> DataFrame:
     """The same from phrase counts and sentiment, whatever ``data_id`` identifies: a place,
-    or a node of its combine tree."""
+    or a node of its combine tree.  ``weighted`` counts, if given, rank the priorities."""
     tp = asp.top_phrases(m, k)
     sg = (asp.aspect_suggestions(m, k).groupBy("data_id", "aspect")
           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))),
@@ -55,7 +55,7 @@ def assemble_counts(m: DataFrame, sentiment: DataFrame, header: DataFrame, revie
             cols.append(_first((F.col("aspect") == a) & (F.col("polarity") == p), F.col("phrases"))
                         .alias(f"{a}__{p}"))
     piv = lists.groupBy("data_id").agg(*cols)
-    pri = (asp.improvement_priorities(m, 5).groupBy("data_id")
+    pri = (asp.improvement_priorities(m if weighted is None else weighted, 5).groupBy("data_id")
            .agg(F.transform(F.array_sort(F.collect_list(F.struct(
                "priority", "category", "issue", "suggestion", "potential_impact"))),
                lambda x: F.struct(x["category"].alias("category"), x["issue"].alias("issue"),

@@ -673,11 +673,29 @@ ORACLE["full_analysis"] = with_(REVIEWS, NREVIEWS, PAGES, """kept AS (
     FROM pgx) t WHERE before < 150 AND NOT stopped)""", """chosen AS (
   SELECT n.* FROM nreviews n JOIN kept USING (data_id, page_no))""",
                                 BATCHED.replace("FROM nreviews", "FROM chosen").format(bs=15), BATCH_STATE,
-                                LEXICON, POLARITY, mentions_cte("chosen"), body=f"""
+                                LEXICON, POLARITY, mentions_cte("batched", ["batch_id"]), PLACES, _aspect_tables(), *summary_ctes("chosen"), """pt AS (
+  SELECT t.data_id, CAST(count(*) FILTER (WHERE nb2 >= 2 AND CAST(nb2 AS DOUBLE) >= 0.5 * nb) AS BIGINT) AS n_persistent
+  FROM (SELECT data_id, aspect, term, polarity, count(DISTINCT batch_id) AS nb2 FROM mentions GROUP BY ALL) t
+  JOIN (SELECT data_id, max(batch_id) + 1 AS nb FROM batch_state GROUP BY data_id) b USING (data_id) GROUP BY t.data_id)""", """lt AS (
+  SELECT c.data_id, CASE WHEN p.data_id IS NULL THEN 'first' WHEN c.a - p.a >= 0.5 THEN 'improving' WHEN c.a - p.a <= -0.5 THEN 'declining' ELSE 'stable' END AS trend
+  FROM (SELECT data_id, batch_id, CASE WHEN n_rated > 0 THEN sum_rating / n_rated END AS a FROM batch_state
+        QUALIFY row_number() OVER (PARTITION BY data_id ORDER BY batch_id DESC) = 1) c
+  LEFT JOIN (SELECT data_id, batch_id, CASE WHEN n_rated > 0 THEN sum_rating / n_rated END AS a FROM batch_state) p
+    ON p.data_id = c.data_id AND p.batch_id = c.batch_id - 1)""", """ti AS (
+  SELECT s.data_id, i.issue AS top_issue
+  FROM (SELECT data_id, aspect, sum(CASE WHEN rating > 0 THEN 5 - rating ELSE 0 END * (batch_id + 1)) AS score
+        FROM (SELECT DISTINCT data_id, batch_id, fetch_pos, rating, aspect FROM mentions WHERE pol < 0) d GROUP BY ALL) s
+  JOIN (SELECT data_id, aspect, first(phrase ORDER BY n DESC, phrase) AS issue
+        FROM (SELECT data_id, aspect, phrase, sum(batch_id + 1) AS n
+              FROM (SELECT DISTINCT data_id, batch_id, fetch_pos, aspect, phrase FROM mentions WHERE pol < 0) e GROUP BY ALL) q GROUP BY ALL) i
+    USING (data_id, aspect)
+  JOIN aspect_info ai ON ai.aspect = s.aspect
+  QUALIFY row_number() OVER (PARTITION BY s.data_id ORDER BY s.score DESC, ai.ord) = 1)""", body=f"""
 SELECT w.data_id, c.n_reviews, w.n_batches,
   CAST(CASE WHEN w.n_batches > 1 THEN 1 + len(list_filter({_spans(7, 18)}, lambda s: w.n_batches > s)) ELSE 0 END
        AS BIGINT) AS n_levels, {_scores()},
-  CAST(least(5, coalesce(m.n, 0)) AS BIGINT) AS n_priorities
+  CAST(least(5, coalesce(m.n, 0)) AS BIGINT) AS n_priorities, ti.top_issue, lt.trend, coalesce(pt.n_persistent, 0) AS n_persistent,
+  concat(summ.summary, ' Latest period: ', lt.trend, '. Persistent themes: ', CAST(coalesce(pt.n_persistent, 0) AS VARCHAR), '.') AS summary
 FROM (SELECT data_id, CAST(count(*) AS BIGINT) AS n_batches,
         CAST(sum(n_rated * (batch_id + 1)) AS BIGINT) AS n_rated,
         CAST(sum(sum_rating * (batch_id + 1)) AS DOUBLE) AS sum_rating,
@@ -686,8 +704,16 @@ FROM (SELECT data_id, CAST(count(*) AS BIGINT) AS n_batches,
         CAST(sum(n_negative * (batch_id + 1)) AS BIGINT) AS n_negative
       FROM batch_state GROUP BY data_id) w
 JOIN (SELECT data_id, CAST(count(*) AS BIGINT) AS n_reviews FROM chosen GROUP BY data_id) c USING (data_id)
-LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) m
-  USING (data_id)""")
+JOIN (SELECT data_id, summary FROM summ) summ USING (data_id)
+LEFT JOIN (SELECT data_id, count(DISTINCT aspect) AS n FROM mentions WHERE pol < 0 GROUP BY data_id) m USING (data_id)
+LEFT JOIN pt USING (data_id) LEFT JOIN lt USING (data_id) LEFT JOIN ti USING (data_id)""")
+
+ORACLE["incremental_priorities"] = ORACLE["improvement_priorities"]
+
+ORACLE["incremental_changes"] = with_(REVIEWS, body="""
+SELECT c.data_id, round(p.a, 1) AS previous_score, round(c.a, 1) AS current_score, p.a IS NULL OR abs(c.a - p.a) >= 0.3 AS significant
+FROM (SELECT data_id, CAST(sum(rating) AS DOUBLE) / count(*) AS a FROM reviews GROUP BY data_id) c
+LEFT JOIN (SELECT data_id, CAST(sum(rating) AS DOUBLE) / count(*) AS a FROM reviews WHERE ts < TIMESTAMP '2024-01-21 00:00:00' GROUP BY data_id) p USING (data_id)""")
 
 ORACLE["aspect_period_trend"] = with_(*BASE_M, BATCHED.format(bs=5), mentions_cte("batched", ["batch_id"]), """per AS (
   SELECT data_id, aspect, batch_id, CAST(sum(pol) AS BIGINT) AS net

@@ -524,7 +524,35 @@ def full_analysis(spark, d):
         "data_id", F.size("reviews").cast("long").alias("n_reviews"), "n_batches",
         F.coalesce("n_levels", F.lit(0).cast("long")).alias("n_levels"),
         *[a["overall_sentiment"][c].alias(c) for c in sen.SCORE_COLUMNS],
-        F.size(a["top_improvement_priorities"]).cast("long").alias("n_priorities"))
+        F.size(a["top_improvement_priorities"]).cast("long").alias("n_priorities"),
+        F.get(a["top_improvement_priorities"], F.lit(0))["issue"].alias("top_issue"), "trend", "n_persistent", a["summary"].alias("summary"))
+
+
+@query("incremental_priorities")
+def incremental_priorities(spark, d):
+    """T2, priorities: criticism of the reviews before the cutoff, then the later ones
+    added (and offered once more, which changes nothing); equals A8 over all reviews."""
+    from guestlens.session import work_path
+    from guestlens.streaming.incremental import IncrementalPriorities
+    r, cut = _unordered(spark, d), F.col("ts") < F.to_timestamp_ntz(F.lit(INCREMENTAL_CUTOFF))
+    inc = IncrementalPriorities(spark, work_path(spark, "priorities"), st.TEST_LEXICON, st.TEST_POLARITY)
+    inc.apply(r.filter(cut), tag="history")
+    for _ in range(2):
+        inc.apply(r.filter(~cut), tag="new#0")
+    return inc.priorities()
+
+
+@query("incremental_changes")
+def incremental_changes(spark, d):
+    """T2, significant changes: places whose score moved by 0.3 or more with the reviews
+    after the cutoff."""
+    from guestlens.session import work_path
+    from guestlens.streaming.incremental import IncrementalSentiment
+    r, cut = _unordered(spark, d), F.col("ts") < F.to_timestamp_ntz(F.lit(INCREMENTAL_CUTOFF))
+    inc = IncrementalSentiment(spark, work_path(spark, "changes"))
+    inc.apply(r.filter(cut), tag="history")
+    inc.apply(r.filter(~cut), tag="new#0")
+    return inc.changes()
 
 
 @query("aspect_period_trend")
