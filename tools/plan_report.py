@@ -31,14 +31,14 @@ KINDS = [
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from guestlens.session import build_session
-    import __spark_entry__ as E
+    from guestlens.plans.registry import QUERIES
     spark = build_session()
     lines = ["# Physical plans of the registered queries", "",
              f"Generated by `tools/plan_report.py {sf}` (AQE initial plans, local[8]). "
              "Counts of plan operators per query; written intermediates appear as plain scans.", "",
              "| query | " + " | ".join(k for k, _ in KINDS) + " |",
              "|---|" + "---|" * len(KINDS)]
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         rows = plan.split("\n")
         counts = [sum(1 for r in rows if re.search(p, r)) for _, p in KINDS]
