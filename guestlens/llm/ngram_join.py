@@ -83,7 +83,8 @@ def _prefix(n, num: int, den: int):
 
 
 def _summaries(batches, k, num, den):
-    """doc id, size, node (hash of the set), the lowest hashes of the set."""
+    """doc id, hash of its text, size, node (hash of the set), the lowest hashes of the set;
+    these are null for rows without an id, and where a row before it in the block has the same set."""
     for block in B.slices(batches, "text"):
         sets, docs = shingle_sets(B.buffer_of(block.column("text")), k)
         n = np.bincount(docs, minlength=block.num_rows)
@@ -93,9 +94,12 @@ def _summaries(batches, k, num, den):
         low = np.bincount(docs[sets <= _LIMIT], minlength=block.num_rows)
         take = np.minimum(n, np.maximum(low, _prefix(n, num, den) + MOST_MATCHES))
         raw = sets.tobytes()
-        packed = [raw[8 * a:8 * (a + t)] for a, t in zip(first.tolist(), take.tolist())]
-        yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(n), pa.array(node), pa.array(packed, pa.binary())],
-                                         ["id", "n", "node", "low"])
+        new = np.zeros(len(node), bool)
+        named = np.flatnonzero(block.column("id").is_valid().to_numpy(zero_copy_only=False))
+        new[named[np.unique(node[named], return_index=True)[1]]] = True
+        packed = [raw[8 * a:8 * (a + t)] if one else None for a, t, one in zip(first.tolist(), take.tolist(), new.tolist())]
+        yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), pa.array(n), pa.array(node), pa.array(packed, pa.binary())],
+                                         ["id", "th", "n", "node", "low"])
 
 
 def _bins(keys: np.ndarray, n: int):
@@ -112,18 +116,26 @@ def _batch(names, kinds, rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
 
 
-def _ask(batches, n_buckets, limit):
-    """The counted shingles of the nodes, packed by bucket of shingles."""
-    for batch in B.slices(batches, "low"):
-        low = batch.column("low").to_pylist()
-        h = np.frombuffer(b"".join(low), np.uint64)
-        size = np.array([len(x) // 8 for x in low], np.int64)
-        node = np.repeat(batch.column("node").to_numpy(), size)
-        few = h <= limit
-        h, node = h[few], node[few]
-        rows = [(b, h[at].tobytes(), node[at].tobytes()) for b, at in _bins(h, n_buckets)]
-        if rows:
-            yield _batch(["bucket", "h", "node"], [pa.int64(), pa.binary(), pa.binary()], rows)
+def _distinct_nodes(table):
+    """(node, n, low) of the nodes of a bucket, each once."""
+    node = table.column("node").to_numpy()
+    return table.take(pa.array(np.unique(node, return_index=True)[1]))
+
+
+def _ask(table, n_buckets, limit):
+    """The counted shingles of the nodes of a bucket, packed by bucket of shingles."""
+    table = _distinct_nodes(table)
+    low = table.column("low").to_pylist()
+    h = np.frombuffer(b"".join(low), np.uint64)
+    size = np.array([len(x) // 8 for x in low], np.int64)
+    node = np.repeat(table.column("node").to_numpy(), size)
+    few = h <= limit
+    h, node = h[few], node[few]
+    rows = []
+    for b, at in _bins(h, n_buckets):                   # in the order of nodes: each node once, with its number of shingles
+        starts = B.groups(node[at])
+        rows.append((b, h[at].tobytes(), node[at][starts].tobytes(), np.diff(np.r_[starts, len(at)]).astype(np.uint32).tobytes()))
+    return pa.Table.from_batches([_batch(["bucket", "h", "node", "times"], [pa.int64()] + [pa.binary()] * 3, rows)])
 
 
 def _join(table, *names):
@@ -132,7 +144,8 @@ def _join(table, *names):
 
 def _count(table, n_buckets):
     """Shingles that several nodes hold, with their number of nodes, packed by bucket of nodes."""
-    h, node = _join(table, ("h", np.uint64), ("node", np.int64))
+    h, node, times = _join(table, ("h", np.uint64), ("node", np.int64), ("times", np.uint32))
+    node = np.repeat(node, times)
     order = np.argsort(h)
     starts = B.groups(h[order])
     n = np.diff(np.r_[starts, len(h)])
@@ -176,6 +189,7 @@ def _choose_prefixes(nodes, replies, n_buckets, num, den, limit):
     order = np.lexsort((h, df, of))
     h, of, df = h[order], of[order], df[order]
     hs, rows = [], []
+    nodes = _distinct_nodes(nodes)
     for node, n, low in zip(*(nodes.column(c).to_pylist() for c in ("node", "n", "low"))):
         a, b = np.searchsorted(of, node), np.searchsorted(of, node, side="right")
         low = np.frombuffer(low, np.uint64)
@@ -354,24 +368,25 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     size = text_bytes(df, text_col)
     buckets = bucket_count(spark, size, BUCKET_BYTES)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), as_binary(text_col).alias("text"))
-    summary = materialize(texts.mapInArrow(lambda it: _summaries(it, k, num, den), "id long, n long, node long, low binary"), "sets")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), as_binary(text_col).alias("text"))
+    summary = materialize(texts.mapInArrow(lambda it: _summaries(it, k, num, den), "id long, th long, n long, node long, low binary"), "sets")
 
     def prefixes(nodes, limit):
-        """Prefix postings of (node, n, low): shingles up to ``limit`` are counted."""
-        asked = nodes.mapInArrow(lambda it: _ask(it, buckets, limit), "bucket long, h binary, node binary")
+        """Prefix postings of (node, n, low): shingles up to ``limit`` are counted.  The nodes
+        are dealt once: both readers share the exchange."""
+        dealt = nodes.select(_bucket("node", buckets).alias("bucket"), "node", "n", "low")
+        asked = dealt.groupBy("bucket").applyInArrow(lambda t: _ask(t, buckets, limit), "bucket long, h binary, node binary, times binary")
         counted = asked.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "bucket long, h binary, node binary, df binary")
-        by_node = nodes.withColumn("bucket", _bucket("node", buckets)).groupBy("bucket")
-        return by_node.cogroup(counted.groupBy("bucket")).applyInArrow(
+        return dealt.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(
             lambda left, right: _choose_prefixes(left, right, buckets, num, den, limit), POSTINGS)
 
     # Nodes: equal sets count once.
     known = summary.where("id is not null and n > 0")
-    nodes = known.groupBy("node", "n").agg(F.first("low").alias("low"))
-    owner = known.groupBy("node").agg(F.min("id").alias("id"))
-    left = (prefixes(nodes, _LIMIT).groupBy("bucket").applyInArrow(lambda t: _meeting(t, num, den), "node long").distinct())
-    sets = materialize(left.join(owner, "node").join(texts, "id").select("node", "text")
-                       .mapInArrow(lambda it: _full_sets(it, k), f"node long, n long, low binary, {', '.join(m + ' long' for m in MARKS)}").dropDuplicates(["node"]), "sets")
+    owner = known.groupBy("node").agg(F.min(F.struct("id", "th")).alias("o")).select("node", "o.id", "o.th")
+    left = (prefixes(known.where("low is not null"), _LIMIT).groupBy("bucket").applyInArrow(lambda t: _meeting(t, num, den), "node long").distinct())
+    # One text per node: rows that repeat (id, text) are dropped where the join has them.
+    chosen = left.join(owner, "node").join(texts, ["id", "th"]).groupBy("id", "th", "node").agg(F.first("text").alias("text"))
+    sets = materialize(chosen.select("node", "text").mapInArrow(lambda it: _full_sets(it, k), f"node long, n long, low binary, {', '.join(m + ' long' for m in MARKS)}"), "sets")
     postings = materialize(prefixes(sets.select("node", "n", "low"), np.uint64(2**64 - 1)), "prefixes")
 
     def side(name, *columns):
