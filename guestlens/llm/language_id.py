@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from guestlens.llm import blocks as B
 
-PER_LANG = 300
+PER_LANG = 150
 FIT_BYTES = 20_000
 STEPS = 14
 RATE = 0.25
@@ -190,9 +190,13 @@ def fit(texts: list[bytes], labels: list[int], langs: list[str], steps: int = ST
     weights, start, moves = np.zeros((size, k)), np.zeros(k), np.zeros((k, k))
     if len(w.hash):
         grams, first, affix = features(data, w)
-        letters = np.repeat(np.arange(len(w.hash)), np.diff(np.r_[first, len(grams)]))
-        used, where = np.unique(np.r_[grams.ravel(), affix.ravel()], return_inverse=True)
-        owner = np.r_[np.repeat(letters, 2), np.repeat(np.arange(len(w.hash)), 3)]
+        rows = np.r_[grams.ravel(), affix.ravel()]
+        used = np.flatnonzero(np.bincount(rows, minlength=size))
+        number = np.zeros(size, np.int32)
+        number[used] = np.arange(len(used))
+        where = number[rows]
+        each = np.arange(len(w.hash), dtype=np.int32)
+        owner = np.r_[np.repeat(each, 2 * np.diff(np.r_[first, len(grams)])), np.repeat(each, 3)]
         firsts = (np.cumsum(count) - count)
         moved_y = np.zeros((k, k))
         same = w.doc[1:] == w.doc[:-1]
