@@ -8,7 +8,7 @@ document: the smallest doc_id that it reaches by links.
 a group of exact copies of any size costs one row.
 
 *Two passes of prefixes.*  A prefix needs one order of all shingles.  In the first pass
-those whose hash is in the lowest ``SAMPLED`` share are counted over all nodes and come
+those whose hash is in the lowest ``SAMPLED`` (1 - t) share are counted over all nodes and come
 first, rare before frequent; the others follow by hash.  Shingles that one node alone
 holds make no candidates but fill its prefix, so most nodes drop out here.  The second
 pass counts all shingles of the nodes that are left, and orders them rare first.
@@ -49,14 +49,13 @@ from pyspark.sql import functions as F
 from guestlens.llm import blocks as B
 from guestlens.llm.tables import as_binary, bucket_count, components, materialize, text_bytes
 
-SAMPLED = 0.18          # share of the hash range whose shingles are counted
+SAMPLED = 1.7           # share of the hash range whose shingles are counted, in shares of a set outside its links
 MOST_MATCHES = 8        # largest l
 VERIFY_COST = 0.02      # of one candidate, per shingle, in postings
 BUCKET_BYTES = 24 << 20  # text bytes per bucket of postings
 
 BITS = 512               # of a set's parity mark: bit h counts the shingles hashed to it, modulo 2
 MARKS = [f"m{i}" for i in range(BITS // 64)]
-_LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
 def shingle_sets(block_data, k: int, separator=None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,24 +81,34 @@ def _prefix(n, num: int, den: int):
     return n - -(-n * num // den)
 
 
-def _summaries(batches, k, num, den):
-    """doc id, hash of its text, size, node (hash of the set), the lowest hashes of the set;
-    these are null for rows without an id, and where a row before it in the block has the same set."""
+def _nodes_of(sets, docs, rows):
+    """Sizes of the sets of a block's rows, where they start, and their nodes (hashes)."""
+    n = np.bincount(docs, minlength=rows)
+    first = np.cumsum(n) - n
+    total = np.r_[np.uint64(0), np.cumsum(B.mix(sets + np.uint64(1)))]
+    return n, first, B.mix(total[first + n] - total[first] + n.astype(np.uint64)).view(np.int64)
+
+
+def _summaries(batches, k):
+    """doc id, hash of its text, size, node."""
+    for block in B.slices(batches, "text"):
+        sets, docs = shingle_sets(B.buffer_of(block.column("text")), k)
+        n, _, node = _nodes_of(sets, docs, block.num_rows)
+        yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), pa.array(n), pa.array(node)], ["id", "th", "n", "node"])
+
+
+def _lowest(batches, k, num, den, limit):
+    """node, size and lowest hashes of the sets of a block that are not empty, each once."""
     for block in B.slices(batches, "text"):
         sets, docs = shingle_sets(B.buffer_of(block.column("text")), k)
-        n = np.bincount(docs, minlength=block.num_rows)
-        first = np.cumsum(n) - n
-        total = np.r_[np.uint64(0), np.cumsum(B.mix(sets + np.uint64(1)))]
-        node = B.mix(total[first + n] - total[first] + n.astype(np.uint64)).view(np.int64)
-        low = np.bincount(docs[sets <= _LIMIT], minlength=block.num_rows)
+        n, first, node = _nodes_of(sets, docs, block.num_rows)
+        low = np.bincount(docs[sets <= limit], minlength=block.num_rows)
         take = np.minimum(n, np.maximum(low, _prefix(n, num, den) + MOST_MATCHES))
+        one = np.unique(node, return_index=True)[1]
+        one = one[n[one] > 0]
         raw = sets.tobytes()
-        new = np.zeros(len(node), bool)
-        named = np.flatnonzero(block.column("id").is_valid().to_numpy(zero_copy_only=False))
-        new[named[np.unique(node[named], return_index=True)[1]]] = True
-        packed = [raw[8 * a:8 * (a + t)] if one else None for a, t, one in zip(first.tolist(), take.tolist(), new.tolist())]
-        yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), pa.array(n), pa.array(node), pa.array(packed, pa.binary())],
-                                         ["id", "th", "n", "node", "low"])
+        packed = [raw[8 * a:8 * (a + t)] for a, t in zip(first[one].tolist(), take[one].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(n[one]), pa.array(packed, pa.binary())], ["node", "n", "low"])
 
 
 def _bins(keys: np.ndarray, n: int):
@@ -337,10 +346,7 @@ def _with_roots(table, roots, n_buckets):
 def _full_sets(batches, k):
     for block in B.slices(batches, "text"):
         sets, docs = shingle_sets(B.buffer_of(block.column("text")), k)
-        n = np.bincount(docs, minlength=block.num_rows)
-        first = np.cumsum(n) - n
-        total = np.r_[np.uint64(0), np.cumsum(B.mix(sets + np.uint64(1)))]
-        node = B.mix(total[first + n] - total[first] + n.astype(np.uint64)).view(np.int64)
+        n, first, node = _nodes_of(sets, docs, block.num_rows)
         raw = sets.tobytes()
         packed = [raw[8 * a:8 * (a + t)] for a, t in zip(first.tolist(), n.tolist())]
         same = pa.array(node == block.column("node").to_numpy())
@@ -369,7 +375,8 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = text_bytes(df, text_col)
     buckets = bucket_count(spark, size, BUCKET_BYTES)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), as_binary(text_col).alias("text"))
-    summary = materialize(texts.mapInArrow(lambda it: _summaries(it, k, num, den), "id long, th long, n long, node long, low binary"), "sets")
+    limit = np.uint64(int(min(0.999, SAMPLED * (1 - num / den)) * 2**64))
+    summary = materialize(texts.mapInArrow(lambda it: _summaries(it, k), "id long, th long, n long, node long"), "sets")
 
     def prefixes(nodes, limit):
         """Prefix postings of (node, n, low): shingles up to ``limit`` are counted.  The nodes
@@ -383,7 +390,8 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Nodes: equal sets count once.
     known = summary.where("id is not null and n > 0")
     owner = known.groupBy("node").agg(F.min(F.struct("id", "th")).alias("o")).select("node", "o.id", "o.th")
-    left = (prefixes(known.where("low is not null"), _LIMIT).groupBy("bucket").applyInArrow(lambda t: _meeting(t, num, den), "node long").distinct())
+    lowest = texts.where("id is not null").mapInArrow(lambda it: _lowest(it, k, num, den, limit), "node long, n long, low binary")
+    left = (prefixes(lowest, limit).groupBy("bucket").applyInArrow(lambda t: _meeting(t, num, den), "node long").distinct())
     # One text per node: rows that repeat (id, text) are dropped where the join has them.
     chosen = left.join(owner, "node").join(texts, ["id", "th"]).groupBy("id", "th", "node").agg(F.first("text").alias("text"))
     sets = materialize(chosen.select("node", "text").mapInArrow(lambda it: _full_sets(it, k), f"node long, n long, low binary, {', '.join(m + ' long' for m in MARKS)}"), "sets")
