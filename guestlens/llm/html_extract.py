@@ -46,6 +46,7 @@ NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "a
          "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
 KEPT = {"html", "body", "article", "main"}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)(?![-_.a-z0-9])", re.I)
 
 
 class Lines(HTMLParser):
@@ -130,6 +131,13 @@ class Lines(HTMLParser):
         self.open[2] += self.tags
         self.tags = 0
 
+    def parse_marked_section(self, i, report=1):
+        # The parser ends the page at a '<![' with a name it does not know; as in browsers it is a
+        # comment up to the next '>'.
+        if _SECTION.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def unknown_decl(self, data):
         return
 
@@ -152,11 +160,8 @@ def smooth(x: np.ndarray) -> np.ndarray:
 def main_text(html: str | None) -> str:
     parser = Lines()
     # <br> separates words of its line.
-    try:
-        parser.feed(_BR.sub(" ", html or ""))
-        parser.close()
-    except AssertionError:                              # the parser gives up on a broken declaration
-        pass
+    parser.feed(_BR.sub(" ", html or ""))
+    parser.close()
     lines = [x for x in parser.lines if x[1]]
     if not lines:
         return ""

@@ -167,6 +167,14 @@ def test_pages(spark):
     assert {(1, "u", "x & y\nsecond line bold", 22), (1, "u", "", 0), (None, None, "", 0), (2, "u", "plain text", 10), (3, "u", "T\nbody", 6),
             (5, "u", LONG[:40], len(LONG))} <= got
     assert len(got) == len(pages)
+    assert "text" in {r.text for r in html_extract.extract(df.where("page_id = 6")).collect()}
+
+
+def test_html_goes_on_after_unknown_declarations():
+    for mark in ("<![foo[x]]>", "<![ if x]>", "<![if !IE]>", "<![endif]-->", "<![>", "<![CDATA[a > b]]>", "<![1]>", "<![cdata-x>"):
+        for page, text in ((f"<p>one</p>{mark}<p>two</p>", "one\ntwo"), (f"{mark}<p>one</p>", "one")):
+            assert html_extract.main_text(page) == text, mark
+    assert html_extract.main_text("<p>one</p><![foo").startswith("one")
 
 
 def test_nearest(spark):
