@@ -4,11 +4,16 @@ Pages stream through the standard library's parser.  Its events make *lines*, on
 block element, each with its characters, tags and link characters.  The text-to-tag
 ratio of the lines (characters per tag) is smoothed with a Gaussian; lines above the
 threshold, the standard deviation of the smoothed ratios, are content.  A line's region is its
-innermost sectioning element; regions most of whose characters are in content lines, and
-those inside <article> or <main> that are not mostly links, are selected whole, so a
+innermost sectioning element; regions most of whose characters are in content lines and that are
+not mostly links, and all those inside <article> or <main>, are selected whole, so a
 short paragraph between long ones stays.  Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are told by element or by the
-words of class, id and role, and never make lines.
+names in class, id and role, and never make lines.  A name is a whole token or the head of a
+compound ("site-header", "comment-list"), not a word in passing ("has-sidebar",
+"content-sidebar-wrap").  <main> starts anew inside dropped elements that do not surely hold
+something else, such as a form or a banner, or a layout named like a sidebar; <article> does
+so too, but not inside what is named like a sidebar, an advert or related pages, whose articles
+are teasers.
 
 White space inside a line becomes one space, character references are decoded, and
 lines are joined in page order by one newline.
@@ -35,15 +40,30 @@ MOST_LINKS = 0.5
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
-          "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "ruby", "rt", "rp"}
+          "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "ruby", "rt", "rp", "map", "area",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose",
+          "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mtd", "maction", "semantics",
+          "annotation", "annotation-xml"}
 SECTION = {"html", "body", "article", "main", "section", "div", "td", "ul", "ol", "table", "dl", "blockquote", "center"}
-DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "iframe", "object", "svg", "math", "canvas",
-           "button", "select", "textarea", "input", "dialog", "menu", "video", "audio", "map"}
-# Words of class, id or role that name a part which is not the article.
+DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "iframe", "object", "svg", "canvas",
+           "button", "select", "textarea", "input", "dialog", "menu", "video", "audio", "annotation", "annotation-xml"}
+# Names in class, id or role of a part which is not the article.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
          "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
          "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "search", "share", "sharing", "sidebar",
          "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
+# Of these, names of parts in which no <article> and no <main> is the page's own, and those in which an <article> is a teaser.
+SURE = {"breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "disqus", "footer", "menu", "nav", "navbar", "navigation", "pager", "pagination", "replies"}
+ASIDE = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "complementary", "promo", "promoted", "recommended", "related", "sidebar",
+         "sponsor", "sponsored", "widget", "widgets"}
+# In a compound: first words that only tell of a part, last words that hold more than the part,
+# words whose header is the article's own, and last words that leave the head to the first.
+TELLS = {"has", "have", "is", "no", "not", "non", "with", "without", "hide", "show", "toggle", "one", "two", "three", "after", "before", "above", "below", "under"}
+AROUND = {"wrap", "wrapper", "layout", "page", "grid"}
+OWN = {"article", "post", "entry", "story", "content", "section", "chapter", "page"}
+PARTS = {"area", "bar", "block", "body", "box", "button", "buttons", "column", "container", "form", "icons", "inner", "item", "items", "link", "links", "list", "message",
+         "overlay", "panel", "posts", "respond", "section", "slot", "stories", "text", "thread", "title", "unit"}
+OPEN, SOFT, TEASERS, CLOSED = range(4)                  # how firmly an element is dropped
 KEPT = {"html", "body", "article", "main"}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)(?![-_.a-z0-9])", re.I)
@@ -54,7 +74,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]     # tag, dropped, region, in article
+        self.stack: list[tuple[str, int, int, bool]] = [("", OPEN, 0, False)]       # tag, dropped, region, in article
         self.lines: list[list] = []
         self.open: list | None = None
         self.tags = self.regions = self.links = 0
@@ -71,8 +91,12 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         _, dropped, region, article = self.stack[-1]
-        if not dropped:
-            dropped = tag in DROPPED or (tag == "header" and not article) or (tag not in KEPT and _named(attrs))
+        if tag in ("article", "main"):
+            dropped = OPEN if dropped <= (SOFT if tag == "article" else TEASERS) else dropped
+            dropped = max(dropped, _hidden(attrs))
+        elif dropped < CLOSED:
+            own = SOFT if tag == "form" or (tag == "header" and not article) else CLOSED if tag in DROPPED else OPEN
+            dropped = max(dropped, own, _hidden(attrs), OPEN if tag in KEPT else _named(attrs, article))
         if tag in SECTION:
             self.regions += 1
             region = self.regions
@@ -142,13 +166,26 @@ class Lines(HTMLParser):
         return
 
 
-def _named(attrs) -> bool:
-    for key, value in attrs:
-        if key == "hidden" or (key == "style" and value and "display:none" in value.replace(" ", "").lower()):
-            return True
-        if key in ("class", "id", "role") and value and any(w.lower() in NAMES for w in _WORDS.findall(value)):
-            return True
-    return False
+def _hidden(attrs) -> int:
+    return max((CLOSED for key, value in attrs
+                if key == "hidden" or (key == "style" and value and "display:none" in value.replace(" ", "").lower())), default=OPEN)
+
+
+def _named(attrs, article: bool) -> int:
+    """How firmly class, id and role drop an element."""
+    names = [_name([w.lower() for w in _WORDS.findall(token)], article)
+             for key, value in attrs if key in ("class", "id", "role") and value for token in value.split()]
+    return max((CLOSED if x in SURE else TEASERS if x in ASIDE else SOFT for x in names if x), default=OPEN)
+
+
+def _name(words: list[str], article: bool) -> str | None:
+    """The name out of ``NAMES`` that a token of these words stands for."""
+    if not words or words[0] in TELLS or words[-1] in AROUND:
+        return None
+    name = words[-1] if words[-1] in NAMES else words[0] if words[-1] in PARTS else None
+    if name in ("header", "masthead") and (article or OWN & set(words)):
+        return None
+    return name if name in NAMES else None
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
@@ -176,7 +213,7 @@ def main_text(html: str | None) -> str:
     chosen = few_links & (2 * marked >= total)
     out = []
     for x in lines:
-        if chosen[x[4]] or (x[5] and few_links[x[4]]):
+        if x[5] or chosen[x[4]]:
             out.append(" ".join("".join(x[0]).split()))
     return "\n".join(x for x in out if x)
 

@@ -177,6 +177,24 @@ def test_html_goes_on_after_unknown_declarations():
     assert html_extract.main_text("<p>one</p><![foo").startswith("one")
 
 
+def test_html_keeps_the_article():
+    text = "a long paragraph of the article, with words enough to be content of the page by its ratio"
+    for names in ("content has-sidebar", "post no-comments", "article-header", "content-sidebar-wrap", "with-widgets", "postHeader"):
+        assert html_extract.main_text(f"<div class='{names}'><p>{text}</p></div>") == text, names
+    for names in ("sidebar", "site-header", "main-nav", "comments-area", "comment-list", "cookie-notice", "ad", "post-comments", "siteFooter"):
+        assert html_extract.main_text(f"<p>{text}</p><div class='{names}'><p>{text} not</p></div>") == text, names
+    for before, after in (("<form>", "</form>"), ("<div class='banner'>", "</div>"), ("<div id=sidebar>", "</div>")):
+        assert html_extract.main_text(f"{before}menu<main><p>{text}</p></main>{after}") == text, before
+    for before, after in (("<nav>", "</nav>"), ("<aside>", "</aside>"), ("<footer>", "</footer>"), ("<div class=comments>", "</div>"), ("<div class=related>", "</div>"),
+                          ("<div hidden>", "</div>")):
+        assert html_extract.main_text(f"<p>{text}</p>{before}<article><p>{text} not</p></article>{after}") == text, before
+    page = "<article><h1>T</h1><ul><li><a href=x>one source</a></li><li><a href=y>another</a></li></ul><table><tr><td><a href=z>cell</a></td><td>2</td></tr></table></article>"
+    assert html_extract.main_text(page) == "T\none source\nanother\ncell\n2"
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math>"
+    assert html_extract.main_text(f"<article><p>so {formula} holds <map name=m><area>here</map></p></article>") == "so x=2 holds here"
+    assert html_extract.main_text("<article><div class=header><h1>T</h1></div><p>body</p></article>") == "T\nbody"
+
+
 def test_nearest(spark):
     rows = [(i, [float((i * j * 7919) % 31 - 15) for j in range(1, 9)]) for i in range(1, 60)]
     rows += [(100 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]) for i in range(50)]
