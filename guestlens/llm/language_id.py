@@ -35,13 +35,14 @@ from pyspark.sql import types as T
 
 from guestlens.llm import blocks as B
 
-PER_LANG = 150
+PER_LANG = 300
 FIT_BYTES = 20_000
 STEPS = 14
 RATE = 0.25
 TABLE_BITS = 18
 PIECE = 64
 BLOCK = 1 << 20
+FIT_BLOCK = 1 << 18
 
 RESULT = ["lang_pred", "score"]
 
@@ -179,40 +180,65 @@ def marginals(emit: np.ndarray, count: np.ndarray, start: np.ndarray, moves: np.
     return out
 
 
+def _fit_blocks(texts: list[bytes], labels: list[int]):
+    """Bytes, words and label of each word, in blocks of documents of about ``FIT_BLOCK`` bytes."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= FIT_BLOCK or i + 1 == len(texts):
+            data, offsets = B.buffer_of(pa.array(texts[begin:i + 1], pa.binary()))
+            w = B.words(data, offsets, separators())
+            if len(w.hash):
+                yield data, w, np.array(labels[begin:i + 1])[w.doc]
+            begin, size = i + 1, 0
+
+
+def _step(data: np.ndarray, w: B.Words, y: np.ndarray, number: np.ndarray, theta: list, weights: np.ndarray):
+    """What one block of documents adds to the gradients: of the weights in use, first labels and moves."""
+    k = weights.shape[1]
+    count = w.count[w.count > 0]
+    p, moved = marginals(emissions(data, w, weights), count, theta[1], theta[2], pairs=True)
+    error = -p
+    error[np.arange(len(y)), y] += 1
+    same = w.doc[1:] == w.doc[:-1]
+    moved_y = np.zeros((k, k))
+    np.add.at(moved_y, (y[:-1][same], y[1:][same]), 1)
+    grams, first, affix = features(data, w)
+    where = number[np.r_[grams.ravel(), affix.ravel()]]
+    each = np.arange(len(w.hash), dtype=np.int32)
+    owner = np.r_[np.repeat(each, 2 * np.diff(np.r_[first, len(grams)])), np.repeat(each, 3)]
+    grad = np.stack([np.bincount(where, weights=error[owner, j], minlength=len(theta[0])) for j in range(k)], 1)
+    return grad, error[np.cumsum(count) - count].sum(0), moved_y - moved, len(y), len(count)
+
+
 def fit(texts: list[bytes], labels: list[int], langs: list[str], steps: int = STEPS, rate: float = RATE) -> Model:
-    """Gradient steps (Adam) on the CRF likelihood of documents labelled throughout."""
+    """Gradient steps (Adam) on the CRF likelihood of documents labelled throughout.
+
+    Each step adds up the gradients of blocks of documents, so that only one block's features and
+    messages are in memory."""
     k, size = len(langs), 1 << TABLE_BITS
-    data, offsets = B.buffer_of(pa.array(texts, pa.binary()))
-    w = B.words(data, offsets, separators())
-    some = np.flatnonzero(w.count > 0)
-    y = np.array(labels)[w.doc]
-    count = w.count[some]
+    seen = np.zeros(size, bool)
+    for data, w, _ in _fit_blocks(texts, labels):
+        grams, _, affix = features(data, w)
+        seen[grams.ravel()] = seen[affix.ravel()] = True
+    used = np.flatnonzero(seen)
     weights, start, moves = np.zeros((size, k)), np.zeros(k), np.zeros((k, k))
-    if len(w.hash):
-        grams, first, affix = features(data, w)
-        rows = np.r_[grams.ravel(), affix.ravel()]
-        used = np.flatnonzero(np.bincount(rows, minlength=size))
+    if len(used):
         number = np.zeros(size, np.int32)
         number[used] = np.arange(len(used))
-        where = number[rows]
-        each = np.arange(len(w.hash), dtype=np.int32)
-        owner = np.r_[np.repeat(each, 2 * np.diff(np.r_[first, len(grams)])), np.repeat(each, 3)]
-        firsts = (np.cumsum(count) - count)
-        moved_y = np.zeros((k, k))
-        same = w.doc[1:] == w.doc[:-1]
-        np.add.at(moved_y, (y[:-1][same], y[1:][same]), 1)
         theta = [np.zeros((len(used), k)), start, moves]
         m1, m2 = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         for step in range(1, steps + 1):
             weights[used] = theta[0]
-            emit = emissions(data, w, weights)
-            p, moved = marginals(emit, count, theta[1], theta[2], pairs=True)
-            error = -p
-            error[np.arange(len(y)), y] += 1
-            grad = np.stack([np.bincount(where, weights=error[owner, j], minlength=len(used)) for j in range(k)], 1)
-            n = len(y)
-            ups = [grad / n * 100 - 1e-3 * theta[0], error[firsts].sum(0) / len(count) - 1e-2 * theta[1],
-                   (moved_y - moved) / n * 10 - 1e-2 * theta[2]]
+            grad, firsts, moved = (np.zeros_like(t) for t in theta)
+            n = docs = 0
+            for data, w, y in _fit_blocks(texts, labels):
+                some = _step(data, w, y, number, theta, weights)
+                grad += some[0]
+                firsts += some[1]
+                moved += some[2]
+                n, docs = n + some[3], docs + some[4]
+            ups = [grad / n * 100 - 1e-3 * theta[0], firsts / docs - 1e-2 * theta[1], moved / n * 10 - 1e-2 * theta[2]]
             for i, g in enumerate(ups):
                 m1[i] = 0.8 * m1[i] + 0.2 * g
                 m2[i] = 0.95 * m2[i] + 0.05 * g * g

@@ -129,6 +129,17 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_language_fit_takes_300_a_language_in_blocks(monkeypatch):
+    assert language_id.PER_LANG == 300
+    texts = [(w * (i % 7 + 1)).encode() for i in range(40) for w in (EN, DE)]
+    one = language_id.fit(texts, [0, 1] * 40, ["en", "de"], steps=4)
+    monkeypatch.setattr(language_id, "FIT_BLOCK", 500)
+    most, words = [0], language_id.B.words
+    monkeypatch.setattr(language_id.B, "words", lambda data, *a: (most.append(len(data)), words(data, *a))[1])
+    many = language_id.fit(texts, [0, 1] * 40, ["en", "de"], steps=4)
+    assert abs(one.weights - many.weights).max() < 1e-4 and abs(one.moves - many.moves).max() < 1e-4 and 0 < max(most) < 500 + max(map(len, texts))
+
+
 def test_language_model_and_quality(spark):
     df = table(spark)
     learn = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
