@@ -13,8 +13,9 @@ together; the transfer matrices of the pieces carry exact messages between them,
 the marginals are those of the whole document, however long it is.
 
 Fitting: gradient steps on the CRF's likelihood with the document's language at every word, on a
-bounded sample: about ``PER_LANG`` documents per language, taken by hash from the
-training rows of at most ``FIT_BYTES`` bytes of text.
+bounded sample: ``PER_LANG`` distinct texts per language, those with the smallest hashes among the
+training rows.  Texts of at most ``FIT_BYTES`` bytes go first; where a language has too few of them,
+windows of its longer texts, of at most as many bytes from the first letter on, fill up.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows
 without a language are not learned from; equal sums take the smaller language name;
@@ -25,6 +26,8 @@ give way to it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guestlens.llm import blocks as B
+from guestlens.llm.tables import materialize
 
 PER_LANG = 300
 FIT_BYTES = 20_000
@@ -43,6 +47,7 @@ TABLE_BITS = 18
 PIECE = 64
 BLOCK = 1 << 20
 FIT_BLOCK = 1 << 18
+SPAN = 1 << 40
 
 RESULT = ["lang_pred", "score"]
 
@@ -277,19 +282,52 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], list[float]]:
     return lang, score.tolist()
 
 
+def _sample(df: DataFrame, per_lang: int) -> dict[tuple[str, bool], list[int]]:
+    """For each language, and whether its texts are long: the smallest hashes of distinct texts,
+    ``per_lang`` per language, long ones only for want of others.
+
+    ``df`` has lang, long and h, one row per text; hashes are evenly spread, so those under a
+    threshold a little above the share wanted come to the driver."""
+    distinct = materialize(df.distinct(), "lang-texts")
+    counts = {(r[0], r[1]): r[2] for r in distinct.groupBy("lang", "long").count().collect()}
+    want = {(lang, long): min(n, per_lang - (min(per_lang, counts.get((lang, False), 0)) if long else 0)) for (lang, long), n in counts.items()}
+    got: dict[tuple[str, bool], list[int]] = {}
+    short, slack = {key: n for key, n in want.items() if n > 0}, 1
+    while short:
+        under = [(F.col("lang") == lang) & (F.col("long") == long) & (F.col("at") < int(min(1.0, slack * (n + 6 * n**0.5 + 10) / counts[lang, long]) * SPAN))
+                 for (lang, long), n in short.items()]
+        seen: dict[tuple[str, bool], list] = {}
+        for lang, long, at, h in distinct.withColumn("at", F.pmod("h", F.lit(SPAN))).where(reduce(or_, under)).select("lang", "long", "at", "h").collect():
+            seen.setdefault((lang, long), []).append((at, h))
+        got |= {key: [h for _, h in sorted(seen[key])[:n]] for key, n in short.items() if len(seen.get(key, [])) >= n}
+        short, slack = {key: n for key, n in short.items() if key not in got}, slack * 8
+    return got
+
+
 def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Fit on about ``per_lang`` rows per language out of those where ``learn`` holds."""
-    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= FIT_BYTES))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    langs = sorted(counts)
+    """Fit on ``per_lang`` distinct texts per language, or all if fewer, out of the rows where ``learn`` holds."""
+    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).alias("lang"), (F.octet_length(text_col) > FIT_BYTES).alias("long"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    picked = _sample(rows.select("lang", "long", "h"), per_lang)
+    langs = sorted({lang for lang, _ in picked})
     if not langs:
         return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, per_lang / counts[lang]) * 1_000_000))])
-    picked = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)))
-    got = picked.select(text_col, lang_col).collect()
-    got.sort(key=lambda r: (r[1], r[0]))
+    keys = df.sparkSession.createDataFrame([(lang, long, h) for (lang, long), some in picked.items() for h in some], "lang string, long boolean, h long")
+    from_letter = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, FIT_BYTES)
+    texts = rows.join(F.broadcast(keys), ["lang", "long", "h"]).withColumn("text", F.when(F.col("long"), from_letter).otherwise(F.col("text")))
+    got = texts.groupBy("lang", "long", "h").agg(F.min("text")).collect()
     number = {lang: i for i, lang in enumerate(langs)}
-    return fit([r[0].encode() for r in got], [number[r[1]] for r in got], langs)
+    got = sorted((number[r[0]], window(r[3].encode()) if r[1] else r[3].encode()) for r in got)
+    return fit([text for _, text in got], [i for i, _ in got], langs)
+
+
+def window(text: bytes) -> bytes:
+    """The first ``FIT_BYTES`` bytes, up to the end of a word unless it is longer."""
+    if len(text) <= FIT_BYTES:
+        return text
+    cut = text[:FIT_BYTES + 1]
+    head = cut[:max(cut.rfind(c) for c in b" \n\t")] if any(c in cut for c in b" \n\t") else cut[:-1]
+    return head.decode("utf-8", "ignore").encode()
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -140,6 +140,21 @@ def test_language_fit_takes_300_a_language_in_blocks(monkeypatch):
     assert abs(one.weights - many.weights).max() < 1e-4 and abs(one.moves - many.moves).max() < 1e-4 and 0 < max(most) < 500 + max(map(len, texts))
 
 
+def test_language_sample_of_copies_and_long_texts(spark, monkeypatch):
+    got = []
+    real = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels, langs: got.append((texts, [langs[i] for i in labels])) or real(texts, labels, langs, steps=2))
+    few = [("es", f"el perro y el gato {chr(97 + i)}") for i in range(5)] * 4000        # few texts, many copies
+    hot = [("en", EN)] * 5000 + [("en", EN + f"word{i}") for i in range(900)]
+    far = [("de", "... " + DE * 300 + f"wort{i}") for i in range(30)]                  # longer texts only
+    df = spark.createDataFrame(few + hot + far, "lang string, text string")
+    model = language_id.train(df, F.lit(True))
+    texts, langs = got[0]
+    assert model.langs == ["de", "en", "es"]
+    assert langs.count("es") == 5 and langs.count("en") == 300 and langs.count("de") in range(1, 31)
+    assert len({(a, b) for a, b in zip(texts, langs) if b != "de"}) == 305 and all(len(t) <= language_id.FIT_BYTES for t in texts)
+
+
 def test_language_model_and_quality(spark):
     df = table(spark)
     learn = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
