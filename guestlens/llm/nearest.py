@@ -11,6 +11,9 @@ queries, taken by hash): the fewest that find ``RECALL`` of the true neighbours
 sample neighbours are farther apart than in the whole table, so this errs towards more.
 All rows are indexed, and no bucket is capped.
 
+A query that meets fewer than ``k`` candidates, though there are more, is searched once more, exactly,
+against blocks of all rows; this costs rows times such queries.
+
 Rows are dealt by (table, shard of the bucket); they travel as packed blocks of at most
 ``BLOCK_ROWS`` vectors, queries as packed bundles with their probes, and a join
 brings them together, so that a shard with a third of all rows (one very common vector)
@@ -42,6 +45,7 @@ WIDTH = 1.35                # in median distances to the k-th neighbour
 RECALL = 0.96               # on the sample
 SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 150
 BLOCK_ROWS = 4096
+BUNDLE_ROWS = 16_384
 SHARD_BYTES = 32 << 20
 SEED = 5
 
@@ -148,6 +152,15 @@ def _ask(batches, h: Hashing):
             yield _packed(rows, ["part", "q_ids", "q_codes", "q_x"])
 
 
+def _blocks(batches, names: list[str], most: int):
+    """Packed rows of one bucket that every query visits."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            some = batch.slice(start, most)
+            n = some.num_rows
+            yield _packed([(0, some.column("id").to_numpy().tobytes(), np.zeros(n, np.int64).tobytes(), _matrix(some.column("x")).tobytes())], names)
+
+
 def _packed(rows, names):
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
@@ -227,6 +240,24 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     index = rows.select("id", "x").mapInArrow(lambda it: _index(it, sent.value), "part long, ids binary, codes binary, x binary")
     asked = rows.where("asks").select("id", "x").mapInArrow(lambda it: _ask(it, sent.value), "part long, q_ids binary, q_codes binary, q_x binary")
     found = index.join(asked, "part").mapInArrow(lambda it: _search(it, lengths.size, k), out)
+    found = materialize(_ranked(found, k), "nearest")
+    # Queries short of candidates: ``asks`` rows with fewer results than k, or than all other ids.
+    most = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+    met = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = rows.where("asks").join(met.where(F.col("n") >= most), F.col("id") == F.col("query_id"), "left_anti").select("id", "x")
+    short = materialize(short, "short-queries")
+    n_short = short.count() if most > 0 else 0
+    if not n_short:
+        return found
+    blocks = rows.select("id", "x").mapInArrow(lambda it: _blocks(it, ["part", "ids", "codes", "x"], BLOCK_ROWS), "part long, ids binary, codes binary, x binary")
+    bundles = (short.repartition(-(-n_short // BUNDLE_ROWS))
+               .mapInArrow(lambda it: _blocks(it, ["q_part", "q_ids", "q_codes", "q_x"], 1024), "q_part long, q_ids binary, q_codes binary, q_x binary"))
+    exact = blocks.crossJoin(bundles).mapInArrow(lambda it: _search(it, lengths.size, k), out)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(_ranked(exact, k))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of the candidates of all tasks."""
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 texts, ties and repeated rows, empty tables, extra columns with the names of results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,22 @@ def test_nearest(spark):
     assert nearest.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_finds_all_candidates(spark):
+    rng = random.Random(3)
+    unit = lambda: [rng.gauss(0, 1) for _ in range(8)]
+    small = [(i, unit()) for i in range(12)]                                           # fewer than 20 candidates
+    far = [(i, [5 + 0.01 * x for x in unit()]) for i in range(400)] + [(1000, [-3.0] * 4 + [2.0] * 4), (1001, [-0.5] * 8)]
+    for rows, asks, n in ((small, F.lit(True), 11), (far, F.col("vec_id") >= 1000, 20)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in nearest.search(df, asks).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert len(got) == (12 if rows is small else 2)
+        for q, ids in got.items():
+            x = dict(rows)[q]
+            assert ids == [i for _, i in sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)][:n]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "alone"),
             (None, 0, "user", "lost"), (3, 5, "user", ""), (4, 0, "user", LONG)]
