@@ -80,4 +80,43 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_remo
 FROM w LEFT JOIN k USING (doc_id)
 """
 
-ORACLE = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_chat_perspectives": OP3, "op5_mix_sources": OP5, "op10_substring_dedup": OP10}
+
+def _op11() -> str:
+    """Positions from matches and the text split at the same pattern, as window sums over the matches."""
+    from guestlens.llm import pii
+    # This engine's expressions know no possessive repeats and no look-behind; both only save time.
+    plain = lambda p: p.split("]))", 1)[-1].replace("++", "+") if p.startswith(r"(?:\G") else p.replace("++", "+")
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    says = lambda words: f"(regexp_matches(lo, '(?:^|[^a-z])(?:{words})(?:$|[^a-z])') OR regexp_matches(hi, '(?:^|[^a-z])(?:{words})(?:$|[^a-z])'))"
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    alone = f"(NOT regexp_matches(right(lgap, 1), '{pii.NOT_ALONE}') AND NOT regexp_matches(left(rgap, 1), '{pii.NOT_ALONE}'))"
+    digit = "CAST(substr(dg, CAST(len(dg) - j AS INTEGER), 1) AS INTEGER)"
+    luhn = f"(list_sum(list_transform(range(len(dg)), lambda j: CASE WHEN j % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)) % 10 = 0)"
+    card = lambda a, b: f"CASE WHEN len(dg) BETWEEN {a} AND {b} THEN {luhn} ELSE false END"
+    mod = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace(value, ' ', ''), 5) || left(replace(value, ' ', ''), 4), ''),
+        lambda c: CASE WHEN ord(c) < 58 THEN ord(c) - 48 ELSE ord(c) - 55 END::BIGINT)),
+        lambda m, d: CASE WHEN d < 10 THEN (m * 10 + d) % 97 ELSE (m * 100 + d) % 97 END) = 1"""
+    valid = {"email": "true", "ip": f"regexp_matches(value, '{pii.IP_PARTS}')", "card": card(16, 19), "phone": "len(dg) BETWEEN 8 AND 15",
+             "iban": f"CASE WHEN {alone} THEN {mod} ELSE false END", "short_card": card(13, 15), "local_phone": alone, "ssn": alone}
+    ctes = ["d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
+    for name, rule in pii.RULES.items():
+        pattern = plain(rule.pattern)
+        ctes.append(f"""{name}_m AS (SELECT r, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d),
+{name}_p AS (SELECT r, value, lgap, rgap, dg, {fold.format(f"right(lgap, {pii.BEFORE})")} AS lo, {fold.format(f"left(rgap, {pii.AFTER})")} AS hi,
+    CAST(sum(len(lgap) + len(value)) OVER (PARTITION BY r ORDER BY i) - len(value) AS BIGINT) AS s FROM
+  (SELECT *, {digits} AS dg FROM (SELECT r, unnest(m) AS value, unnest(g[1:len(m)]) AS lgap, unnest(g[2:len(m) + 1]) AS rgap, unnest(range(len(m))) AS i FROM {name}_m WHERE len(m) > 0) a) b),
+{name} AS (SELECT r, {pii.KINDS.index(rule.kind)} AS no, '{rule.kind}' AS kind, s, s + len(value) AS e, {str(rule.base).lower()} AS base,
+    {rule.score} + CASE WHEN {says(pii.CONTEXT[rule.kind])} THEN {pii.NEAR} ELSE 0 END - CASE WHEN {says(pii.AGAINST)} THEN {pii.NEAR} ELSE 0 END AS score
+  FROM {name}_p WHERE {valid[name]})""")
+    both = lambda base: " UNION ALL ".join(f"SELECT * FROM {n}" for n, r in pii.RULES.items() if r.base == base)
+    ctes.append(f"bases AS ({both(True)}), added AS (SELECT * FROM ({both(False)}) a WHERE score >= {pii.LEAST} "
+                "AND NOT EXISTS (SELECT 1 FROM bases b WHERE b.r = a.r AND b.s < a.e AND a.s < b.e)), spans AS (SELECT * FROM bases UNION ALL SELECT * FROM added)")
+    piece = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (WHERE base AND kind = '{k}') AS n_{k}" for k in pii.BASE)
+    ctes.append(f"""x AS (SELECT r, {counts}, string_agg({piece}, ',' ORDER BY no, s, e) FILTER (WHERE base) AS b, string_agg({piece}, ',' ORDER BY no, s, e) AS a
+  FROM spans GROUP BY r)""")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, " + ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.BASE) + \
+        ", sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN x USING (r)"
+
+
+ORACLE = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_chat_perspectives": OP3, "op5_mix_sources": OP5, "op10_substring_dedup": OP10, "op11_pii": _op11()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import chat, decontaminate, html_extract, language_id, lm_scoring, mixing, nearest, ngram_join, quality, substring_dedup
+from guestlens.llm import chat, decontaminate, html_extract, language_id, lm_scoring, mixing, nearest, ngram_join, pii, quality, substring_dedup
 from guestlens.llm.oracle import ORACLE  # noqa: F401
 from guestlens.llm.tables import table
 
@@ -61,5 +61,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_chat_perspectives, op4_lm_scoring, op5_mix_sources,
-                                   op6_html_extract, op7_quality, op8_language_id, op9_nearest, op10_substring_dedup)}
+                                   op6_html_extract, op7_quality, op8_language_id, op9_nearest, op10_substring_dedup, op11_pii)}
