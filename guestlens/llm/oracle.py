@@ -119,4 +119,24 @@ def _op11() -> str:
         ", sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN x USING (r)"
 
 
-ORACLE = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_chat_perspectives": OP3, "op5_mix_sources": OP5, "op10_substring_dedup": OP10, "op11_pii": _op11()}
+def _op13() -> str:
+    ctes = ["""v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+w AS (SELECT max(len(embedding)) // 16 AS width FROM v),
+c AS (SELECT r, i // width AS p, i % width AS j, floor(256 * x)::BIGINT AS x
+      FROM (SELECT r, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM v) e, w),
+o AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS k FROM v),
+b0 AS (SELECT p, k, j, x FROM c JOIN o USING (r) WHERE k < 64)"""]
+    for n in range(3):
+        ctes.append(f"""d{n} AS (SELECT r, p, k, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS far FROM c JOIN b{n} b USING (p, j) GROUP BY r, p, k),
+a{n} AS (SELECT r, p, k, far FROM d{n} QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY far, k) = 1)""")
+        if n < 2:
+            ctes.append(f"""m{n} AS (SELECT p, k, j, sum(x)::BIGINT AS s, count(*) AS n FROM c JOIN a{n} USING (r, p) GROUP BY p, k, j),
+b{n + 1} AS (SELECT b.p, b.k, b.j, CASE WHEN n IS NULL THEN b.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM b{n} b LEFT JOIN m{n} USING (p, k, j))""")
+    return "WITH " + ",\n".join(ctes) + """,
+z AS (SELECT r, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, k, j)) FROM b2) AS codebooks_sha256 FROM v JOIN z USING (r)"""
+
+
+ORACLE = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_chat_perspectives": OP3, "op5_mix_sources": OP5, "op10_substring_dedup": OP10, "op11_pii": _op11(), "op13_vector_codes": _op13()}
