@@ -139,4 +139,20 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
   (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, k, j)) FROM b2) AS codebooks_sha256 FROM v JOIN z USING (r)"""
 
 
-ORACLE = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_chat_perspectives": OP3, "op5_mix_sources": OP5, "op10_substring_dedup": OP10, "op11_pii": _op11(), "op13_vector_codes": _op13()}
+_TERMS = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark) b),
+s AS (SELECT count(*) FILTER (WHERE len(ws) > 0)::BIGINT AS docs, sum(len(ws))::BIGINT AS total FROM d),
+it AS (SELECT q, term, count(*)::BIGINT AS times FROM (SELECT q, unnest(ws) AS term FROM i) u GROUP BY q, term),
+dt AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM d) u WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM dt, s GROUP BY term, docs),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws) * docs) // total AS m FROM d, s WHERE len(ws) > 0),
+x AS (SELECT q, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM it JOIN dt USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q, r),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 20
+"""
+
+
+ORACLE = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_chat_perspectives": OP3, "op5_mix_sources": OP5, "op10_substring_dedup": OP10, "op11_pii": _op11(), "op12_ranked_search": OP12, "op13_vector_codes": _op13()}

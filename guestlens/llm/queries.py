@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import chat, decontaminate, html_extract, language_id, lm_scoring, mixing, nearest, ngram_join, pii, quality, substring_dedup, vector_codes
+from guestlens.llm import ball_tree, chat, decontaminate, html_extract, language_id, lm_scoring, mixing, nearest, ngram_join, pii, quality, substring_dedup, vector_codes
 from guestlens.llm.oracle import ORACLE  # noqa: F401
 from guestlens.llm.tables import table
 
@@ -65,10 +65,14 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_chat_perspectives, op4_lm_scoring, op5_mix_sources,
                                    op6_html_extract, op7_quality, op8_language_id, op9_nearest, op10_substring_dedup, op11_pii,
-                                   op13_vector_codes)}
+                                   op12_ranked_search, op13_vector_codes)}
