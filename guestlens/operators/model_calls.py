@@ -138,49 +138,3 @@ def validate_responses(responses: DataFrame, tolerance: float = 0.2) -> DataFram
               .when((s["average_score"] < 1) | (s["average_score"] > 5), F.lit("average_score out of range"))
               .when(F.abs(total - 100) > tolerance, F.lit("percentages do not sum to 100")))
     return parsed.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
-
-
-def rating_analyzer() -> Callable[[pd.DataFrame], pd.Series]:
-    """A deterministic stand-in for a model: reads the ratings back out of the
-    review lines and answers with a schema-complete report (scores only).
-    A test helper; real deployments pass their own ``make_fn``."""
-    import json
-    import re
-    from decimal import ROUND_HALF_UP, Decimal
-
-    rating = re.compile(r"^\* ([0-9.]+) of 5 \|", re.M)
-    place = re.compile(r"Place: (.*?)\. Address:")
-
-    def r1(x):
-        return float(Decimal(repr(x)).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
-
-    def one(system: str, user: str) -> str:
-        rs = [float(v) for v in rating.findall(user or "")]
-        rated = [v for v in rs if v > 0]
-        n = len(rated)
-        def pct(c):
-            return r1(c * 100 / n) if n else None
-        name = place.search(system or "")
-        lists = lambda *ks: {k: [] for k in ks}
-        return json.dumps({
-            "hotel_name": name.group(1) if name else "",
-            "summary": f"{len(rs)} reviews",
-            "overall_sentiment": {
-                "average_score": r1(sum(rated) / n) if n else None,
-                "positive_percentage": pct(sum(v >= 4 for v in rated)),
-                "neutral_percentage": pct(sum(3 <= v < 4 for v in rated)),
-                "negative_percentage": pct(sum(v < 3 for v in rated))},
-            "accommodation": lists("room_quality", "common_praises", "common_criticisms", "suggestions"),
-            "service": lists("strengths", "weaknesses", "suggestions"),
-            "amenities": lists("praised_features", "criticized_features", "suggestions"),
-            "food_and_dining": {"restaurant_quality": "", "breakfast_feedback": "",
-                                **lists("praised_items", "criticized_items", "suggestions")},
-            "location_and_accessibility": lists("positive_aspects", "negative_aspects", "suggestions"),
-            "value_for_money": {"perceived_value": "", **lists("positive_factors", "negative_factors",
-                                                               "suggestions")},
-            "online_presence": lists("website_feedback", "social_media_feedback", "suggestions"),
-            "top_improvement_priorities": []})
-
-    def fn(pdf: pd.DataFrame) -> pd.Series:
-        return pd.Series([one(s, u) for s, u in zip(pdf["system_prompt"], pdf["user_prompt"])])
-    return fn

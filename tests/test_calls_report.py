@@ -1,10 +1,14 @@
 """L1-L4, R1 on hand fixtures."""
 
+import datetime as dt
 import json
+import re
+from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from guestlens.operators.model_calls import rating_analyzer, run_analyzer, validate_responses
+from guestlens.operators.model_calls import analysis_requests, run_analyzer, validate_responses
 from guestlens.operators.report import flatten_report
 from guestlens.functions.text import star_bar
 from guestlens.schemas import HOTEL_ANALYSIS
@@ -51,10 +55,52 @@ def test_validate_replies(spark):
 
 
 def test_analyzer_map(spark):
-    req = spark.createDataFrame(
-        [(1, 0, "Place: A. Address: B.", "Reviews:\n- u gave a rating of '5.0/5' on 'd' with comment x\n"
-                                          "- v gave a rating of '2.0/5' on 'd' with comment y")],
-        "data_id long, batch_id long, system_prompt string, user_prompt string")
+    def rating_analyzer():          # nested: workers cannot import this module
+        """Stands for a model: reads the ratings back out of the review lines and answers with a
+        schema-complete report (scores only)."""
+        rating = re.compile(r"^\* ([0-9.]+) of 5 \|", re.M)
+        place = re.compile(r"Place: (.*?)\. Address:")
+
+        def r1(x):
+            return float(Decimal(repr(x)).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP))
+
+        def one(system: str, user: str) -> str:
+            rs = [float(v) for v in rating.findall(user or "")]
+            rated = [v for v in rs if v > 0]
+            n = len(rated)
+            def pct(c):
+                return r1(c * 100 / n) if n else None
+            name = place.search(system or "")
+            lists = lambda *ks: {k: [] for k in ks}
+            return json.dumps({
+                "hotel_name": name.group(1) if name else "",
+                "summary": f"{len(rs)} reviews",
+                "overall_sentiment": {
+                    "average_score": r1(sum(rated) / n) if n else None,
+                    "positive_percentage": pct(sum(v >= 4 for v in rated)),
+                    "neutral_percentage": pct(sum(3 <= v < 4 for v in rated)),
+                    "negative_percentage": pct(sum(v < 3 for v in rated))},
+                "accommodation": lists("room_quality", "common_praises", "common_criticisms", "suggestions"),
+                "service": lists("strengths", "weaknesses", "suggestions"),
+                "amenities": lists("praised_features", "criticized_features", "suggestions"),
+                "food_and_dining": {"restaurant_quality": "", "breakfast_feedback": "",
+                                    **lists("praised_items", "criticized_items", "suggestions")},
+                "location_and_accessibility": lists("positive_aspects", "negative_aspects", "suggestions"),
+                "value_for_money": {"perceived_value": "", **lists("positive_factors", "negative_factors",
+                                                                   "suggestions")},
+                "online_presence": lists("website_feedback", "social_media_feedback", "suggestions"),
+                "top_improvement_priorities": []})
+
+        def fn(pdf):
+            return pd.Series([one(s, u) for s, u in zip(pdf["system_prompt"], pdf["user_prompt"])])
+        return fn
+
+    day = dt.datetime(2024, 8, 3, 15, 53)
+    batched = spark.createDataFrame(
+        [(1, 0, i + 1, 1 + i, u, r, day, "August 03, 2024 at 03:53 PM UTC", t) for i, (u, r, t) in enumerate([("u", 5.0, "x | 1.0 of 5"), ("v", 2.0, "y")])],
+        "data_id long, batch_id long, batch_pos long, date_pos long, user string, rating double, ts timestamp_ntz, date string, review_text string")
+    header = spark.createDataFrame([(1, "A", "B", 4.0, 2)], "data_id long, title string, address string, rating double, total_reviews long")
+    req = analysis_requests(batched, header, "2024-08-04")
     out = validate_responses(run_analyzer(req, rating_analyzer, partitions=2)).collect()[0]
     assert out.valid and out.report.overall_sentiment.average_score == 3.5
     assert out.report.hotel_name == "A"
