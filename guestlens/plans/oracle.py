@@ -723,3 +723,5 @@ SELECT c.data_id, c.aspect, c.batch_id, c.net, p.net AS previous_net,
   CASE WHEN p.net IS NULL THEN 'first' WHEN c.net - p.net >= 1 THEN 'improving'
        WHEN c.net - p.net <= -1 THEN 'declining' ELSE 'stable' END AS trend
 FROM per c LEFT JOIN per p ON p.data_id = c.data_id AND p.aspect = c.aspect AND p.batch_id = c.batch_id - 1""")
+
+ORACLE["incremental_recency"] = ORACLE["recency_weighted_sentiment"]

@@ -561,3 +561,17 @@ def aspect_period_trend(spark, d):
     against the previous batch."""
     from guestlens.operators.combine import aspect_trend
     return aspect_trend(_mentions_batched(spark, d, 5))
+
+
+@query("incremental_recency")
+def incremental_recency(spark, d):
+    """Recency-weighted scores of reviews that arrive in three epochs out of order
+    (newer ones, older ones, then late ones of all days; the second is offered twice);
+    equals A4 over all reviews."""
+    from guestlens.session import work_path
+    from guestlens.streaming.recency import IncrementalRecency
+    r, cut, late = _reviews(spark, d), F.col("ts") < F.to_timestamp_ntz(F.lit(INCREMENTAL_CUTOFF)), F.col("review_id") % 4 == 0
+    inc = IncrementalRecency(spark, work_path(spark, "recency"))
+    for tag, part in (("new#0", ~cut & ~late), ("old#0", cut & ~late), ("old#0", cut & ~late), ("late#0", late)):
+        inc.apply(r.filter(part), tag=tag)
+    return inc.scores()

@@ -12,6 +12,8 @@ came from (a micro-batch of a checkpoint), so that work is never applied twice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
@@ -51,12 +53,14 @@ class VersionedTable:
         n = self.latest_version(below)
         return None if n is None else self.read(n, part)
 
-    def read_all(self) -> DataFrame | None:
-        """Rows of every committed version (for append-style tables)."""
+    def read_all(self, part: str | None = None) -> DataFrame | None:
+        """Rows of every committed version (for append-style tables), or of one part of it."""
         v = self.versions()
         if not v:
             return None
-        return self.spark.read.parquet(*[self._data(n) for n in v])
+        if part is None:
+            return self.spark.read.parquet(*[self._data(n) for n in v])
+        return reduce(DataFrame.unionByName, [self.read(n, part) for n in v])
 
     def write(self, df: DataFrame, n: int, partition_by: tuple[str, ...] = (), tag: str | None = None) -> None:
         w = df.write.mode("overwrite")
@@ -65,9 +69,12 @@ class VersionedTable:
         w.parquet(self._data(n))
         self.commit(n, tag)
 
-    def write_part(self, df: DataFrame, n: int, part: str) -> DataFrame:
+    def write_part(self, df: DataFrame, n: int, part: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """One part of a version that is not committed yet."""
-        df.write.mode("overwrite").parquet(f"{self._data(n)}/{part}")
+        w = df.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(f"{self._data(n)}/{part}")
         return self.read(n, part)
 
     def commit(self, n: int, tag: str | None = None) -> None:
