@@ -725,3 +725,33 @@ SELECT c.data_id, c.aspect, c.batch_id, c.net, p.net AS previous_net,
 FROM per c LEFT JOIN per p ON p.data_id = c.data_id AND p.aspect = c.aspect AND p.batch_id = c.batch_id - 1""")
 
 ORACLE["incremental_recency"] = ORACLE["recency_weighted_sentiment"]
+
+ORACLE["issue_history"] = with_(*BASE_M, BATCHED.format(bs=5), mentions_cte("batched", ["batch_id"]), """said AS (
+  SELECT data_id, aspect, term, batch_id, CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n FROM mentions WHERE pol < 0 GROUP BY ALL),
+spells AS (SELECT *, CAST(sum(start) OVER (PARTITION BY data_id, aspect, term ORDER BY batch_id) AS BIGINT) AS spell FROM (
+  SELECT *, CASE WHEN batch_id - lag(batch_id) OVER (PARTITION BY data_id, aspect, term ORDER BY batch_id) <= 2 THEN 0 ELSE 1 END AS start FROM said) x)""",
+                                body="""
+SELECT data_id, aspect, term, spell, CASE WHEN spell = 1 THEN 'opened' ELSE 'reopened' END AS event, first_batch, last_batch,
+  last_batch - first_batch + 1 AS n_batches, n_saying, n_reviews, CASE WHEN nb - 1 - last_batch < 2 THEN 'open' ELSE 'resolved' END AS state,
+  CASE WHEN nb - 1 - last_batch >= 2 THEN last_batch + 1 END AS resolved_batch
+FROM (SELECT data_id, aspect, term, spell, min(batch_id) AS first_batch, max(batch_id) AS last_batch, CAST(count(*) AS BIGINT) AS n_saying,
+        CAST(sum(n) AS BIGINT) AS n_reviews FROM spells GROUP BY ALL) s
+JOIN (SELECT data_id, CAST(max(batch_id) + 1 AS BIGINT) AS nb FROM batched GROUP BY data_id) b USING (data_id)""")
+
+# Every pair of batches of a theme, silent ones included.
+ORACLE["theme_trend"] = with_(*BASE_M, BATCHED.format(bs=5), mentions_cte("batched", ["batch_id"]), """sizes AS (
+  SELECT data_id, batch_id, count(*) AS n FROM batched GROUP BY ALL),
+said AS (SELECT data_id, aspect, term, polarity, batch_id, count(DISTINCT fetch_pos) AS k FROM mentions GROUP BY ALL),
+series AS (SELECT t.data_id, t.aspect, t.term, t.polarity, z.batch_id, z.n, coalesce(s.k, 0) AS k
+  FROM (SELECT DISTINCT data_id, aspect, term, polarity FROM said) t JOIN sizes z USING (data_id)
+  LEFT JOIN said s ON s.data_id = t.data_id AND s.aspect = t.aspect AND s.term = t.term AND s.polarity = t.polarity AND s.batch_id = z.batch_id),
+pairs AS (SELECT data_id, aspect, term, polarity, CAST(sum(sign(b.k * a.n - a.k * b.n)) AS BIGINT) AS s
+  FROM series a JOIN series b USING (data_id, aspect, term, polarity) WHERE a.batch_id < b.batch_id GROUP BY ALL),
+ties AS (SELECT data_id, aspect, term, polarity, sum(t::DOUBLE * (t - 1) * (2 * t + 5)) AS tied, CAST(sum(t) AS BIGINT) AS nb,
+    CAST(sum(t) FILTER (WHERE share > 0) AS BIGINT) AS n_saying
+  FROM (SELECT data_id, aspect, term, polarity, k / n AS share, count(*) AS t FROM series GROUP BY ALL) q GROUP BY ALL),
+test AS (SELECT *, coalesce(s, 0) AS s0, (nb::DOUBLE * (nb - 1) * (2 * nb + 5) - tied) / 18.0::DOUBLE AS var
+  FROM ties LEFT JOIN pairs USING (data_id, aspect, term, polarity)),
+scored AS (SELECT *, CASE WHEN var > 0 THEN (s0 - sign(s0)) / sqrt(var) END AS z0 FROM test)""", body="""
+SELECT data_id, aspect, term, polarity, n_saying, nb AS n_place_batches, s0 AS s, round(z0, 3) AS z, CAST(sign(s0) AS INTEGER) AS sign,
+  CASE WHEN z0 >= 1.96 THEN 'rising' WHEN z0 <= -1.96 THEN 'falling' ELSE 'steady' END AS label FROM scored""")

@@ -575,3 +575,23 @@ def incremental_recency(spark, d):
     for tag, part in (("new#0", ~cut & ~late), ("old#0", cut & ~late), ("old#0", cut & ~late), ("late#0", late)):
         inc.apply(r.filter(part), tag=tag)
     return inc.scores()
+
+
+@query("issue_history")
+def issue_history(spark, d):
+    """When each criticised theme was an issue (batches of 5): opened, resolved, reopened;
+    two silent batches in a row resolve it."""
+    from guestlens.operators.themes import issue_history as ih
+    return ih(_mentions_batched(spark, d, 5), quiet=2)
+
+
+@query("theme_trend")
+def theme_trend(spark, d):
+    """Whether a theme's share of reviews rises or falls over the batches of 5 (Mann-Kendall)."""
+    from guestlens.operators.themes import theme_trend as tt
+    from guestlens.sources.scratch import materialize
+    b = materialize(sel.chronological_batches(_reviews(spark, d), 5), "batches")
+    sizes = b.groupBy("data_id", "batch_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    nb = b.groupBy("data_id").agg((F.max("batch_id") + 1).cast("long").alias("n_place_batches"))
+    m = materialize(_mentions(spark, d, reviews=b, extra=["batch_id"]).join(nb, "data_id"), "mentions")
+    return tt(m, sizes, 5)
