@@ -755,3 +755,37 @@ test AS (SELECT *, coalesce(s, 0) AS s0, (nb::DOUBLE * (nb - 1) * (2 * nb + 5) -
 scored AS (SELECT *, CASE WHEN var > 0 THEN (s0 - sign(s0)) / sqrt(var) END AS z0 FROM test)""", body="""
 SELECT data_id, aspect, term, polarity, n_saying, nb AS n_place_batches, s0 AS s, round(z0, 3) AS z, CAST(sign(s0) AS INTEGER) AS sign,
   CASE WHEN z0 >= 1.96 THEN 'rising' WHEN z0 <= -1.96 THEN 'falling' ELSE 'steady' END AS label FROM scored""")
+
+PROSE = r"""prose AS (SELECT TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) AS data_id, doc_id AS fetch_pos, text AS review_text FROM documents)"""
+
+
+def pair_ctes(src: str) -> str:
+    def part(k, row, column):
+        return f"CASE WHEN {k} > 0 THEN {k} * ln({k} * t / (({row}) * ({column}))) ELSE 0.0::DOUBLE END"
+    llr = f"2 * ({part('x', 'a', 'b')} + {part('(a - x)', 'a', 't - b')} + {part('(b - x)', 't - a', 'b')} + {part('(t - a - b + x)', 't - a', 't - b')})"
+    return rf"""clauses AS (SELECT data_id, fetch_pos, list_filter(regexp_split_to_array(c, '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> '') AS ww
+  FROM (SELECT data_id, fetch_pos, unnest(string_split_regex(lower(coalesce(review_text, '')), '[.!?;,\n]+|\s+but\s+')) AS c FROM {src}) c0),
+said AS (SELECT data_id, fetch_pos, ww[i] AS first, ww[i + 1] AS second FROM (SELECT *, unnest(range(1, len(ww))) AS i FROM clauses WHERE len(ww) > 1) p0),
+pairs AS (SELECT first, second, CAST(count(*) AS BIGINT) AS n FROM said GROUP BY ALL),
+rated AS (SELECT first, second, p.n, n_first, n_second, round({llr}, 3) AS llr, x * t > a * b AS more
+  FROM (SELECT *, n::DOUBLE AS x, n_first::DOUBLE AS a, n_second::DOUBLE AS b, (SELECT sum(n) FROM pairs)::DOUBLE AS t FROM pairs
+        JOIN (SELECT first, CAST(sum(n) AS BIGINT) AS n_first FROM pairs GROUP BY first) f USING (first)
+        JOIN (SELECT second, CAST(sum(n) AS BIGINT) AS n_second FROM pairs GROUP BY second) s USING (second)) p WHERE p.n >= 5),
+found AS (SELECT first, second, n, n_first, n_second, llr FROM rated WHERE more AND llr >= 10.83)"""
+
+
+def _mined(known) -> str:
+    listed = "(" + ", ".join(f"'{t}'" for t, _ in known) + ")"
+    return f"""SELECT data_id, first || ' ' || second AS theme, n_reviews, llr
+FROM (SELECT data_id, first, second, CAST(count(*) AS BIGINT) AS n_reviews FROM (SELECT DISTINCT data_id, fetch_pos, first, second FROM said) d GROUP BY ALL) r
+JOIN found USING (first, second) WHERE n_reviews >= 2 AND first NOT IN {listed} AND second NOT IN {listed}"""
+
+
+def _mined_oracles() -> dict[str, str]:
+    from guestlens.sources.standins import PROSE_LEXICON, TEST_LEXICON
+    return {"document_collocations": with_(PROSE, pair_ctes("prose"), body="SELECT * FROM found"),
+            "mined_themes": with_(REVIEWS, pair_ctes("reviews"), body=_mined(TEST_LEXICON)),
+            "mined_prose_themes": with_(PROSE, pair_ctes("prose"), body=_mined(PROSE_LEXICON))}
+
+
+ORACLE.update(_mined_oracles())

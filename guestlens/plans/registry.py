@@ -595,3 +595,24 @@ def theme_trend(spark, d):
     nb = b.groupBy("data_id").agg((F.max("batch_id") + 1).cast("long").alias("n_place_batches"))
     m = materialize(_mentions(spark, d, reviews=b, extra=["batch_id"]).join(nb, "data_id"), "mentions")
     return tt(m, sizes, 5)
+
+
+@query("document_collocations")
+def document_collocations(spark, d):
+    """A6, mined: all collocations of the documents."""
+    from guestlens.operators.collocations import collocations
+    return collocations(st.prose_reviews(spark, d))
+
+
+@query("mined_themes")
+def mined_themes(spark, d):
+    """A6, mined: per place the word pairs of its reviews that no list names."""
+    from guestlens.operators.collocations import mined_themes as mt
+    return mt(_unordered(spark, d), known=[t for t, _ in st.TEST_LEXICON])
+
+
+@query("mined_prose_themes")
+def mined_prose_themes(spark, d):
+    """A6, mined: the same over long prose, every document as a review of its source."""
+    from guestlens.operators.collocations import mined_themes as mt
+    return mt(st.prose_reviews(spark, d), known=[t for t, _ in st.PROSE_LEXICON])
