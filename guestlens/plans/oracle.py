@@ -789,3 +789,36 @@ def _mined_oracles() -> dict[str, str]:
 
 
 ORACLE.update(_mined_oracles())
+
+
+def _phrases() -> str:
+    from guestlens.operators.aspects import ASPECTS, NEGATORS
+    names = "[" + ", ".join(f"'{a}'" for a, _ in ASPECTS) + "]"
+    negators = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in NEGATORS) + "]"
+
+    def clauses(name, columns, source):
+        return rf"""{name} AS (SELECT {columns}, cno, list_filter(regexp_split_to_array(c, '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> '') AS ww
+  FROM (SELECT {columns}, unnest(cs) AS c, unnest(range(len(cs))) AS cno
+        FROM (SELECT {columns}, string_split_regex(lower(coalesce(review_text, '')), '[.!?;,\n]+|\s+but\s+') AS cs FROM {source}) s0) s1)"""
+
+    def grams(name, columns, source):
+        return f"""{name} AS (SELECT {columns}, cno, i, n, array_to_string(ww[i:i + n - 1], ' ') AS phrase, i > 1 AND list_contains({negators}, ww[i - 1]) AS negated
+  FROM (SELECT {columns}, cno, ww, n, unnest(range(1, len(ww) - n + 2)) AS i FROM {source}, (SELECT unnest([1, 2, 3, 4]) AS n) k) g)"""
+    return "WITH RECURSIVE " + ",\n".join([
+        PROSE, "bench AS (SELECT item_id, text AS review_text FROM benchmark)", clauses("bc", "item_id", "bench"), grams("bg", "item_id", "bc"),
+        f"vocab AS (SELECT DISTINCT phrase, {names}[len(phrase) % 8 + 1] AS aspect, unicode(phrase) % 3 - 1 AS sign FROM bg)",
+        clauses("pc", "data_id, fetch_pos", "prose"), grams("pg", "data_id, fetch_pos", "pc"),
+        """longest AS (SELECT data_id, fetch_pos, cno, i, max_by(phrase, n) AS phrase, max(n) AS n, any_value(negated) AS negated
+  FROM pg WHERE phrase IN (SELECT phrase FROM vocab) GROUP BY data_id, fetch_pos, cno, i),
+nxt AS (SELECT l.*, (SELECT min(m.i) FROM longest m WHERE m.fetch_pos = l.fetch_pos AND m.cno = l.cno AND m.i >= l.i + l.n) AS follow FROM longest l),
+chain AS (SELECT fetch_pos, cno, min(i) AS i FROM longest GROUP BY fetch_pos, cno
+  UNION ALL SELECT c.fetch_pos, c.cno, x.follow FROM chain c JOIN nxt x ON x.fetch_pos = c.fetch_pos AND x.cno = c.cno AND x.i = c.i WHERE x.follow IS NOT NULL),
+chosen AS (SELECT l.data_id, l.fetch_pos, l.cno, v.phrase, v.aspect, CASE WHEN l.negated THEN -v.sign ELSE v.sign END AS sign
+  FROM chain JOIN longest l USING (fetch_pos, cno, i) JOIN vocab v USING (phrase)),
+signed AS (SELECT *, sum(sign) OVER (PARTITION BY fetch_pos, cno) AS pol FROM chosen)"""]) + """
+SELECT data_id, aspect, CASE WHEN pol > 0 THEN 'praise' WHEN pol < 0 THEN 'criticism' ELSE 'neutral' END AS polarity, phrase,
+  CAST(count(DISTINCT fetch_pos) AS BIGINT) AS n_reviews, CAST(count(*) AS BIGINT) AS n_mentions
+FROM signed WHERE aspect IS NOT NULL GROUP BY ALL"""
+
+
+ORACLE["phrase_feedback"] = _phrases()

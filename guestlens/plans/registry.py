@@ -616,3 +616,12 @@ def mined_prose_themes(spark, d):
     """A6, mined: the same over long prose, every document as a review of its source."""
     from guestlens.operators.collocations import mined_themes as mt
     return mt(st.prose_reviews(spark, d), known=[t for t, _ in st.PROSE_LEXICON])
+
+
+@query("phrase_feedback")
+def phrase_feedback(spark, d):
+    """A5 with a large vocabulary of phrases (runs of benchmark words), over long prose."""
+    from guestlens.operators import phrases as ph
+    from guestlens.sources.scratch import materialize
+    vocab = materialize(ph.vocabulary(st.prose_phrases(spark, d)), "vocabulary")
+    return ph.phrase_feedback(ph.phrase_matches(st.prose_reviews(spark, d), vocab))

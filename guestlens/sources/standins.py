@@ -115,6 +115,17 @@ def prose_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("review_text"))
 
 
+def prose_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large vocabulary (phrase, aspect, sign) for the prose: every run of one to four words of the
+    benchmark texts, with an aspect by its length (some have none) and a sign by its first letter."""
+    from guestlens.operators.aspects import ASPECTS
+    from guestlens.operators.phrases import runs
+    b = table(spark, sf_dir, "benchmark").select(F.lit(0).alias("data_id"), F.col("item_id").alias("review_id"), F.col("text").alias("review_text"))
+    names = F.array(*[F.lit(a) for a, _ in ASPECTS])
+    return (runs(b, [1, 2, 3, 4]).select("phrase").distinct()
+            .select("phrase", F.get(names, F.length("phrase") % 8).alias("aspect"), (F.ascii("phrase") % 3 - 1).alias("sign")))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey",
                                                  "c_acctbal")
