@@ -822,3 +822,6 @@ FROM signed WHERE aspect IS NOT NULL GROUP BY ALL"""
 
 
 ORACLE["phrase_feedback"] = _phrases()
+
+ORACLE["bucket_store_upsert"] = ORACLE["analysis_upsert"]
+ORACLE["bucket_store_lookup"] = ORACLE["analysis_lookup"]

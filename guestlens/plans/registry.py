@@ -625,3 +625,26 @@ def phrase_feedback(spark, d):
     from guestlens.sources.scratch import materialize
     vocab = materialize(ph.vocabulary(st.prose_phrases(spark, d)), "vocabulary")
     return ph.phrase_feedback(ph.phrase_matches(st.prose_reviews(spark, d), vocab))
+
+
+def _bucket_store(spark, d):
+    """The write log applied to a bucketed store in two upserts, the later writes first."""
+    from guestlens.session import work_path
+    from guestlens.sources.bucket_store import BucketStore
+    store = BucketStore(spark, work_path(spark, "bucket-store"))
+    w, cut = st.store_writes(spark, d), F.col("written_at") < F.to_timestamp_ntz(F.lit(INCREMENTAL_CUTOFF))
+    store.upsert(w.filter(~cut))
+    store.upsert(w.filter(cut))
+    return store
+
+
+@query("bucket_store_upsert")
+def bucket_store_upsert(spark, d):
+    """S2 by key buckets: last write per (data_id, type) after two upserts."""
+    return _bucket_store(spark, d).rows().select("data_id", "type", "analysis", _ts_text("written_at").alias("written_at"), "seq")
+
+
+@query("bucket_store_lookup")
+def bucket_store_lookup(spark, d):
+    """S3 by key buckets: stored reports per request."""
+    return _bucket_store(spark, d).lookup(_lookup_requests(spark, d)).withColumn("written_at", _ts_text("written_at"))
