@@ -20,7 +20,7 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     review_text, bad_reason (NULL for a usable row).  A rating that is no number of
     0..5 and a page without its number make bad rows."""
     good = pages.filter(F.col("_corrupt").isNull() & F.col("data_id").isNotNull())
-    more = [c for c in ("_page_off",) if c in pages.columns]
+    more = [c for c in ("_page_off", "_landed_at", "_content") if c in pages.columns]
     rows = good.select("data_id", "page_no", *more, F.posexplode("reviews").alias("pos", "r"))
     ts = parse_iso(F.col("r.iso_date"))
     rating = F.col("r.rating").try_cast("double")

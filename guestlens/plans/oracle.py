@@ -825,3 +825,5 @@ ORACLE["phrase_feedback"] = _phrases()
 
 ORACLE["bucket_store_upsert"] = ORACLE["analysis_upsert"]
 ORACLE["bucket_store_lookup"] = ORACLE["analysis_lookup"]
+
+ORACLE["stream_pages_landed_twice"] = ORACLE["review_normalize"]

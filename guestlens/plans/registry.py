@@ -648,3 +648,20 @@ def bucket_store_upsert(spark, d):
 def bucket_store_lookup(spark, d):
     """S3 by key buckets: stored reports per request."""
     return _bucket_store(spark, d).lookup(_lookup_requests(spark, d)).withColumn("written_at", _ts_text("written_at"))
+
+
+@query("stream_pages_landed_twice")
+def stream_pages_landed_twice(spark, d):
+    """T1, pages fetched anew: all pages land in two folders, each streamed by a checkpoint of its own into
+    one sink, the first folder holding everything twice; equals batch P1."""
+    from guestlens.session import work_path
+    from guestlens.sources import pages as pg
+    from guestlens.streaming.ingest import read_ingested, start_page_ingest
+    base = work_path(spark, "stream-twice")
+    pages = pg.build_pages(st.reviews(spark, d), st.places(spark, d))
+    once = pg.land_pages(pages, f"{base}/landing-b")
+    again = pg.land_pages(pages.unionByName(pages), f"{base}/landing-a")
+    for name, landing in (("a", again), ("b", once)):
+        start_page_ingest(spark, landing, f"{base}/sink", f"{base}/checkpoint-{name}", max_files_per_trigger=4, once_within="7 days").awaitTermination()
+    return read_ingested(spark, f"{base}/sink").select(
+        "data_id", "fetch_pos", "page_no", "user", "rating", "date", "review_text", "iso_date")

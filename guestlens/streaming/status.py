@@ -2,10 +2,10 @@
 merged into the latest-status table (one row per token) and entries older
 than the TTL at the newest seen time are dropped.
 
-The table is kept in committed versions keyed by epoch (``VersionedTable``);
-an epoch that is already committed is skipped, so a replayed micro-batch
-changes nothing.  No state
-server or port is needed (``foreachBatch`` only).
+The table is kept in committed versions keyed by epoch (``VersionedTable``), whose manifest
+entry names the micro-batch (checkpoint and batch id): a replayed micro-batch changes nothing,
+and several sources may feed one table.  No state server or port is needed
+(``foreachBatch`` only).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from guestlens.operators.status import TTL_HOURS, latest_status
 from guestlens.sources.versioned import VersionedTable
+from guestlens.streaming.incremental import next_epoch
 
 STATUS_EVENT_SCHEMA = "token long, status string, created_at timestamp_ntz, seq long, error string"
 
@@ -29,10 +30,12 @@ class StatusTable:
     def latest(self) -> DataFrame | None:
         return self.table.latest()
 
-    def apply(self, events: DataFrame, epoch: int) -> bool:
-        if self.table.has(epoch):
+    def apply(self, events: DataFrame, epoch: int | None = None, tag: str | None = None) -> bool:
+        """Merge one epoch (default: the next one); False when it or the work that ``tag`` names is applied."""
+        epoch = next_epoch(self.table, epoch, tag)
+        if epoch is None:
             return False
-        cur = self.latest()
+        cur = self.table.latest(below=epoch)
         ev = events.select("token", "status", "created_at", "seq", "error")
         both = ev if cur is None else cur.select("token", "status", "created_at", "seq", "error").unionByName(ev)
         order = F.struct(F.col("created_at"), F.col("seq"))
@@ -42,13 +45,13 @@ class StatusTable:
         # TTL at the newest time seen so far: a window-free filter against one scalar.
         newest = self.as_of or merged.agg(F.max("created_at")).first()[0]
         kept = merged.filter(F.col("created_at") >= F.lit(newest) - F.expr(f"INTERVAL {self.ttl} HOURS"))
-        self.table.write(kept, epoch)
+        self.table.write(kept, epoch, tag=tag)
         return True
 
     def start(self, landing: str, checkpoint: str, max_files_per_trigger: int = 100) -> StreamingQuery:
         stream = (self.spark.readStream.schema(STATUS_EVENT_SCHEMA)
                   .option("maxFilesPerTrigger", max_files_per_trigger).json(landing))
-        return (stream.writeStream.foreachBatch(lambda df, eid: self.apply(df, eid))
+        return (stream.writeStream.foreachBatch(lambda df, batch_id: bool(self.apply(df, tag=f"{checkpoint}#{batch_id}")))
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -140,3 +140,47 @@ def test_sentiment_of_two_sources_and_bad_rows(spark):
     late = IncrementalSentiment(spark, work_path(spark, "test-gap"))        # an epoch builds on those below it
     assert late.apply(_reviews(spark, SECOND), epoch=5) and late.apply(_reviews(spark, FIRST), epoch=2)
     assert {r.data_id for r in late.table.read(2).collect()} == {1, 2}
+
+
+def _ingest(spark, land, base, name, **more):
+    start_page_ingest(spark, str(land), f"{base}/sink", f"{base}/ckpt-{name}", max_files_per_trigger=1, **more).awaitTermination()
+
+
+def _ingested(spark, base):
+    return sorted((r.data_id, r.page_no, r.fetch_pos, r.rating) for r in read_ingested(spark, f"{base}/sink").collect())
+
+
+def test_two_sources_feed_one_sink(spark, tmp_path):
+    base = work_path(spark, "test-two-sources")
+    for name, place in (("a", 1), ("b", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.json").write_text(page_line(place, 0, [5.0, 3.0], 3) + "\n")
+        _ingest(spark, tmp_path / name, base, name)
+    assert _ingested(spark, base) == [(1, 0, 1, 5.0), (1, 0, 2, 3.0), (2, 0, 1, 5.0), (2, 0, 2, 3.0)]
+
+
+@pytest.mark.parametrize("once_within", [None, "7 days"])
+def test_pages_landed_again(spark, tmp_path, once_within):
+    """Equal pages count once; of a page with another content the newest landing counts, late or not."""
+    import os
+    base = work_path(spark, "test-again")
+    land = tmp_path / "landing"
+    land.mkdir()
+    lines = [page_line(1, 0, [5.0, 3.0], 3), page_line(1, 1, [4.0], 4), page_line(1, 0, [5.0, 3.0], 3), page_line(1, 1, [1.0, 2.0], 5), page_line(1, 1, [4.0], 4)]
+    for i, line in enumerate(lines):
+        f = land / f"f{i}.json"
+        f.write_text(line + "\n" + (line + "\n" if i == 0 else ""))
+        os.utime(f, (1_700_000_000 + 100 * min(i, 3 if i < 4 else 0),) * 2)          # the last file is older than the third
+    _ingest(spark, land, base, "a", once_within=once_within)
+    assert _ingested(spark, base) == [(1, 0, 1, 5.0), (1, 0, 2, 3.0), (1, 1, 3, 1.0), (1, 1, 4, 2.0)]
+
+
+def test_status_of_two_sources(spark, tmp_path):
+    from guestlens.streaming.status import StatusTable
+    table = StatusTable(spark, work_path(spark, "test-status-two"))
+    for name, token in (("a", 1), ("b", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "e.json").write_text(json.dumps({"token": token, "status": "completed", "created_at": "2024-01-01T00:00:00", "seq": token}) + "\n")
+        for _ in range(2):                                                           # the second run finds nothing new
+            table.start(str(tmp_path / name), f"{tmp_path}/ckpt-{name}").awaitTermination()
+    assert sorted(r.token for r in table.latest().collect()) == [1, 2]
