@@ -827,3 +827,22 @@ ORACLE["bucket_store_upsert"] = ORACLE["analysis_upsert"]
 ORACLE["bucket_store_lookup"] = ORACLE["analysis_lookup"]
 
 ORACLE["stream_pages_landed_twice"] = ORACLE["review_normalize"]
+
+PAGE_LINKS = PAGES + """,
+links AS (SELECT data_id, CASE WHEN page_no = 0 THEN '' ELSE concat(data_id, '-', page_no) END AS token,
+    CASE WHEN has_next THEN concat(data_id, '-', page_no + 1) WHEN data_id % 11 = 3 THEN concat(data_id, '-2') END AS next_token
+  FROM pgx WHERE (data_id * 7 + page_no) % 29 <> 4),
+size AS (SELECT data_id, count(*) AS n FROM links GROUP BY data_id),
+walk AS (SELECT data_id, token, CAST(0 AS BIGINT) AS page_no FROM links WHERE token = ''
+  UNION ALL SELECT w.data_id, t.token, w.page_no + 1 FROM walk w JOIN links l ON l.data_id = w.data_id AND l.token = w.token
+  JOIN links t ON t.data_id = l.data_id AND t.token = l.next_token JOIN size s ON s.data_id = w.data_id WHERE w.page_no < s.n),
+numbered AS (SELECT l.*, w.page_no FROM links l LEFT JOIN (SELECT data_id, token, min(page_no) AS page_no FROM walk GROUP BY ALL) w USING (data_id, token)),
+ordered AS (SELECT a.data_id, a.token, a.next_token, a.page_no,
+    CASE WHEN a.page_no IS NULL THEN 'unreached' WHEN a.next_token IS NULL THEN 'last' WHEN b.token IS NULL THEN 'next missing'
+         WHEN b.page_no <= a.page_no THEN 'cycle' ELSE 'ok' END AS state
+  FROM numbered a LEFT JOIN numbered b ON b.data_id = a.data_id AND b.token = a.next_token)"""
+
+ORACLE["page_order"] = with_(REVIEWS, PAGE_LINKS, body="SELECT * FROM ordered").replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["page_chains"] = with_(REVIEWS, PAGE_LINKS, body="""
+SELECT data_id, count(page_no) AS n_pages, count(*) FILTER (WHERE state = 'unreached') AS n_unreached,
+  coalesce(arg_max(state, page_no), 'no first page') AS ends FROM ordered GROUP BY data_id""").replace("WITH ", "WITH RECURSIVE ", 1)

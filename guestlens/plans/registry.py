@@ -665,3 +665,20 @@ def stream_pages_landed_twice(spark, d):
         start_page_ingest(spark, landing, f"{base}/sink", f"{base}/checkpoint-{name}", max_files_per_trigger=4, once_within="7 days").awaitTermination()
     return read_ingested(spark, f"{base}/sink").select(
         "data_id", "fetch_pos", "page_no", "user", "rating", "date", "review_text", "iso_date")
+
+
+@query("page_order")
+def page_order(spark, d):
+    """Page numbers from the landed pages' next tokens, with planted lost pages and cycles."""
+    from guestlens.operators.page_order import page_links, page_order as po
+    from guestlens.session import work_path
+    from guestlens.sources import pages as pg
+    path = pg.land_pages(st.tokened_pages(pg.build_pages(st.reviews(spark, d), st.places(spark, d))), work_path(spark, "tokened-pages"))
+    return po(page_links(pg.scan_pages(spark, path, "page_token string")))
+
+
+@query("page_chains")
+def page_chains(spark, d):
+    """Per place the pages in order, the unreached ones and how its chain ends."""
+    from guestlens.operators.page_order import chain_report
+    return chain_report(QUERIES["page_order"](spark, d))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from guestlens.functions.dates import to_iso
 from guestlens.schemas import PAGE_WITH_CORRUPT
@@ -67,9 +68,10 @@ def land_pages(pages: DataFrame, path: str, broken: Column | None = None) -> str
     return path
 
 
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Read landed pages with the fixed schema; bad lines land in ``_corrupt``."""
-    return (spark.read.schema(PAGE_WITH_CORRUPT)
+def scan_pages(spark: SparkSession, path: str, more: str | None = None) -> DataFrame:
+    """Read landed pages with the fixed schema (and ``more`` fields, as DDL); bad lines land in ``_corrupt``."""
+    schema = StructType([*PAGE_WITH_CORRUPT.fields, *(StructType.fromDDL(more).fields if more else [])])
+    return (spark.read.schema(schema)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt")
             .json(path))

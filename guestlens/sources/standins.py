@@ -86,6 +86,17 @@ def with_defects(r: DataFrame) -> DataFrame:
             .withColumn("ts", F.when(e % 97 != 5, F.col("ts"))))
 
 
+def tokened_pages(pages: DataFrame) -> DataFrame:
+    """Built pages with the token they were fetched with instead of their number; some pages are lost, and the last
+    pages of some places lead back to their third page."""
+    token = lambda no: F.concat_ws("-", F.col("data_id").cast("string"), no.cast("string"))
+    link = F.struct(F.lit("again").alias("next"), token(F.lit(2)).alias("next_page_token"))
+    back = F.col("serpapi_pagination").isNull() & (F.col("data_id") % 11 == 3)
+    return (pages.withColumn("serpapi_pagination", F.when(back, link).otherwise(F.col("serpapi_pagination")))
+            .withColumn("page_token", F.when(F.col("page_no") > 0, token(F.col("page_no"))))
+            .where((F.col("data_id") * 7 + F.col("page_no")) % 29 != 4).drop("page_no"))
+
+
 def broken_page() -> F.Column:
     return (F.col("data_id") + F.col("page_no")) % 41 == 3
 
