@@ -32,11 +32,12 @@ def full_selection(reviews: DataFrame, max_reviews: int = sel.DEFAULT_MAX_REVIEW
 
 def full_analysis(reviews: DataFrame, header: DataFrame, lexicon: Sequence[tuple], polarity: Sequence[tuple],
                   max_reviews: int = sel.DEFAULT_MAX_REVIEWS, batch_size: int = sel.DEFAULT_BATCH_SIZE,
-                  k: int | None = None, reuse=identity) -> tuple[DataFrame, DataFrame]:
-    """Returns (results, tree): one nested result per place whose overall_sentiment and
+                  k: int | None = None, reuse=identity, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``pages`` (``select.landed_page_counts``) brings the landed pages' own ``next`` links and empty pages; without
+    it every page but a place's last one has a next.  Returns (results, tree): one nested result per place whose overall_sentiment and
     priorities weigh recent periods more and whose summary tells the latest trend and how
     many themes persist, and every combine node with its merged themes."""
-    chosen = reuse(full_selection(reviews, max_reviews, reuse=reuse), "full-selection")
+    chosen = reuse(full_selection(reviews, max_reviews, pages, reuse), "full-selection")
     batched = reuse(sel.chronological_batches(chosen, batch_size), "full-batches")
     state = reuse(sen.batch_state(batched), "full-state")
     # One extraction: phrase counts per batch, merged for the lists, weighted by recency for

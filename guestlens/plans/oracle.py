@@ -846,3 +846,18 @@ ORACLE["page_order"] = with_(REVIEWS, PAGE_LINKS, body="SELECT * FROM ordered").
 ORACLE["page_chains"] = with_(REVIEWS, PAGE_LINKS, body="""
 SELECT data_id, count(page_no) AS n_pages, count(*) FILTER (WHERE state = 'unreached') AS n_unreached,
   coalesce(arg_max(state, page_no), 'no first page') AS ends FROM ordered GROUP BY data_id""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+CUT_PAGES = PAGES + """,
+kept AS (SELECT data_id, page_no FROM (
+    SELECT *, coalesce(sum(n_reviews) OVER (PARTITION BY data_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      coalesce(bool_or(NOT has_next OR (data_id + page_no) % 7 = 2) OVER (PARTITION BY data_id ORDER BY page_no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM pgx) t WHERE before < 60 AND NOT stopped),
+chosen AS (SELECT n.* FROM nreviews n JOIN kept USING (data_id, page_no))"""
+
+ORACLE["full_selection_landed"] = with_(REVIEWS, NREVIEWS, CUT_PAGES, body='SELECT data_id, page_no, fetch_pos, "user", rating FROM chosen')
+ORACLE["full_analysis_landed"] = with_(REVIEWS, NREVIEWS, CUT_PAGES, BATCHED.replace("FROM nreviews", "FROM chosen").format(bs=15), BATCH_STATE, body=f"""
+SELECT data_id, n_all AS n_reviews, n_batches, {_scores()}
+FROM (SELECT data_id, CAST(sum(n_reviews) AS BIGINT) AS n_all, CAST(count(*) AS BIGINT) AS n_batches,
+        CAST(sum(n_rated * (batch_id + 1)) AS BIGINT) AS n_rated, CAST(sum(sum_rating * (batch_id + 1)) AS DOUBLE) AS sum_rating,
+        CAST(sum(n_positive * (batch_id + 1)) AS BIGINT) AS n_positive, CAST(sum(n_neutral * (batch_id + 1)) AS BIGINT) AS n_neutral,
+        CAST(sum(n_negative * (batch_id + 1)) AS BIGINT) AS n_negative FROM batch_state GROUP BY data_id) w""")

@@ -682,3 +682,34 @@ def page_chains(spark, d):
     """Per place the pages in order, the unreached ones and how its chain ends."""
     from guestlens.operators.page_order import chain_report
     return chain_report(QUERIES["page_order"](spark, d))
+
+
+def _cut_pages(spark, d):
+    from guestlens.session import work_path
+    from guestlens.sources import pages as pg
+    from guestlens.sources.scratch import materialize
+    pages = st.cut_links(pg.build_pages(st.reviews(spark, d), st.places(spark, d)))
+    return materialize(pg.scan_pages(spark, pg.land_pages(pages, work_path(spark, "cut-pages"))), "pages")
+
+
+@query("full_selection_landed")
+def full_selection_landed(spark, d):
+    """W2 on landed pages: the reviews that a full analysis (cap 60) takes where some pages in the
+    middle have no next."""
+    from guestlens.operators.ingest import normalize_reviews
+    from guestlens.plans.full import full_selection
+    pages = _cut_pages(spark, d)
+    return full_selection(normalize_reviews(pages), 60, sel.landed_page_counts(pages)).select("data_id", "page_no", "fetch_pos", "user", "rating")
+
+
+@query("full_analysis_landed")
+def full_analysis_landed(spark, d):
+    """Reference flow (b) on landed pages with their own next links (cap 60): reviews, batches and scores per place."""
+    from guestlens.operators.ingest import normalize_reviews
+    from guestlens.plans.full import full_analysis as fa
+    from guestlens.sources.scratch import materialize
+    pages = _cut_pages(spark, d)
+    h = _header(spark, d).select("data_id", "type", "title", "rating", "address", F.lit("Success").alias("status"), "total_reviews", F.lit("").alias("created_at"))
+    res, _ = fa(normalize_reviews(pages), h, st.TEST_LEXICON, st.TEST_POLARITY, max_reviews=60, reuse=materialize, pages=sel.landed_page_counts(pages))
+    return res.select("data_id", F.size("reviews").cast("long").alias("n_reviews"), "n_batches",
+                      *[F.col("hotel_analysis.overall_sentiment")[c].alias(c) for c in sen.SCORE_COLUMNS])

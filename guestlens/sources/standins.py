@@ -86,6 +86,11 @@ def with_defects(r: DataFrame) -> DataFrame:
             .withColumn("ts", F.when(e % 97 != 5, F.col("ts"))))
 
 
+def cut_links(pages: DataFrame) -> DataFrame:
+    """Built pages of which some in the middle have no ``next``."""
+    return pages.withColumn("serpapi_pagination", F.when((F.col("data_id") + F.col("page_no")) % 7 != 2, F.col("serpapi_pagination")))
+
+
 def tokened_pages(pages: DataFrame) -> DataFrame:
     """Built pages with the token they were fetched with instead of their number; some pages are lost, and the last
     pages of some places lead back to their third page."""
