@@ -113,18 +113,21 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
     said = F.split(F.lower(F.coalesce(F.col("review_text"), F.lit(""))), CLAUSE_SPLIT)
     s = reviews.select(*keep, F.filter(F.transform(said, words), lambda w: F.arrays_overlap(w, lex_terms)).alias("_clauses"))
     s = s.filter(F.size("_clauses") > 0).select(*keep, F.transform("_clauses", clause).alias("_clauses"))
-    s = s.select(*keep, F.flatten(F.transform("_clauses", lambda c: F.transform(c["terms"], lambda t: F.struct(
-        F.try_element_at(lex, t).alias("aspect"), t.alias("term"), c["pol"].alias("pol"),
-        F.trim(F.concat_ws(" ", c["mods"], t)).alias("phrase"))))).alias("_all"))
-    s = s.select(*keep, "_all", F.array_distinct("_all").alias("_one"))
-
-    def flagged(e, i):
-        before = F.slice("_one", 1, i)
-        return F.struct(e.alias("m"), F.size(F.filter("_all", lambda x: x == e)).cast("long").alias("n"),
-                        (~F.exists(before, lambda x: (x["aspect"] == e["aspect"]) & (x["pol"] == e["pol"]))).cast("long").alias("first_aspect"),
-                        (~F.exists(before, lambda x: (x["term"] == e["term"]) & (x["pol"] == e["pol"]))).cast("long").alias("first_term"))
-
-    m = s.select(*keep, F.explode(F.transform("_one", flagged)).alias("_m"))
+    s = s.select(*keep, F.array_sort(F.flatten(F.transform("_clauses", lambda c: F.transform(c["terms"], lambda t: F.struct(
+        F.try_element_at(lex, t).alias("aspect"), c["pol"].alias("pol"), t.alias("term"),
+        F.trim(F.concat_ws(" ", c["mods"], t)).alias("phrase")))))).alias("_all"))
+    # Sorted, equal mentions and those of one aspect or term stand together: each step looks one back.
+    one_back = lambda i: F.get("_all", i - 1)
+    s = s.where(F.size("_all") > 0).select(*keep, "_all", F.filter(
+        F.sequence(F.lit(0), F.size("_all") - 1), lambda i: ~F.get("_all", i).eqNullSafe(one_back(i))).alias("_at"))
+
+    def merged(i, j):
+        m = F.get("_all", i)
+        new = lambda *names: F.coalesce(~F.struct(*[m[n] for n in names]).eqNullSafe(F.struct(*[one_back(i)[n] for n in names])), F.lit(True)).cast("long")
+        return F.struct(m.alias("m"), (F.coalesce(F.get("_at", j + 1), F.size("_all")) - i).cast("long").alias("n"),
+                        new("aspect", "pol").alias("first_aspect"), new("aspect", "pol", "term").alias("first_term"))
+
+    m = s.select(*keep, F.explode(F.transform("_at", merged)).alias("_m"))
     return m.select(*keep, "_m.m.term", "_m.m.aspect", "_m.m.pol", "_m.n", "_m.first_aspect", "_m.first_term", F.col("_m.m.phrase").alias("phrase")).select(
         *keep, "term", "aspect", "pol", _polarity_label().alias("polarity"), "phrase", "n", "first_aspect", "first_term")
 

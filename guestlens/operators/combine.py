@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from guestlens.functions.dates import display_date
 from guestlens.operators import aspects as asp
 from guestlens.operators import sentiment as sen
+from guestlens.sources.scratch import identity
 
 LATER_FAN_IN = 10
 
@@ -58,13 +59,14 @@ def tree_nodes(batch_state: DataFrame, fan_in_first: int) -> DataFrame:
                     F.floor(F.col("batch_id") / child_span).cast("long").alias("_child"), "_levels")
 
 
-def tree_combine(batch_state: DataFrame, fan_in_first: int, counts: DataFrame | None = None) -> DataFrame:
+def tree_combine(batch_state: DataFrame, fan_in_first: int, counts: DataFrame | None = None, reuse=identity) -> DataFrame:
     """A3: every combine node of every level with its merged state.
 
     Output: data_id, level, node, n_children, n_batches, n_reviews, scores,
     first_date, last_date, is_root, combined (False for a pass-through).  ``counts``
     (phrase counts per batch) adds the node's merged themes: n_themes, n_mentions and
-    top_issue, the issue of its first improvement priority (NULL without criticism)."""
+    top_issue, the issue of its first improvement priority (NULL without criticism).  The merged
+    counts are read by two branches: ``reuse`` writes them once."""
     nodes = tree_nodes(batch_state, fan_in_first)
     g = nodes.join(batch_state, ["data_id", "batch_id"]).groupBy("data_id", "level", "node").agg(
         (F.max("_child") - F.min("_child") + 1).alias("n_children"),       # children are consecutive
@@ -79,7 +81,7 @@ def tree_combine(batch_state: DataFrame, fan_in_first: int, counts: DataFrame |
         (F.col("n_children") > 1).alias("combined"))
     if counts is None:
         return out
-    merged = tree_counts(nodes, counts)
+    merged = reuse(tree_counts(nodes, counts), "node-counts")
     themes = (merged.groupBy("data_id").agg(F.count_distinct("term", "pol").cast("long").alias("n_themes"), F.sum("n_mentions").alias("n_mentions"))
               .join(asp.improvement_priorities(merged, 1).select("data_id", F.col("issue").alias("top_issue")), "data_id", "left")
               .select("data_id.*", "n_themes", "n_mentions", "top_issue"))
@@ -103,18 +105,19 @@ def merged_counts(counts: DataFrame, recent: bool = False) -> DataFrame:
     return counts.groupBy("data_id", *asp.PHRASE).agg(*[F.sum(F.col(c) * w).alias(c) for c in asp.COUNTS])
 
 
-def node_reports(batch_state: DataFrame, counts: DataFrame, breakfast: DataFrame, header: DataFrame, fan_in_first: int) -> DataFrame:
+def node_reports(batch_state: DataFrame, counts: DataFrame, breakfast: DataFrame, header: DataFrame, fan_in_first: int, reuse=identity) -> DataFrame:
     """(data_id, level, node, report): the whole report of every batch (level 0) and combine
-    node, from merged sums only."""
+    node, from merged sums only.  Nodes and merged counts are read by several branches: ``reuse`` writes
+    each once."""
     from guestlens.operators.report import assemble_counts
     leaves = batch_state.select("data_id", "batch_id", F.lit(0).cast("long").alias("level"), F.col("batch_id").alias("node"))
-    nodes = leaves.unionByName(tree_nodes(batch_state, fan_in_first).select(*leaves.columns))
+    nodes = reuse(leaves.unionByName(tree_nodes(batch_state, fan_in_first).select(*leaves.columns)), "nodes")
     key = F.struct("data_id", "level", "node")
     state = sen.scores(nodes.join(batch_state, ["data_id", "batch_id"]).groupBy(key.alias("data_id")).agg(*sen.merge_aggs()))
     bf = (nodes.join(breakfast, ["data_id", "batch_id"]).groupBy(key.alias("data_id")).agg(F.sum("_breakfast").alias("_breakfast")))
     titles = (nodes.select("data_id", "level", "node").distinct().join(header.select("data_id", "title"), "data_id")
               .select(key.alias("data_id"), "title"))
-    out = assemble_counts(tree_counts(nodes, counts), state, titles, bf)
+    out = assemble_counts(reuse(tree_counts(nodes, counts), "node-counts"), state, titles, bf)
     return out.select("data_id.*", F.col("hotel_analysis").alias("report"))
 
 

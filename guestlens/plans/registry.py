@@ -32,8 +32,10 @@ def query(name: str):
     return deco
 
 
-def _reviews(spark, d, ordered=True):
-    return st.normalized_reviews(spark, d, ordered)
+def _reviews(spark, d):
+    """The review view, written once: every numbering reads its input twice (ranges and rows)."""
+    from guestlens.sources.scratch import materialize
+    return materialize(st.normalized_reviews(spark, d, reuse=materialize), "reviews")
 
 
 def _unordered(spark, d):
@@ -152,9 +154,8 @@ def reviews_by_date(spark, d):
 @query("review_display_split")
 def review_display_split(spark, d):
     """First 10 by date descending are shown (the review table is read by
-    the top-k branch and the flag join, so it is written once)."""
-    from guestlens.sources.scratch import materialize
-    return sel.review_display_split(materialize(_reviews(spark, d), "reviews")).select(
+    the top-k branch and the flag join)."""
+    return sel.review_display_split(_reviews(spark, d)).select(
         "data_id", "fetch_pos", "display_rank", "shown")
 
 
@@ -270,8 +271,9 @@ def _batch_reports(spark, d, batch_size):
 def tree_combine(spark, d):
     """A3: batches of 5, fan-in 2 then 10: every combine node with its merged themes."""
     from guestlens.operators.combine import fan_in_for, tree_combine as tc
+    from guestlens.sources.scratch import materialize
     state, counts, _ = _batch_reports(spark, d, 5)
-    return tc(state, fan_in_for(5), counts)
+    return tc(state, fan_in_for(5), counts, reuse=materialize)
 
 
 @query("period_trend")
@@ -391,13 +393,14 @@ def _nodes(spark, d, batch_size, header):
     """Every batch and combine node with its dates and whole report."""
     from guestlens.functions.dates import display_date
     from guestlens.operators.combine import fan_in_for, node_reports, tree_combine
+    from guestlens.sources.scratch import materialize
     state, counts, breakfast = _batch_reports(spark, d, batch_size)
     fan_in = fan_in_for(batch_size)
     leaves = state.select(
         "data_id", F.lit(0).cast("long").alias("level"), F.col("batch_id").alias("node"),
         F.lit(1).cast("long").alias("n_children"), display_date("first_ts").alias("first_date"), display_date("last_ts").alias("last_date"))
     nodes = leaves.unionByName(tree_combine(state, fan_in).select(*leaves.columns))
-    return nodes.join(node_reports(state, counts, breakfast, header, fan_in), ["data_id", "level", "node"], "left")
+    return nodes.join(node_reports(state, counts, breakfast, header, fan_in, reuse=materialize), ["data_id", "level", "node"], "left")
 
 
 @query("combine_requests")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from guestlens.functions.dates import display_date
 from guestlens.operators.ordering import position
+from guestlens.sources.scratch import identity
 from guestlens.sources.tables import table
 
 PAGE_SIZE = 10
@@ -44,11 +45,12 @@ def _rating_of(event_type):
             .otherwise(5).cast("long"))
 
 
-def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True, reuse=identity) -> DataFrame:
     """data_id, event_id, ts, reviewer, rating, review_text, fetch_pos, page_no.
 
     ``ordered=False`` leaves out the fetch order (fetch_pos, page_no NULL) for
-    jobs that only aggregate, so no numbering is planned at all."""
+    jobs that only aggregate, so no numbering is planned at all.  ``reuse`` writes the rows that
+    the numbering reads twice."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -72,7 +74,7 @@ def reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame
     if not ordered:
         return (r.drop("value").withColumn("fetch_pos", F.lit(None).cast("long"))
                 .withColumn("page_no", F.lit(None).cast("long")))
-    r = position(r, ["data_id"], [F.col("value").desc(), F.col("event_id").asc()], "fetch_pos",
+    r = position(reuse(r, "unnumbered"), ["data_id"], [F.col("value").desc(), F.col("event_id").asc()], "fetch_pos",
                  -F.floor(F.col("value")).cast("long"))
     return (r.drop("value")
              .withColumn("page_no", F.floor((F.col("fetch_pos") - 1) / PAGE_SIZE).cast("long")))
@@ -106,11 +108,11 @@ def broken_page() -> F.Column:
     return (F.col("data_id") + F.col("page_no")) % 41 == 3
 
 
-def normalized_reviews(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+def normalized_reviews(spark: SparkSession, sf_dir: str, ordered: bool = True, reuse=identity) -> DataFrame:
     """The stand-in reviews in the normalised review shape (what P1 yields
     from landed pages): data_id, fetch_pos, page_no, user, rating, ts, date,
     review_text, review_id (the event id: unique per review)."""
-    r = reviews(spark, sf_dir, ordered)
+    r = reviews(spark, sf_dir, ordered, reuse)
     return r.select("data_id", "fetch_pos", "page_no", F.col("reviewer").alias("user"),
                     F.col("rating").cast("double").alias("rating"), "ts",
                     display_date("ts").alias("date"), "review_text",

@@ -143,3 +143,19 @@ def test_negation(spark):
                  for r in asp.mentions(df, HOTEL_LEXICON, HOTEL_POLARITY).collect())
     assert got == [(1, "room", "criticism", "not clean room"), (2, "service", "praise", "not slow service"),
                    (2, "staff", "praise", "not rude staff"), (3, "food", "neutral", "not bad not good food")]
+
+
+def test_mentions_of_a_very_long_review(spark):
+    """Merging is by sorting: 200,000 words are as exact as 2,000."""
+    from guestlens.operators.aspects import mention_counts, mentions
+    from guestlens.sources import standins as st
+    words = [f"{('new', 'old', 'hot', 'cold')[i % 4]} {('anvil', 'bolt', 'rod')[i % 3]}" for i in range(12)]
+
+    def counts(times):
+        df = spark.createDataFrame([(1, 1, 3.0, ", ".join(words * times))], "data_id long, review_id long, rating double, review_text string")
+        m = mention_counts(mentions(df.withColumn("ts", F.lit(None).cast("timestamp_ntz")), st.TEST_LEXICON, st.TEST_POLARITY))
+        return {(r.aspect, r.pol, r.phrase): (r.n_mentions, r.support) for r in m.collect()}, m.groupBy("aspect", "pol").agg(F.sum("by_aspect"), F.sum("by_term")).collect()
+    few, _ = counts(1)
+    many, flags = counts(8000)
+    assert many == {k: (8000 * n, s) for k, (n, s) in few.items()} and len(many) == 12
+    assert all(r[2] == r[3] == 1 for r in flags) and len(flags) == 6
