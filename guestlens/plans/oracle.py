@@ -861,3 +861,42 @@ FROM (SELECT data_id, CAST(sum(n_reviews) AS BIGINT) AS n_all, CAST(count(*) AS
         CAST(sum(n_rated * (batch_id + 1)) AS BIGINT) AS n_rated, CAST(sum(sum_rating * (batch_id + 1)) AS DOUBLE) AS sum_rating,
         CAST(sum(n_positive * (batch_id + 1)) AS BIGINT) AS n_positive, CAST(sum(n_neutral * (batch_id + 1)) AS BIGINT) AS n_neutral,
         CAST(sum(n_negative * (batch_id + 1)) AS BIGINT) AS n_negative FROM batch_state GROUP BY data_id) w""")
+
+
+def _representative() -> str:
+    g = "data_id, aspect, polarity"
+    steps = ["t1 AS (SELECT data_id, aspect, polarity, 1 AS pick, 1 AS rank FROM cand WHERE rank = 1)"]
+    for pick in (2, 3):
+        steps.append(f"""t{pick} AS (SELECT * FROM t{pick - 1} UNION ALL SELECT {g}, {pick} AS pick, rank FROM (
+  SELECT c.data_id, c.aspect, c.polarity, c.rank, round(0.7::DOUBLE * c.relevance - (1 - 0.7::DOUBLE) * max(alike), 6) AS score
+  FROM cand c JOIN likeness k ON k.data_id = c.data_id AND k.aspect = c.aspect AND k.polarity = c.polarity AND k.a = c.rank
+  JOIN t{pick - 1} t ON t.data_id = c.data_id AND t.aspect = c.aspect AND t.polarity = c.polarity AND t.rank = k.b
+  WHERE NOT EXISTS (SELECT 1 FROM t{pick - 1} o WHERE o.data_id = c.data_id AND o.aspect = c.aspect AND o.polarity = c.polarity AND o.rank = c.rank)
+  GROUP BY c.data_id, c.aspect, c.polarity, c.rank, c.relevance) s QUALIFY row_number() OVER (PARTITION BY {g} ORDER BY score DESC, rank) = 1)""")
+    return with_(REVIEWS, """srows AS (SELECT data_id, event_id * 1000 + sno AS fetch_pos, event_id, CAST(rating AS DOUBLE) AS rating, ts, trim(s) AS review_text
+  FROM (SELECT *, unnest(ss) AS s, unnest(range(len(ss))) AS sno FROM (SELECT *, string_split_regex(coalesce(review_text, ''), '[.!?\\n]+') AS ss FROM reviews) q0) q1
+  WHERE trim(s) <> '')""", LEXICON, POLARITY, mentions_cte("srows"), rf"""grouped AS (
+  SELECT {g}, key, min(sentence) AS sentence, count(DISTINCT event_id)::BIGINT AS support
+  FROM (SELECT m.data_id, m.aspect, m.polarity, s.event_id, s.review_text AS sentence,
+          array_to_string(list_filter(regexp_split_to_array(lower(s.review_text), '[^\p{{L}}\p{{N}}'']+'), lambda x: x <> ''), ' ') AS key
+        FROM mentions m JOIN srows s ON s.fetch_pos = m.fetch_pos) x GROUP BY ALL),
+tf AS (SELECT {g}, key, sentence, support, word, count(*) AS tf FROM (SELECT *, unnest(string_split(key, ' ')) AS word FROM grouped) u GROUP BY ALL),
+num AS (SELECT {g}, count(*) AS n FROM grouped GROUP BY ALL),
+wrd AS (SELECT {g}, word, ln(1 + n::DOUBLE / df) AS idf, mass * ln(1 + n::DOUBLE / df) AS centre
+  FROM (SELECT {g}, word, count(*) AS df, sum(support * tf)::DOUBLE AS mass FROM tf GROUP BY ALL) q JOIN num USING ({g})),
+vec AS (SELECT t.*, t.tf * w.idf AS weight, w.centre FROM tf t JOIN wrd w USING ({g}, word)),
+len AS (SELECT {g}, sqrt(sum(centre * centre)) AS length FROM wrd GROUP BY ALL),
+rel AS (SELECT {g}, key, sentence, support, norm, round(dot / (norm * length), 6) AS relevance
+  FROM (SELECT {g}, key, sentence, support, sqrt(sum(weight * weight)) AS norm, sum(weight * centre) AS dot FROM vec GROUP BY ALL) q JOIN len USING ({g})),
+cand AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY relevance DESC, support DESC, key) AS rank FROM rel
+  QUALIFY row_number() OVER (PARTITION BY {g} ORDER BY relevance DESC, support DESC, key) <= 10),
+cv AS (SELECT c.data_id, c.aspect, c.polarity, c.rank, c.norm, v.word, v.weight FROM cand c JOIN vec v USING ({g}, key)),
+dots AS (SELECT a.data_id, a.aspect, a.polarity, a.rank AS a, b.rank AS b, sum(a.weight * b.weight) AS dot
+  FROM cv a JOIN cv b ON a.data_id = b.data_id AND a.aspect = b.aspect AND a.polarity = b.polarity AND a.word = b.word GROUP BY ALL),
+likeness AS (SELECT x.data_id, x.aspect, x.polarity, x.rank AS a, y.rank AS b, round(coalesce(dot, 0.0::DOUBLE) / (x.norm * y.norm), 6) AS alike
+  FROM cand x JOIN cand y USING ({g}) LEFT JOIN dots d ON d.data_id = x.data_id AND d.aspect = x.aspect AND d.polarity = x.polarity AND d.a = x.rank AND d.b = y.rank)""",
+                 *steps, body=f"""
+SELECT data_id, aspect, polarity, CAST(pick AS BIGINT) AS pick, sentence, support, relevance FROM t3 JOIN cand USING ({g}, rank)""")
+
+
+ORACLE["representative_sentences"] = _representative()

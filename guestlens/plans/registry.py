@@ -716,3 +716,10 @@ def full_analysis_landed(spark, d):
     res, _ = fa(normalize_reviews(pages), h, st.TEST_LEXICON, st.TEST_POLARITY, max_reviews=60, reuse=materialize, pages=sel.landed_page_counts(pages))
     return res.select("data_id", F.size("reviews").cast("long").alias("n_reviews"), "n_batches",
                       *[F.col("hotel_analysis.overall_sentiment")[c].alias(c) for c in sen.SCORE_COLUMNS])
+
+
+@query("representative_sentences")
+def representative_sentences(spark, d):
+    """A5 / A10: three sentences per place, aspect and polarity that stand for the others."""
+    from guestlens.operators.sentences import representative_sentences as rs
+    return rs(_unordered(spark, d), st.TEST_LEXICON, st.TEST_POLARITY)
