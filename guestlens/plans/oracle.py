@@ -900,3 +900,12 @@ SELECT data_id, aspect, polarity, CAST(pick AS BIGINT) AS pick, sentence, suppor
 
 
 ORACLE["representative_sentences"] = _representative()
+
+ORACLE["status_expire_stream"] = ORACLE["status_ttl_expire"]
+ORACLE["status_sessions_expired"] = with_(STATUS_EVENTS, """flagged AS (
+  SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY token ORDER BY created_at, seq) <= INTERVAL 24 HOURS THEN 0 ELSE 1 END AS start FROM status_events),
+numbered AS (SELECT *, sum(start) OVER (PARTITION BY token ORDER BY created_at, seq) AS session FROM flagged)""", body=f"""
+SELECT token, {TS_TEXT.format('started_at')} AS started_at, {TS_TEXT.format('last_at')} AS last_at, n_events, status, error
+FROM (SELECT token, session, min(created_at) AS started_at, max(created_at) AS last_at, CAST(count(*) AS BIGINT) AS n_events,
+        last(status ORDER BY created_at, seq) AS status, last(error ORDER BY created_at, seq) AS error FROM numbered GROUP BY ALL) s
+WHERE last_at < (SELECT max(created_at) FROM status_events) - INTERVAL 24 HOURS""")

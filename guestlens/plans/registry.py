@@ -723,3 +723,28 @@ def representative_sentences(spark, d):
     """A5 / A10: three sentences per place, aspect and polarity that stand for the others."""
     from guestlens.operators.sentences import representative_sentences as rs
     return rs(_unordered(spark, d), st.TEST_LEXICON, st.TEST_POLARITY)
+
+
+def _status_sessions(spark, d):
+    """The status events landed as files and streamed through self-closing sessions."""
+    from guestlens.session import work_path
+    from guestlens.streaming.expiry import StatusSessions
+    base = work_path(spark, "status-sessions")
+    st.status_events(spark, d).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{base}/landing")
+    sessions = StatusSessions(spark, f"{base}/closed")
+    sessions.start(f"{base}/landing", f"{base}/checkpoint").awaitTermination()
+    return sessions
+
+
+@query("status_sessions_expired")
+def status_sessions_expired(spark, d):
+    """T4 by state: sessions of status events (gaps of 24 h) that the newest event time has closed."""
+    return _status_sessions(spark, d).expired().select(
+        "token", _ts_text("started_at").alias("started_at"), _ts_text("last_at").alias("last_at"), "n_events", "status", "error")
+
+
+@query("status_expire_stream")
+def status_expire_stream(spark, d):
+    """T4 by state: the tokens that no closed session has dropped; equals T4 in batch."""
+    out = _status_sessions(spark, d).live(st.status_events(spark, d))
+    return out.select("token", "status", _ts_text("created_at").alias("created_at"))
