@@ -173,29 +173,49 @@ def _best(ids, score, k):
     return order[np.sort(first)[:k]]
 
 
+def _products(row: dict, size: int) -> tuple:
+    """ids, vectors (by bucket), query ids, queries, and their inner products where a query visits the
+    row's bucket (else -inf): only a bucket's visitors meet its rows."""
+    ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["codes"], np.int64)
+    order = np.argsort(own, kind="stable")
+    ids, x = ids[order], np.frombuffer(row["x"], np.float64).reshape(-1, size)[order]
+    q_ids = np.frombuffer(row["q_ids"], np.int64)
+    q = np.frombuffer(row["q_x"], np.float64).reshape(-1, size)
+    visits = np.frombuffer(row["q_codes"], np.int64).reshape(len(q_ids), -1)
+    buckets, start = np.unique(own[order], return_index=True)
+    at = np.minimum(np.searchsorted(buckets, visits), len(buckets) - 1)
+    meets = np.zeros((len(buckets), len(q_ids)), bool)
+    i, j = np.nonzero(buckets[at] == visits)
+    meets[at[i, j], i] = True
+    near = np.full((len(q_ids), len(ids)), -np.inf)
+    for bucket, (a, b) in enumerate(zip(start, np.r_[start[1:], len(ids)])):
+        who = np.flatnonzero(meets[bucket])
+        if len(who):
+            near[who, a:b] = q[who] @ x[a:b].T
+    for column in np.flatnonzero(np.isin(ids, q_ids)):
+        near[q_ids == ids[column], column] = -np.inf
+    return ids, x, q_ids, q, near
+
+
 def _search(batches, size: int, k: int):
-    """The best candidates of a task for each query; several thousand queries at a time."""
+    """The best candidates of a task for each query; several thousand queries at a time.  A query's k-th score
+    so far goes on from block to block, so that later blocks hand over little."""
     best: dict[int, tuple] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["codes"], np.int64)
-            x = np.frombuffer(row["x"], np.float64).reshape(-1, size)
-            q_ids = np.frombuffer(row["q_ids"], np.int64)
-            q = np.frombuffer(row["q_x"], np.float64).reshape(-1, size)
-            visits = np.frombuffer(row["q_codes"], np.int64).reshape(len(q_ids), -1)
-            buckets, where = np.unique(own, return_inverse=True)
-            at = np.minimum(np.searchsorted(buckets, visits), len(buckets) - 1)
-            meets = np.zeros((len(q_ids), len(buckets)), bool)
-            i, j = np.nonzero(buckets[at] == visits)
-            meets[i, at[i, j]] = True
-            near = np.where(meets[:, where] & (ids[None, :] != q_ids[:, None]), q @ x.T, -np.inf)
-            cut = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else near.min(1)
-            for n, query in enumerate(q_ids.tolist()):
-                mine = np.flatnonzero((near[n] >= cut[n] - 1e-6 * (1 + abs(cut[n]))) & (near[n] > -np.inf)) if cut[n] > -np.inf else np.flatnonzero(near[n] > -np.inf)
-                if not len(mine):
-                    continue
-                score = (x[mine] * q[n]).sum(1)
-                cand, value = ids[mine], score
+            ids, x, q_ids, q, near = _products(row, size)
+            least = np.array([best[i][1][-1] if i in best and len(best[i][0]) == k else -np.inf for i in q_ids.tolist()])
+            open_ = np.flatnonzero(least == -np.inf)
+            if near.shape[1] > k and len(open_):
+                least[open_] = np.partition(near[open_], -k, axis=1)[:, -k]
+            # The products of a matrix may differ in the last bits from those that count.
+            least -= np.where(least > -np.inf, 1e-6 * (1 + np.abs(least)), 0)
+            n, at = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+            score = (x[at] * q[n]).sum(1)
+            cuts = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else []
+            for a, b in zip(cuts, np.r_[cuts[1:], len(n)] if len(n) else []):
+                query = int(q_ids[n[a]])
+                cand, value = ids[at[a:b]], score[a:b]
                 if query in best:
                     cand, value = np.r_[best[query][0], cand], np.r_[best[query][1], value]
                 top = _best(cand, value, k)
