@@ -18,10 +18,19 @@ from guestlens.session import work_path
 _WRITTEN: list[str] = []
 
 
+# Shuffle files of a written intermediate are of no use once it is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "intermediate") -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, "tmp", name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _WRITTEN.append(path)
     return spark.read.parquet(path)
 
