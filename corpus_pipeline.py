@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 Parquet in the shared checkpoint folder and reads it back as the next stage's docs.  All
 stages but the last return the columns of ``docs``.
 
-1. language_id     documents without a letter, or in no learned language for half of
-                   their words, go
+1. language_id     documents without a letter (null and empty texts too) go; texts in several
+                   learned languages stay
 2. ngram_join      of each class of documents that share 0.8 of their five-word
                    shingles, the smallest doc_id stays
 3. substring_dedup runs of 50 words or more that a smaller doc_id has go; a document
@@ -14,6 +14,8 @@ stages but the last return the columns of ``docs``.
 5. mix_sources     documents of which the mix takes nothing go; size, source_size, target
                    and taken say how many words it takes
 
+Texts are not null from the second stage on; a null source is a source of its own; an empty table gives
+an empty table at every stage, and an empty benchmark lets all documents through.
 Rows with a null doc_id name no document to another stage and pass the second and
 third one unchanged; of rows with equal doc_id and text, the second keeps one.
 """
@@ -28,7 +30,6 @@ from guestlens.llm import language_id as lang
 from guestlens.llm import mixing, ngram_join, substring_dedup
 from guestlens.llm.tables import materialize, table
 
-LEAST_SCORE = 0.5
 PASSAGE = 50
 
 
@@ -44,7 +45,7 @@ def unpacked(columns: list[str], **new) -> list:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang.train(docs, F.lit(True))
     seen = lang.identify(packed(docs), model, carry=["doc"])
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(unpacked(docs.columns))
+    return seen.where(F.col("lang_pred") != "und").select(unpacked(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
