@@ -218,7 +218,8 @@ def main_text(html: str | None) -> str:
     return "\n".join(x for x in out if x)
 
 
-_BR = re.compile(r"<br\s*/?>", re.I)
+# A line break with any attributes, quoted ones that hold > included.
+_BR = re.compile(r"""<br(?=[\s/>])(?:"[^"]*"|'[^']*'|[^"'>])*>""", re.I)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -310,3 +310,8 @@ def test_stages(spark, tmp_path):
     took = mixed(spark, docs, str(tmp_path))
     assert took.where("taken <= 0").count() == 0 and set(docs.columns) - {"size", "taken"} <= set(took.columns)
     assert mixed(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_line_breaks_part_words():
+    page = "<article><p>one<br class=x>two<br clear='all' />three<BR/>four<br title='a > b'>five<broken>six</p></article>"
+    assert html_extract.main_text(page) == "one two three four fivesix"
