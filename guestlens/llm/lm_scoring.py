@@ -1,69 +1,91 @@
 """Scores of texts by a log-bilinear neural language model (operator 4).
 
-Tokens are lower-cased words (A-Z) and one end per document.  A token is in a class:
-each of the ``TOP`` most frequent words and the end are classes of their own, other
-words go by their last three bytes (the ``ENDINGS`` most frequent of ``CODES`` hashed endings, and
-one class for the rest).  The model predicts the class from the two before it,
+Tokens are lower-cased words (A-Z) and one end per document.  The model's *units* are the
+words with at least ``LEAST`` occurrences in the training rows, each with its own embeddings,
+the hashed last three bytes of the rarer words (at most ``CODES`` endings with as many
+occurrences), one unit for what is left, and the end; so the vocabulary grows with the
+corpus.  It is broadcast: where more than ``VOCABULARY`` words reach ``LEAST``, the least
+count rises until at most so many do, and the others go by their endings.
 
-    score(w | h) = (q[h1] C1 + q[h2] C2) . r[w] + b[w],
+A unit is predicted from the two before it.  With h = q[h1] C1 + q[h2] C2 the score of a
+unit is s(w | h) = h . r[w] + b[w], and that of its group is h . u[g] + a[g].  Groups are
+runs of units by falling count, about half the square root of the units in number and of
+equal sums of roots of counts; they only serve to normalise at a cost far below the number of units:
 
-and a word inside its class by its add-one share, so probabilities sum to one over all
-words, unseen ones included:  log10 P(token) = log10 P(class | h) + log10 (c+1)/(N_class+V_class+1).
+    P(token | h) = P(group | h) P(unit | group, h) (c+1) / (N_unit + V_unit + 1),
+
+the last factor, the add-one share of a word inside its unit, is left out for units of one
+token.  The probabilities sum to one over all words, unseen ones included.
 
 *Counts.*  Documents meet in hash blocks; each block asks the buckets of the words'
 hashes for the corpus counts of its distinct words and gets them back packed, so
-the count of every word of the training rows is exact and no vocabulary is
-broadcast.  What travels grows with the text; a frequent word is one entry per block.
+the count of every word of the training rows is exact.  What travels grows with the text; a
+frequent word is one entry per block.
 
-*Fitting.*  Class trigrams of all training rows are summed by Spark into one table whose
-size only depends on the number of classes.  Numpy fits the parameters to it by
-noise-contrastive estimation (noise: the class unigram, ``NOISE`` samples a token, taken in
-expectation over the noise), with Adam.
+*Fitting.*  ``ROUNDS`` passes over all training rows.  In a pass, each partition starts from
+the broadcast parameters and fits them to its tokens by noise-contrastive estimation in
+numpy: noise units are drawn from the corpus unigram, ``NOISE`` per batch of ``BATCH`` tokens
+and shared by them, groups likewise; steps are those of Adagrad by row.  Rows of
+the parameters that a partition touched are averaged over partitions, weighted by how often
+each used them, by two levels of streaming sums.
 
-*Scoring.*  Batched matrix products over all contexts, normalised over the classes, give
-log-probabilities; a block's tokens look theirs up.
+*Scoring.*  Batched matrix products over all tokens of a block, normalised over groups and
+over the units of each group, give log-probabilities.
 
 Words are told apart by 64-bit hashes.  Defined results: a null or blank text is the end
 alone; rows with a null id are scored like others; repeated rows count each time; without
-training rows N and V are 0 and the model is uniform; other columns are ignored; an
-empty table gives an empty result.
+training rows N and V are 0 and the model is uniform over its two units; other columns are
+ignored; an empty table gives an empty result.  The fit depends on how Spark splits the rows
+into partitions, so scores of other layouts differ slightly; counts and base do not.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guestlens.llm import blocks as B
 from guestlens.llm.tables import as_binary, bucket_count, materialize, text_bytes
 
-TOP = 96
-ENDINGS = 62
+LEAST = 50              # occurrences of a word with its own embeddings
+VOCABULARY = 1 << 18    # words with their own embeddings: bounds the broadcast to about 40 MB
 CODES = 4096
-SIZE = 24               # of the embeddings
-NOISE = 10
-STEPS = 160
+SIZE = 16               # of the embeddings
+NOISE = 64
+BATCH = 1024
+ROUNDS = 2
 RATE = 0.05
+PIECE = 1 << 14         # rows of a parameter table that travel as one
+SLICE = 1 << 18         # tokens scored at once,
+STEP = 1 << 11          # and those whose products with all rows are in memory together
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 
 ENTRY = np.dtype([("h", "u8"), ("n", "u4"), ("code", "u2")])
 
 
-class Classes(NamedTuple):
-    top: np.ndarray         # sorted hashes of the frequent words
-    number: np.ndarray      # their classes
-    of_code: np.ndarray     # class of each ending
-    log_rest: np.ndarray    # log10 of N_class + V_class + 1; 0 for classes of one token
-    n: int                  # classes; the last is the end, and n stands for the start
+class Units(NamedTuple):
+    words: np.ndarray       # sorted hashes of the words with their own unit
+    number: np.ndarray      # their units
+    of_code: np.ndarray     # unit of each ending
+    end: int                # the end's unit
+    log_rest: np.ndarray    # log10 of N_unit + V_unit + 1; 0 for units of one token
+    count: np.ndarray       # training tokens of each unit, falling
+    begin: np.ndarray       # first unit of each group, and the number of units
     tokens: int             # N
     types: int              # V
     ends: int               # count of the end
 
+    @property
+    def n(self) -> int:
+        return len(self.count)
+
 
 def endings(data: np.ndarray, w: B.Words, at: np.ndarray | slice = slice(None)) -> np.ndarray:
     """Hashed last three bytes of words (A-Z lower-cased)."""
@@ -113,8 +135,8 @@ def _ask(key, table: pa.Table, n_buckets: int) -> pa.Table:
 ANSWER = "block long, bucket long, counts binary, top binary, codes binary"
 
 
-def _answer(key, table: pa.Table, top: int) -> pa.Table:
-    """Corpus counts for each block that asked; the bucket's most frequent words; sums by ending."""
+def _answer(key, table: pa.Table) -> pa.Table:
+    """Corpus counts for each block that asked; the bucket's words of ``LEAST`` and more; sums by ending."""
     asked = [np.frombuffer(x, ENTRY) for x in table.column("words").to_pylist()]
     blocks = table.column("block").to_pylist()
     entry = np.concatenate(asked)
@@ -127,8 +149,7 @@ def _answer(key, table: pa.Table, top: int) -> pa.Table:
     counts = [back[b - len(x):b].tobytes() for x, b in zip(asked, ends)]
     words = entry[order[starts]]
     seen = total > 0
-    best = np.lexsort((words["h"], -total))[:top]
-    best = best[total[best] > 0]
+    best = np.flatnonzero(total >= LEAST)
     most = np.empty(len(best), [("h", "u8"), ("n", "i8"), ("code", "u2")])
     most["h"], most["n"], most["code"] = words["h"][best], total[best], words["code"][best]
     codes = np.stack([np.bincount(words["code"][seen], weights=total[seen], minlength=CODES), np.bincount(words["code"][seen], minlength=CODES)])
@@ -154,129 +175,239 @@ def _open_codes(batches):
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["code", "tokens", "types"])
 
 
-def make_classes(top: list, codes: list, ends: int, n_endings: int = ENDINGS) -> Classes:
-    """``top``: (hash, count, code) of the frequent words; ``codes``: (code, tokens, types)."""
+def make_units(words, codes: list, ends: int) -> Units:
+    """``words``: columns (hash, count, code) of those with their own unit; ``codes``: rows (code, tokens, types) of all."""
+    h, n, code = (np.array(x, np.int64) for x in words)
     tokens, types = np.zeros(CODES, np.int64), np.zeros(CODES, np.int64)
-    for code, n, v in codes:
-        tokens[code], types[code] = n, v
+    for at, t, v in codes:
+        tokens[at], types[at] = t, v
     total, distinct = int(tokens.sum()), int(types.sum())
-    for _, n, code in top:
-        tokens[code] -= n
-        types[code] -= 1
-    best = [c for c in np.lexsort((np.arange(CODES), -tokens))[:n_endings] if tokens[c] > 0]
-    k = len(top)
-    of_code = np.full(CODES, k + len(best), np.int64)
-    of_code[best] = k + np.arange(len(best))
-    n = k + len(best) + 2
-    rest = np.bincount(of_code, weights=tokens + types, minlength=n)
-    log_rest = np.log10(rest + 1)
-    log_rest[:k] = log_rest[n - 1] = 0
-    h = np.array([x[0] for x in top], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return Classes(h[order], np.arange(k)[order], of_code, log_rest, n, total + ends, distinct + (ends > 0), ends)
-
-
-def class_of(data: np.ndarray, w: B.Words, c: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word, and whether the word is a class of its own."""
+    tokens -= np.bincount(code, weights=n, minlength=CODES).astype(np.int64)
+    types -= np.bincount(code, minlength=CODES)
+    own = np.flatnonzero(tokens >= LEAST)
+    k, size = len(h), len(h) + len(own) + 2
+    of_code = np.full(CODES, size - 2)
+    of_code[own] = k + np.arange(len(own))
+    rest, held = np.bincount(of_code, weights=tokens + types, minlength=size), np.bincount(of_code, weights=tokens, minlength=size)
+    rest[:k] = rest[size - 1] = 0
+    held[:k], held[size - 1] = n, ends
+    order = np.argsort(-held, kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    held = held[order]
+    roots = np.cumsum(np.sqrt(held + 1))
+    groups = math.ceil(math.sqrt(size) / 2)
+    begin = B.groups(np.minimum(roots / roots[-1] * groups, groups - 1).astype(np.int64))
+    at = np.argsort(h.view(np.uint64))
+    return Units(h.view(np.uint64)[at], rank[:k][at], rank[of_code], int(rank[size - 1]), np.log10(rest[order] + 1), held, np.r_[begin, size],
+                 total + ends, distinct + (ends > 0), ends)
+
+
+def unit_of(data: np.ndarray, w: B.Words, c: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Unit of each word, and whether the word is a unit of its own."""
     out = c.of_code[endings(data, w)]
     own = np.zeros(len(out), bool)
-    if len(c.top):
-        at = np.minimum(np.searchsorted(c.top, w.hash), len(c.top) - 1)
-        own = c.top[at] == w.hash
+    if len(c.words):
+        at = np.minimum(np.searchsorted(c.words, w.hash), len(c.words) - 1)
+        own = c.words[at] == w.hash
         out = np.where(own, c.number[at], out)
     return out, own
 
 
-def sequence(cls: np.ndarray, count: np.ndarray, n: int):
-    """Token classes with ends, the two classes before each, and the places of the words."""
+def sequence(unit: np.ndarray, count: np.ndarray, c: Units):
+    """Units with ends, the two units before each (``c.n`` before a text), and the places of the words."""
     size = count + 1
     last = np.cumsum(size) - 1
-    place = np.arange(len(cls)) + np.repeat(np.arange(len(count)), count)
-    out = np.full(int(size.sum()), n - 1, np.int64)
-    out[place] = cls
-    one = np.r_[n, out[:-1]][:len(out)]
+    place = np.arange(len(unit)) + np.repeat(np.arange(len(count)), count)
+    out = np.full(int(size.sum()), c.end, np.int64)
+    out[place] = unit
+    one = np.r_[c.n, out[:-1]][:len(out)]
     first = last - count
-    one[first] = n
-    two = np.r_[n, one[:-1]][:len(out)]
-    two[first] = n
-    return out, one, two, place, last
+    one[first] = c.n
+    two = np.r_[c.n, one[:-1]][:len(out)]
+    two[first] = c.n
+    return out, one, two, place
 
 
-def _trigrams(batches, c: Classes):
-    total = np.zeros((c.n + 1) ** 2 * c.n, np.int64)
+def first_model(c: Units, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters before fitting, the unigram model but for small noise.  The last column of ``r`` and ``u``
+    is the bias; ``x+`` holds the Adagrad sums of the rows of table ``x``."""
+    rng = np.random.default_rng(seed)
+    p = np.log((c.count + 1) / (c.count + 1).sum())
+    g = np.log(np.add.reduceat(c.count + 1, c.begin[:-1]) / (c.count + 1).sum())
+    small = lambda n: rng.normal(0, 0.1, (n, SIZE))
+    tables = {"q": small(c.n + 1), "r": np.column_stack([small(c.n), p]), "u": np.column_stack([small(len(g)), g]), "c": np.vstack([np.eye(SIZE)] * 2)}
+    tables |= {f"{k}+": np.zeros((len(v), 1)) for k, v in tables.items()}
+    return {k: np.ascontiguousarray(v, np.float32) for k, v in tables.items()}
+
+
+def context(theta: dict, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """h of each token, with a one for the bias, and the embeddings it comes from."""
+    past = np.concatenate([theta["q"].take(one, 0), theta["q"].take(two, 0)], 1)
+    h = np.ones((len(one), SIZE + 1), np.float32)
+    h[:, :SIZE] = past @ theta["c"]
+    return h, past
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += 1
+    x *= np.float32(0.5)
+    return x
+
+
+def contrast(h: np.ndarray, table: np.ndarray, unit: np.ndarray, noise: np.ndarray, log_noise: np.ndarray):
+    """Gradients of the noise-contrastive likelihood of units against drawn ones, which all tokens share:
+    (rows, gradients by row, gradient of the contexts).  ``log_noise`` is log(draws x noise probability)."""
+    own, drawn = table.take(unit, 0), table.take(noise, 0)
+    pull = sigmoid(log_noise[unit] - np.einsum("td,td->t", h, own))[:, None]
+    push = sigmoid(drawn @ h.T - log_noise[noise][:, None])
+    own *= pull
+    own -= push.T @ drawn
+    return np.concatenate([unit, noise]), np.concatenate([pull * h, -(push @ h)]), own
+
+
+def climb(theta: dict, name: str, used: dict, rows: np.ndarray, grad: np.ndarray) -> None:
+    """One Adagrad step of the rows of a table; ``used`` counts their uses."""
+    few = len(theta[name]) <= 1 << 16                   # short keys sort many times faster
+    order = np.argsort(rows.astype(np.uint16) if few else rows, kind="stable")
+    rows = rows[order]
+    starts = B.groups(rows)
+    at = rows[starts]
+    total = np.add.reduceat(grad.take(order, 0), starts, axis=0)
+    used[name][at] += np.diff(np.append(starts, len(order)))
+    sums = theta[f"{name}+"][:, 0]
+    sums[at] += np.einsum("td,td->t", total, total) / total.shape[1]
+    total *= (RATE / np.sqrt(sums[at] + np.float32(1e-8)))[:, None]
+    theta[name][at] += total
+
+
+def learn_tokens(theta: dict, used: dict, c: Units, out: np.ndarray, one: np.ndarray, two: np.ndarray, rng) -> None:
+    """Fits the parameters in place to the tokens, a batch at a time in random order."""
+    share = (c.count + 1) / (c.count + 1).sum()
+    group_share = np.add.reduceat(share, c.begin[:-1])
+    group = np.repeat(np.arange(len(group_share)), np.diff(c.begin))
+    to, group_to = np.cumsum(share), np.cumsum(group_share)
+    log_noise, group_noise = (np.log(NOISE * x).astype(np.float32) for x in (share, group_share))
+    draw = lambda x: np.minimum(np.searchsorted(x, rng.random(NOISE)), len(x) - 1)
+    order = rng.permutation(len(out))
+    for start in range(0, len(order), BATCH):
+        at = order[start:start + BATCH]
+        w, first, second = out[at], one[at], two[at]
+        h, past = context(theta, first, second)
+        rows, grad, back = contrast(h, theta["r"], w, draw(to), log_noise)
+        group_rows, group_grad, group_back = contrast(h, theta["u"], group[w], draw(group_to), group_noise)
+        back += group_back
+        back = np.ascontiguousarray(back[:, :SIZE])
+        down = back @ theta["c"].T
+        climb(theta, "r", used, rows, grad)
+        climb(theta, "u", used, group_rows, group_grad)
+        climb(theta, "q", used, np.concatenate([first, second]), np.concatenate([down[:, :SIZE], down[:, SIZE:]]))
+        climb(theta, "c", used, np.arange(2 * SIZE), past.T @ back)
+
+
+PARTS = "name string, piece int, at binary, used binary, rows binary"
+
+
+def _pieces(theta: dict, used: dict):
+    """The used rows of every table, a piece of it at a time."""
+    for name, table in theta.items():
+        for piece in range(0, len(table), PIECE):
+            uses = used[name.removesuffix("+")][piece:piece + PIECE]
+            at = np.flatnonzero(uses).astype(np.uint16)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([piece // PIECE], pa.int32()), pa.array([at.tobytes()]),
+                                                  pa.array([uses[at].astype(np.float64).tobytes()]),
+                                                  pa.array([table[piece:piece + PIECE][at].tobytes()])], ["name", "piece", "at", "used", "rows"])
+
+
+def _fit(batches, c: Units, start: dict, seed: int):
+    theta = {k: v.copy() for k, v in start.items()}
+    used = {k: np.zeros(len(v), np.int64) for k, v in theta.items() if not k.endswith("+")}
+    rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
     for block in B.slices(batches, "text"):
         data, offsets = B.buffer_of(block.column("text"))
         w = B.words(data, offsets, B.white_space())
-        out, one, two, _, _ = sequence(class_of(data, w, c)[0], w.count, c.n)
-        total += np.bincount((two * (c.n + 1) + one) * c.n + out, minlength=len(total))
-    total = total.reshape(c.n + 1, -1)
-    for two in range(c.n + 1):
-        some = np.flatnonzero(total[two])
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array([two]), pa.array([some.astype(np.uint32).tobytes()]), pa.array([total[two][some].tobytes()])], ["two", "at", "n"])
-
-
-def _sum_trigrams(key, table: pa.Table, width: int) -> pa.Table:
-    total = np.zeros(width, np.int64)
-    for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-        total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.int64)
-    some = np.flatnonzero(total)
-    return pa.table({"two": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([some.astype(np.uint32).tobytes()]), "n": pa.array([total[some].tobytes()])})
-
-
-def train(counts: np.ndarray, steps: int = STEPS, size: int = SIZE, rate: float = RATE, seed: int = 7) -> np.ndarray:
-    """log10 P(class | two before, one before) from counts[two, one, class]."""
-    n = counts.shape[2]
-    rng = np.random.default_rng(seed)
-    seen = counts.sum(2)
-    two, one = np.nonzero(seen)
-    uni = counts.sum((0, 1)) + 1.0
-    noise = (uni / uni.sum()).astype(np.float32)
-    theta = {"q": rng.normal(0, 0.1, (n + 1, size)), "c1": np.eye(size) + rng.normal(0, 0.05, (size, size)),
-             "c2": np.eye(size) + rng.normal(0, 0.05, (size, size)), "r": rng.normal(0, 0.1, (n, size)), "b": np.log(noise)}
-    theta = {k: v.astype(np.float32) for k, v in theta.items()}
-    if len(two):
-        data = (counts[two, one] / counts.sum()).astype(np.float32)
-        against = (NOISE * data.sum(1, keepdims=True) * noise).astype(np.float32)
-        shift = np.log(NOISE * noise)
-        m1, m2 = ({k: np.zeros_like(v) for k, v in theta.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            q1, q2 = theta["q"][one], theta["q"][two]
-            guess = q1 @ theta["c1"] + q2 @ theta["c2"]
-            sure = 1 / (1 + np.exp(shift - guess @ theta["r"].T - theta["b"]))     # P(from the data)
-            pull = data * (1 - sure) - against * sure
-            back = pull @ theta["r"]
-            dq = np.zeros_like(theta["q"])
-            np.add.at(dq, one, back @ theta["c1"].T)
-            np.add.at(dq, two, back @ theta["c2"].T)
-            grad = {"q": dq, "c1": q1.T @ back, "c2": q2.T @ back, "r": pull.T @ guess, "b": pull.sum(0)}
-            now = rate * (1 - 0.9 * step / steps)
-            for k, g in grad.items():
-                m1[k] = 0.9 * m1[k] + 0.1 * g
-                m2[k] = 0.99 * m2[k] + 0.01 * g * g
-                theta[k] = theta[k] + now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-9)
-    return theta
-
+        learn_tokens(theta, used, c, *sequence(unit_of(data, w, c)[0], w.count, c)[:3], rng)
+    yield from _pieces(theta, used)
 
-_TABLES: dict = {}
 
-
-def log_table(theta: dict, n: int, name: str = "") -> np.ndarray:
-    """log10 P(class | context) for all contexts, by batched matrix products; kept per worker."""
-    if not name or name not in _TABLES:
-        left, right = theta["q"] @ theta["c2"], theta["q"] @ theta["c1"]
-        out = np.empty((n + 1, n + 1, n), np.float32)
-        for two in range(n + 1):
-            s = (left[two] + right) @ theta["r"].T + theta["b"]
-            s -= s.max(1, keepdims=True)
-            out[two] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-        _TABLES.clear()
-        _TABLES[name] = out
-    return _TABLES[name]
+def _mean(batches, width: dict):
+    """Weighted means of the pieces that reach a task, one piece of the table in memory for each."""
+    sums: dict = {}
+    for batch in batches:
+        for name, piece, at, used, rows in zip(*(batch.column(x).to_pylist() for x in ("name", "piece", "at", "used", "rows"))):
+            if (name, piece) not in sums:
+                sums[name, piece] = np.zeros(PIECE), np.zeros((PIECE, width[name]))
+            weight, total = sums[name, piece]
+            at, used = np.frombuffer(at, np.uint16), np.frombuffer(used, np.float64)
+            weight[at] += used
+            total[at] += used[:, None] * np.frombuffer(rows, np.float32).reshape(-1, width[name])
+    for (name, piece), (weight, total) in sums.items():
+        at = np.flatnonzero(weight).astype(np.uint16)
+        mean = (total[at] / weight[at, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([piece], pa.int32()), pa.array([at.tobytes()]), pa.array([weight[at].tobytes()]),
+                                          pa.array([mean.tobytes()])], ["name", "piece", "at", "used", "rows"])
+
+
+def train(rows: DataFrame, c: Units, size: int) -> dict[str, np.ndarray]:
+    """Parameters fitted to all ``rows`` (text); ``size`` is about their bytes."""
+    spark = rows.sparkSession
+    theta = first_model(c)
+    shared = spark.sparkContext.broadcast(c)
+    width = {k: v.shape[1] for k, v in theta.items()}
+    salts = math.isqrt(size >> 24) + 2
+    for seed in range(ROUNDS):
+        now = spark.sparkContext.broadcast(theta)
+        fitted = rows.mapInArrow(lambda it: _fit(it, shared.value, now.value, seed), PARTS)     # noqa: B023
+        some = fitted.withColumn("salt", F.spark_partition_id() % salts).repartition(salts, "salt").drop("salt").mapInArrow(lambda it: _mean(it, width), PARTS)
+        for name, piece, at, _, new in some.repartition("name", "piece").mapInArrow(lambda it: _mean(it, width), PARTS).collect():
+            theta[name][piece * PIECE + np.frombuffer(at, np.uint16)] = np.frombuffer(new, np.float32).reshape(-1, width[name])
+        now.unpersist()
+    return theta
 
 
-def _score(left: pa.Table, right: pa.Table, id_col: str, c: Classes, theta: dict, name: str, n_buckets: int) -> pa.Table:
-    table = log_table(theta, c.n, name)
+def log_sums(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(score) over the rows of ``table``, by token.  exp(x) of x <= 0 is taken as
+    (1 + t) / (1 - t) with t = tanh(x / 2), which numpy works out many at a time; the greatest term is 1, so
+    what this rounds away stays below 1e-7 a term."""
+    s = table @ h.T
+    top = s.max(0)
+    s -= top
+    s *= np.float32(0.5)
+    np.tanh(s, out=s)
+    below = 1 - s
+    s += 1
+    s /= below
+    return top + np.log(s.sum(0))
+
+
+def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 P(unit | the two before) of tokens, normalised over groups and over the units of each group."""
+    result = np.empty(len(out))
+    group = np.repeat(np.arange(len(c.begin) - 1), np.diff(c.begin))
+    u, r = theta["u"], theta["r"]
+    for a in range(0, len(out), SLICE):
+        w = out[a:a + SLICE]
+        order = np.argsort(w, kind="stable")                    # units are numbered by group
+        w = w[order]
+        h = context(theta, one[a:a + SLICE][order], two[a:a + SLICE][order])[0]
+        g = group[w]
+        log = np.einsum("td,td->t", h, u.take(g, 0)).astype(np.float64)
+        for x in range(0, len(w), STEP):
+            log[x:x + STEP] -= log_sums(u, h[x:x + STEP])
+        starts = B.groups(g)
+        for x, y in zip(starts, np.append(starts[1:], len(g))):
+            lo, hi = c.begin[g[x]], c.begin[g[x] + 1]
+            for z in range(x, y if hi - lo > 1 else x, STEP):   # a unit alone in its group is certain
+                some = slice(z, min(y, z + STEP))
+                log[some] += np.einsum("td,td->t", h[some], r.take(w[some], 0)) - log_sums(r[lo:hi], h[some])
+        result[a:a + SLICE][order] = log / np.log(10)
+    return result
+
+
+def _score(left: pa.Table, right: pa.Table, c: Units, theta: dict, n_buckets: int) -> pa.Table:
     data, w = _block_words(left)
     order, starts = _distinct(w)
     known = np.zeros(len(starts), np.int64)
@@ -285,13 +416,13 @@ def _score(left: pa.Table, right: pa.Table, id_col: str, c: Classes, theta: dict
         known[at] = np.frombuffer(answers[b], np.int64)
     c_word = np.empty(len(w.hash), np.int64)
     c_word[order] = np.repeat(known, np.diff(np.r_[starts, len(order)]))
-    cls, own = class_of(data, w, c)
-    out, one, two, place, last = sequence(cls, w.count, c.n)
+    unit, own = unit_of(data, w, c)
+    out, one, two, place = sequence(unit, w.count, c)
     count = np.full(len(out), c.ends, np.int64)
     count[place] = c_word
     doc = np.repeat(np.arange(len(w.count)), w.count + 1)
-    log = table[two, one, out].astype(np.float64)
-    log[place] += np.where(own, 0.0, np.log10(c_word + 1) - c.log_rest[cls])
+    log = log_probabilities(theta, c, out, one, two)
+    log[place] += np.where(own, 0.0, np.log10(c_word + 1) - c.log_rest[unit])
     base = np.log10((count + 1) / (c.tokens + c.types + 1))
     add = lambda x: np.bincount(doc, weights=x, minlength=len(w.count))
     return pa.table({"id": left.column("id"), "learn": left.column("learn"), "n_tokens": pa.array(w.count + 1, pa.int64()),
@@ -307,25 +438,26 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).alias("id"), learn.alias("learn"), as_binary(text_col).alias("text"),
                      F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).alias("block"))
     asked = rows.groupBy("block").applyInArrow(lambda key, t: _ask(key, t, n_buckets), "block long, bucket long, words binary")
-    answers = materialize(asked.groupBy("bucket").applyInArrow(lambda key, t: _answer(key, t, TOP), ANSWER), "counts")
+    answers = materialize(asked.groupBy("bucket").applyInArrow(lambda key, t: _answer(key, t), ANSWER), "counts")
     ends = rows.where("learn").count()
     found = answers.where("block is null")
-    top = (found.select("top").mapInArrow(_open_top, "h long, n long, code int").orderBy(F.desc("n"), "h").limit(TOP).collect())
+    words = found.select("top").mapInArrow(_open_top, "h long, n long, code int")
+    scale = F.floor(8 * F.log2("n"))
+    most, sizes = 0, words.groupBy(scale.alias("scale")).count().orderBy(F.desc("scale")).collect()
+    least = min((x for x, _ in sizes), default=0)
+    for x, n in sizes:
+        most += n
+        if most > VOCABULARY:
+            least = x + 1
+            break
+    words = words.where(scale >= least).toArrow().sort_by([("n", "descending"), ("h", "ascending")])
     codes = (found.select("codes").mapInArrow(_open_codes, "code int, tokens long, types long")
              .groupBy("code").agg(F.sum("tokens"), F.sum("types")).collect())
-    c = make_classes([tuple(r) for r in top], [tuple(r) for r in codes], ends)
-    shared = spark.sparkContext.broadcast(c)
-    width = (c.n + 1) * c.n
-    trigrams = (rows.where("learn").select("text").mapInArrow(lambda it: _trigrams(it, shared.value), "two long, at binary, n binary")
-                .groupBy("two").applyInArrow(lambda key, t: _sum_trigrams(key, t, width), "two long, at binary, n binary").collect())
-    counts = np.zeros((c.n + 1, c.n + 1, c.n))
-    for two, at, n in trigrams:
-        counts[two].reshape(-1)[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.int64)
-    theta = train(counts)
-    name = f"{spark.sparkContext.applicationId}-{id(theta)}-{float(theta['b'].sum())}"
-    model = spark.sparkContext.broadcast(theta)
+    c = make_units(words.columns, [tuple(r) for r in codes], ends)
+    theta = train(rows.where("learn").select("text"), c, size)
+    shared, model = spark.sparkContext.broadcast(c), spark.sparkContext.broadcast(theta)
     scored = (rows.groupBy("block").cogroup(answers.where("block is not null").select("block", "bucket", "counts").groupBy("block"))
-              .applyInArrow(lambda left, right: _score(left, right, "id", shared.value, model.value, name, n_buckets),
+              .applyInArrow(lambda left, right: _score(left, right, shared.value, model.value, n_buckets),
                             f"id {df.schema[id_col].dataType.simpleString()}, learn boolean, n_tokens long, n_known long, base_score double, score double"))
     return scored.select(F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
                          F.lit(c.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -92,10 +92,63 @@ def test_language_model(spark, docs):
     assert out.score.sum() > out.base_score.sum()
 
 
-def test_language_model_is_normalised():
-    counts = np.random.default_rng(1).poisson(0.3, (6, 6, 5)).astype(float)
-    table = lm_scoring.log_table(lm_scoring.train(counts, steps=30), 5)
-    assert np.allclose((10.0 ** table).sum(2), 1, atol=1e-4)
+@pytest.fixture(scope="module")
+def small_model():
+    rng = np.random.default_rng(1)
+    h = rng.integers(-2**62, 2**62, 40)
+    codes = [(5, 900, 30), (9, 70, 12), (11, 40, 8)] + [(100 + i, 3000 // (i + 1), 1) for i in range(40)]
+    c = lm_scoring.make_units((h, np.array([3000 // (i + 1) for i in range(40)]), 100 + np.arange(40)), codes, 77)
+    theta = lm_scoring.first_model(c)
+    return c, {k: v + rng.normal(0, 0.4, v.shape).astype(np.float32) if "+" not in k else v for k, v in theta.items()}
+
+
+def test_language_model_is_normalised(small_model):
+    """Probabilities of all units after a context sum to one and equal a plain softmax in two steps."""
+    c, theta = small_model
+    assert c.n == 40 + 2 + 2 and c.count.sum() == c.tokens and c.begin[-1] == c.n and (np.diff(c.count) <= 0).all()
+    group = np.repeat(np.arange(len(c.begin) - 1), np.diff(c.begin))
+    for one, two in ((c.n, c.n), (3, c.n), (0, 17), (c.end, 2)):
+        got = lm_scoring.log_probabilities(theta, c, np.arange(c.n), np.full(c.n, one), np.full(c.n, two))
+        h = np.append(theta["q"][one] @ theta["c"][:lm_scoring.SIZE] + theta["q"][two] @ theta["c"][lm_scoring.SIZE:], 1).astype(float)
+        of_group, of_unit = np.exp(theta["u"] @ h), np.exp(theta["r"] @ h)
+        plain = [of_group[g] / of_group.sum() * of_unit[w] / of_unit[group == g].sum() for w, g in enumerate(group)]
+        assert np.allclose(10.0 ** got, plain, rtol=1e-4) and abs(sum(10.0 ** got) - 1) < 1e-4
+
+
+def test_contrastive_gradient(small_model):
+    """The gradients are those of the noise-contrastive likelihood, by differences."""
+    c, theta = small_model
+    rng = np.random.default_rng(2)
+    unit, noise = rng.integers(0, c.n, 6), rng.integers(0, c.n, 4)
+    log_noise = np.log(4 * (c.count + 1) / (c.count + 1).sum()).astype(np.float32)
+    h = lm_scoring.context(theta, rng.integers(0, c.n, 6), rng.integers(0, c.n, 6))[0]
+
+    def likelihood(h, table):
+        odds = lambda t, w: 1 / (1 + np.exp(-(h[t].astype(float) @ table[w] - log_noise[w])))
+        return sum(np.log(odds(t, w)) + sum(np.log(1 - odds(t, x)) for x in noise) for t, w in enumerate(unit))
+    rows, grad, back = lm_scoring.contrast(h.copy(), theta["r"].copy(), unit, noise, log_noise)
+    whole = np.zeros(theta["r"].shape)
+    np.add.at(whole, rows, grad)
+    table = theta["r"].astype(float)
+    for at in [(unit[0], 0), (noise[1], 3), (unit[4], lm_scoring.SIZE)]:
+        step = np.zeros(table.shape)
+        step[at] = 1e-4
+        assert abs((likelihood(h, table + step) - likelihood(h, table - step)) / 2e-4 - whole[at]) < 1e-3
+    for at in [(0, 0), (5, 7)]:
+        step = np.zeros(h.shape)
+        step[at] = 1e-4
+        assert abs((likelihood(h + step, table) - likelihood(h - step, table)) / 2e-4 - back[at]) < 1e-3
+
+
+def test_language_model_learns_words(spark):
+    """Two vocabularies that never meet: the context tells which; frequent words have units of their own."""
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"{kind}{x}" for x in rng.integers(0, 12, 400)) for kind in ("left", "right") for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = lm_scoring.score_texts(df, queries.F.col("doc_id") % 5 != 0).toPandas()
+    out = got[got.held_out]
+    assert (out.n_known == out.n_tokens).all()
+    assert (out.score - out.base_score).sum() / out.n_tokens.sum() > 0.2            # of log10(2) = 0.30
 
 
 def test_quality_on_held_out(spark):
