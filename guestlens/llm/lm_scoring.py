@@ -24,7 +24,7 @@ frequent word is one entry per block.
 
 *Fitting.*  ``ROUNDS`` passes over all training rows.  In a pass, each partition starts from
 the broadcast parameters and fits them to its tokens by noise-contrastive estimation in
-numpy: noise units are drawn from the corpus unigram, ``NOISE`` per batch of ``BATCH`` tokens
+numpy, on texts dealt by hash: noise units are drawn from the corpus unigram, ``NOISE`` per batch of ``BATCH`` tokens
 and shared by them, groups likewise; steps are those of Adagrad by row.  Rows of
 the parameters that a partition touched are averaged over partitions, weighted by how often
 each used them, by two levels of streaming sums.
@@ -65,6 +65,7 @@ PIECE = 1 << 14         # rows of a parameter table that travel as one
 SLICE = 1 << 18         # tokens scored at once,
 STEP = 1 << 11          # and those whose products with all rows are in memory together
 BLOCK_BYTES = 4 << 20
+FIT_BYTES = 16 << 20    # of text that one task fits in a round
 BUCKET_BYTES = 8 << 20
 
 ENTRY = np.dtype([("h", "u8"), ("n", "u4"), ("code", "u2")])
@@ -352,16 +353,20 @@ def _mean(batches, width: dict):
 
 
 def train(rows: DataFrame, c: Units, size: int) -> dict[str, np.ndarray]:
-    """Parameters fitted to all ``rows`` (text); ``size`` is about their bytes."""
+    """Parameters fitted to all ``rows`` (text, block); ``size`` is about their bytes.  Texts are dealt by
+    block, as means of models of unlike parts, such as one language each, learn little."""
     spark = rows.sparkSession
     theta = first_model(c)
     shared = spark.sparkContext.broadcast(c)
     width = {k: v.shape[1] for k, v in theta.items()}
-    salts = math.isqrt(size >> 24) + 2
+    parts = math.ceil(size / FIT_BYTES) or 1
+    salts = math.isqrt(parts) + 1
     for seed in range(ROUNDS):
         now = spark.sparkContext.broadcast(theta)
-        fitted = rows.mapInArrow(lambda it: _fit(it, shared.value, now.value, seed), PARTS)     # noqa: B023
-        some = fitted.withColumn("salt", F.spark_partition_id() % salts).repartition(salts, "salt").drop("salt").mapInArrow(lambda it: _mean(it, width), PARTS)
+        fitted = rows.repartition(parts, "block").select("text").mapInArrow(lambda it: _fit(it, shared.value, now.value, seed), PARTS)     # noqa: B023
+        some = (fitted.withColumn("salt", F.spark_partition_id() % salts).repartition(salts, "salt").drop("salt")
+                .mapInArrow(lambda it: _mean(it, width), PARTS))
+        some = materialize(some, "fit")
         for name, piece, at, _, new in some.repartition("name", "piece").mapInArrow(lambda it: _mean(it, width), PARTS).collect():
             theta[name][piece * PIECE + np.frombuffer(at, np.uint16)] = np.frombuffer(new, np.float32).reshape(-1, width[name])
         now.unpersist()
@@ -454,7 +459,7 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     codes = (found.select("codes").mapInArrow(_open_codes, "code int, tokens long, types long")
              .groupBy("code").agg(F.sum("tokens"), F.sum("types")).collect())
     c = make_units(words.columns, [tuple(r) for r in codes], ends)
-    theta = train(rows.where("learn").select("text"), c, size)
+    theta = train(rows.where("learn").select("text", "block"), c, size)
     shared, model = spark.sparkContext.broadcast(c), spark.sparkContext.broadcast(theta)
     scored = (rows.groupBy("block").cogroup(answers.where("block is not null").select("block", "bucket", "counts").groupBy("block"))
               .applyInArrow(lambda left, right: _score(left, right, shared.value, model.value, n_buckets),
