@@ -11,8 +11,8 @@ The benchmark is a fixed test set.  Its patterns are broadcast only up to
 automatons, and the hits of a document are joined afterwards.
 
 Defined results: null texts have no words and no hits; items without words match
-nothing; equal windows of several items count for each; repeated items count
-once by item_id; an empty benchmark or table gives no hits or no rows; other columns are
+nothing, nor do items without an id; equal windows of several items count for each;
+repeated items count once by item_id; an empty benchmark or table gives no hits or no rows; other columns are
 ignored, and carried columns named like a result give way to it.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from guestlens.llm.tables import text_bytes
 
 N = 10                      # words in a window
-SHARD_BYTES = 32 << 20      # item text per automaton
+SHARD_BYTES = 1 << 20       # item text per automaton, which takes some 400 times as much memory
 
 RESULT = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}

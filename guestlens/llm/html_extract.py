@@ -4,9 +4,9 @@ Pages stream through the standard library's parser.  Its events make *lines*, on
 block element, each with its characters, tags and link characters.  The text-to-tag
 ratio of the lines (characters per tag) is smoothed with a Gaussian; lines above the
 threshold, the standard deviation of the smoothed ratios, are content.  A line's region is its
-innermost sectioning element; regions most of whose characters are in content lines and that are
-not mostly links, and all those inside <article> or <main>, are selected whole, so a
-short paragraph between long ones stays.  Menus, page headers, footers, sidebars,
+innermost sectioning element, but an outermost <article> or <main> is one region with all in it.
+Regions most of whose characters are in content lines and that are not mostly links, and articles
+with a content line, are selected whole, so a short paragraph between long ones stays.  Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are told by element or by the
 names in class, id and role, and never make lines.  A name is a whole token or the head of a
 compound ("site-header", "comment-list"), not a word in passing ("has-sidebar",
@@ -75,6 +75,8 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int, bool]] = [("", OPEN, 0, False)]       # tag, dropped, region, in article
+        self.places: dict[str, list[int]] = {}          # of the open elements of a name in the stack
+        self.blocks = [0]                               # places of the open elements that are not inline
         self.lines: list[list] = []
         self.open: list | None = None
         self.tags = self.regions = self.links = 0
@@ -97,29 +99,27 @@ class Lines(HTMLParser):
         elif dropped < CLOSED:
             own = SOFT if tag == "form" or (tag == "header" and not article) else CLOSED if tag in DROPPED else OPEN
             dropped = max(dropped, own, _hidden(attrs), OPEN if tag in KEPT else _named(attrs, article))
-        if tag in SECTION:
+        if not article and (tag in SECTION or tag == "main"):
             self.regions += 1
             region = self.regions
         if tag == "a":
             self.links += 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, dropped, region, article or tag in ("article", "main")))
 
     def _inside_p(self):
-        for name, *_ in reversed(self.stack):
-            if name == "p":
-                return True
-            if name not in INLINE:
-                return False
-        return False
+        return self.stack[self.blocks[-1]][0] == "p"
 
     def _pop_to(self, tag):
-        while self.stack[-1][0] != tag:
-            self._pop()
-        self._pop()
-
-    def _pop(self):
-        if self.stack.pop()[0] == "a":
-            self.links -= 1
+        for _ in range(len(self.stack) - self.places[tag][-1]):
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            if name == "a":
+                self.links -= 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -130,12 +130,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.end_line()
-        for name, *_ in reversed(self.stack):
-            if name == tag:
-                self._pop_to(tag)
-                return
-            if tag in INLINE and name not in INLINE:
-                return                                   # an inline end does not close a block
+        if self.places.get(tag) and (tag not in INLINE or self.places[tag][-1] > self.blocks[-1]):
+            self._pop_to(tag)                           # an inline end does not close a block
 
     def handle_data(self, text):
         _, dropped, region, article = self.stack[-1]
@@ -209,11 +205,12 @@ def main_text(html: str | None) -> str:
     total = np.bincount(region, weights=chars)
     marked = np.bincount(region, weights=chars * content, minlength=len(total))
     linked = np.bincount(region, weights=[x[3] for x in lines], minlength=len(total))
-    few_links = linked <= MOST_LINKS * total
-    chosen = few_links & (2 * marked >= total)
+    whole = np.zeros(len(total), bool)
+    whole[[x[4] for x in lines if x[5]]] = True
+    chosen = np.where(whole, marked > 0, (linked <= MOST_LINKS * total) & (2 * marked >= total))
     out = []
     for x in lines:
-        if x[5] or chosen[x[4]]:
+        if chosen[x[4]]:
             out.append(" ".join("".join(x[0]).split()))
     return "\n".join(x for x in out if x)
 

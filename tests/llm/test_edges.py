@@ -3,6 +3,7 @@ texts, ties and repeated rows, empty tables, extra columns with the names of res
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -315,3 +316,17 @@ def test_stages(spark, tmp_path):
 def test_line_breaks_part_words():
     page = "<article><p>one<br class=x>two<br clear='all' />three<BR/>four<br title='a > b'>five<broken>six</p></article>"
     assert html_extract.main_text(page) == "one two three four five\nsix"      # another tag's name may begin alike
+
+
+def test_html_of_many_unclosed_tags_takes_time_in_proportion():
+    for page in ("<b>x</i>" * 50_000, "<div>x</section>" * 50_000, "<i><div>" + "<b>x</i>" * 50_000, "<p><b>x" * 50_000):
+        start = time.process_time()
+        assert html_extract.main_text(page).count("x") == 50_000
+        assert time.process_time() - start < 20
+
+
+def test_html_ratios_choose_articles_whole():
+    long = "a long paragraph with words enough to be content of the page by its ratio of text to tags"
+    assert html_extract.main_text(f"<article><h2>T</h2><div><p>ok</p></div><p>{long}</p><div><ul><li>one<li>two</ul></div></article>") == f"T\nok\n{long}\none\ntwo"
+    poor = "<article>" + "".join(f"<p><b><i>{x}</i></b></p>" for x in "abcdefgh") + "</article>"
+    assert html_extract.main_text(f"<div><p>{long}</p><p>{long}</p><p>{long}</p></div>{poor}") == "\n".join([long] * 3)
