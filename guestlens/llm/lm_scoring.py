@@ -22,7 +22,7 @@ hashes for the corpus counts of its distinct words and gets them back packed, so
 the count of every word of the training rows is exact.  What travels grows with the text; a
 frequent word is one entry per block.
 
-*Fitting.*  ``ROUNDS`` passes over all training rows.  In a pass, each partition starts from
+*Fitting.*  ``ROUNDS`` passes over all training rows.  In a pass, each partition (``FIT_BYTES`` of text) starts from
 the broadcast parameters and fits them to its tokens by noise-contrastive estimation in
 numpy, on texts dealt by hash: noise units are drawn from the corpus unigram, ``NOISE`` per batch of ``BATCH`` tokens
 and shared by them, groups likewise; steps are those of Adagrad by row.  Rows of
@@ -59,13 +59,13 @@ CODES = 4096
 SIZE = 16               # of the embeddings
 NOISE = 64
 BATCH = 1024
-ROUNDS = 2
+ROUNDS = 1
 RATE = 0.05
 PIECE = 1 << 14         # rows of a parameter table that travel as one
 SLICE = 1 << 18         # tokens scored at once,
 STEP = 1 << 11          # and those whose products with all rows are in memory together
 BLOCK_BYTES = 4 << 20
-FIT_BYTES = 16 << 20    # of text that one task fits in a round
+FIT_BYTES = 64 << 20    # of text that one task fits in a round
 BUCKET_BYTES = 8 << 20
 
 ENTRY = np.dtype([("h", "u8"), ("n", "u4"), ("code", "u2")])
@@ -352,6 +352,12 @@ def _mean(batches, width: dict):
                                           pa.array([mean.tobytes()])], ["name", "piece", "at", "used", "rows"])
 
 
+def put(theta: dict, parts) -> None:
+    """Replaces the rows that ``parts`` (rows of ``PARTS``) hold."""
+    for name, piece, at, _, new in parts:
+        theta[name][piece * PIECE + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(new, np.float32).reshape(-1, theta[name].shape[1])
+
+
 def train(rows: DataFrame, c: Units, size: int) -> dict[str, np.ndarray]:
     """Parameters fitted to all ``rows`` (text, block); ``size`` is about their bytes.  Texts are dealt by
     block, as means of models of unlike parts, such as one language each, learn little."""
@@ -367,8 +373,7 @@ def train(rows: DataFrame, c: Units, size: int) -> dict[str, np.ndarray]:
         some = (fitted.withColumn("salt", F.spark_partition_id() % salts).repartition(salts, "salt").drop("salt")
                 .mapInArrow(lambda it: _mean(it, width), PARTS))
         some = materialize(some, "fit")
-        for name, piece, at, _, new in some.repartition("name", "piece").mapInArrow(lambda it: _mean(it, width), PARTS).collect():
-            theta[name][piece * PIECE + np.frombuffer(at, np.uint16)] = np.frombuffer(new, np.float32).reshape(-1, width[name])
+        put(theta, some.repartition("name", "piece").mapInArrow(lambda it: _mean(it, width), PARTS).collect())
         now.unpersist()
     return theta
 

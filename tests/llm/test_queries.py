@@ -142,6 +142,24 @@ def test_contrastive_gradient(small_model):
         assert abs((likelihood(h + step, table) - likelihood(h - step, table)) / 2e-4 - back[at]) < 1e-3
 
 
+def test_parameters_of_partitions_are_averaged_by_use():
+    rng = np.random.default_rng(3)
+    start = {"q": rng.normal(size=(150_000, 3)).astype(np.float32), "q+": rng.normal(size=(150_000, 1)).astype(np.float32)}
+    fits = []
+    for seed in range(3):
+        used = np.where(rng.random(150_000) < 0.5, rng.integers(1, 9, 150_000), 0)
+        fits.append(({k: v + np.float32(seed + 1) * (used > 0)[:, None] for k, v in start.items()}, {"q": used}))
+    width = {k: v.shape[1] for k, v in start.items()}
+    first = [list(lm_scoring._mean((b for f in some for b in lm_scoring._pieces(*f)), width)) for some in (fits[:2], fits[2:])]
+    whole = {k: v.copy() for k, v in start.items()}
+    for batch in lm_scoring._mean((b for some in first for b in some), width):
+        lm_scoring.put(whole, [tuple(r.values()) for r in batch.to_pylist()])
+    use = sum(u["q"] for _, u in fits)
+    for k, v in start.items():
+        plain = sum(u["q"][:, None] * t[k].astype(float) for t, u in fits) / np.maximum(use, 1)[:, None]
+        assert np.allclose(whole[k], np.where((use > 0)[:, None], plain, v), atol=1e-5)
+
+
 def test_language_model_learns_words(spark):
     """Two vocabularies that never meet: the context tells which; frequent words have units of their own."""
     rng = np.random.default_rng(4)
