@@ -63,7 +63,7 @@ ROUNDS = 1
 RATE = 0.05
 PIECE = 1 << 14         # rows of a parameter table that travel as one
 SLICE = 1 << 18         # tokens scored at once,
-STEP = 1 << 11          # and those whose products with all rows are in memory together
+CELLS = 1 << 17         # and their products with rows of a table in memory together, which fit a core's cache
 BLOCK_BYTES = 4 << 20
 FIT_BYTES = 64 << 20    # of text that one task fits in a round
 BUCKET_BYTES = 8 << 20
@@ -269,43 +269,54 @@ def contrast(h: np.ndarray, table: np.ndarray, unit: np.ndarray, noise: np.ndarr
     return np.concatenate([unit, noise]), np.concatenate([pull * h, -(push @ h)]), own
 
 
-def climb(theta: dict, name: str, used: dict, rows: np.ndarray, grad: np.ndarray) -> None:
-    """One Adagrad step of the rows of a table; ``used`` counts their uses."""
-    few = len(theta[name]) <= 1 << 16                   # short keys sort many times faster
-    order = np.argsort(rows.astype(np.uint16) if few else rows, kind="stable")
+def climb(theta: dict, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
+    """One Adagrad step of the rows of a table."""
+    table, sums = theta[name], theta[f"{name}+"][:, 0]
+    order = np.argsort(rows.astype(np.uint16), kind="stable") if len(table) <= 1 << 16 else np.argsort(rows.astype(np.int32))
     rows = rows[order]
     starts = B.groups(rows)
     at = rows[starts]
     total = np.add.reduceat(grad.take(order, 0), starts, axis=0)
-    used[name][at] += np.diff(np.append(starts, len(order)))
-    sums = theta[f"{name}+"][:, 0]
-    sums[at] += np.einsum("td,td->t", total, total) / total.shape[1]
-    total *= (RATE / np.sqrt(sums[at] + np.float32(1e-8)))[:, None]
-    theta[name][at] += total
+    sum_at = sums[at] + np.einsum("td,td->t", total, total) / np.float32(total.shape[1])
+    sums[at] = sum_at
+    total *= (np.float32(RATE) / np.sqrt(sum_at + np.float32(1e-8)))[:, None]
+    total += table.take(at, 0)
+    table[at] = total
+
+
+def draws(share: np.ndarray, n: int, rng) -> np.ndarray:
+    """``n`` rows of ``NOISE`` units drawn by their shares."""
+    found = np.searchsorted(np.cumsum(share), np.sort(rng.random(n * NOISE)))       # sorted numbers are found faster
+    return rng.permutation(np.minimum(found, len(share) - 1)).reshape(n, NOISE)
 
 
 def learn_tokens(theta: dict, used: dict, c: Units, out: np.ndarray, one: np.ndarray, two: np.ndarray, rng) -> None:
-    """Fits the parameters in place to the tokens, a batch at a time in random order."""
+    """Fits the parameters in place to the tokens, a batch at a time in random order; ``used`` counts the uses of rows."""
     share = (c.count + 1) / (c.count + 1).sum()
     group_share = np.add.reduceat(share, c.begin[:-1])
     group = np.repeat(np.arange(len(group_share)), np.diff(c.begin))
-    to, group_to = np.cumsum(share), np.cumsum(group_share)
     log_noise, group_noise = (np.log(NOISE * x).astype(np.float32) for x in (share, group_share))
-    draw = lambda x: np.minimum(np.searchsorted(x, rng.random(NOISE)), len(x) - 1)
     order = rng.permutation(len(out))
-    for start in range(0, len(order), BATCH):
-        at = order[start:start + BATCH]
-        w, first, second = out[at], one[at], two[at]
+    out, one, two = out[order], one[order], two[order]
+    group_out = group[out]
+    n = -(-len(out) // BATCH)
+    noise, group_drawn = draws(share, n, rng), draws(group_share, n, rng)
+    for name, rows in (("q", [one, two]), ("r", [out, noise.ravel()]), ("u", [group_out, group_drawn.ravel()])):
+        used[name] += sum(np.bincount(x, minlength=len(used[name])) for x in rows)
+    used["c"] += n
+    for batch in range(n):
+        at = slice(batch * BATCH, (batch + 1) * BATCH)
+        first, second = one[at], two[at]
         h, past = context(theta, first, second)
-        rows, grad, back = contrast(h, theta["r"], w, draw(to), log_noise)
-        group_rows, group_grad, group_back = contrast(h, theta["u"], group[w], draw(group_to), group_noise)
+        rows, grad, back = contrast(h, theta["r"], out[at], noise[batch], log_noise)
+        group_rows, group_grad, group_back = contrast(h, theta["u"], group_out[at], group_drawn[batch], group_noise)
         back += group_back
         back = np.ascontiguousarray(back[:, :SIZE])
         down = back @ theta["c"].T
-        climb(theta, "r", used, rows, grad)
-        climb(theta, "u", used, group_rows, group_grad)
-        climb(theta, "q", used, np.concatenate([first, second]), np.concatenate([down[:, :SIZE], down[:, SIZE:]]))
-        climb(theta, "c", used, np.arange(2 * SIZE), past.T @ back)
+        climb(theta, "r", rows, grad)
+        climb(theta, "u", group_rows, group_grad)
+        climb(theta, "q", np.concatenate([first, second]), np.concatenate([down[:, :SIZE], down[:, SIZE:]]))
+        climb(theta, "c", np.arange(2 * SIZE), past.T @ back)
 
 
 PARTS = "name string, piece int, at binary, used binary, rows binary"
@@ -405,13 +416,15 @@ def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, t
         h = context(theta, one[a:a + SLICE][order], two[a:a + SLICE][order])[0]
         g = group[w]
         log = np.einsum("td,td->t", h, u.take(g, 0)).astype(np.float64)
-        for x in range(0, len(w), STEP):
-            log[x:x + STEP] -= log_sums(u, h[x:x + STEP])
+        step = max(1, CELLS // len(u))
+        for x in range(0, len(w), step):
+            log[x:x + step] -= log_sums(u, h[x:x + step])
         starts = B.groups(g)
         for x, y in zip(starts, np.append(starts[1:], len(g))):
             lo, hi = c.begin[g[x]], c.begin[g[x] + 1]
-            for z in range(x, y if hi - lo > 1 else x, STEP):   # a unit alone in its group is certain
-                some = slice(z, min(y, z + STEP))
+            step = max(1, CELLS // int(hi - lo))
+            for z in range(x, y if hi - lo > 1 else x, step):   # a unit alone in its group is certain
+                some = slice(z, min(y, z + step))
                 log[some] += np.einsum("td,td->t", h[some], r.take(w[some], 0)) - log_sums(r[lo:hi], h[some])
         result[a:a + SLICE][order] = log / np.log(10)
     return result
