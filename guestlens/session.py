@@ -23,6 +23,19 @@ DEFAULT_CONF = {
     # parallelism: fewer tiny tasks on shared clusters.
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
+# What one task takes at most, in compressed bytes.  Sorted or repeated values shrink to a fiftieth and less, and
+# a sort or an aggregate holds them unpacked, so Spark's own 64 and 128 MB become gigabytes in one
+# task.  Larger settings are lowered.
+MOST_BYTES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 4 * 2**20,
+    "spark.sql.files.maxPartitionBytes": 16 * 2**20,
+}
+
+
+def size_bytes(setting: str) -> int:
+    """Bytes of a size as Spark writes it: "64m", "64MB", "67108864b" or "67108864"."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
 
 
 def partition_settings(input_bytes: int, cores: int, target_bytes: int = 256 * 2**20,
@@ -74,6 +87,9 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in DEFAULT_CONF.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
+    for k, most in MOST_BYTES.items():
+        if size_bytes(spark.conf.get(k)) > most:
+            spark.conf.set(k, str(most))
     checkpoint_root(spark)
     return spark
 
