@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guestlens.operators.ordering import position, running_total
+from guestlens.sources.scratch import identity
 
 THEME = ["data_id", "aspect", "term", "polarity"]
 BATCHES_PER_RANGE = 4096
@@ -30,7 +31,7 @@ def theme_batches(m_batched: DataFrame) -> DataFrame:
             .filter(F.col("n_reviews") > 0))
 
 
-def issue_history(m_batched: DataFrame, quiet: int = 1) -> DataFrame:
+def issue_history(m_batched: DataFrame, quiet: int = 1, reuse=identity) -> DataFrame:
     """When each criticised theme was an issue: one row per run of batches that say it, cut where
     ``quiet`` or more batches in a row do not.
 
@@ -41,17 +42,18 @@ def issue_history(m_batched: DataFrame, quiet: int = 1) -> DataFrame:
 
     Gaps and islands without a window over the theme: a batch starts a spell if none of the ``quiet``
     batches before it says the theme (an anti-join with the batches that follow a saying one);
-    the number of starts so far is the spell."""
+    the number of starts so far is the spell.  The theme's batches and their starts are read by several
+    branches: ``reuse`` writes each once."""
     if quiet < 1:
         raise ValueError("quiet must be >= 1")
-    said = theme_batches(m_batched.filter(F.col("pol") < 0)).drop("polarity")
+    said = reuse(theme_batches(m_batched.filter(F.col("pol") < 0)).drop("polarity"), "theme-batches")
     key = ["data_id", "aspect", "term"]
     after = said.select(*[F.col(k).alias(f"_{k}") for k in key], F.explode(F.sequence(F.col("batch_id") + 1, F.col("batch_id") + quiet)).alias("_batch")).distinct()
     meet = F.col("batch_id") == F.col("_batch")
     for k in key:
         meet = meet & (F.col(k) == F.col(f"_{k}"))
     flagged = said.join(after, meet, "left").select(*said.columns, F.when(F.col("_batch").isNull(), 1).otherwise(0).alias("_start"))
-    spells = running_total(flagged, key, ["batch_id"], "spell", _range(), weight="_start")
+    spells = running_total(reuse(flagged, "starts"), key, ["batch_id"], "spell", _range(), weight="_start")
     out = spells.groupBy(*key, "spell").agg(
         F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.count(F.lit(1)).cast("long").alias("n_saying"),
         F.sum("n_reviews").alias("n_reviews"), F.max("n_place_batches").alias("_nb"))
@@ -62,7 +64,7 @@ def issue_history(m_batched: DataFrame, quiet: int = 1) -> DataFrame:
         F.when(is_open, "open").otherwise("resolved").alias("state"), F.when(~is_open, F.col("last_batch") + 1).alias("resolved_batch"))
 
 
-def theme_trend(m_batched: DataFrame, batch_sizes: DataFrame, batch_size: int, critical: float = 1.96) -> DataFrame:
+def theme_trend(m_batched: DataFrame, batch_sizes: DataFrame, batch_size: int, critical: float = 1.96, reuse=identity) -> DataFrame:
     """Mann-Kendall trend of a theme's share of reviews over all batches of its place, silent ones included.
 
     ``batch_sizes``: data_id, batch_id, n (reviews of the batch, at most ``batch_size``).  Columns: theme, n_saying,
@@ -75,12 +77,14 @@ def theme_trend(m_batched: DataFrame, batch_sizes: DataFrame, batch_size: int, c
     * pairs of saying batches are counted by the highest bit in which their shares differ.  A share is
       read as floor(share * 2^bits), which keeps the order of fractions with denominators up to the batch
       size; each batch appears once per bit, in the group of its bits above; there it counts the
-      earlier batches with a 0 if it has a 1 itself.  That is ``bits`` running counts, not n^2 pairs."""
+      earlier batches with a 0 if it has a 1 itself.  That is ``bits`` running counts, not n^2 pairs.
+
+    The theme's batches are read by several branches: ``reuse`` writes them once."""
     bits = max(1, math.ceil(math.log2(max(2, batch_size * (batch_size - 1)))) + 1)
     size = batch_sizes.select("data_id", "batch_id", F.col("n").alias("_n"))
     said = theme_batches(m_batched).join(size, ["data_id", "batch_id"])
     said = said.withColumn("_share", F.floor(F.col("n_reviews") * (1 << bits) / F.col("_n")).cast("long"))
-    said = position(said, THEME, ["batch_id"], "_at", _range())                     # 1-based, among the saying ones
+    said = reuse(position(reuse(said, "theme-batches"), THEME, ["batch_id"], "_at", _range()), "theme-places")     # 1-based, among the saying ones
     levels = said.select(*THEME, "batch_id", "_share", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("_bit"))
     down = lambda by: F.call_function("shiftright", F.col("_share"), by)
     levels = levels.select(*THEME, "batch_id", "_bit", down(F.col("_bit") + 1).alias("_above"), (down(F.col("_bit")) % 2).alias("_one"))

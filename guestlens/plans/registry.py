@@ -584,7 +584,8 @@ def issue_history(spark, d):
     """When each criticised theme was an issue (batches of 5): opened, resolved, reopened;
     two silent batches in a row resolve it."""
     from guestlens.operators.themes import issue_history as ih
-    return ih(_mentions_batched(spark, d, 5), quiet=2)
+    from guestlens.sources.scratch import materialize
+    return ih(_mentions_batched(spark, d, 5), quiet=2, reuse=materialize)
 
 
 @query("theme_trend")
@@ -595,8 +596,7 @@ def theme_trend(spark, d):
     b = materialize(sel.chronological_batches(_reviews(spark, d), 5), "batches")
     sizes = b.groupBy("data_id", "batch_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
     nb = b.groupBy("data_id").agg((F.max("batch_id") + 1).cast("long").alias("n_place_batches"))
-    m = materialize(_mentions(spark, d, reviews=b, extra=["batch_id"]).join(nb, "data_id"), "mentions")
-    return tt(m, sizes, 5)
+    return tt(_mentions(spark, d, reviews=b, extra=["batch_id"]).join(nb, "data_id"), sizes, 5, reuse=materialize)
 
 
 @query("document_collocations")
