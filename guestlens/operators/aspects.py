@@ -14,6 +14,7 @@ place and phrase (``mention_counts``) is all that A5, A6, A8, A9 and A10 read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,20 +111,22 @@ def mentions(reviews: DataFrame, lexicon: Sequence[tuple[str, str]],
         return F.struct(F.array_intersect(w, lex_terms).alias("terms"), F.signum(F.when(has_no, negated).otherwise(plain)).cast("int").alias("pol"),
                         F.array_join(mods, " ").alias("mods"))
 
+    # No filter stands between these steps: the planner would move it below them and work out all of
+    # them once more for it.  The explosion drops reviews without mentions.
     said = F.split(F.lower(F.coalesce(F.col("review_text"), F.lit(""))), CLAUSE_SPLIT)
     s = reviews.select(*keep, F.filter(F.transform(said, words), lambda w: F.arrays_overlap(w, lex_terms)).alias("_clauses"))
-    s = s.filter(F.size("_clauses") > 0).select(*keep, F.transform("_clauses", clause).alias("_clauses"))
-    s = s.select(*keep, F.array_sort(F.flatten(F.transform("_clauses", lambda c: F.transform(c["terms"], lambda t: F.struct(
+    s = s.select(*keep, F.transform("_clauses", clause).alias("_clauses"))
+    s = s.select(*keep, F.sort_array(F.flatten(F.transform("_clauses", lambda c: F.transform(c["terms"], lambda t: F.struct(
         F.try_element_at(lex, t).alias("aspect"), c["pol"].alias("pol"), t.alias("term"),
         F.trim(F.concat_ws(" ", c["mods"], t)).alias("phrase")))))).alias("_all"))
     # Sorted, equal mentions and those of one aspect or term stand together: each step looks one back.
     one_back = lambda i: F.get("_all", i - 1)
-    s = s.where(F.size("_all") > 0).select(*keep, "_all", F.filter(
-        F.sequence(F.lit(0), F.size("_all") - 1), lambda i: ~F.get("_all", i).eqNullSafe(one_back(i))).alias("_at"))
+    s = s.select(*keep, "_all", F.when(F.size("_all") > 0, F.filter(
+        F.sequence(F.lit(0), F.size("_all") - 1), lambda i: ~F.get("_all", i).eqNullSafe(one_back(i)))).alias("_at"))
 
     def merged(i, j):
         m = F.get("_all", i)
-        new = lambda *names: F.coalesce(~F.struct(*[m[n] for n in names]).eqNullSafe(F.struct(*[one_back(i)[n] for n in names])), F.lit(True)).cast("long")
+        new = lambda *names: (~reduce(Column.__and__, [m[n].eqNullSafe(one_back(i)[n]) for n in names])).cast("long")
         return F.struct(m.alias("m"), (F.coalesce(F.get("_at", j + 1), F.size("_all")) - i).cast("long").alias("n"),
                         new("aspect", "pol").alias("first_aspect"), new("aspect", "pol", "term").alias("first_term"))
 

@@ -140,11 +140,12 @@ def period_trend(batch_state: DataFrame, threshold: float = 0.5) -> DataFrame:
          .when(delta <= -threshold, "declining").otherwise("stable").alias("trend"))
 
 
-def aspect_trend(m_batched: DataFrame, threshold: int = 1) -> DataFrame:
+def aspect_trend(m_batched: DataFrame, threshold: int = 1, reuse=identity) -> DataFrame:
     """W4 per aspect: net support (praising minus criticising reviews) of each
-    aspect per batch against the previous batch."""
-    per = (m_batched.filter(F.col("pol") != 0).groupBy("data_id", "aspect", "batch_id")
-           .agg(F.sum(F.col("pol") * F.col("first_aspect")).cast("long").alias("net")))
+    aspect per batch against the previous batch.  Both sides of that join read the net support:
+    ``reuse`` writes it once."""
+    per = reuse(m_batched.filter(F.col("pol") != 0).groupBy("data_id", "aspect", "batch_id")
+                .agg(F.sum(F.col("pol") * F.col("first_aspect")).cast("long").alias("net")), "net-support")
     prev = per.select(F.col("data_id").alias("_pd"), F.col("aspect").alias("_pa"),
                       (F.col("batch_id") + 1).alias("_pb"), F.col("net").alias("previous_net"))
     j = per.join(prev, (per.data_id == prev._pd) & (per.aspect == prev._pa) & (per.batch_id == prev._pb), "left")

@@ -562,7 +562,8 @@ def aspect_period_trend(spark, d):
     """W4 per aspect: net praising minus criticising reviews per batch of 5
     against the previous batch."""
     from guestlens.operators.combine import aspect_trend
-    return aspect_trend(_mentions_batched(spark, d, 5))
+    from guestlens.sources.scratch import materialize
+    return aspect_trend(_mentions_batched(spark, d, 5), reuse=materialize)
 
 
 @query("incremental_recency")
