@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from guestlens.operators import sentiment as sen
 from guestlens.operators.ingest import explode_pages
+from guestlens.sources.scratch import materialize
 from guestlens.sources.versioned import VersionedTable
 from guestlens.streaming.ingest import page_stream
 
@@ -125,7 +126,8 @@ class IncrementalPriorities:
 
     def _deltas(self, reviews: DataFrame):
         from guestlens.operators import aspects as asp
-        crit = asp.mention_counts(asp.mentions(reviews, self.lexicon, self.polarity)).filter(F.col("pol") < 0)
+        # Written once: both states add it up.
+        crit = materialize(asp.mention_counts(asp.mentions(reviews, self.lexicon, self.polarity)).filter(F.col("pol") < 0), "criticism")
         a = crit.groupBy("data_id", "aspect").agg(F.sum("by_aspect").alias("n_reviews"), F.sum("short_aspect").alias("score"))
         p = crit.groupBy("data_id", "aspect", "phrase").agg(F.sum("support").alias("n"))
         return a, p
