@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from guestlens.operators import select as sel
 from guestlens.operators import sentiment as sen
@@ -410,11 +411,14 @@ def combine_requests(spark, d):
     from guestlens.operators.combine import fan_in_for
     from guestlens.operators.model_calls import BLOCK_SEPARATOR, combine_requests as cr
     from guestlens.schemas import HOTEL_ANALYSIS
+    shown = StructType([f for f in HOTEL_ANALYSIS if f.name in ("overall_sentiment", "top_improvement_priorities", "accommodation")])
     h = _header(spark, d)
     req = cr(_nodes(spark, d, 5, h), h, fan_in_for(5), _as_of(spark, d))
-    blocks = F.split("user_prompt", BLOCK_SEPARATOR)
-    period = F.array_join(F.transform(blocks, lambda b: F.substring_index(b, "\n", 1)), " ")
-    child = F.transform(blocks, lambda b: F.from_json(F.substring_index(b, "\n", -1), HOTEL_ANALYSIS))
+    # Columns of their own, so that a prompt is split once and a report parsed once.
+    req = req.withColumn("_blocks", F.split("user_prompt", BLOCK_SEPARATOR))
+    period = F.array_join(F.transform("_blocks", lambda b: F.substring_index(b, "\n", 1)), " ")
+    req = req.withColumn("_child", F.transform("_blocks", lambda b: F.from_json(F.substring_index(b, "\n", -1), shown)))
+    child = F.col("_child")
     text = lambda f: F.array_join(F.transform(child, lambda r: F.coalesce(f(r).cast("string"), F.lit("-"))), " | ")
     return req.select("data_id", "level", "node", "n_children", "system_prompt", period.alias("periods"),
                       text(lambda r: r["overall_sentiment"]["average_score"]).alias("child_scores"),

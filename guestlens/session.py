@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     # Coalesce shuffle partitions to the advisory size instead of keeping
     # parallelism: fewer tiny tasks on shared clusters.
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Groups that a task collects lists of before it sorts its rows instead; Spark's own 128 sorts nearly always.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 # What one task takes at most, in compressed bytes.  Sorted or repeated values shrink to a fiftieth and less, and
 # a sort or an aggregate holds them unpacked, so Spark's own 64 and 128 MB become gigabytes in one
