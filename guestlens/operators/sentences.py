@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from guestlens.functions.text import words
 from guestlens.operators.aspects import mentions
+from guestlens.sources.scratch import materialize
 
 GROUP = ["data_id", "aspect", "polarity"]
 SENTENCE_SPLIT = r"[.!?\n]+"
@@ -27,7 +28,8 @@ RELEVANCE = 0.7             # weight of relevance against likeness to the taken
 
 def group_sentences(reviews: DataFrame, lexicon: Sequence[tuple], polarity: Sequence[tuple]) -> DataFrame:
     """Per group its different sentences (by their lower-cased words, ``key``): sentence (least spelling), support (reviews)."""
-    said = reviews.select("data_id", "review_id", "rating", "ts", F.explode(F.split(F.coalesce("review_text", F.lit("")), SENTENCE_SPLIT)).alias("sentence"))
+    # Dealt by review, a file's row group is not one task's work and what a review says meets without another shuffle.
+    said = reviews.repartition("data_id", "review_id").select("data_id", "review_id", "rating", "ts", F.explode(F.split(F.coalesce("review_text", F.lit("")), SENTENCE_SPLIT)).alias("sentence"))
     said = said.withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != "").withColumn("review_text", F.col("sentence"))
     m = mentions(said, lexicon, polarity, extra=["sentence"])
     m = m.withColumn("key", F.array_join(words(F.lower("sentence")), " "))
@@ -37,16 +39,23 @@ def group_sentences(reviews: DataFrame, lexicon: Sequence[tuple], polarity: Sequ
 
 def sentence_vectors(sentences: DataFrame) -> DataFrame:
     """group, key, sentence, support, relevance (cosine with the group's centroid, 6 decimals), norm and weights (word -> tf-idf)."""
-    tf = (sentences.select(*GROUP, "key", "sentence", "support", F.explode(F.split("key", " ")).alias("word"))
-          .groupBy(*GROUP, "key", "sentence", "support", "word").agg(F.count(F.lit(1)).alias("tf")))
+    # Written once, with a number for each: its words travel without its text.
+    sentences = materialize(sentences.withColumn("_id", F.monotonically_increasing_id()), "sentences")
+    # Sorted, equal words stand together: a word's count is the way to where the next one begins.
+    w = sentences.select(*GROUP, "_id", "support", F.sort_array(F.split("key", " ")).alias("_w"))
+    w = w.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: ~F.get("_w", i).eqNullSafe(F.get("_w", i - 1))))
+    tf = w.select(*GROUP, "_id", "support", F.inline(F.transform("_at", lambda i, j: F.struct(
+        F.get("_w", i).alias("word"), (F.coalesce(F.get("_at", j + 1), F.size("_w")) - i).cast("long").alias("tf")))))
     n = sentences.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
     per_word = (tf.groupBy(*GROUP, "word").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("support") * F.col("tf")).alias("mass")).join(n, GROUP)
                 .withColumn("idf", F.log(1 + F.col("n") / F.col("df"))).select(*GROUP, "word", "idf", (F.col("mass") * F.col("idf")).alias("centre")))
+    per_word = materialize(per_word, "group-words")
     centre = per_word.groupBy(*GROUP).agg(F.sqrt(F.sum(F.col("centre") * F.col("centre"))).alias("_length"))
     w = F.col("tf") * F.col("idf")
-    each = tf.join(per_word, [*GROUP, "word"]).groupBy(*GROUP, "key", "sentence", "support").agg(
+    each = tf.join(per_word, [*GROUP, "word"]).groupBy("_id").agg(
         F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * F.col("centre")).alias("_dot"), F.map_from_entries(F.collect_list(F.struct("word", w))).alias("weights"))
-    return each.join(centre, GROUP).withColumn("relevance", F.round(F.col("_dot") / (F.col("norm") * F.col("_length")), 6)).drop("_dot", "_length")
+    whole = sentences.join(each, "_id").join(centre, GROUP)
+    return whole.withColumn("relevance", F.round(F.col("_dot") / (F.col("norm") * F.col("_length")), 6)).drop("_id", "_dot", "_length")
 
 
 def representative_sentences(reviews: DataFrame, lexicon: Sequence[tuple], polarity: Sequence[tuple], k: int = 3) -> DataFrame:
@@ -66,8 +75,9 @@ def representative_sentences(reviews: DataFrame, lexicon: Sequence[tuple], polar
         nearest = F.array_max(F.transform("_taken", lambda t: like(own, F.element_at("_c", t))))
         return F.round(RELEVANCE * own["relevance"] - (1 - RELEVANCE) * nearest, 6)
     for _ in range(k - 1):
-        rest = F.filter(F.map_keys("_c"), lambda r: ~F.array_contains("_taken", r))
-        new = F.array_min(F.transform(rest, lambda r: F.struct((-score(r)).alias("s"), r.alias("rank"))))["rank"]
+        c = c.withColumn("_rest", F.filter(F.map_keys("_c"), lambda r: ~F.array_contains("_taken", r)))
+        new = F.array_min(F.transform("_rest", lambda r: F.struct((-score(r)).alias("s"), r.alias("rank"))))["rank"]
+        new = F.when(F.size("_rest") > 1, new).otherwise(F.get("_rest", 0))      # the only one left needs no score
         c = c.withColumn("_taken", F.when(F.size("_taken") < F.size("_c"), F.concat("_taken", F.array(new))).otherwise(F.col("_taken")))
     out = c.select(*GROUP, "_c", F.posexplode("_taken").alias("_i", "_t"))
     own = F.element_at("_c", F.col("_t"))

@@ -62,3 +62,16 @@ def test_against_plain_python(spark):
 def test_few_and_no_sentences(spark):
     rows = [(1, 1, 5.0, "Good bed. good  bed!"), (1, 2, 5.0, "GOOD bed"), (2, 3, 1.0, None), (2, 4, 1.0, ""), (2, 5, 1.0, "nothing here")]
     assert [tuple(r) for r in sn.representative_sentences(frame(spark, rows), LEX, POL).collect()] == [(1, "accommodation", "praise", 1, "GOOD bed", 2, 1.0)]
+
+
+def test_words_travel_without_their_text(spark, monkeypatch):
+    """The sentences and their words' weights are written once: no shuffle carries a sentence for each of its words."""
+    written = []
+    monkeypatch.setattr(sn, "materialize", lambda df, name, keep=sn.materialize: written.append(name) or keep(df, name))
+    rows = [(1, i, 3.0, f"good bed good {w}. bad desk") for i, w in enumerate(["old old", "new", "new big"])]
+    s = sn.group_sentences(spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.lit(None).cast("timestamp_ntz")), LEX, POL)
+    v = sn.sentence_vectors(s)
+    assert sorted(written) == ["group-words", "sentences"]
+    w = {r["key"]: r for r in v.where(F.col("polarity") == "praise").collect()}
+    idf = {x: math.log(1 + 3 / n) for x, n in (("good", 3), ("bed", 3), ("old", 1), ("new", 2), ("big", 1))}
+    assert {k: round(x, 9) for k, x in w["good bed good old old"]["weights"].items()} == {x: round(n * idf[x], 9) for x, n in (("good", 2), ("bed", 1), ("old", 2))}
