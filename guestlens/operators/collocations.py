@@ -33,12 +33,26 @@ def _part(k: Column, row: Column, column: Column, total: Column) -> Column:
     return F.when(k > 0, k * F.log(k * total / (row * column))).otherwise(0.0)
 
 
+def pair_counts(texts: DataFrame, keys: Sequence[str] = (), text: str = "review_text") -> DataFrame:
+    """Per ``keys`` and pair: n (occurrences) and n_texts (texts that say it).  Sorted, a text's equal pairs stand
+    together, so that its first of each is known in its row; texts are dealt to tasks, as a file's row group is one task's work."""
+    said = texts.repartition(*texts.columns).select(*keys, F.sort_array(pairs_of(text)).alias("_p"))
+    before = F.concat(F.array(F.lit("")), F.slice("_p", 1, F.greatest(F.size("_p") - 1, F.lit(0))))
+    # No filter on the pairs: the planner would work them out once more for it, before the texts are dealt.
+    each = said.select(*keys, F.inline(F.arrays_zip(F.col("_p").alias("pair"), before.alias("before")))).where(F.col("pair").isNotNull())
+    return each.groupBy(*keys, "pair").agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum((F.col("pair") != F.col("before")).cast("long")).alias("n_texts"))
+
+
 def collocations(texts: DataFrame, text: str = "review_text", min_count: int = MIN_COUNT, min_llr: float = MIN_LLR) -> DataFrame:
     """All collocations of the texts: first, second, n (occurrences of the pair), n_first and n_second (pairs
     with that first, second word), llr (3 decimals).
 
     Pairs seen fewer than ``min_count`` times, less often than by chance, or with a ratio under ``min_llr`` are none."""
-    pair = texts.select(F.explode(pairs_of(text)).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    return counted_collocations(pair_counts(texts, text=text), min_count, min_llr)
+
+
+def counted_collocations(pair: DataFrame, min_count: int = MIN_COUNT, min_llr: float = MIN_LLR) -> DataFrame:
+    """The same from counts (pair, n)."""
     pair = materialize(pair.select(F.substring_index("pair", " ", 1).alias("first"), F.substring_index("pair", " ", -1).alias("second"), "n"), "pairs")
     total = F.lit(pair.agg(F.sum("n")).first()[0] or 0).cast("double")
     firsts = pair.groupBy("first").agg(F.sum("n").alias("n_first"))
@@ -55,10 +69,11 @@ def mined_themes(reviews: DataFrame, known: Sequence[str] = (), min_support: int
                  min_llr: float = MIN_LLR) -> DataFrame:
     """A6 over collocations: per place the pairs that at least ``min_support`` of its reviews say: data_id,
     theme, n_reviews, llr.  Pairs with a word of ``known`` (terms that a list covers) are left out."""
-    found = collocations(reviews, min_count=min_count, min_llr=min_llr)
+    # One pass over the texts: the pairs of all texts are those of the places, summed.
+    counts = materialize(pair_counts(reviews, ["data_id"]), "place-pairs")
+    found = counted_collocations(counts.groupBy("pair").agg(F.sum("n").alias("n")), min_count, min_llr)
     if known:
         found = found.where(~F.col("first").isin(*known) & ~F.col("second").isin(*known))
     found = found.select(F.concat_ws(" ", "first", "second").alias("theme"), "llr")
-    said = reviews.select("data_id", F.explode(F.array_distinct(pairs_of("review_text"))).alias("theme"))
-    per = said.groupBy("data_id", "theme").agg(F.count(F.lit(1)).cast("long").alias("n_reviews")).where(F.col("n_reviews") >= min_support)
+    per = counts.where(F.col("n_texts") >= min_support).select("data_id", F.col("pair").alias("theme"), F.col("n_texts").alias("n_reviews"))
     return per.join(found, "theme").select("data_id", "theme", "n_reviews", "llr")

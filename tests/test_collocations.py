@@ -60,3 +60,15 @@ def test_themes_per_place(spark):
 def test_no_texts(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mined_themes(spark.createDataFrame([(1, 1, None)], SCHEMA)).collect() == []
+
+
+def test_texts_are_gone_through_once(spark):
+    """The pairs of places and of all texts come from one count: what mined_themes returns reads no text."""
+    from guestlens.operators import collocations as co
+    rows = [(1, "big bed big bed. big bed"), (1, "big bed"), (2, "big bed, red sky"), (None, "big bed"), (2, None), (2, "")]
+    r = spark.createDataFrame(rows, "data_id long, review_text string")
+    counts = {(x["data_id"], x["pair"]): (x["n"], x["n_texts"]) for x in co.pair_counts(r, ["data_id"]).collect()}
+    assert counts == {(1, "big bed"): (4, 2), (1, "bed big"): (1, 1), (2, "big bed"): (1, 1), (2, "red sky"): (1, 1), (None, "big bed"): (1, 1)}
+    out = co.mined_themes(r, min_count=1, min_llr=0.0)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(x["data_id"], x["theme"], x["n_reviews"]) for x in out.collect()] == [(1, "big bed", 2)]
