@@ -664,8 +664,9 @@ def stream_pages_landed_twice(spark, d):
     from guestlens.session import work_path
     from guestlens.sources import pages as pg
     from guestlens.streaming.ingest import read_ingested, start_page_ingest
+    from guestlens.sources.scratch import materialize
     base = work_path(spark, "stream-twice")
-    pages = pg.build_pages(st.reviews(spark, d), st.places(spark, d))
+    pages = materialize(pg.build_pages(st.reviews(spark, d, reuse=materialize), st.places(spark, d)), "pages")
     once = pg.land_pages(pages, f"{base}/landing-b")
     again = pg.land_pages(pages.unionByName(pages), f"{base}/landing-a")
     for name, landing in (("a", again), ("b", once)):

@@ -38,6 +38,14 @@ class VersionedTable:
     def tags(self) -> set[str]:
         return {tag for _, tag in self._manifest() if tag is not None}
 
+    def committed(self, n: int, tag: str) -> bool:
+        """Whether version ``n`` was committed for this work; reads its own entry only, however many there are."""
+        try:
+            m = self.spark.read.parquet(f"{self.root}/manifest/{self.key}={n}")
+        except AnalysisException:
+            return False
+        return any(r[0] == tag for r in m.select("tag").collect())
+
     def has(self, n: int) -> bool:
         return n in self.versions()
 

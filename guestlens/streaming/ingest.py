@@ -35,17 +35,36 @@ def start_page_ingest(spark: SparkSession, landing: str, sink: str, checkpoint:
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         tag = f"{checkpoint}#{batch_id}"
-        if tag in rows_table.tags():
+        if rows_table.committed(work_number(tag), tag):
             return
-        bad_table.write(batch.filter(F.col("_corrupt").isNotNull()).select("_corrupt"), work_number(tag), tag=tag)
-        rows_table.write(explode_pages(batch), work_number(tag), tag=tag)
+        # Two tables read the batch: kept, its pages are parsed and go through the state once.
+        batch.persist()
+        try:
+            bad_table.write(batch.filter(F.col("_corrupt").isNotNull()).select("_corrupt"), work_number(tag), tag=tag)
+            rows_table.write(explode_pages(batch), work_number(tag), tag=tag)
+        finally:
+            batch.unpersist()
 
     pages = landed_pages(page_stream(spark, landing, max_files_per_trigger))
     if once_within is not None:
         pages = pages.withWatermark("_landed_at", once_within).dropDuplicatesWithinWatermark(["data_id", "page_no", "_content"])
     w = pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, state_partitions(spark))
+    try:
+        return w.start()            # a stream keeps the settings it started with
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def state_partitions(spark: SparkSession) -> str:
+    """The session's shuffle partitions, at most two per core: every micro-batch opens and commits the state of each, however
+    few pages it has.  A stream that goes on from a checkpoint keeps the number that stands there."""
+    return str(min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism))
 
 
 def work_number(tag: str) -> int:

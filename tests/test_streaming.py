@@ -184,3 +184,27 @@ def test_status_of_two_sources(spark, tmp_path):
         for _ in range(2):                                                           # the second run finds nothing new
             table.start(str(tmp_path / name), f"{tmp_path}/ckpt-{name}").awaitTermination()
     assert sorted(r.token for r in table.latest().collect()) == [1, 2]
+
+
+def test_state_of_a_stream_is_bounded_by_cores(spark, tmp_path, monkeypatch):
+    """Each micro-batch opens every part of the state: at most two parts per core, and each batch goes through it once."""
+    import glob
+    land = tmp_path / "land"
+    land.mkdir()
+    (land / "a.json").write_text('{"data_id": 1, "page_no": 0, "reviews": [{"rating": "5", "iso_date": "2024-01-01T00:00:00Z", "extracted_snippet": {"original": "x"}}]}\n')
+    base = str(tmp_path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        q = start_page_ingest(spark, str(land), f"{base}/sink", f"{base}/ckpt", once_within="7 days")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < len(glob.glob(f"{base}/ckpt/state/0/[0-9]*")) <= 2 * spark.sparkContext.defaultParallelism
+    assert read_ingested(spark, f"{base}/sink").count() == 1
+    from guestlens.sources.versioned import VersionedTable
+    from guestlens.streaming.ingest import work_number
+    tag = f"{base}/ckpt#0"
+    t = VersionedTable(spark, f"{base}/sink", key="epoch")
+    assert t.committed(work_number(tag), tag) and not t.committed(work_number(tag), "other") and not t.committed(1, tag)
