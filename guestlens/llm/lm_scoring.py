@@ -64,6 +64,7 @@ RATE = 0.05
 PIECE = 1 << 14         # rows of a parameter table that travel as one
 SLICE = 1 << 18         # tokens scored at once,
 CELLS = 1 << 17         # and their products with rows of a table in memory together, which fit a core's cache
+REACH = 60              # scores whose exp and its sums stay far inside single precision
 BLOCK_BYTES = 4 << 20
 FIT_BYTES = 64 << 20    # of text that one task fits in a round
 BUCKET_BYTES = 8 << 20
@@ -204,14 +205,25 @@ def make_units(words, codes: list, ends: int) -> Units:
                  total + ends, distinct + (ends > 0), ends)
 
 
-def unit_of(data: np.ndarray, w: B.Words, c: Units) -> tuple[np.ndarray, np.ndarray]:
+def unit_of(data: np.ndarray, w: B.Words, c: Units, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
     """Unit of each word, and whether the word is a unit of its own."""
-    out = c.of_code[endings(data, w)]
-    own = np.zeros(len(out), bool)
+    h = w.hash[at]
+    out, own = np.empty(len(h), np.int64), np.zeros(len(h), bool)
     if len(c.words):
-        at = np.minimum(np.searchsorted(c.words, w.hash), len(c.words) - 1)
-        own = c.words[at] == w.hash
-        out = np.where(own, c.number[at], out)
+        shift = np.uint64(64 - len(c.words).bit_length())
+        first = np.searchsorted(c.words, np.arange(1 << len(c.words).bit_length(), dtype=np.uint64) << shift)
+        left, place = np.arange(len(h)), first[h >> shift]          # the first word that begins with the same bits,
+        while len(left):                                            # then the ones after it
+            inside = place < len(c.words)
+            left, place = left[inside], place[inside]
+            found, sought = c.words[place], h[left]
+            hit = found == sought
+            own[left[hit]] = True
+            out[left[hit]] = c.number[place[hit]]
+            on = found < sought
+            left, place = left[on], place[on] + 1
+    rest = np.flatnonzero(~own)
+    out[rest] = c.of_code[endings(data, w, np.arange(len(w.hash))[at][rest])]
     return out, own
 
 
@@ -244,39 +256,51 @@ def first_model(c: Units, seed: int = 7) -> dict[str, np.ndarray]:
 
 def context(theta: dict, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """h of each token, with a one for the bias, and the embeddings it comes from."""
-    past = np.concatenate([theta["q"].take(one, 0), theta["q"].take(two, 0)], 1)
+    past = theta["q"].take(np.column_stack([one, two]), 0).reshape(len(one), 2 * SIZE)
     h = np.ones((len(one), SIZE + 1), np.float32)
     h[:, :SIZE] = past @ theta["c"]
     return h, past
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
+def falling(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) in place; 0 where exp(x) is beyond all numbers."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
-    x *= np.float32(0.5)
-    return x
+    return np.divide(np.float32(1), x, out=x)
 
 
 def contrast(h: np.ndarray, table: np.ndarray, unit: np.ndarray, noise: np.ndarray, log_noise: np.ndarray):
     """Gradients of the noise-contrastive likelihood of units against drawn ones, which all tokens share:
     (rows, gradients by row, gradient of the contexts).  ``log_noise`` is log(draws x noise probability)."""
     own, drawn = table.take(unit, 0), table.take(noise, 0)
-    pull = sigmoid(log_noise[unit] - np.einsum("td,td->t", h, own))[:, None]
-    push = sigmoid(drawn @ h.T - log_noise[noise][:, None])
+    pull = falling(np.einsum("td,td->t", h, own) - log_noise[unit])[:, None]
+    below = -drawn
+    below[:, -1] += log_noise[noise]        # the last column of h is one
+    push = falling(below @ h.T)
     own *= pull
     own -= push.T @ drawn
-    return np.concatenate([unit, noise]), np.concatenate([pull * h, -(push @ h)]), own
-
-
-def climb(theta: dict, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-    """One Adagrad step of the rows of a table."""
+    grad = np.empty((len(unit) + len(noise), h.shape[1]), np.float32)
+    np.multiply(pull, h, out=grad[:len(unit)])
+    np.negative(push @ h, out=grad[len(unit):])
+    return np.concatenate([unit, noise]), grad, own
+
+
+def merge(rows: np.ndarray, grad: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` and the sums of their gradients; ``slot`` is room for a number for each row of the table."""
+    each = np.arange(len(rows))
+    slot[rows] = each
+    kept = slot[rows]                       # one place of each distinct row, which takes in its others
+    alone = kept == each
+    more, width = np.flatnonzero(~alone), grad.shape[1]
+    np.add.at(grad.reshape(-1), (kept[more, None] * width + np.arange(width)).ravel(), grad.take(more, 0).ravel())
+    some = np.flatnonzero(alone)
+    return rows[some], grad.take(some, 0)
+
+
+def climb(theta: dict, name: str, at: np.ndarray, total: np.ndarray) -> None:
+    """One Adagrad step of distinct rows of a table."""
     table, sums = theta[name], theta[f"{name}+"][:, 0]
-    order = np.argsort(rows.astype(np.uint16), kind="stable") if len(table) <= 1 << 16 else np.argsort(rows.astype(np.int32))
-    rows = rows[order]
-    starts = B.groups(rows)
-    at = rows[starts]
-    total = np.add.reduceat(grad.take(order, 0), starts, axis=0)
     sum_at = sums[at] + np.einsum("td,td->t", total, total) / np.float32(total.shape[1])
     sums[at] = sum_at
     total *= (np.float32(RATE) / np.sqrt(sum_at + np.float32(1e-8)))[:, None]
@@ -304,18 +328,18 @@ def learn_tokens(theta: dict, used: dict, c: Units, out: np.ndarray, one: np.nda
     for name, rows in (("q", [one, two]), ("r", [out, noise.ravel()]), ("u", [group_out, group_drawn.ravel()])):
         used[name] += sum(np.bincount(x, minlength=len(used[name])) for x in rows)
     used["c"] += n
+    slot = np.empty(max(map(len, theta.values())), np.int64)
     for batch in range(n):
         at = slice(batch * BATCH, (batch + 1) * BATCH)
-        first, second = one[at], two[at]
-        h, past = context(theta, first, second)
+        h, past = context(theta, one[at], two[at])
         rows, grad, back = contrast(h, theta["r"], out[at], noise[batch], log_noise)
         group_rows, group_grad, group_back = contrast(h, theta["u"], group_out[at], group_drawn[batch], group_noise)
         back += group_back
         back = np.ascontiguousarray(back[:, :SIZE])
         down = back @ theta["c"].T
-        climb(theta, "r", rows, grad)
-        climb(theta, "u", group_rows, group_grad)
-        climb(theta, "q", np.concatenate([first, second]), np.concatenate([down[:, :SIZE], down[:, SIZE:]]))
+        climb(theta, "r", *merge(rows, grad, slot))
+        climb(theta, "u", *merge(group_rows, group_grad, slot))
+        climb(theta, "q", *merge(np.column_stack([one[at], two[at]]).ravel(), down.reshape(-1, SIZE), slot))
         climb(theta, "c", np.arange(2 * SIZE), past.T @ back)
 
 
@@ -389,26 +413,30 @@ def train(rows: DataFrame, c: Units, size: int) -> dict[str, np.ndarray]:
     return theta
 
 
-def log_sums(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """log of the sum of exp(score) over the rows of ``table``, by token.  exp(x) of x <= 0 is taken as
-    (1 + t) / (1 - t) with t = tanh(x / 2), which numpy works out many at a time; the greatest term is 1, so
-    what this rounds away stays below 1e-7 a term."""
+def log_sums(table: np.ndarray, h: np.ndarray, small: bool = False) -> np.ndarray:
+    """log of the sum of exp(score) over the rows of ``table``, by token.  ``small``: the greatest score of
+    each token is known to be within ``REACH`` of 0, so that its terms need not be divided by the greatest."""
     s = table @ h.T
-    top = s.max(0)
-    s -= top
-    s *= np.float32(0.5)
-    np.tanh(s, out=s)
-    below = 1 - s
-    s += 1
-    s /= below
-    return top + np.log(s.sum(0))
+    top = np.float32(0) if small else s.max(0)
+    if not small:
+        s -= top
+    np.exp(s, out=s)
+    return top + np.log(np.ones(len(table), np.float32) @ s)
+
+
+def reach(table: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest embedding and the greatest bias of the rows from each ``begin`` on."""
+    square = np.einsum("td,td->t", table[:, :-1], table[:, :-1])
+    return np.sqrt(np.maximum.reduceat(square, begin)), np.abs(np.maximum.reduceat(table[:, -1], begin))
 
 
 def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """log10 P(unit | the two before) of tokens, normalised over groups and over the units of each group."""
     result = np.empty(len(out))
-    group = np.repeat(np.arange(len(c.begin) - 1), np.diff(c.begin))
+    size = np.diff(c.begin)
+    group = np.repeat(np.arange(len(size)), size)
     u, r = theta["u"], theta["r"]
+    (u_long, u_bias), (r_long, r_bias) = reach(u, np.zeros(1, np.int64)), reach(r, c.begin[:-1])
     for a in range(0, len(out), SLICE):
         w = out[a:a + SLICE]
         order = np.argsort(w, kind="stable")                    # units are numbered by group
@@ -416,16 +444,19 @@ def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, t
         h = context(theta, one[a:a + SLICE][order], two[a:a + SLICE][order])[0]
         g = group[w]
         log = np.einsum("td,td->t", h, u.take(g, 0)).astype(np.float64)
-        step = max(1, CELLS // len(u))
+        log += np.where(size[g] > 1, np.einsum("td,td->t", h, r.take(w, 0)), 0)         # a unit alone in its group is certain
+        longest = np.sqrt(np.einsum("td,td->t", h[:, :-1], h[:, :-1]).max())
+        step, small = max(1, CELLS // len(u)), bool(u_bias[0] + longest * u_long[0] < REACH)
         for x in range(0, len(w), step):
-            log[x:x + step] -= log_sums(u, h[x:x + step])
+            log[x:x + step] -= log_sums(u, h[x:x + step], small)
         starts = B.groups(g)
         for x, y in zip(starts, np.append(starts[1:], len(g))):
-            lo, hi = c.begin[g[x]], c.begin[g[x] + 1]
-            step = max(1, CELLS // int(hi - lo))
-            for z in range(x, y if hi - lo > 1 else x, step):   # a unit alone in its group is certain
+            at = g[x]
+            table = r[c.begin[at]:c.begin[at + 1]]
+            step, small = max(1, CELLS // len(table)), bool(r_bias[at] + longest * r_long[at] < REACH)
+            for z in range(x, y if len(table) > 1 else x, step):
                 some = slice(z, min(y, z + step))
-                log[some] += np.einsum("td,td->t", h[some], r.take(w[some], 0)) - log_sums(r[lo:hi], h[some])
+                log[some] -= log_sums(table, h[some], small)
         result[a:a + SLICE][order] = log / np.log(10)
     return result
 
@@ -439,7 +470,9 @@ def _score(left: pa.Table, right: pa.Table, c: Units, theta: dict, n_buckets: in
         known[at] = np.frombuffer(answers[b], np.int64)
     c_word = np.empty(len(w.hash), np.int64)
     c_word[order] = np.repeat(known, np.diff(np.r_[starts, len(order)]))
-    unit, own = unit_of(data, w, c)
+    unit, own = (np.empty(len(order), kind) for kind in (np.int64, bool))
+    for all_words, distinct in zip((unit, own), unit_of(data, w, c, order[starts])):
+        all_words[order] = np.repeat(distinct, np.diff(np.r_[starts, len(order)]))
     out, one, two, place = sequence(unit, w.count, c)
     count = np.full(len(out), c.ends, np.int64)
     count[place] = c_word

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -142,6 +143,57 @@ def test_contrastive_gradient(small_model):
         assert abs((likelihood(h + step, table) - likelihood(h - step, table)) / 2e-4 - back[at]) < 1e-3
 
 
+def test_language_model_works_once_on_a_word(small_model, monkeypatch):
+    """Units are looked up once for each distinct word of a block, endings only of words without a unit of their own."""
+    c, theta = small_model
+    text = b" ".join([b"The cat saw", *[b"the cat"] * 500, b"SAW dogs"])
+    data, w = lm_scoring._block_words(pa.table({"text": pa.array([text, None, b"the"], pa.binary())}))
+    order, starts = lm_scoring._distinct(w)
+    word = lambda at: data[w.start[at]:w.end[at]].tobytes().lower()
+    hashes = {word(x): w.hash[x] for x in order[starts]}
+    own = np.sort(np.array([hashes[b"the"], hashes[b"cat"], *c.words[:20]]))
+    c = c._replace(words=own, number=np.arange(len(own)))
+    asked = []
+    monkeypatch.setattr(lm_scoring, "endings", lambda data, w, at=slice(None), f=lm_scoring.endings: (asked.append(len(w.hash[at])), f(data, w, at))[1])
+    left = pa.table({"id": [1, 2, 3], "learn": [True] * 3, "text": pa.array([text, None, b"the"], pa.binary())})
+    right = pa.table({"bucket": [0], "counts": [np.arange(len(starts), dtype=np.int64).tobytes()]})
+    got = lm_scoring._score(left, right, c, theta, 1)
+    assert sum(asked) == 2 and got.column("n_tokens").to_pylist() == [1006, 1, 2]      # saw and dogs
+    unit, known = lm_scoring.unit_of(data, w, c)
+    plain = [(np.flatnonzero(own == h)[0], True) if h in own else (c.of_code[lm_scoring.endings(data, w, [x])[0]], False) for x, h in enumerate(w.hash)]
+    assert list(zip(unit, known)) == plain and sum(asked[1:]) < 10
+    out, one, two, _ = lm_scoring.sequence(unit, w.count, c)
+    log = lm_scoring.log_probabilities(theta, c, out, one, two)
+    assert got.column("score")[1].as_py() == pytest.approx(log[-3])
+
+
+@pytest.mark.parametrize("scale", [1, 5])
+def test_language_model_is_exact_at_large_scores(small_model, scale):
+    """Sums of exponentials and steps of the fit stay right where exp leaves single precision."""
+    c, theta = small_model
+    theta = {k: v if "+" in k else v * np.float32(scale) for k, v in theta.items()}
+    rng = np.random.default_rng(5)
+    out, one, two = rng.integers(0, c.n, 300), rng.integers(0, c.n + 1, 300), rng.integers(0, c.n + 1, 300)
+    got = lm_scoring.log_probabilities(theta, c, out, one, two)
+    h = lm_scoring.context(theta, one, two)[0]
+    group = np.repeat(np.arange(len(c.begin) - 1), np.diff(c.begin))
+    most, plain = 0, np.zeros(300)
+    for t in range(300):
+        same = np.flatnonzero(group == group[out[t]])
+        for table, rows, at in ((theta["u"], slice(None), group[out[t]]), (theta["r"], same, out[t] - same[0])):
+            s = table[rows].astype(float) @ h[t].astype(float)
+            most = max(most, s.max())
+            plain[t] += (s[at] - s.max() - np.log(np.exp(s - s.max()).sum())) / np.log(10)
+    assert (most > 100) == (scale > 1) and np.allclose(got, plain, rtol=1e-4, atol=1e-3)
+    log_noise = np.log(8 * (c.count + 1) / (c.count + 1).sum()).astype(np.float32)
+    rows, grad, back = lm_scoring.contrast(h, theta["r"], out, rng.integers(0, c.n, 8), log_noise)
+    assert np.isfinite(grad).all() and np.isfinite(back).all()
+    whole = np.zeros(theta["r"].shape)
+    np.add.at(whole, rows, grad)
+    at, total = lm_scoring.merge(rows, grad.copy(), np.empty(c.n, np.int64))
+    assert sorted(at) == sorted(set(rows)) and np.allclose(total, whole[at], rtol=1e-4, atol=1e-3 * scale)
+
+
 def test_parameters_of_partitions_are_averaged_by_use():
     rng = np.random.default_rng(3)
     start = {"q": rng.normal(size=(150_000, 3)).astype(np.float32), "q+": rng.normal(size=(150_000, 1)).astype(np.float32)}
