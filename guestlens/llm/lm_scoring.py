@@ -413,10 +413,11 @@ def train(rows: DataFrame, c: Units, size: int) -> dict[str, np.ndarray]:
     return theta
 
 
-def log_sums(table: np.ndarray, h: np.ndarray, small: bool = False) -> np.ndarray:
-    """log of the sum of exp(score) over the rows of ``table``, by token.  ``small``: the greatest score of
-    each token is known to be within ``REACH`` of 0, so that its terms need not be divided by the greatest."""
-    s = table @ h.T
+def log_sums(table: np.ndarray, h: np.ndarray, room: np.ndarray, small: bool = False) -> np.ndarray:
+    """log of the sum of exp(score) over the rows of ``table``, by token; ``room`` holds the scores meanwhile.
+    ``small``: the greatest score of each token is known to be within ``REACH`` of 0, so that its terms need
+    not be divided by the greatest."""
+    s = np.matmul(table, h.T, out=room[:len(table) * len(h)].reshape(len(table), len(h)))
     top = np.float32(0) if small else s.max(0)
     if not small:
         s -= top
@@ -437,6 +438,7 @@ def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, t
     group = np.repeat(np.arange(len(size)), size)
     u, r = theta["u"], theta["r"]
     (u_long, u_bias), (r_long, r_bias) = reach(u, np.zeros(1, np.int64)), reach(r, c.begin[:-1])
+    room = np.empty(max(CELLS, len(u), size.max()), np.float32)
     for a in range(0, len(out), SLICE):
         w = out[a:a + SLICE]
         order = np.argsort(w, kind="stable")                    # units are numbered by group
@@ -448,7 +450,7 @@ def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, t
         longest = np.sqrt(np.einsum("td,td->t", h[:, :-1], h[:, :-1]).max())
         step, small = max(1, CELLS // len(u)), bool(u_bias[0] + longest * u_long[0] < REACH)
         for x in range(0, len(w), step):
-            log[x:x + step] -= log_sums(u, h[x:x + step], small)
+            log[x:x + step] -= log_sums(u, h[x:x + step], room, small)
         starts = B.groups(g)
         for x, y in zip(starts, np.append(starts[1:], len(g))):
             at = g[x]
@@ -456,7 +458,7 @@ def log_probabilities(theta: dict, c: Units, out: np.ndarray, one: np.ndarray, t
             step, small = max(1, CELLS // len(table)), bool(r_bias[at] + longest * r_long[at] < REACH)
             for z in range(x, y if len(table) > 1 else x, step):
                 some = slice(z, min(y, z + step))
-                log[some] -= log_sums(table, h[some], small)
+                log[some] -= log_sums(table, h[some], room, small)
         result[a:a + SLICE][order] = log / np.log(10)
     return result
 
@@ -468,21 +470,18 @@ def _score(left: pa.Table, right: pa.Table, c: Units, theta: dict, n_buckets: in
     answers = dict(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()))
     for b, at in _deal(w.hash[order[starts]], n_buckets):
         known[at] = np.frombuffer(answers[b], np.int64)
-    c_word = np.empty(len(w.hash), np.int64)
-    c_word[order] = np.repeat(known, np.diff(np.r_[starts, len(order)]))
-    unit, own = (np.empty(len(order), kind) for kind in (np.int64, bool))
-    for all_words, distinct in zip((unit, own), unit_of(data, w, c, order[starts])):
-        all_words[order] = np.repeat(distinct, np.diff(np.r_[starts, len(order)]))
-    out, one, two, place = sequence(unit, w.count, c)
-    count = np.full(len(out), c.ends, np.int64)
-    count[place] = c_word
+    word = np.empty(len(order), np.int64)       # the number of each word among the distinct ones
+    word[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+    unit, own = unit_of(data, w, c, order[starts])
+    out, one, two, place = sequence(unit[word], w.count, c)
     doc = np.repeat(np.arange(len(w.count)), w.count + 1)
     log = log_probabilities(theta, c, out, one, two)
-    log[place] += np.where(own, 0.0, np.log10(c_word + 1) - c.log_rest[unit])
-    base = np.log10((count + 1) / (c.tokens + c.types + 1))
+    log[place] += np.where(own, 0.0, np.log10(known + 1) - c.log_rest[unit])[word]
+    base, seen = (np.full(len(out), x) for x in (np.log10((c.ends + 1) / (c.tokens + c.types + 1)), c.ends > 0))
+    base[place], seen[place] = np.log10((known + 1) / (c.tokens + c.types + 1))[word], (known > 0)[word]
     add = lambda x: np.bincount(doc, weights=x, minlength=len(w.count))
     return pa.table({"id": left.column("id"), "learn": left.column("learn"), "n_tokens": pa.array(w.count + 1, pa.int64()),
-                     "n_known": pa.array(add(count > 0).astype(np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(log))})
+                     "n_known": pa.array(add(seen).astype(np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(log))})
 
 
 def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
