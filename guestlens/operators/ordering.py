@@ -50,7 +50,8 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column |
     total = F.col(_B) + F.sum(_W).over(inside)
     if not inclusive:
         total = total - F.col(_W)
-    done = rows.join(before, meet).withColumn(out, total.cast("long"))
+    # Never broadcast: compressed, the rows look a fiftieth of their size, and there may be a range for each of them.
+    done = rows.join(before.hint("merge"), meet).withColumn(out, total.cast("long"))
     if whole:
         done = done.withColumn(whole, F.col(_N).cast("long"))
     return done.drop(_S, _W, _B, _N, _S + "_r", *keys)

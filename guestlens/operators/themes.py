@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestlens.operators.ordering import position, running_total
+from guestlens.operators.ordering import running_total
 from guestlens.sources.scratch import identity
 
 THEME = ["data_id", "aspect", "term", "polarity"]
@@ -73,39 +73,60 @@ def theme_trend(m_batched: DataFrame, batch_sizes: DataFrame, batch_size: int, c
 
     S = pairs of batches whose later share is larger - pairs whose later share is smaller, without making pairs:
 
-    * pairs with a silent batch follow from a saying batch's number and its place among the saying ones;
+    * a saying batch is above every silent one, so it counts its earlier silent ones up and its later ones down.  Over
+      the theme's batches that is 2 sum(b) - m (n - 1): what saying batches take from each other cancels;
     * pairs of saying batches are counted by the highest bit in which their shares differ.  A share is
       read as floor(share * 2^bits), which keeps the order of fractions with denominators up to the batch
       size; each batch appears once per bit, in the group of its bits above; there it counts the
       earlier batches with a 0 if it has a 1 itself.  That is ``bits`` running counts, not n^2 pairs.
 
-    The theme's batches are read by several branches: ``reuse`` writes them once."""
+    The theme's batches are dealt once, by theme and range.  All pairs inside a range are counted where they lie, and a
+    row per range remains, with how often it has each share.  Those counts (at most 2^bits + 1 of a range, whatever its
+    batches) give the ties, and the pairs across ranges by running sums over the ranges.  Parts meet by a union and
+    one sum per theme: there is no table to broadcast.  ``reuse`` writes the batches and the ranges once."""
     bits = max(1, math.ceil(math.log2(max(2, batch_size * (batch_size - 1)))) + 1)
-    size = batch_sizes.select("data_id", "batch_id", F.col("n").alias("_n"))
-    said = theme_batches(m_batched).join(size, ["data_id", "batch_id"])
-    said = said.withColumn("_share", F.floor(F.col("n_reviews") * (1 << bits) / F.col("_n")).cast("long"))
-    said = reuse(position(reuse(said, "theme-batches"), THEME, ["batch_id"], "_at", _range()), "theme-places")     # 1-based, among the saying ones
-    levels = said.select(*THEME, "batch_id", "_share", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("_bit"))
     down = lambda by: F.call_function("shiftright", F.col("_share"), by)
-    levels = levels.select(*THEME, "batch_id", "_bit", down(F.col("_bit") + 1).alias("_above"), (down(F.col("_bit")) % 2).alias("_one"))
-    counted = running_total(levels.withColumn("_zero", 1 - F.col("_one")), [*THEME, "_bit", "_above"], ["batch_id"], "_zeros", _range(), weight="_zero")
-    groups = counted.groupBy(*THEME, "_bit", "_above").agg(
-        F.sum(F.when(F.col("_one") == 1, F.col("_zeros")).otherwise(0)).alias("_up"), F.sum("_one").alias("_ones"), F.sum("_zero").alias("_nil"))
-    among = groups.groupBy(*THEME).agg(F.sum(2 * F.col("_up") - F.col("_ones") * F.col("_nil")).alias("_among"))
-    ties = (said.groupBy(*THEME, "_share").agg(F.count(F.lit(1)).alias("_t")).groupBy(*THEME)
-            .agg(F.sum(_tied(F.col("_t"))).alias("_tied")))
-    n, b, at = F.col("n_place_batches"), F.col("batch_id"), F.col("_at")
-    # A saying batch is above every silent one: earlier silent ones count up, later ones down.
-    zeros = (said.groupBy(*THEME).agg(
-        F.count(F.lit(1)).cast("long").alias("n_saying"), F.max("n_place_batches").alias("n_place_batches"),
-        F.sum((b - (at - 1)) - (n - 1 - b)).alias("_zeros"), F.sum(at).alias("_ats")))
-    # later silent = (n - 1 - b) - (m - at); the sum of (m - at) over the saying ones is m^2 - sum(at).
-    m = F.col("n_saying")
-    s = F.col("_zeros") + (m * m - F.col("_ats")) + F.col("_among")
-    out = zeros.join(among, THEME).join(ties, THEME).withColumn("s", s.cast("long"))
+    by_bit = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("_bit")
+    split = [down(F.col("_bit") + 1).alias("_above"), (down(F.col("_bit")) % 2).alias("_one")]
+    # The sizes are as many as the batches, but compressed they look small: sorted and merged, not broadcast.
+    size = batch_sizes.select("data_id", "batch_id", F.col("n").alias("_n")).hint("merge")
+    said = theme_batches(m_batched.select(*THEME, "batch_id", "first_term", "n_place_batches").repartition("data_id", "batch_id"))
+    share = F.floor(F.col("n_reviews") * (1 << bits) / F.col("_n")).cast("long").alias("_share")
+    said = reuse(said.join(size, ["data_id", "batch_id"]).select(*THEME, "batch_id", "n_place_batches", share), "theme-batches")
+
+    key = [*THEME, "_range"]
+    dealt = said.withColumn("_range", _range()).repartition(*key)
+    levels = dealt.select(*key, "batch_id", "n_place_batches", "_share", by_bit).select(*key, "batch_id", "n_place_batches", "_bit", *split)
+    earlier = Window.partitionBy(*key, "_bit", "_above").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = levels.withColumn("_zeros", F.sum(1 - F.col("_one")).over(earlier))
+    groups = levels.groupBy(*key, "_bit", "_above").agg(
+        F.sum(F.col("_one") * F.col("_zeros")).alias("_up"), F.sum("_one").alias("_ones"), F.sum(1 - F.col("_one")).alias("_nil"),
+        F.sum("batch_id").alias("_batches"), F.max("n_place_batches").alias("n_place_batches"))
+    last = F.col("_bit") == 0          # a group of the last bit has two shares, each group of batches once
+    ranges = reuse(groups.groupBy(*key).agg(
+        F.max("n_place_batches").alias("n_place_batches"), F.sum(F.when(last, F.col("_ones") + F.col("_nil"))).alias("_m"),
+        F.sum(F.when(last, F.col("_batches"))).alias("_batches"), F.sum(2 * F.col("_up") - F.col("_ones") * F.col("_nil")).alias("_among"),
+        F.collect_list(F.when(last, F.struct("_above", "_ones", "_nil"))).alias("_last")), "theme-places")
+
+    shares = ranges.select(*key, "n_place_batches", F.inline("_last")).select(*key, "n_place_batches", F.inline(F.array(
+        F.struct((2 * F.col("_above") + 1).alias("_share"), F.col("_ones").alias("_t")), F.struct((2 * F.col("_above")).alias("_share"), F.col("_nil").alias("_t")))))
+    shares = shares.where(F.col("_t") > 0)
+    ties = shares.groupBy(*THEME, "_share").agg(F.sum("_t").alias("_t")).select(*THEME, _tied(F.col("_t")).alias("_tied"))
+    # Places of one range have no pairs across ranges.
+    far = shares.where(F.col("n_place_batches") > BATCHES_PER_RANGE).select(*key, "_t", "_share", by_bit).select(*key, "_t", "_bit", *split)
+    far = far.groupBy(*key, "_bit", "_above").agg(F.sum(F.col("_t") * F.col("_one")).alias("_ones"), F.sum(F.col("_t") * (1 - F.col("_one"))).alias("_nil"))
+    before = Window.partitionBy(*THEME, "_bit", "_above").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    across = far.select(*THEME, (F.col("_ones") * F.coalesce(F.sum("_nil").over(before), F.lit(0))
+                                 - F.col("_nil") * F.coalesce(F.sum("_ones").over(before), F.lit(0))).alias("_among"))
+
+    parts = ranges.drop("_range", "_last").unionByName(ties, allowMissingColumns=True).unionByName(across, allowMissingColumns=True)
+    n, m = F.col("n_place_batches"), F.col("n_saying")
+    out = parts.groupBy(*THEME).agg(
+        F.sum("_m").cast("long").alias("n_saying"), F.max("n_place_batches").alias("n_place_batches"),
+        F.sum("_batches").alias("_batches"), F.sum("_among").alias("_among"), F.sum("_tied").alias("_tied"))
+    out = out.withColumn("s", (2 * F.col("_batches") - m * (n - 1) + F.col("_among")).cast("long"))
     var = (_tied(n) - F.col("_tied") - _tied(n - m)) / 18.0
-    z = F.when(var > 0, (F.col("s") - F.signum("s")) / F.sqrt(var))
-    out = out.withColumn("_z", z)
+    out = out.withColumn("_z", F.when(var > 0, (F.col("s") - F.signum("s")) / F.sqrt(var)))
     return out.select(*THEME, "n_saying", "n_place_batches", "s", F.round("_z", 3).alias("z"), F.signum("s").cast("int").alias("sign"),
                       F.when(F.col("_z") >= critical, "rising").when(F.col("_z") <= -critical, "falling").otherwise("steady").alias("label"))
 
